@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import byte_bpe, near_vectors, sharding, token_files
+from corvane.llm import byte_bpe, kneser_ney, near_vectors, sharding, token_files
 from corvane.session import table
 
 
@@ -15,6 +15,10 @@ def op1_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -31,6 +35,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cap_filters": op1_cap_filters,
+        "op2_kneser_ney": op2_kneser_ney,
         "op4_byte_bpe": op4_byte_bpe,
         "op8_bounded_ring": op8_bounded_ring,
         "op9_token_files": op9_token_files,
