@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import byte_bpe, kneser_ney, near_vectors, sharding, token_files
+from corvane.llm import byte_bpe, kneser_ney, near_text, near_vectors, sharding, token_files
 from corvane.session import table
 
 
@@ -32,6 +32,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read_back(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.near_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cap_filters": op1_cap_filters,
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": op4_byte_bpe,
         "op8_bounded_ring": op8_bounded_ring,
         "op9_token_files": op9_token_files,
+        "op10_order_minhash": op10_order_minhash,
     }
 
 
