@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import byte_bpe, kneser_ney, near_text, near_vectors, sharding, token_files
+from corvane.llm import byte_bpe, decontaminate, kneser_ney, language, near_text, near_vectors, sharding, token_files
 from corvane.session import table
 
 
@@ -24,6 +24,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_character_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 8)
 
@@ -41,6 +49,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_cap_filters": op1_cap_filters,
         "op2_kneser_ney": op2_kneser_ney,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_character_models": op5_character_models,
+        "op6_string_tiling": op6_string_tiling,
         "op8_bounded_ring": op8_bounded_ring,
         "op9_token_files": op9_token_files,
         "op10_order_minhash": op10_order_minhash,
