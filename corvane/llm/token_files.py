@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import arrays
-from corvane.llm.words import gather, hashes, pieces, slices, starts, texts_of
+from corvane.llm.words import gather, hashes, pieces, raw, slices, starts, texts_of
 from corvane.session import scratch, shuffle_width
 
 END_ID = 0
@@ -158,39 +158,43 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, id_col: str = "
     root, shards = scratch(spark, "token-files"), shuffle_width(spark)
 
     def distinct(batches):
-        for batch in slices(batches, "text", 32 << 20):
+        for batch in slices(batches, "text", 12 << 20):
             _, codes, words = pieces(texts_of(batch.column("text")))
-            h = hashes(words)
-            count = np.bincount(codes, minlength=len(words)).astype(np.int64)
-            for a in range(0, len(words), 1 << 16):
-                part = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(shard_of(h[part], shards).astype(np.int32)), pa.array(h[part].view(np.int64)), words.slice(a, 1 << 16), pa.array(count[part])], ["shard", "hash", "piece", "n"])
+            by = shard_of(hashes(words), shards)
+            order = np.argsort(by, kind="stable")
+            count = np.bincount(codes, minlength=len(words)).astype(np.uint32)[order]
+            words, edge = words.take(pa.array(order)), np.searchsorted(by[order], np.arange(shards + 1))
+            offsets, data = raw(words)
+            some = np.flatnonzero(np.diff(edge))
+            cells = [(data[offsets[edge[b]] : offsets[edge[b + 1]]].tobytes(), np.diff(offsets[edge[b] : edge[b + 1] + 1]).astype(np.uint32).tobytes(), count[edge[b] : edge[b + 1]].tobytes()) for b in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array([c[k] for c in cells], pa.binary()) for k in range(3))], ["shard", "pieces", "sizes", "counts"])
 
     def encode(batches):
         key = hash(shipped.value)
         if key not in _TOKENIZERS:
             _TOKENIZERS[key] = Encoder(shipped.value)
-        got = [b for b in batches if b.num_rows]
+        got = [(b, *cells) for batch in batches for b, *cells in zip(*(batch.column(k).to_pylist() for k in range(4)))]
         if not got:
             return
-        table = pa.Table.from_batches(got)
-        h, n = table["hash"].to_numpy().view(np.uint64), table["n"].to_numpy()
-        keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        words = table["piece"].take(pa.array(first)).combine_chunks()
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, inverse, n)
+        data = b"".join(g[1] for g in got)
+        offsets = starts(np.frombuffer(b"".join(g[2] for g in got), np.uint32).astype(np.int64))
+        n = np.frombuffer(b"".join(g[3] for g in got), np.uint32).astype(np.int64)
+        words = pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        keys, first, inverse = np.unique(hashes(words), return_index=True, return_inverse=True)
+        words = words.take(pa.array(first))
+        total = np.bincount(inverse, weights=n, minlength=len(keys))
         sizes, ids = _TOKENIZERS[key](words)
         at, edge = starts(sizes), np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-        for b in np.unique(table["shard"].to_numpy()).tolist():
+        for b in sorted({g[0] for g in got}):
             lo, hi = edge[b], edge[b + 1]
             arrays.put(root, f"hash-{b}", keys[lo:hi])
             arrays.put(root, f"at-{b}", at[lo : hi + 1] - at[lo])
             arrays.put(root, f"ids-{b}", ids[at[lo] : at[hi]])
-        count = np.bincount(ids, weights=np.repeat(total, sizes).astype(np.float64))
+        count = np.bincount(ids, weights=np.repeat(total, sizes))
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some].astype(np.int64))], ["token", "n"])
 
-    pieces_of = source.select("text").mapInArrow(distinct, "shard int, hash long, piece string, n long")
+    pieces_of = source.select("text").mapInArrow(distinct, "shard int, pieces binary, sizes binary, counts binary")
     counts = pieces_of.repartition(shards, "shard").mapInArrow(encode, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     # bounded by the vocabulary; ids that do not occur follow in id order
     ids_of = np.array([r.token for r in sorted(counts, key=lambda r: (-r.n, r.token))], np.int64)
@@ -207,7 +211,7 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, id_col: str = "
         if root not in _TABLES:
             _TABLES.clear()
             _TABLES[root] = PieceTable(root, shards)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 6 << 20):
             ids = batch.column("id")
             count, codes, words = pieces(texts_of(batch.column("text")))
             sizes, flat = _TABLES[root](hashes(words))
