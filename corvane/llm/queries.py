@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import byte_bpe, decontaminate, kneser_ney, language, near_text, near_vectors, sharding, token_files
+from corvane.llm import byte_bpe, decontaminate, kneser_ney, language, near_text, near_vectors, sharding, token_files, toxicity
 from corvane.session import table
 
 
@@ -32,6 +32,10 @@ def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 8)
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": op4_byte_bpe,
         "op5_character_models": op5_character_models,
         "op6_string_tiling": op6_string_tiling,
+        "op7_noisy_channel": op7_noisy_channel,
         "op8_bounded_ring": op8_bounded_ring,
         "op9_token_files": op9_token_files,
         "op10_order_minhash": op10_order_minhash,
