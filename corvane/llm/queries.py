@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import byte_bpe, decontaminate, kneser_ney, language, near_text, near_vectors, sharding, token_files, toxicity
+from corvane.llm import byte_bpe, decontaminate, kneser_ney, language, near_text, near_vectors, pii, sharding, token_files, toxicity
 from corvane.session import table
 
 
@@ -19,6 +19,10 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.fit_and_score(table(spark, sf_dir, "documents"))
 
 
+def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cap_filters": op1_cap_filters,
         "op2_kneser_ney": op2_kneser_ney,
+        "op3_bootstrapped_pii": op3_bootstrapped_pii,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_character_models": op5_character_models,
         "op6_string_tiling": op6_string_tiling,
