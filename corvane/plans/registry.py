@@ -31,3 +31,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from corvane.plans import evaluation  # noqa: E402,F401  each module registers its queries
