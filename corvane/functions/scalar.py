@@ -82,7 +82,7 @@ def token_list(c: Column | str) -> Column:
     """Sorted distinct tokens of a JSON list, or of text separated by ``;``, ``,``, bars or blanks."""
     parsed = F.when(F.trim(col(c)).startswith("["), F.from_json(col(c), "array<string>"))
     plain = F.split(F.coalesce(col(c), F.lit("")), r"[;,|\s]+")
-    both = F.filter(F.transform(F.coalesce(parsed, plain), F.trim), lambda x: x != "")
+    both = F.filter(F.transform(F.coalesce(parsed, plain), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_sort(F.array_distinct(both))
 
 
