@@ -302,8 +302,8 @@ def smp4(spark, sf):
     from corvane.operators.matching import matched_controls
 
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.month("o_orderdate").alias("month"), F.col("o_totalprice").alias("price"))
-    c = o.where("price > 300000").select(F.col("o_orderkey").alias("candidate"), F.col("o_orderkey").alias("turn"), "o_orderpriority", "month", F.col("price").alias("cp"))
-    p = o.where("price <= 300000").select(F.col("o_orderkey").alias("control"), "o_orderpriority", "month", "price")
+    c = o.where("price > 470000").select(F.col("o_orderkey").alias("candidate"), F.col("o_orderkey").alias("turn"), "o_orderpriority", "month", F.col("price").alias("cp"))
+    p = o.where("price <= 470000").select(F.col("o_orderkey").alias("control"), "o_orderpriority", "month", "price")
     return matched_controls(c, p, ["o_orderpriority", "month"], [F.abs(F.col("cp") - F.col("price")), F.col("control")])
 
 
