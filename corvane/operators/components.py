@@ -1,45 +1,35 @@
-"""Connected components by hash-to-min label exchange with pointer jumping."""
+"""Connected components by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import shared_root
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every node that occurs in ``edges``; component = smallest node id.
 
-    Each round replaces an edge's ends by their current labels and keeps the smaller label, so the
-    distance to the smallest id about halves. Labels are aggregated with a map-side minimum, so a hub
-    node costs one row for each task. The loop ends when no label moved. Null ends are ignored; an
-    empty edge table gives an empty result. Lineage is cut with ``checkpoint()``.
+    A large-star step links every larger neighbour of a node to the smallest node it knows; a small-star step does the same
+    for the smaller neighbours and the node itself. Both keep the components, and the edges become stars around the
+    smallest ids in about the logarithm of the longest path. Minima are summed map-side, so a hub costs one row a task.
+    Null ends are ignored; an empty table gives an empty result. Lineage is cut with ``checkpoint()``.
     """
-    from corvane.session import shared_root
-
     shared_root(edges.sparkSession)
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    links = e.where("u <> v").checkpoint()
-    jumps = []
-    while True:
-        # star step: all neighbours of u meet at the smallest of them
-        low = links.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
-        jumps.append(low)
-        rest = links.join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        links = rest.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-        if links.isEmpty():
-            break
-    # every u was contracted to a smaller m; follow the chain from the last round back to the first
-    parent = jumps[0]
-    for more in jumps[1:]:
-        parent = parent.union(more)
-    parent = parent.groupBy("u").agg(F.min("m").alias("m")).checkpoint()
+    all_ = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    all_ = all_.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    nodes = all_.select(F.col("u").alias("node")).union(all_.select("v")).distinct()
+    links, before = all_.where("u <> v"), None
     while True:
-        up = parent.select(F.col("u").alias("m"), F.col("m").alias("top"))
-        new = parent.join(up, "m", "left").select("u", F.coalesce("top", "m").alias("m"), F.col("top").isNotNull().alias("moved")).checkpoint()
-        moved = not new.where("moved").isEmpty()
-        parent = new.select("u", "m")
-        if not moved:
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = small.union(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
             break
-    return nodes.join(parent, nodes.node == parent.u, "left").select("node", F.coalesce("m", "node").alias("component"))
+        before = now
+    return nodes.join(links.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))

@@ -1,4 +1,4 @@
-"""Queries: ordered neighbourhoods, resampling and exact tests (WIN, AGG12-17, INF)."""
+"""Queries: ordered neighbourhoods, resampling and exact tests (order(), AGG12-17, INF)."""
 
 from __future__ import annotations
 
@@ -31,39 +31,39 @@ def sequences(spark, sf):
     )
 
 
-WIN = neighbours.sequence_window()
+order = neighbours.sequence_window  # made on use: it needs a session
 
 
 @query("win1_sequence_order", f"WITH {SEQ} SELECT seq, row_order, row_number() OVER w AS pos FROM seqs WINDOW w AS {ORD}")
 def win1(spark, sf):
-    return sequences(spark, sf).select("seq", "row_order", F.row_number().over(WIN).alias("pos"))
+    return sequences(spark, sf).select("seq", "row_order", F.row_number().over(order()).alias("pos"))
 
 
 @query("win2_neighbour_attributes", f"WITH {SEQ} SELECT seq, row_order, coalesce(lag(kind) OVER w, '__START__') AS prev, coalesce(lead(kind) OVER w, '__END__') AS next FROM seqs WINDOW w AS {ORD}")
 def win2(spark, sf):
-    return sequences(spark, sf).select("seq", "row_order", F.coalesce(F.lag("kind").over(WIN), F.lit("__START__")).alias("prev"), F.coalesce(F.lead("kind").over(WIN), F.lit("__END__")).alias("next"))
+    return sequences(spark, sf).select("seq", "row_order", F.coalesce(F.lag("kind").over(order()), F.lit("__START__")).alias("prev"), F.coalesce(F.lead("kind").over(order()), F.lit("__END__")).alias("next"))
 
 
 @query("win3_same_strand", f"WITH {SEQ} SELECT seq, row_order, coalesce(lag(strand) OVER w = strand, false) AS same_prev, lead(strand) OVER w IS NOT NULL AS has_next FROM seqs WINDOW w AS {ORD}")
 def win3(spark, sf):
-    return sequences(spark, sf).select("seq", "row_order", F.coalesce(F.lag("strand").over(WIN) == F.col("strand"), F.lit(False)).alias("same_prev"), F.lead("strand").over(WIN).isNotNull().alias("has_next"))
+    return sequences(spark, sf).select("seq", "row_order", F.coalesce(F.lag("strand").over(order()) == F.col("strand"), F.lit(False)).alias("same_prev"), F.lead("strand").over(order()).isNotNull().alias("has_next"))
 
 
 @query("win4_gaps_overlaps", f"WITH {SEQ}, p AS (SELECT *, lag(end_) OVER w AS pe, lead(start) OVER w AS ns FROM seqs WINDOW w AS {ORD}) SELECT seq, row_order, CASE WHEN pe > 0 AND start > 0 THEN greatest(0, start - pe - 1) ELSE 0 END AS gap_prev, CASE WHEN pe > 0 AND start > 0 THEN greatest(0, pe - start + 1) ELSE 0 END AS overlap_prev, CASE WHEN end_ > 0 AND ns > 0 THEN greatest(0, ns - end_ - 1) ELSE 0 END AS gap_next, round(ln(1 + CASE WHEN end_ > 0 AND ns > 0 THEN greatest(0, end_ - ns + 1) ELSE 0 END), 6) AS log_overlap_next FROM p")
 def win4(spark, sf):
-    g = neighbours.gaps(sequences(spark, sf), WIN)
+    g = neighbours.gaps(sequences(spark, sf), order())
     return g.select("seq", "row_order", "gap_prev", "overlap_prev", "gap_next", R(F.log1p("overlap_next")).alias("log_overlap_next"))
 
 
 @query("win5_relative_position", f"WITH {SEQ} SELECT seq, row_order, round(CASE WHEN count(*) OVER (PARTITION BY seq) = 1 THEN 0 ELSE (row_number() OVER w - 1) / (count(*) OVER (PARTITION BY seq) - 1)::DOUBLE END, 6) AS pos FROM seqs WINDOW w AS {ORD}")
 def win5(spark, sf):
     n = F.count("*").over(W.partitionBy("seq")) - 1
-    return sequences(spark, sf).select("seq", "row_order", R(F.coalesce(F.try_divide(F.row_number().over(WIN) - 1, n), F.lit(0.0))).alias("pos"))
+    return sequences(spark, sf).select("seq", "row_order", R(F.coalesce(F.try_divide(F.row_number().over(order()) - 1, n), F.lit(0.0))).alias("pos"))
 
 
 @query("win6_local_counts", f"WITH {SEQ} SELECT seq, row_order, sum((kind = 'O')::INT) OVER (PARTITION BY seq ORDER BY (start <= 0), start, CASE WHEN end_ > 0 THEN end_ ELSE 1000000000000 END, row_order ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) - (kind = 'O')::INT AS n FROM seqs")
 def win6(spark, sf):
-    return sequences(spark, sf).select("seq", "row_order", neighbours.local_count(F.col("kind") == "O", WIN, 2).alias("n"))
+    return sequences(spark, sf).select("seq", "row_order", neighbours.local_count(F.col("kind") == "O", order(), 2).alias("n"))
 
 
 @query("win7_leave_one_out", f"WITH {SEQ} SELECT seq, row_order, round(greatest(sum((kind = 'O')::INT) OVER s - (kind = 'O')::INT, 0) / greatest(count(*) OVER s - 1, 1)::DOUBLE, 6) AS f FROM seqs WINDOW s AS (PARTITION BY seq)")
@@ -78,20 +78,20 @@ def win8(spark, sf):
 
 @query("win9_slots", f"WITH {SEQ} SELECT seq, row_order, " + ", ".join(f"{'lag' if k < 0 else 'lead'}(q, {abs(k)}) OVER w AS {'p' if k < 0 else 'n'}{abs(k)}" for k in (-2, -1, 1, 2)) + f" FROM seqs WINDOW w AS {ORD}")
 def win9(spark, sf):
-    s = sequences(spark, sf).withColumn("slots", neighbours.slots(["q", "strand"], WIN, 2))
+    s = sequences(spark, sf).withColumn("slots", neighbours.slots(["q", "strand"], order(), 2))
     return s.select("seq", "row_order", *(F.col("slots")[i]["q"].alias(n) for i, n in enumerate(("p2", "p1", "n1", "n2"))))
 
 
 @query("win10_module_windows", f"WITH {SEQ} SELECT seq, row_order, array_to_string(list(kind) OVER w, '>') AS signature, round(avg((strand = 'N')::INT) OVER w, 6) AS ratio FROM seqs WINDOW w AS (PARTITION BY seq ORDER BY (start <= 0), start, CASE WHEN end_ > 0 THEN end_ ELSE 1000000000000 END, row_order ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)")
 def win10(spark, sf):
-    w = WIN.rowsBetween(-1, 1)
+    w = order().rowsBetween(-1, 1)
     return sequences(spark, sf).select("seq", "row_order", F.concat_ws(">", F.collect_list("kind").over(w)).alias("signature"), R(F.avg((F.col("strand") == "N").cast("int")).over(w)).alias("ratio"))
 
 
 @query("win11_neighbour_text", f"WITH {SEQ}, r AS (SELECT *, row_number() OVER w AS k FROM seqs WINDOW w AS {ORD}) SELECT c.row_order AS centre, string_agg((n.k - c.k) || ':' || n.kind, ' | ' ORDER BY n.k) AS text FROM r c JOIN r n ON c.seq = n.seq AND abs(c.k - n.k) <= 2 WHERE c.l_partkey % 50 = 0 GROUP BY 1")
 def win11(spark, sf):
     s = sequences(spark, sf)
-    near = neighbours.within(s, s.where("l_partkey % 50 = 0"), WIN, "seq", "row_order", 2)
+    near = neighbours.within(s, s.where("l_partkey % 50 = 0"), order(), "seq", "row_order", 2)
     t = near.groupBy("centre").agg(F.array_sort(F.collect_list(F.struct("offset", "kind"))).alias("l"))  # at most five rows
     return t.select("centre", F.concat_ws(" | ", F.transform("l", lambda x: F.concat(x["offset"].cast("string"), F.lit(":"), x["kind"]))).alias("text"))
 
@@ -99,7 +99,7 @@ def win11(spark, sf):
 @query("jn18_rank_neighbours", f"WITH {SEQ}, r AS (SELECT *, row_number() OVER w AS k FROM seqs WINDOW w AS {ORD}) SELECT c.row_order AS centre, n.row_order, n.k - c.k AS off FROM r c JOIN r n ON c.seq = n.seq AND abs(c.k - n.k) <= 3 WHERE c.l_partkey % 40 = 1")
 def jn18(spark, sf):
     s = sequences(spark, sf)
-    return neighbours.within(s, s.where("l_partkey % 40 = 1"), WIN, "seq", "row_order", 3).select("centre", "row_order", F.col("offset").alias("off"))
+    return neighbours.within(s, s.where("l_partkey % 40 = 1"), order(), "seq", "row_order", 3).select("centre", "row_order", F.col("offset").alias("off"))
 
 
 @query("win15_ranked_hits", "SELECT l_orderkey, l_partkey, k FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS k FROM lineitem) WHERE k <= 2")
@@ -115,7 +115,7 @@ def agg12(spark, sf):
 
 @query("agg13_overlap_density", f"WITH {SEQ}, p AS (SELECT *, lag(end_) OVER w AS pe FROM seqs WINDOW w AS {ORD}) SELECT seq, round(count(*) FILTER (pe > 0 AND start > 0 AND pe >= start) / nullif(count(*) FILTER (pe > 0 AND start > 0), 0), 6) AS density, round(sum(end_ - start + 1) FILTER (start > 0) / nullif(max(end_) FILTER (start > 0) - min(start) FILTER (start > 0) + 1, 0), 6) AS compression FROM p GROUP BY 1")
 def agg13(spark, sf):
-    p = sequences(spark, sf).withColumn("pe", F.lag("end").over(WIN))
+    p = sequences(spark, sf).withColumn("pe", F.lag("end").over(order()))
     ok, known = (F.col("pe") > 0) & (F.col("start") > 0), F.col("start") > 0
     only = lambda c: F.when(known, c)
     return p.groupBy("seq").agg(R(F.try_divide(F.count_if(ok & (F.col("pe") >= F.col("start"))), F.count_if(ok))).alias("density"), R(F.try_divide(F.sum(only(F.col("end") - F.col("start") + 1)), F.max(only(F.col("end"))) - F.min(only(F.col("start"))) + 1)).alias("compression"))
