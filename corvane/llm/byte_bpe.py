@@ -239,7 +239,7 @@ def encode_documents(documents: DataFrame, rank_path: str, pattern: str, id_col:
 
     def run(batches):
         bpe = loaded(shipped.value, pattern)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             total, ids = bpe.encode(texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(starts(total).astype(np.int32)), pa.array(ids))], ["id", "ids"])
 

@@ -163,3 +163,4 @@ def slices(batches, column: str, most: int = 16 << 20):
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
