@@ -191,6 +191,33 @@ def test_toxicity_held_out(spark):
     assert toxicity.fit_and_score(docs.limit(0), marks).count() == 0
 
 
+def test_glued_and_spaced_words_are_read_one_by_one():
+    model = toxicity.Characters({"idiot": 50, "stupid": 50, "house": 50, "garden": 50, "loser": 40, "table": 60, "a": 200, "you": 80, "well": 60})
+    assert "stupid" in model.words("astupid", True) and "idiot" in model.words("youidiot", True)
+    for token in ("you-idiot", "well/1d10t", "you...idiot", "idiot?you"):
+        assert "idiot" in model.words(token), token
+    assert model.words("l.o.s.e.r") == ["loser"] and model.words("s t u p i d".replace(" ", ""), True)[-1] == "stupid"
+    assert model.words("house-" * 300)[:300] == ["house"] * 300  # longer than any single part
+
+
+def test_toxic_words_beside_others_are_scored(spark):
+    rng = random.Random(9)
+    bad = ["idiot", "moron", "stupid"]
+    texts, labels = [], []
+    for k in range(400):
+        w = words(rng, 28) + rng.sample(["a", "you", "well", "no", "man", "such"], 3)
+        rng.shuffle(w)
+        if k % 4 == 0:
+            w[rng.randint(0, 29)] = rng.choice(bad)
+        texts.append(" ".join(w))
+        labels.append((k, int(k % 4 == 0)))
+    odd = ["such a s t u p i d man", "y o u i d i o t", "kalo you-idiot mire", "well/idiot", "no...idiot", "you?idiot", "well\u2014idiot no"]
+    clean = ["such a m a n", "y o u", "kalo-mire", "well/you", "no...man"]
+    docs, marks = frame(spark, texts + odd + clean), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.fit_and_score(docs, marks).collect()}
+    assert [got[400 + k] for k in range(len(odd) + len(clean))] == [1] * len(odd) + [0] * len(clean)
+
+
 def test_pipeline_keeps_clean_documents(spark, sf):
     import corpus_pipeline
     from corvane.session import table
