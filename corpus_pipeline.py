@@ -1,7 +1,8 @@
 """Corpus preparation: stages over the documents table, each written and read again before the next.
 
 1. toxicity: texts that score 0.3 or more go;
-2. near_duplicates: of each group of near-equal texts the one with the least id stays;
+2. near_duplicates: of each group of near-equal texts the one with the least id stays (of equal ids the first row, a null id
+   last); rows are told apart by position;
 3. decontamination: texts that hold a benchmark item go;
 4. personal_data: identifiers are replaced by their kind, and n_chars follows;
 5. byte_bpe: the ids of every text.
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import byte_bpe, decontaminate, near_text, pii, toxicity
-from corvane.session import materialise, table
+from corvane.session import keyed, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_text.near_texts(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs, "_row")
+    groups = near_text.near_texts(rows, id_col="_row").select("_row", "group_id").join(rows.select("_row", "doc_id"), "_row")
+    first = groups.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

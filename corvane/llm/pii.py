@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import materialise
+from corvane.session import keyed, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 #: Equal to the plain patterns in what they match; look-behinds and possessive repeats only spare vain attempts.
@@ -94,9 +94,10 @@ def _text_of(spans: str) -> str:
     return f"concat_ws(',', transform({spans}, x -> concat(element_at(array({', '.join(repr(k) for k in KINDS)}), x.k + 1), ':', x.s, ':', x.e)))"
 
 
-def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(row, id, base, spans)`` of every row; spans are in order of start and kind."""
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``(row, id, base, spans)`` of every row; spans are in order of start and kind. ``row`` is ``row_col`` if given."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = documents.select(row.alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = base_spans(rows)
     more = rows.withColumn("more", F.expr(_found(IDENTIFIER, -1, "text rlike '[0-9@]'")))
     free = "filter(more, m -> not exists(base, b -> b.s < m.e and m.s < b.e))"
@@ -117,9 +118,10 @@ def report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def mask(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in square brackets; overlapping spans become the first one's."""
-    marked = scan(documents, id_col, text_col).where("size(spans) > 0").groupBy("id").agg(F.max("spans").alias("spans"))
+    rows = keyed(documents, "_row")
+    marked = scan(rows, id_col, text_col, "_row").where("size(spans) > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
     step = f"""case when x.s < a.at then named_struct('at', greatest(a.at, x.e), 'out', a.out)
         else named_struct('at', x.e, 'out', concat(a.out, substring(`{text_col}`, a.at + 1, x.s - a.at), '[', upper(element_at(array({", ".join(repr(k) for k in KINDS)}), x.k + 1)), ']')) end"""
-    new = F.expr(f"aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(`{text_col}`, a.at + 1)))")
-    joined = documents.join(marked.withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("spans").isNotNull(), new).otherwise(F.col(text_col))).select(*documents.columns)
+    new = F.expr(f"aggregate(_spans, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(`{text_col}`, a.at + 1)))")
+    joined = rows.join(marked, "_row", "left")
+    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), new).otherwise(F.col(text_col))).select(*documents.columns)

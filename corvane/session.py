@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +55,13 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """The table with a row number in a further column ``name``, written so that it stays the same in every read."""
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["table", "shared_root", "scratch", "local", "materialise", "shuffle_width"]
+__all__ = ["table", "shared_root", "scratch", "local", "materialise", "keyed", "shuffle_width"]

@@ -155,6 +155,24 @@ def test_contexts_discover_unseen_forms_and_masking_follows(spark):
     assert masked[60] == "kalo my phone number: [PHONE] mire" and masked[61] == texts[61]
 
 
+def test_masking_tells_rows_apart_by_position(spark):
+    rows = [(None, "write to a@b.com now"), (None, "nothing here"), (7, "card 4111 1111 1111 1111"), (7, "ip 10.0.0.1 and c@d.org"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.text)) for r in pii.mask(docs).collect())
+    assert got == sorted([("None", "write to [EMAIL] now"), ("None", "nothing here"), ("7", "card [CARD]"), ("7", "ip [IP] and [EMAIL]"), ("8", "None")])
+
+
+def test_near_duplicates_stage_tells_rows_apart_by_position(spark, sf):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    rows = [(9, a), (3, a), (3, a), (None, a), (None, b), (None, b), (5, c), (5, d), (4, d), (6, None), (None, "")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    got = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+    assert got == sorted([("3", a), ("None", b), ("5", c), ("4", d), ("6", "None"), ("None", "")])
+
+
 def test_language_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
