@@ -1,11 +1,12 @@
 """Operator 3: personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Seeds are the matches of four strict patterns (addresses, IP numbers, card numbers that pass Luhn, phone numbers), with
-code-point spans. Each seed and each other identifier-like token (six or more characters with a digit or ``@``) is an
-instance with lexical patterns: the one and the two chunks of text before it. Distinct pattern-value pairs form a graph. A
+code-point spans. Each seed and each other identifier-like string (a token of six or more characters with a digit or ``@``, a
+run of 7 to 19 digits with single spaces, dots, dashes and parentheses, an address with (at) or [at]) is an instance with
+lexical patterns: the one and the two chunks of text before it. Distinct pattern-value pairs form a graph. A
 pattern's score for a kind is the mean score of its values, smoothed by one; an unseen value takes the best score among
 its patterns with enough different seeds; both are recomputed ``ROUNDS`` times. Unseen tokens in patterns that score at
-least ``CONFIDENT`` and have the loose form of the kind become further spans. Seed spans stay as they are.
+least ``CONFIDENT`` and have the loose form of the kind become further spans, the outermost where one holds another. Seed spans stay as they are.
 
 Patterns are summed over distinct values with map-side partial sums, so a frequent context costs a row a task.
 
@@ -38,15 +39,25 @@ VALID = {
     "phone": f"length({_DIGITS}) between 9 and 15",
 }
 IDENTIFIER = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]{6,}+"
-LOOSE = {"email": "v rlike '^[^@]+(@|[(\\\\[]at[)\\\\]]).+'", "ip": "v rlike '^[0-9]+([.-][0-9]+){3}$'", "card": "length(regexp_replace(v, '[^0-9]', '')) between 12 and 19", "phone": "v rlike '^[+0-9.-]+$' and length(regexp_replace(v, '[^0-9]', '')) between 7 and 15"}
+#: Runs of 7 to 19 digits with single spaces, dots, dashes and parentheses, and addresses with (at) or [at].
+_STEP = r"(?:\)?[\x20.-]?(?:\((?=[0-9]{1,5}\)))?[0-9])"
+RUN = r"(?<![A-Za-z0-9@._%+#-])\+?(?:\((?=[0-9]{1,5}\)))?[0-9]" + _STEP + r"{6,18}(?![A-Za-z0-9@_%])"
+AT = r"(?<![A-Za-z0-9@._%+#-])[A-Za-z0-9._%+-]++\x20?[(\[][Aa][Tt][)\]]\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+#: The first 7 to 15 digits of a longer run, cut where a group of digits ends.
+SHORT = r"^\+?(?:\((?=[0-9]{1,5}\)))?[0-9]" + _STEP + r"{6,14}(?![0-9])"
+LOOSE = {"email": "v rlike '^[^@]+(@|[(\\\\[]at[)\\\\]]).+'", "ip": "v rlike '^[0-9]+([.-][0-9]+){3}$'", "card": "length(regexp_replace(v, '[^0-9]', '')) between 12 and 19", "phone": "v rlike '^[+0-9 ().-]+$' and length(regexp_replace(v, '[^0-9]', '')) between 7 and 15"}
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.8
 
 
-def _found(pattern: str, kind: int, need: str) -> str:
+def _quoted(pattern: str) -> str:
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def _found(pattern: str, kind: int, need: str, text: str = "text") -> str:
     """SQL for the spans of a pattern's matches: the pieces between matches give the places."""
-    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    pieces, matches = f"split(text, '{p}', -1)", f"regexp_extract_all(text, '{p}', 0)"
+    p = _quoted(pattern)
+    pieces, matches = f"split({text}, '{p}', -1)", f"regexp_extract_all({text}, '{p}', 0)"
     step = f"""named_struct('at', a.at + length(x.p) + length(x.m), 'out', array_append(a.out,
         named_struct('s', a.at + length(x.p), 'k', {kind}, 'e', a.at + length(x.p) + length(x.m), 'v', x.m)))"""
     zipped = f"zip_with(slice({pieces}, 1, size({matches})), {matches}, (p, m) -> named_struct('p', p, 'm', m))"
@@ -86,7 +97,9 @@ def _discover(each: DataFrame) -> DataFrame:
         score = materialise(graph.where("k >= 0").select("pattern", "v", F.col("k").alias("kind"), F.lit(1.0).alias("p")).union(spread), "scores")
     sure = rated.where((F.col("rate") >= CONFIDENT) & (F.col("seeds") >= SUPPORT)).select("pattern", "kind")
     form = F.expr("case kind " + " ".join(f"when {k} then {LOOSE[kind]}" for k, kind in enumerate(KINDS)) + " else false end")
-    hits = seen.where("k < 0").join(sure, "pattern").where(form)
+    digits = "length(regexp_replace(v, '[^0-9]', ''))"
+    cut = F.expr(f"case when kind = {KINDS.index('phone')} and v rlike '^[+0-9 ().-]+$' and {digits} > 15 then regexp_extract(v, '{_quoted(SHORT)}', 0) else v end")
+    hits = seen.where("k < 0").join(sure, "pattern").withColumn("v", cut).withColumn("e", F.col("s") + F.char_length("v")).where(form)
     return hits.groupBy("row", "s", "e").agg(F.min("kind").alias("k"), F.first("v").alias("v"))
 
 
@@ -94,18 +107,31 @@ def _text_of(spans: str) -> str:
     return f"concat_ws(',', transform({spans}, x -> concat(element_at(array({', '.join(repr(k) for k in KINDS)}), x.k + 1), ':', x.s, ':', x.e)))"
 
 
+#: The text with the strict spans blotted out.
+_BARE = """aggregate(base, named_struct('at', 0, 'out', ''), (a, x) -> case when x.s < a.at
+    then named_struct('at', greatest(a.at, x.e), 'out', concat(a.out, repeat('#', greatest(x.e - a.at, 0))))
+    else named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), repeat('#', x.e - x.s))) end,
+    a -> if(a.at = 0, text, concat(a.out, substring(text, a.at + 1))))"""
+#: Found spans that lie in no other one.
+_OUTER = """aggregate(array_sort(new), named_struct('at', 0, 'out', cast(array() as array<struct<s:int,k:int,e:int>>)), (a, x) -> case when -x.e <= a.at
+    then a else named_struct('at', -x.e, 'out', array_append(a.out, named_struct('s', x.s, 'k', x.k, 'e', -x.e))) end, a -> a.out)"""
+
+
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``(row, id, base, spans)`` of every row; spans are in order of start and kind. ``row`` is ``row_col`` if given."""
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = documents.select(row.alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = base_spans(rows)
-    more = rows.withColumn("more", F.expr(_found(IDENTIFIER, -1, "text rlike '[0-9@]'")))
+    rows = rows.withColumn("bare", F.expr(_BARE))
+    more = " ,".join([_found(IDENTIFIER, -1, "text rlike '[0-9@]'"), _found(RUN, -1, "bare rlike '[0-9]'", "bare"), _found(AT, -1, "bare rlike '[(\\\\[][Aa][Tt][)\\\\]]'", "bare")])
+    more = rows.withColumn("more", F.expr(f"array_distinct(concat({more}))")).drop("bare")
     free = "filter(more, m -> not exists(base, b -> b.s < m.e and m.s < b.e))"
     left = "lower(substring(text, greatest(x.s - 39, 1), least(x.s, 40)))"
     each = more.withColumn("each", F.expr(f"transform(concat(base, {free}), x -> named_struct('s', x.s, 'e', x.e, 'v', lower(x.v), 'k', x.k, 'left', {left}))"))
     found = materialise(each.select("row", "id", F.expr("transform(base, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))").alias("base"), "each"), "pii")
     new = _discover(found.select("row", F.explode("each").alias("x")).select("row", "x.*"))
-    new = new.groupBy("row").agg(F.collect_list(F.struct("s", "k", "e")).alias("new"))
+    new = new.groupBy("row").agg(F.collect_list(F.struct("s", (-F.col("e")).alias("e"), "k")).alias("new"))
+    new = new.select("row", F.expr(_OUTER).alias("new"))
     out = found.select("row", "id", "base").join(new, "row", "left")
     return out.select("row", "id", "base", F.expr("array_sort(concat(base, coalesce(new, cast(array() as array<struct<s:int,k:int,e:int>>))))").alias("spans"))
 

@@ -155,6 +155,36 @@ def test_contexts_discover_unseen_forms_and_masking_follows(spark):
     assert masked[60] == "kalo my phone number: [PHONE] mire" and masked[61] == texts[61]
 
 
+def test_each_loose_form_is_discovered_in_a_confident_context(spark):
+    rng = random.Random(13)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    texts = []
+    for k in range(60):
+        texts.append(f"kalo my phone number: +1 555 {digits(3)} {digits(4)} mire")
+        texts.append(f"kalo write me at {words(rng, 1)[0]}{k}@example.com mire")
+        texts.append(f"kalo the server ip 10.{k}.3.4 mire")
+        card = "411111111111" + digits(3)
+        card = next(card + x for x in "0123456789" if valid("card", card + x))
+        texts.append(f"kalo paid with card {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} mire")
+    forms = {
+        "kalo my phone number: 555 201 3344 mire": "kalo my phone number: [PHONE] mire",
+        "kalo my phone number: (555) 201-3344 mire": "kalo my phone number: [PHONE] mire",
+        "kalo my phone number: 555.201.3344, mire": "kalo my phone number: [PHONE], mire",
+        "kalo my phone number: 555-201-3344 5th": "kalo my phone number: [PHONE] 5th",
+        "kalo my phone number: 555 201 3344 123456 mire": "kalo my phone number: [PHONE] 123456 mire",
+        "kalo my phone number: 555 201 3344 10.0.0.1 mire": "kalo my phone number: [PHONE] [IP] mire",
+        "kalo write me at john.doe(at)example.com mire": "kalo write me at [EMAIL] mire",
+        "kalo write me at john[at]example.com, mire": "kalo write me at [EMAIL], mire",
+        "kalo write me at john (AT) example.com mire": "kalo write me at [EMAIL] mire",
+        "kalo the server ip 10-0-3-4 mire": "kalo the server ip [IP] mire",
+        "kalo paid with card 4111 1111 1111 1112 mire": "kalo paid with card [CARD] mire",
+        "kalo paid with card 4111-1111-1111-1112 mire": "kalo paid with card [CARD] mire",
+        "tusan 555 201 3344 and john(at)example.com": "tusan 555 201 3344 and john(at)example.com",
+    }
+    got = {r.doc_id: r.text for r in pii.mask(frame(spark, texts + list(forms))).collect()}
+    assert [got[len(texts) + k] for k in range(len(forms))] == list(forms.values())
+
+
 def test_masking_tells_rows_apart_by_position(spark):
     rows = [(None, "write to a@b.com now"), (None, "nothing here"), (7, "card 4111 1111 1111 1111"), (7, "ip 10.0.0.1 and c@d.org"), (8, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
