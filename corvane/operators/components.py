@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import shared_root
+from corvane.session import materialise, shared_root, shuffle_width
+
+
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """``rows`` (u, v) with ``m`` from ``least`` (u, m, n: rows of u).
+
+    Nodes with more rows than twice a task's share are fewer than the tasks; these few rows are broadcast, so that a hub's rows
+    stay where they are. All other nodes are joined by a shuffle.
+    """
+    width = shuffle_width(rows.sparkSession)
+    most = 2 * (least.agg(F.sum("n")).first()[0] or 0) // width + 1
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", F.col("m").alias("of_hub")))  # fewer than ``width`` rows
+    marked = rows.join(hubs, "u", "left")
+    rest = marked.where("of_hub is null").select("u", "v").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return marked.where("of_hub is not null").select("u", "v", F.col("of_hub").alias("m")).union(rest.select("u", "v", "m"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -13,21 +27,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     A large-star step links every larger neighbour of a node to the smallest node it knows; a small-star step does the same
     for the smaller neighbours and the node itself. Both keep the components, and the edges become stars around the
-    smallest ids in about the logarithm of the longest path. Minima are summed map-side, so a hub costs one row a task.
-    Null ends are ignored; an empty table gives an empty result. Lineage is cut with ``checkpoint()``.
+    smallest ids in about the logarithm of the longest path. Minima are summed map-side and hubs are joined by broadcast,
+    so no task holds the neighbours of a hub. Null ends are ignored; an empty table gives an empty result. Each step is
+    written to the shared folder.
     """
     shared_root(edges.sparkSession)
     all_ = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    all_ = all_.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    all_ = materialise(all_.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     nodes = all_.select(F.col("u").alias("node")).union(all_.select("v")).distinct()
     links, before = all_.where("u <> v"), None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = small.union(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = materialise(_with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = _with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
