@@ -61,6 +61,54 @@ def test_near_texts_group_copies_and_edited_copies(spark):
     assert near_text.near_texts(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [20, 100, 1000])
+def test_recall_of_near_texts_at_and_above_the_threshold(spark, size):
+    """Scattered substitutions, edits in every fifth word, and a passage common to all texts: at least 0.9 of the pairs."""
+    rng = random.Random(size)
+    shared = words(rng, 60)
+    many = 60 if size < 1000 else 25
+    texts, bins = [], {}
+    for similarity in (0.8, 0.85, 0.9, 0.95, "every fifth"):
+        for k in range(many):
+            own = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+            if k % 2 and size > 20:
+                own[5 : 5 + min(size // 4, 60)] = shared[: size // 4]
+            places = range(4, size, 5) if similarity == "every fifth" else rng.sample(range(size), int((1 - similarity) * size + 1e-9))
+            other = list(own)
+            for at in places:
+                other[at] = f"x{rng.randrange(10**6)}"
+            assert edit(own, other) <= 0.2 * size + 1e-9 if size <= 100 else True
+            bins.setdefault(similarity, []).append(len(texts))
+            texts += [" ".join(own), " ".join(other)]
+    got = {r.doc_id: r.group_id for r in near_text.near_texts(frame(spark, texts)).collect()}
+    for similarity, first in bins.items():
+        assert np.mean([got[i] == got[i + 1] for i in first]) >= 0.9, similarity
+
+
+def test_near_texts_follow_chains_of_links_and_keep_unlike_texts_apart(spark):
+    """Groups are the components of the true links, with chains whose ends are not alike and a passage that most texts hold."""
+    rng = random.Random(21)
+    shared, texts = words(rng, 40), []
+    for g in range(12):
+        own = [f"g{g}n{k}" for k in range(90)]
+        own[20:50] = shared[:30]
+        for _ in range(5):  # each differs from the one before by a tenth
+            texts.append(" ".join(own))
+            for at in rng.sample(range(len(own)), 13):
+                own[at] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(words(rng, 30) + shared + words(rng, 40)))
+    split = [t.split() for t in texts]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if edit(split[i], split[j]) <= 0.2 * max(len(split[i]), len(split[j])) + 1e-9:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id: r.group_id for r in near_text.near_texts(frame(spark, texts)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_tiling_covers_reordered_passages():
     rng = random.Random(3)
     item = np.array([rng.randint(0, 10**6) for _ in range(40)], np.uint64)
