@@ -121,8 +121,32 @@ def test_near_vectors_equal_brute_force(spark, sf):
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
-def test_crowded_direction_is_cut_into_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("count", [500, 4000, 12000])
+def test_recall_of_near_vectors_at_the_threshold(spark, count):
+    """Pairs just above the threshold among random vectors, at growing sizes; nothing else links."""
+    rng = np.random.default_rng(count)
+    a = rng.normal(size=(count, 64))
+    n = count // 4
+    far = rng.normal(size=(n, 64))
+    far -= (far * a[:n]).sum(1, keepdims=True) * a[:n] / (a[:n] ** 2).sum(1, keepdims=True)
+    b = 0.951 * a[:n] / np.linalg.norm(a[:n], axis=1, keepdims=True) + np.sqrt(1 - 0.951**2) * far / np.linalg.norm(far, axis=1, keepdims=True)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([a, b]))]
+    got = {r.vec_id: r.component_id for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert np.mean([got[count + k] == k for k in range(n)]) >= 0.97
+    assert all(got[k] == k for k in range(count))
+
+
+def test_very_large_and_small_components(spark):
+    v = np.random.default_rng(5).normal(size=8)
+    rows = [(0, (v * 1e200).tolist()), (1, (v * 3e200).tolist()), (2, (v * 1e-200).tolist()), (3, (v * -1e-200).tolist()), (4, v.tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (0, 3), 4: (3, 0)}
+
+
+@pytest.mark.parametrize("many", [0, 5, 32])
+def test_crowded_direction_is_cut_into_blocks(spark, monkeypatch, many):
     monkeypatch.setattr(near_vectors, "BLOCK", 16)
+    monkeypatch.setattr(near_vectors, "MANY", many)
     rng = np.random.default_rng(2)
     rows = [(k, (np.ones(6) + rng.normal(size=6) * 0.2).tolist()) for k in range(120)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
