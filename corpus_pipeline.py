@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import byte_bpe, decontaminate, near_text, pii, toxicity
-from corvane.session import keyed, materialise, table
+from corvane.session import free_name, keyed, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs, "_row")
-    groups = near_text.near_texts(rows, id_col="_row").select("_row", "group_id").join(rows.select("_row", "doc_id"), "_row")
-    first = groups.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
-    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    row = free_name("row", docs)
+    rows = keyed(docs, row)
+    ids = rows.select(F.col(row).alias("row"), "doc_id")
+    groups = near_text.near_texts(rows.select(F.col(row).alias("row"), "text"), id_col="row").select("row", "group_id").join(ids, "row")
+    first = groups.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

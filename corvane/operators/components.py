@@ -5,21 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import materialise, shared_root, shuffle_width
-
-
-def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-    """``rows`` (u, v) with ``m`` from ``least`` (u, m, n: rows of u).
-
-    Nodes with more rows than twice a task's share are fewer than the tasks; these few rows are broadcast, so that a hub's rows
-    stay where they are. All other nodes are joined by a shuffle.
-    """
-    width = shuffle_width(rows.sparkSession)
-    most = 2 * (least.agg(F.sum("n")).first()[0] or 0) // width + 1
-    hubs = F.broadcast(least.where(F.col("n") > most).select("u", F.col("m").alias("of_hub")))  # fewer than ``width`` rows
-    marked = rows.join(hubs, "u", "left")
-    rest = marked.where("of_hub is null").select("u", "v").join(least.where(F.col("n") <= most).select("u", "m"), "u")
-    return marked.where("of_hub is not null").select("u", "v", F.col("of_hub").alias("m")).union(rest.select("u", "v", "m"))
+from corvane.operators.skew import hub_join
+from corvane.session import materialise, shared_root
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -39,9 +26,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
-        large = materialise(_with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = materialise(hub_join(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        small = _with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = hub_join(large, least, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a fresh local one only where it is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a fresh local one only where it is unset and driver and executors are one
+    process, as in tests. On a cluster an unset folder is an error: executors would write where no one else reads."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
@@ -55,6 +58,14 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, *taken: DataFrame) -> str:
+    """``name``, with underscores before it until no table has such a column (names differ by more than case)."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def keyed(df: DataFrame, name: str) -> DataFrame:
     """The table with a row number in a further column ``name``, written so that it stays the same in every read."""
     return materialise(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
@@ -64,4 +75,4 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["table", "shared_root", "scratch", "local", "materialise", "keyed", "shuffle_width"]
+__all__ = ["table", "shared_root", "scratch", "local", "materialise", "free_name", "keyed", "shuffle_width"]
