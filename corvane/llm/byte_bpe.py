@@ -2,8 +2,8 @@
 
 Every text is cut by the tokenizer's pattern; distinct pieces of a batch are encoded once. Pieces of
 similar byte length share one padded matrix, and each round merges the leftmost lowest-rank pair of
-every row, looks up the two new pairs in a hash table and drops finished rows. Runs longer than
-``LONG`` bytes, where rounds over a matrix would cost the square of the length, go through a heap.
+every row, looks up the two new pairs in a hash table and drops finished rows. A run longer than
+``LONG`` bytes is a row of its own: its rounds merge all occurrences of the least pair at once and close the gaps.
 
 Defined cases: a null or empty text gives no tokens (digests of the empty string); repeated rows give
 equal rows; extra columns are ignored; text of any length is encoded whole.
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -109,7 +108,7 @@ class ByteBPE:
             for a in range(0, len(rows), 1 << 17):
                 self._matrix(rows[a : a + (1 << 17)], width, offsets, length, ids, sizes, out)
         for row in np.flatnonzero(length > LONG).tolist():
-            got = self._heap(ids[offsets[row] : offsets[row + 1]].tolist())
+            got = self._rounds(ids[offsets[row] : offsets[row + 1]])
             sizes[row] = len(got)
             out[offsets[row] : offsets[row] + len(got)] = got
         return sizes, out[gather(offsets[:-1], sizes, np.arange(len(sizes)))]
@@ -148,30 +147,32 @@ class ByteBPE:
             before = at > 0
             rank[every[before], at[before] - 1] = self.pairs(tokens[every[before], at[before] - 1], best[before])
 
-    def _heap(self, ids: list[int]) -> list[int]:
-        """The same merges for one long run: a heap of (rank, position) over a linked list."""
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = self.pairs(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
-        heap = [(r, i) for i, r in enumerate(ranks) if r != NONE]
-        heapq.heapify(heap)
-        rank = [*ranks, NONE]
-        one = lambda a, b: int(self.pairs(np.array([a], np.int32), np.array([b], np.int32))[0])
-        while heap:
-            r, i = heapq.heappop(heap)
-            if rank[i] != r:
-                continue
-            j = after[i]
-            ids[i], ids[j], rank[j] = r, -1, NONE
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-            for x, y in ((before[i], i), (i, k)):
-                if x >= 0:
-                    rank[x] = one(ids[x], ids[y]) if y < n else int(NONE)
-                    if rank[x] != NONE:
-                        heapq.heappush(heap, (rank[x], x))
-        return [x for x in ids if x >= 0]
+    def _rounds(self, ids: np.ndarray) -> np.ndarray:
+        """The merges of one long run. A round takes every occurrence of the least pair from the left, up to the first
+        one whose merge opens a pair of lower rank; the result is that of one merge a round."""
+        ids = ids.copy()
+        rank = self.pairs(ids[:-1], ids[1:])
+        while len(rank):
+            best = rank.min()
+            if best == NONE:
+                break
+            at = np.flatnonzero(rank == best)
+            run = np.flatnonzero(np.append(True, np.diff(at) > 1))  # of overlapping occurrences every other one
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            before = np.where(at > 0, ids[np.maximum(at - 1, 0)], np.int32(-1))
+            before[1:][np.diff(at) == 2] = best
+            after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], np.int32(-1))
+            merged = np.full(len(at), best, np.int32)
+            lower = np.flatnonzero(np.minimum(self.pairs(before, merged), self.pairs(merged, after)) < best)
+            if len(lower):
+                at = at[: lower[0] + 1]
+            ids[at] = best
+            ids, rank = np.delete(ids, at + 1), np.delete(rank, at)
+            place = at - np.arange(len(at))
+            place = np.unique(np.concatenate([place, place - 1]))
+            place = place[(place >= 0) & (place < len(rank))]
+            rank[place] = self.pairs(ids[place], ids[place + 1])
+        return ids
 
     def encode_distinct(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each string, ids in order), each string cut by the pattern first."""
