@@ -3,6 +3,7 @@
 1. Each distinct piece of the corpus is encoded once with the ``tokenizers`` library; the result is kept
    in hash-ordered arrays that workers map into memory.
 2. Ids are numbered by descending corpus frequency, so frequent ones take one data byte.
+   Pieces with equal hashes are compared byte by byte; two different ones stop the job.
 3. Documents are laid out in ascending id order over files. A document's record is its control bytes (two
    bits for each number: data bytes less one, four numbers to a byte) followed by the data bytes, low byte
    first; the last group is filled with zeros. A file ends with an index of (doc_id, numbers, record bytes)
@@ -78,7 +79,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.encode_special_tokens = True
         n = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
 
@@ -179,9 +179,11 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, id_col: str = "
         data = b"".join(g[1] for g in got)
         offsets = starts(np.frombuffer(b"".join(g[2] for g in got), np.uint32).astype(np.int64))
         n = np.frombuffer(b"".join(g[3] for g in got), np.uint32).astype(np.int64)
-        words = pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        words = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(data))
         keys, first, inverse = np.unique(hashes(words), return_index=True, return_inverse=True)
-        words = words.take(pa.array(first))
+        known, words = words, words.take(pa.array(first))
+        if not pc.all(pc.equal(known, words.take(pa.array(inverse)))).as_py():
+            raise ValueError("two different pieces share a hash")
         total = np.bincount(inverse, weights=n, minlength=len(keys))
         sizes, ids = _TOKENIZERS[key](words)
         at, edge = starts(sizes), np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))

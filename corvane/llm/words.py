@@ -77,7 +77,8 @@ def hashes(words: pa.Array | list) -> np.ndarray:
 def raw(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets from 0, bytes) of a string array."""
     n = len(words)
-    offsets = np.frombuffer(words.buffers()[1], np.int32, n + 1, words.offset * 4).astype(np.int64) if n else np.zeros(1, np.int64)
+    kind = np.dtype(np.int64 if pa.types.is_large_string(words.type) or pa.types.is_large_binary(words.type) else np.int32)
+    offsets = np.frombuffer(words.buffers()[1], kind, n + 1, words.offset * kind.itemsize).astype(np.int64) if n else np.zeros(1, np.int64)
     data = words.buffers()[2]
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     return offsets - offsets[0], data
