@@ -33,6 +33,7 @@ from corvane.session import scratch, shuffle_width
 
 END = np.uint64(0)
 BIG = 255
+_MOST = np.int64(2**32 - 1)
 
 
 def tokens(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,10 +80,11 @@ class Model:
 
     def _get(self, name: str, dtype) -> np.ndarray:
         if name not in self.open:
-            try:
-                self.open[name] = arrays.mapped(self.meta["root"], name, dtype)
-            except FileNotFoundError:  # no entry fell into this range
+            kind, _, number = name.rpartition("-")
+            if int(number) in self.meta["empty"].get(kind, ()):  # no entry fell into this range when the model was made
                 self.open[name] = np.zeros(0, dtype)
+            else:  # a file that is gone is an error
+                self.open[name] = arrays.mapped(self.meta["root"], name, dtype)
         return self.open[name]
 
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +134,7 @@ class Model:
         for c in np.unique(by[ids >= 0]).tolist():
             at = np.flatnonzero(by == c)
             at = at[ids[at] >= 0]
-            rows = self._get(f"dense-{c}", np.uint32).reshape(-1, 5)
+            rows = self._get(f"dense-{c}", np.int64).reshape(-1, 5)
             if len(rows):
                 out[at] = rows[ids[at] - c * self.meta["chunk"]]
         return out
@@ -211,7 +213,9 @@ def fit(training: DataFrame, text_col: str = "text") -> dict:
     for r in found:
         words[r.shard] = r.words
     offset = starts(words)
-    meta = {"root": root, "shards": shards, "offset": offset, "words": int(offset[-1]), "tokens": sum(r.tokens for r in found)}
+    meta = {"root": root, "shards": shards, "offset": offset, "words": int(offset[-1]), "tokens": sum(r.tokens for r in found), "empty": {}}
+    if meta["words"] >= 2**32 - 1:
+        raise ValueError("a pair key holds two ids of 32 bits; split the vocabulary")
     meta["chunk"] = chunk = -(-(meta["words"] + 1) // shards)
 
     def count_pairs(batches):
@@ -246,6 +250,11 @@ def fit(training: DataFrame, text_col: str = "text") -> dict:
             zero = np.zeros(len(right), np.int64)
             ids = np.concatenate([left[first], right])
             cells = np.stack([np.concatenate([x, zero]) for x in sums] + [np.concatenate([np.zeros(len(first), np.int64), seen])], 1)
+            over = np.flatnonzero((cells > _MOST).any(1))
+            while len(over):  # a sum over 32 bits travels in several entries of its id
+                ids, cells = np.concatenate([ids, ids[over]]), np.concatenate([cells, np.maximum(cells[over] - _MOST, 0)])
+                cells[over] = np.minimum(cells[over], _MOST)
+                over = np.flatnonzero((cells > _MOST).any(1))
             order = np.argsort(ids, kind="stable")
             ids, cells = ids[order], np.ascontiguousarray(cells[order].astype(np.uint32))
             chunks, local, data = _packed(ids // chunk, shards, (ids % chunk).astype(np.uint32), cells)
@@ -257,7 +266,7 @@ def fit(training: DataFrame, text_col: str = "text") -> dict:
         by, pair, word, total = table["chunk"].to_numpy(), np.zeros(4, np.int64), np.zeros(4, np.int64), 0
         for c in np.unique(by).tolist():
             rows = np.flatnonzero(by == c)
-            dense = np.zeros((chunk, 5), np.uint32)
+            dense = np.zeros((chunk, 5), np.int64)
             for r in rows.tolist():
                 ids = np.frombuffer(table["ids"][r].as_py(), np.uint32)
                 np.add.at(dense, ids, np.frombuffer(table["cells"][r].as_py(), np.uint32).reshape(-1, 5))
@@ -271,6 +280,8 @@ def fit(training: DataFrame, text_col: str = "text") -> dict:
     pairs = texts.mapInArrow(count_pairs, "shard int, keys binary, counts binary").repartition(shards, "shard")
     sums = pairs.mapInArrow(store_pairs, "chunk int, ids binary, cells binary, counts binary, pairs long").repartition(shards, "chunk")
     found = sums.mapInArrow(store_sums, "pair array<long>, word array<long>, pairs long").collect()  # one row for each task
+    there = arrays.names(root)
+    meta["empty"] = {kind: {b for b in range(shards) if f"{kind}-{b}" not in there} for kind in ("pair", "pair-count", "pair-big", "dense")}
     meta["pairs"] = sum(r.pairs for r in found)
     meta["d_pair"] = discounts([sum(r.pair[k] for r in found) for k in range(4)])
     n_word = [sum(r.word[k] for r in found) for k in range(4)]
