@@ -65,12 +65,25 @@ def _sample(training: DataFrame) -> DataFrame:
     return training.join(F.broadcast(size), "lang").where(rolled < F.col("share")).select("lang", "text")
 
 
-def _build(texts: list[str]) -> tuple[list, np.ndarray]:
-    """One language's arrays: for each order (gram hashes, discounted probabilities, context hashes, back-off
-    weights), and the word types' counts. Lower orders count distinct left contexts."""
-    _, codes, words = split_words(pa.array(texts, pa.string()))
+def _word_counts(sample: DataFrame) -> DataFrame:
+    """``(lang, word, n)`` of the sample, summed in each batch and then over all."""
+
+    def run(batches):
+        for batch in slices(batches, "text", 8 << 20):
+            coded = batch.column("lang").dictionary_encode()
+            sizes, codes, words = split_words(texts_of(batch.column("text")))
+            lang = np.repeat(coded.indices.to_numpy(), sizes).astype(np.int64)
+            both, n = np.unique(lang * max(len(words), 1) + codes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(both // max(len(words), 1))), words.take(pa.array(both % max(len(words), 1))), pa.array(n)], ["lang", "word", "n"])
+
+    return sample.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def _build(words: pa.StringArray, n: np.ndarray) -> list:
+    """One language's arrays from its distinct words and their counts: for each order (gram hashes, discounted
+    probabilities, context hashes, back-off weights). Lower orders count distinct left contexts."""
     sizes, chars = characters(words)
-    weight = np.repeat(np.bincount(codes, minlength=len(words)), sizes)
+    weight = np.repeat(n, sizes)
     levels = grams(sizes, chars)
     out, extended = [None] * ORDER, None
     for k in range(ORDER - 1, -1, -1):
@@ -89,7 +102,7 @@ def _build(texts: list[str]) -> tuple[list, np.ndarray]:
         cut = d[np.minimum(count, 3)]
         out[k] = (keys, ((count - cut) / total[inverse]).astype(np.float32), names, (np.bincount(inverse, weights=cut) / total).astype(np.float32))
         extended = gram
-    return out, codes
+    return out
 
 
 def fit(documents: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
@@ -99,22 +112,18 @@ def fit(documents: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_
     root = scratch(spark, "language")
 
     def build(batches):
-        got: dict[str, list[str]] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got.setdefault(lang, []).append(text)
-        for lang in sorted(got):
-            if not any(t.split() for t in got[lang]):
-                continue
-            levels, _ = _build(sorted(got[lang]))
+        table = pa.Table.from_batches(list(batches), schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
+        for lang in sorted(set(table["lang"].to_pylist())):
+            own = table.filter(pc.equal(table["lang"], lang)).sort_by("word").combine_chunks()
+            levels = _build(pa.concat_arrays(own["word"].chunks), own["n"].to_numpy())
             name = hashes([lang])[0]
             for k, level in enumerate(levels):
                 for part, x in zip(("gram", "prob", "context", "weight"), level):
                     arrays.put(root, f"{name}-{k}-{part}", x)
             yield pa.RecordBatch.from_pydict({"lang": [lang]})
 
-    # one task holds the sample of its languages, which SAMPLE bounds
-    langs = sorted(r.lang for r in _sample(rows).repartition("lang").mapInArrow(build, "lang string").collect())
+    # one task holds the distinct words of its languages' samples, which SAMPLE bounds
+    langs = sorted(r.lang for r in _word_counts(_sample(rows)).repartition("lang").mapInArrow(build, "lang string").collect())
     if not langs:
         return None
     parts = []  # the languages side by side: bounded by the sample
