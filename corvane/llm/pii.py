@@ -1,17 +1,20 @@
 """Operator 3: personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Seeds are the matches of four strict patterns (addresses, IP numbers, card numbers that pass Luhn, phone numbers), with
-code-point spans. Each seed and each other identifier-like string (a token of six or more characters with a digit or ``@``, a
+code-point spans, and of a fifth for secrets: a quoted value assigned to a name such as token, password or api_key. Each seed
+and each other identifier-like string (a token of six or more characters with a digit or ``@``, a
 run of 7 to 19 digits with single spaces, dots, dashes and parentheses, an address with (at) or [at]) is an instance with
-lexical patterns: the one and the two chunks of text before it. Distinct pattern-value pairs form a graph. A
+lexical patterns: the one, two and three chunks of text before it, the two after it, and the one before with the one after.
+Distinct pattern-value pairs form a graph, in which a value that is a seed somewhere counts as one everywhere. A
 pattern's score for a kind is the mean score of its values, smoothed by one; an unseen value takes the best score among
 its patterns with enough different seeds; both are recomputed ``ROUNDS`` times. Unseen tokens in patterns that score at
-least ``CONFIDENT`` and have the loose form of the kind become further spans, the outermost where one holds another. Seed spans stay as they are.
+least ``CONFIDENT`` and have the loose form of the kind become further spans, the outermost where one holds another. The
+spans of the four strict patterns stay as they are; secrets and found spans come in addition, with kind ``secret`` or one of the four.
 
 Patterns are summed over distinct values with map-side partial sums, so a frequent context costs a row a task.
 
 Defined cases: a null text is empty and has no spans; rows are told apart by position, so equal or null ids do no harm;
-repeated values count once for a pattern; an empty table gives no rows; extra columns are ignored.
+repeated values count once for a pattern; an empty table gives no rows; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import keyed, materialise
+from corvane.session import free_name, keyed, materialise
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds in the order of spans; the last one is the method's own.
+NAMES = (*KINDS, "secret")
 #: Equal to the plain patterns in what they match; look-behinds and possessive repeats only spare vain attempts.
 STRICT = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -29,6 +34,8 @@ STRICT = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_NAME = r"(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key)"
+SECRET = r"(?i)(?<=[\"'])(?<=" + _NAME + r"[\"']?\s{0,3}[:=]\s{0,3}[\"'])[^\"'\s]{8,}+(?=[\"'])"
 NEEDS = {"email": "contains(text, '@')", "ip": "text rlike '[0-9]'", "card": "text rlike '[0-9]'", "phone": "contains(text, '+')"}
 _ZERO_FREE = "trim(LEADING '0' FROM x)"
 _DIGITS = "regexp_replace(m.v, '[^0-9]', '')"
@@ -45,9 +52,11 @@ RUN = r"(?<![A-Za-z0-9@._%+#-])\+?(?:\((?=[0-9]{1,5}\)))?[0-9]" + _STEP + r"{6,1
 AT = r"(?<![A-Za-z0-9@._%+#-])[A-Za-z0-9._%+-]++\x20?[(\[][Aa][Tt][)\]]\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 #: The first 7 to 15 digits of a longer run, cut where a group of digits ends.
 SHORT = r"^\+?(?:\((?=[0-9]{1,5}\)))?[0-9]" + _STEP + r"{6,14}(?![0-9])"
-LOOSE = {"email": "v rlike '^[^@]+(@|[(\\\\[]at[)\\\\]]).+'", "ip": "v rlike '^[0-9]+([.-][0-9]+){3}$'", "card": "length(regexp_replace(v, '[^0-9]', '')) between 12 and 19", "phone": "v rlike '^[+0-9 ().-]+$' and length(regexp_replace(v, '[^0-9]', '')) between 7 and 15"}
+LOOSE = {"email": "v rlike '^[^@]+(@|[(\\\\[]at[)\\\\]]).+'", "ip": "v rlike '^[0-9]+([.-][0-9]+){3}$'", "card": "length(regexp_replace(v, '[^0-9]', '')) between 12 and 19", "phone": "v rlike '^[+0-9 ().-]+$' and length(regexp_replace(v, '[^0-9]', '')) between 7 and 15", "secret": "length(v) >= 12 and v rlike '[a-z]' and v rlike '[0-9]' and not contains(v, '@')"}
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.8
+#: So many texts with found spans at most are broadcast to the masking scan; more are joined by a shuffle.
+FEW = 200_000
 
 
 def _quoted(pattern: str) -> str:
@@ -65,16 +74,22 @@ def _found(pattern: str, kind: int, need: str, text: str = "text") -> str:
 
 
 def base_spans(documents: DataFrame) -> DataFrame:
-    """Adds ``base``: the strict spans in order of start and kind. Needs a non-null ``text``."""
+    """Adds ``base``, the spans of the four strict patterns in order of start and kind, and ``strict``, these and the
+    secrets. Needs a non-null ``text``."""
     out = documents
     for k, kind in enumerate(KINDS):
         out = out.withColumn(f"all_{kind}", F.expr(_found(STRICT[kind], k, NEEDS[kind])))
     parts = ", ".join(f"filter(all_{kind}, m -> {VALID[kind]})" for kind in KINDS)
-    return out.withColumn("base", F.expr(f"array_sort(concat({parts}))")).drop(*(f"all_{k}" for k in KINDS))
+    out = out.withColumn("base", F.expr(f"array_sort(concat({parts}))")).drop(*(f"all_{k}" for k in KINDS))
+    secrets = _found(SECRET, len(KINDS), f"text rlike '(?i){_NAME}[\"\\']?\\\\s*[:=]'")
+    return out.withColumn("secrets", F.expr(secrets)).withColumn("strict", F.expr("array_sort(concat(base, filter(secrets, m -> not exists(base, b -> b.s < m.e and m.s < b.e))))")).drop("secrets")
 
 
 def _patterns(each: DataFrame) -> DataFrame:
-    chunks = "array(regexp_extract(left, '(\\\\S+\\\\s*)$', 1), regexp_extract(left, '(\\\\S+\\\\s+\\\\S+\\\\s*)$', 1))"
+    before = [f"regexp_extract(left, '({pattern}\\\\s*)$', 1)" for pattern in ("\\\\S+", "\\\\S+\\\\s+\\\\S+", "\\\\S+\\\\s+\\\\S+\\\\s+\\\\S+")]
+    after = [f"regexp_extract(right, '^({pattern})', 1)" for pattern in ("\\\\s*\\\\S+\\\\s+\\\\S+", "\\\\s*\\\\S+")]
+    both = f"if({before[0]} = '' or {after[1]} = '', '', concat({before[0]}, '\u2026', {after[1]}))"
+    chunks = f"array({', '.join(before)}, if({after[0]} = '', '', concat('\u2026', {after[0]})), {both})"
     norm = f"array_distinct(filter(transform({chunks}, c -> regexp_replace(c, '\\\\s+', ' ')), c -> length(c) > 1))"
     return each.select("row", "s", "e", "v", "k", F.explode(F.expr(norm)).alias("pattern"))
 
@@ -83,6 +98,8 @@ def _discover(each: DataFrame) -> DataFrame:
     """``(row, s, e, k, v)`` of tokens that confident patterns mark."""
     seen = _patterns(each)
     graph = materialise(seen.select("pattern", "v", "k").distinct(), "pattern-graph")
+    known = graph.where("k >= 0").groupBy("v").agg(F.min("k").alias("seed"))
+    graph = graph.join(known, "v", "left").select("pattern", "v", F.greatest("k", F.coalesce("seed", F.lit(-1))).alias("k")).distinct()
     useful = graph.where("k >= 0").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT).select("pattern")
     graph = materialise(graph.join(useful, "pattern", "left_semi"), "useful-graph")
     size = graph.groupBy("pattern").agg(F.count_distinct("v").alias("n"))
@@ -96,7 +113,7 @@ def _discover(each: DataFrame) -> DataFrame:
         spread = open_.join(best, "v").select("pattern", "v", "kind", F.least("p", F.lit(0.99)).alias("p"))
         score = materialise(graph.where("k >= 0").select("pattern", "v", F.col("k").alias("kind"), F.lit(1.0).alias("p")).union(spread), "scores")
     sure = rated.where((F.col("rate") >= CONFIDENT) & (F.col("seeds") >= SUPPORT)).select("pattern", "kind")
-    form = F.expr("case kind " + " ".join(f"when {k} then {LOOSE[kind]}" for k, kind in enumerate(KINDS)) + " else false end")
+    form = F.expr("case kind " + " ".join(f"when {k} then {LOOSE[kind]}" for k, kind in enumerate(NAMES)) + " else false end")
     digits = "length(regexp_replace(v, '[^0-9]', ''))"
     cut = F.expr(f"case when kind = {KINDS.index('phone')} and v rlike '^[+0-9 ().-]+$' and {digits} > 15 then regexp_extract(v, '{_quoted(SHORT)}', 0) else v end")
     hits = seen.where("k < 0").join(sure, "pattern").withColumn("v", cut).withColumn("e", F.col("s") + F.char_length("v")).where(form)
@@ -104,11 +121,11 @@ def _discover(each: DataFrame) -> DataFrame:
 
 
 def _text_of(spans: str) -> str:
-    return f"concat_ws(',', transform({spans}, x -> concat(element_at(array({', '.join(repr(k) for k in KINDS)}), x.k + 1), ':', x.s, ':', x.e)))"
+    return f"concat_ws(',', transform({spans}, x -> concat(element_at(array({', '.join(repr(k) for k in NAMES)}), x.k + 1), ':', x.s, ':', x.e)))"
 
 
 #: The text with the strict spans blotted out.
-_BARE = """aggregate(base, named_struct('at', 0, 'out', ''), (a, x) -> case when x.s < a.at
+_BARE = """aggregate(strict, named_struct('at', 0, 'out', ''), (a, x) -> case when x.s < a.at
     then named_struct('at', greatest(a.at, x.e), 'out', concat(a.out, repeat('#', greatest(x.e - a.at, 0))))
     else named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), repeat('#', x.e - x.s))) end,
     a -> if(a.at = 0, text, concat(a.out, substring(text, a.at + 1))))"""
@@ -117,23 +134,30 @@ _OUTER = """aggregate(array_sort(new), named_struct('at', 0, 'out', cast(array()
     then a else named_struct('at', -x.e, 'out', array_append(a.out, named_struct('s', x.s, 'k', x.k, 'e', -x.e))) end, a -> a.out)"""
 
 
-def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """``(row, id, base, spans)`` of every row; spans are in order of start and kind. ``row`` is ``row_col`` if given."""
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = documents.select(row.alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+_ARRAY = "array<struct<s:int,k:int,e:int>>"
+_BRIEF = lambda c: F.expr(f"transform({c}, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))")
+
+
+def _spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From rows (row, id, text): the written table (row, id, base, strict), and (row, new) of the rows with found spans."""
     rows = base_spans(rows)
     rows = rows.withColumn("bare", F.expr(_BARE))
     more = " ,".join([_found(IDENTIFIER, -1, "text rlike '[0-9@]'"), _found(RUN, -1, "bare rlike '[0-9]'", "bare"), _found(AT, -1, "bare rlike '[(\\\\[][Aa][Tt][)\\\\]]'", "bare")])
     more = rows.withColumn("more", F.expr(f"array_distinct(concat({more}))")).drop("bare")
-    free = "filter(more, m -> not exists(base, b -> b.s < m.e and m.s < b.e))"
-    left = "lower(substring(text, greatest(x.s - 39, 1), least(x.s, 40)))"
-    each = more.withColumn("each", F.expr(f"transform(concat(base, {free}), x -> named_struct('s', x.s, 'e', x.e, 'v', lower(x.v), 'k', x.k, 'left', {left}))"))
-    found = materialise(each.select("row", "id", F.expr("transform(base, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))").alias("base"), "each"), "pii")
+    free = "filter(more, m -> not exists(strict, b -> b.s < m.e and m.s < b.e))"
+    sides = "lower(substring(text, greatest(x.s - 39, 1), least(x.s, 40))), 'right', lower(substring(text, x.e + 1, 40))"
+    each = more.withColumn("each", F.expr(f"transform(concat(strict, {free}), x -> named_struct('s', x.s, 'e', x.e, 'v', lower(x.v), 'k', x.k, 'left', {sides}))"))
+    found = materialise(each.select("row", "id", _BRIEF("base").alias("base"), _BRIEF("strict").alias("strict"), "each"), "pii")
     new = _discover(found.select("row", F.explode("each").alias("x")).select("row", "x.*"))
     new = new.groupBy("row").agg(F.collect_list(F.struct("s", (-F.col("e")).alias("e"), "k")).alias("new"))
-    new = new.select("row", F.expr(_OUTER).alias("new"))
-    out = found.select("row", "id", "base").join(new, "row", "left")
-    return out.select("row", "id", "base", F.expr("array_sort(concat(base, coalesce(new, cast(array() as array<struct<s:int,k:int,e:int>>))))").alias("spans"))
+    return found, new.select("row", F.expr(_OUTER).alias("new"))
+
+
+def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, base, spans)`` of every row; spans are in order of start and kind."""
+    found, new = _spans(documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    out = found.select("row", "id", "base", "strict").join(new, "row", "left")
+    return out.select("id", "base", F.expr(f"array_sort(concat(strict, coalesce(new, cast(array() as {_ARRAY}))))").alias("spans"))
 
 
 def report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,12 +166,22 @@ def report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return scan(documents, id_col, text_col).select(F.col("id").alias(id_col), *count, F.sha2(F.expr(_text_of("base")), 256).alias("base_sha256"), F.expr(_text_of("spans")).alias("spans"))
 
 
-def mask(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with every span replaced by its kind in square brackets; overlapping spans become the first one's."""
-    rows = keyed(documents, "_row")
-    marked = scan(rows, id_col, text_col, "_row").where("size(spans) > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+def mask(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents with every span replaced by its kind in square brackets; overlapping spans become the first one's.
+
+    Strict spans are found again in the scan that masks; only the rows with found spans are joined to it, by position.
+    """
+    row = free_name("row", documents)
+    rows = keyed(documents, row)
+    _, new = _spans(rows.select(F.col(row).alias("row"), F.lit(None).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    new = materialise(new, "found")
+    own = [f"column{k}" for k in range(len(documents.columns))]
+    place = [c.lower() for c in documents.columns].index(text_col.lower())
+    safe = rows.toDF(*own, "row").withColumn("text", F.coalesce(F.col(own[place]), F.lit("")))
+    joined = base_spans(safe).join(F.broadcast(new) if new.count() <= FEW else new, "row", "left")
+    joined = joined.withColumn("spans", F.concat(_BRIEF("strict"), F.expr(f"coalesce(new, cast(array() as {_ARRAY}))")))
     step = f"""case when x.s < a.at then named_struct('at', greatest(a.at, x.e), 'out', a.out)
-        else named_struct('at', x.e, 'out', concat(a.out, substring(`{text_col}`, a.at + 1, x.s - a.at), '[', upper(element_at(array({", ".join(repr(k) for k in KINDS)}), x.k + 1)), ']')) end"""
-    new = F.expr(f"aggregate(_spans, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(`{text_col}`, a.at + 1)))")
-    joined = rows.join(marked, "_row", "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), new).otherwise(F.col(text_col))).select(*documents.columns)
+        else named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), '[', upper(element_at(array({", ".join(repr(k) for k in NAMES)}), x.k + 1)), ']')) end"""
+    masked = F.expr(f"aggregate(array_sort(spans), named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(text, a.at + 1)))")
+    joined = joined.withColumn(own[place], F.when(F.size("spans") > 0, masked).otherwise(F.col(own[place])))
+    return joined.select(*own).toDF(*documents.columns)

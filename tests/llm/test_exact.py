@@ -50,13 +50,15 @@ def test_byte_bpe_equals_library(spark, sf, tiktok):
     assert byte_bpe.encode_documents(table(spark, []), path, public_tokenizers.PATTERN).count() == 0
 
 
-def test_long_runs_use_the_heap(tiktok):
+def test_long_runs_equal_the_library(tiktok):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         bpe = byte_bpe.ByteBPE(f.read(), public_tokenizers.PATTERN)
     import pyarrow as pa
 
     rng = random.Random(5)
     words = ["".join(rng.choice("abtheingon") for _ in range(n)) for n in (1, 2, 150, 191, 192, 193, 194, 700, 5000)]
+    words += ["a" * 20_001, "ab" * 3000, "aab" * 1500, "=" * 999, "".join(rng.choice("aA1/+é🙂") for _ in range(4000))]
+    words += ["".join(rng.choice(("the", "he", "er", "in", "a", "s", "tion")) for _ in range(600)) for _ in range(20)]
     sizes, ids = bpe.encode(pa.array(words))
     at = np.cumsum(np.append(0, sizes))
     for k, w in enumerate(words):
@@ -68,8 +70,7 @@ def test_token_files_round_trip(spark, sf):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    for df in (table(spark, [*ODD, "<|endoftext|> x"]), documents(spark, sf)):
+    for df in (table(spark, [*ODD, "<|endoftext|> x", "a <|endoftext|>b <|endoftext|><|endoftext|>\n<|endoftext|> ", "  <|endoftext|>  <|endoftext|>"]), documents(spark, sf)):
         texts = {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
         rows = {r.doc_id: r for r in token_files.encode_and_read_back(df, path).collect()}
         assert rows.keys() == texts.keys()

@@ -151,7 +151,7 @@ def test_decontamination(spark):
     items = [words(rng, 30) for _ in range(5)]
     clean = [" ".join(words(rng, 80)) for _ in range(10)]
     dirty = [" ".join(words(rng, 10) + items[k][15:] + ["and"] + items[k][:15] + words(rng, 10)).title() for k in range(5)]
-    bench = spark.createDataFrame([(k, " ".join(t), k) for k, t in enumerate(items)] + [(9, None, 1), (10, "too short", 1)], "item_id long, text string, doc_id int")
+    bench = spark.createDataFrame([(k, " ".join(t), k) for k, t in enumerate(items)] + [(9, None, 1), (10, "!!", 1)], "item_id long, text string, doc_id int")
     docs = frame(spark, clean + dirty + EMPTY)
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect())
     assert got == [(10 + k, k) for k in range(5)]
@@ -160,6 +160,25 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_the_joined_way(spark, sf, monkeypatch):
+    """Items under five words are found whole, and a benchmark too large to travel gives the same rows by shuffles."""
+    rng = random.Random(14)
+    texts = [" ".join(words(rng, 30)) for _ in range(6)] + ["well, Four words ONLY here: kalo", "four words kalo only here", "yes", *EMPTY]
+    docs = frame(spark, [*texts, texts[6]])
+    items = ["four words only here", "three words here", "yes", " ".join(texts[2].split()[3:25]), "x", None, ""]
+    bench = spark.createDataFrame([(k, t, k) for k, t in enumerate([*items, items[0]])], "item_id long, text string, spans int")
+    want = [(2, 3), (6, 0), (6, 7), (8, 2), (12, 4), (13, 0), (13, 7)]
+    stored, tests = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    results = []
+    for most in (decontaminate.MOST_BYTES, 10):
+        monkeypatch.setattr(decontaminate, "MOST_BYTES", most)
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()) == want
+        kept = decontaminate.drop_contaminated(docs.withColumn("row", pii.F.lit(1)), bench)
+        assert kept.columns == [*docs.columns, "row"] and sorted(r.doc_id for r in kept.collect()) == [0, 1, 3, 4, 5, 7, 8, 9, 10, 11, 12]
+        results.append((sorted(decontaminate.contaminated(stored, tests).collect()), decontaminate.drop_contaminated(stored, tests).count()))
+    assert results[0] == results[1] and results[0][0]
+
+
 KINDS = ("email", "ip", "card", "phone")
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -214,6 +233,9 @@ def test_each_loose_form_is_discovered_in_a_confident_context(spark):
         card = "411111111111" + digits(3)
         card = next(card + x for x in "0123456789" if valid("card", card + x))
         texts.append(f"kalo paid with card {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} mire")
+        texts.append(f"lore +1 555 {digits(3)} {digits(4)} is my cell, tu")
+        secret = f"f{digits(8)}x{k}a"
+        texts += [f'kalo auth token = "{secret}" mire', f"tu bearer {secret} sanver"]
     forms = {
         "kalo my phone number: 555 201 3344 mire": "kalo my phone number: [PHONE] mire",
         "kalo my phone number: (555) 201-3344 mire": "kalo my phone number: [PHONE] mire",
@@ -227,15 +249,32 @@ def test_each_loose_form_is_discovered_in_a_confident_context(spark):
         "kalo the server ip 10-0-3-4 mire": "kalo the server ip [IP] mire",
         "kalo paid with card 4111 1111 1111 1112 mire": "kalo paid with card [CARD] mire",
         "kalo paid with card 4111-1111-1111-1112 mire": "kalo paid with card [CARD] mire",
+        'kalo auth token = "ab12cd34ef56" mire': 'kalo auth token = "[SECRET]" mire',
+        "kalo bearer ab9876543210zz mire": "kalo bearer [SECRET] mire",
+        "kalo 555-201-3344 is my cell, mire": "kalo [PHONE] is my cell, mire",
         "tusan 555 201 3344 and john(at)example.com": "tusan 555 201 3344 and john(at)example.com",
     }
     got = {r.doc_id: r.text for r in pii.mask(frame(spark, texts + list(forms))).collect()}
     assert [got[len(texts) + k] for k in range(len(forms))] == list(forms.values())
 
 
+def test_method_finds_more_than_the_strict_patterns_in_the_given_documents(spark, sf):
+    """Secrets of the given documents, all of them and nothing else, beside the strict spans."""
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    want = {(i, m.start(1), m.end(1)) for i, t in text.items() for m in re.finditer(r'(?i)token = "([0-9a-f]+)"', t)}
+    got = set()
+    for r in pii.report(docs).collect():
+        spans = [s for s in r.spans.split(",") if s]
+        assert {s for s in brute_spans(text[r.doc_id]).split(",") if s} <= set(spans)
+        got |= {(r.doc_id, int(s.split(":")[1]), int(s.split(":")[2])) for s in spans if s.startswith("secret")}
+    assert want and got == want
+
+
 def test_masking_tells_rows_apart_by_position(spark):
     rows = [(None, "write to a@b.com now"), (None, "nothing here"), (7, "card 4111 1111 1111 1111"), (7, "ip 10.0.0.1 and c@d.org"), (8, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 spans", "2 row", "3 _id", "4 base", "5 _row", "6 new")
+    assert pii.mask(docs).columns == docs.columns
     got = sorted((str(r.doc_id), str(r.text)) for r in pii.mask(docs).collect())
     assert got == sorted([("None", "write to [EMAIL] now"), ("None", "nothing here"), ("7", "card [CARD]"), ("7", "ip [IP] and [EMAIL]"), ("8", "None")])
 
