@@ -1,15 +1,18 @@
 """Operator 6: benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items are sequences of words, lower-cased and without punctuation. A document is compared with
-every item it shares a run of ``SEED`` words with (the join on seeds runs inside the scan, against the sorted seed
-hashes of one block of items). Greedy string tiling then marks the longest run of words common to both and free in
-both, again and again down to ``TILE`` words; the longest length is found by a binary search whose steps compare
-Karp-Rabin window hashes. A document is contaminated by an item if tiles cover at least the threshold share of the
-item's words, in whatever order they stand in the document.
-
-Defined cases: null and empty texts match nothing; items of fewer than ``SEED`` words carry too little evidence and
-are left out; repeated items and documents are reported one by one; an empty table on either side gives no matches;
-extra columns are ignored. Items come to the workers in blocks of about ``BLOCK_BYTES``.
+every item it shares a run of ``SEED`` words with; an item of fewer words is its own seed. Greedy string tiling then marks
+the longest run of words common to both and free in both, again and again down to ``TILE`` words; the longest length is found
+by a binary search whose steps compare Karp-Rabin window hashes. A document is contaminated by an item if tiles cover at least
+the threshold share of the item's words, in whatever order they stand in the document.
+
+A benchmark of at most ``MOST_BYTES`` travels to the workers, and the join on seeds and the tiling run inside one scan of
+the documents. A larger one is joined by shuffles: distinct seeds of both sides (those of the documents pass a filter of the
+benchmark's seeds first), then the texts of the pairs that met. Both ways give the same rows.
+
+Defined cases: null and empty texts, and items without words, match nothing; repeated items and documents are reported one by
+one; rows are told apart by position; an empty table on either side gives no matches; extra columns are ignored. Items of one
+or two words are found like others, but ``drop_contaminated`` removes documents only for items of ``least_words`` or more.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.near_text import shingles
+from corvane.llm.near_text import passes, seen_filter, shingles
 from corvane.llm.words import hashes, segment_sum, slices, split_words, starts, texts_of
+from corvane.session import free_name, keyed, materialise
 
 SEED, TILE, COVERAGE = 5, 3, 0.8
-BLOCK_BYTES = 16 << 20
+#: A benchmark of more bytes is joined by a shuffle.
+MOST_BYTES = 16 << 20
 _BASE = np.uint64(0x9E6C63D0876A9A47)
 
 
@@ -101,57 +106,62 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = TILE) -> list[tuple[i
     return found
 
 
+def _seeds(sizes: np.ndarray, h: np.ndarray, lengths: list[int], exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(text of each seed, seeds): the runs of each length in ``lengths``; if ``exact``, of the one length that is a text's
+    own (``SEED``, or the number of its words)."""
+    owner, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for k in lengths:
+        own = np.minimum(sizes, SEED) == k if exact else sizes >= k
+        n, seeds = shingles(np.where(own, sizes, 0), h[np.repeat(own, sizes)], k)
+        owner.append(np.repeat(np.arange(len(sizes)), n))
+        out.append(seeds)
+    return np.concatenate(owner), np.concatenate(out)
+
+
+def tiled(words: np.ndarray, text: np.ndarray, threshold: float) -> tuple[float, int, int] | None:
+    """(coverage, tiles, longest tile) if tiles cover the threshold share of an item's words."""
+    if np.isin(words, text).mean() < threshold:
+        return None
+    found = tiles(words, text, min(TILE, len(words)))
+    coverage = sum(t[2] for t in found) / len(words)
+    return (coverage, len(found), found[0][2]) if coverage >= threshold else None
+
+
 class Items:
-    """One block of benchmark items with its sorted seeds."""
+    """Benchmark items with their sorted seeds."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [r[0] for r in rows]
         sizes, h = plain_words(pa.array([r[1] for r in rows], pa.string()))
         at = starts(sizes)
         self.words = [h[a:b] for a, b in zip(at, at[1:])]
-        n, seeds = shingles(sizes, h, SEED)
-        owner = np.repeat(np.arange(len(rows)), n)
-        long = sizes[owner] >= SEED
-        order = np.argsort(seeds[long], kind="stable")
-        self.seeds, self.owner = seeds[long][order], owner[long][order]
+        self.lengths = sorted({min(n, SEED) for n in sizes.tolist() if n})
+        owner, seeds = _seeds(sizes, h, self.lengths, True)
+        order = np.argsort(seeds, kind="stable")
+        self.seeds, self.owner = seeds[order], owner[order]
 
     def matches(self, texts: pa.StringArray, threshold: float) -> list[tuple[int, int, float, int, int]]:
         """(row, item, coverage, tiles, longest tile) of the contaminated texts."""
         if not len(self.seeds):
             return []
         sizes, h = plain_words(texts)
-        n, seeds = shingles(sizes, h, SEED)
+        owner, seeds = _seeds(sizes, h, self.lengths, False)
         place = np.minimum(np.searchsorted(self.seeds, seeds), len(self.seeds) - 1)
         hit = np.flatnonzero(self.seeds[place] == seeds)
-        rows = np.repeat(np.arange(len(sizes)), n)[hit]
         pairs = defaultdict(set)
-        for row, s in set(zip(rows.tolist(), seeds[hit].tolist())):
+        for row, s in set(zip(owner[hit].tolist(), seeds[hit].tolist())):
             s = np.uint64(s)
             pairs[row].update(self.owner[np.searchsorted(self.seeds, s) : np.searchsorted(self.seeds, s, side="right")].tolist())
         at, out = starts(sizes), []
         for row in sorted(pairs):
             text = h[at[row] : at[row + 1]]
             for item in sorted(pairs[row]):
-                words = self.words[item]
-                if np.isin(words, text).mean() < threshold:
-                    continue
-                found = tiles(words, text)
-                coverage = sum(t[2] for t in found) / len(words)
-                if coverage >= threshold:
-                    out.append((row, self.ids[item], coverage, len(found), found[0][2]))
+                found = tiled(self.words[item], text, threshold)
+                if found:
+                    out.append((row, self.ids[item], *found))
         return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The items in blocks that a worker holds in memory, each as a broadcast of rows."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(sorted(((r.id, r.text) for r in rows), key=str))
-
-
 _ITEMS: dict[int, Items] = {}
 
 
@@ -175,36 +185,101 @@ class _Shipped:
         return self.broadcast.value
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``(id, item_id, coverage, tiles, longest)``: one row for each document and item that contaminates it."""
-    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    out = None
-    for block in _blocks(benchmark, item_col, item_text):
-        shipped = _Shipped(block)
+def _items(benchmark: DataFrame, id_col: str, text_col: str, least_words: int = 1) -> tuple[DataFrame, bool]:
+    """(id and text of the items with so many words or more, whether they are few enough to travel)."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    if least_words > 1:
+
+        def long(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(plain_words(texts_of(batch.column(1)))[0] >= least_words))
+
+        items = items.mapInArrow(long, items.schema)
+    return items, items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0] <= MOST_BYTES
+
+
+def _shipped(items: DataFrame) -> _Shipped:
+    rows = sorted(((r.id, r.text) for r in items.collect()), key=str)  # MOST_BYTES at most
+    return _Shipped(items.sparkSession.sparkContext.broadcast(rows))
 
-        def run(batches, shipped=shipped):
-            items = _opened(shipped)
-            for batch in slices(batches, "text", 8 << 20):
-                got = items.matches(texts_of(batch.column(1)), threshold)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([g[0] for g in got], pa.int64())), *(pa.array([g[k] for g in got], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64())))], ["id", "item_id", "coverage", "tiles", "longest"])
 
-        part = source.mapInArrow(run, f"id {kind}, item_id long, coverage double, tiles long, longest long")
-        out = part if out is None else out.union(part)
-    return out.withColumnRenamed("id", id_col)
+def _joined(rows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """``(row, item_id, coverage, tiles, longest)`` from rows (row, text) and items (id, text), by shuffles."""
+    items = keyed(items, "item")
 
+    def lengths(batches):
+        for batch in batches:
+            sizes = plain_words(texts_of(batch.column(0)))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(sizes[sizes > 0], SEED)))], ["k"])
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``documents`` that no item contaminates, with all their columns."""
-    for block in _blocks(benchmark, item_col, item_text):
-        shipped = _Shipped(block)
+    levels = sorted(r.k for r in items.select("text").mapInArrow(lengths, "k long").distinct().collect())  # SEED at most
+
+    def seeds(shipped=None):
+        def run(batches):
+            for batch in slices(batches, "text", 8 << 20):
+                owner, h = _seeds(*plain_words(texts_of(batch.column(1))), levels, shipped is None)
+                if shipped is not None:
+                    keep = passes(h.view(np.int64), shipped.value)
+                    owner, h = owner[keep], h[keep]
+                both = np.unique(np.stack([owner.astype(np.uint64), h], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(both[:, 0].astype(np.int64))), pa.array(np.ascontiguousarray(both[:, 1]).view(np.int64))], ["row", "seed"])
+
+        return run
+
+    kind = "row long, seed long"
+    own = materialise(items.select("item", "text").mapInArrow(seeds(), kind).toDF("item", "seed"), "item-seeds")
+    filter_ = rows.sparkSession.sparkContext.broadcast(seen_filter(own.select("seed").distinct()))  # bounded bits
+    met = rows.select("row", "text").mapInArrow(seeds(filter_), kind).join(own, "seed").select("row", "item").distinct()
+    both = met.join(items.select("item", F.col("id").alias("item_id"), F.col("text").alias("b")), "item").join(rows.select("row", F.col("text").alias("a")), "row")
+
+    def verify(batches):
+        for batch in slices(batches, "a", 8 << 20):
+            (n, h), (m, g) = plain_words(texts_of(batch.column(2))), plain_words(texts_of(batch.column(3)))
+            at, to, out = starts(n), starts(m), []
+            for k in range(batch.num_rows):
+                found = tiled(g[to[k] : to[k + 1]], h[at[k] : at[k + 1]], threshold)
+                if found:
+                    out.append((k, *found))
+            some = pa.array([o[0] for o in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), *(pa.array([o[c] for o in out], t) for c, t in ((1, pa.float64()), (2, pa.int64()), (3, pa.int64())))], ["row", "item_id", "coverage", "tiles", "longest"])
+
+    return both.select("row", "item_id", "a", "b").mapInArrow(verify, "row long, item_id long, coverage double, tiles long, longest long")
 
-        def run(batches, shipped=shipped):
-            items = _opened(shipped)
-            for batch in slices(batches, text_col, 8 << 20):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[g[0] for g in items.matches(texts_of(batch.column(text_col)), threshold)]] = False
-                yield batch.filter(pa.array(keep))
 
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``(id, item_id, coverage, tiles, longest)``: one row for each document and item that contaminates it."""
+    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    items, few = _items(benchmark, item_col, item_text)
+    if not few:
+        rows = keyed(source, "row")
+        found = _joined(rows, items, threshold).join(rows.select("row", "id"), "row")
+        return found.select(F.col("id").alias(id_col), "item_id", "coverage", "tiles", "longest")
+    kind, shipped = source.schema["id"].dataType.simpleString(), _shipped(items)
+
+    def run(batches):
+        items = _opened(shipped)
+        for batch in slices(batches, "text", 8 << 20):
+            got = items.matches(texts_of(batch.column(1)), threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([g[0] for g in got], pa.int64())), *(pa.array([g[k] for g in got], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64())))], ["id", "item_id", "coverage", "tiles", "longest"])
+
+    return source.mapInArrow(run, f"id {kind}, item_id long, coverage double, tiles long, longest long").withColumnRenamed("id", id_col)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = TILE) -> DataFrame:
+    """The rows of ``documents`` that no item of ``least_words`` or more contaminates, with all their columns."""
+    items, few = _items(benchmark, item_col, item_text, least_words)
+    if not few:
+        row = free_name("row", documents)
+        rows = keyed(documents, row)
+        found = _joined(rows.select(F.col(row).alias("row"), F.col(text_col).alias("text")), items, threshold)
+        return rows.join(found.select(F.col("row").alias(row)).distinct(), row, "left_anti").select(*(rows[c] for c in documents.columns))
+    shipped = _shipped(items)
+
+    def run(batches):
+        items = _opened(shipped)
+        for batch in slices(batches, text_col, 8 << 20):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[g[0] for g in items.matches(texts_of(batch.column(text_col)), threshold)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return documents.mapInArrow(run, documents.schema)
