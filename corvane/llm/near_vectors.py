@@ -37,7 +37,7 @@ BLOCKS = 4
 #: Directions of a vector by height on average, the least number of them, and random vectors of a direction on average.
 LIST, LEAST, CROWD = 16, 24, 128
 #: A direction with more vectors is compared block by block.
-BLOCK = 1024
+BLOCK = 512
 #: Partners of a vector in one direction beyond which it belongs to a crowd.
 MANY = 32
 #: Sign bits, and the share of vectors whose directions are counted to find those to be cut into blocks.
