@@ -26,9 +26,13 @@ def chase(merges: DataFrame) -> DataFrame:
 
 def root_paths(tree: DataFrame) -> DataFrame:
     """``(id, ids, names, depth)`` from the root to each node of (id, parent, name); a root is its own parent. Path pieces
-    double in length each round. Nodes whose parent is missing start their own path."""
+    double in length each round. Nodes whose parent is missing start their own path. A cycle is an error: rounds end once
+    paths are longer than the number of nodes."""
     at = tree.select("id", F.array("id").alias("ids"), F.array("name").alias("names"), F.when(F.col("id") != F.col("parent"), F.col("parent")).alias("up"))
-    for _ in range(ROUNDS):
+    nodes = tree.count()
+    for k in range(ROUNDS):
+        if 2**k > 2 * nodes:
+            raise ValueError("the tree has a cycle")
         above = at.select(F.col("id").alias("up"), F.col("ids").alias("ids2"), F.col("names").alias("names2"), F.col("up").alias("up2"))
         j = at.join(above, "up", "left")
         none = F.array().cast("array<string>")

@@ -6,19 +6,23 @@ statistics resample the sums of each block; AP-type statistics re-weight merged
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from corvane.functions.scalar import stable_bucket
 from corvane.operators import metrics
+from corvane.operators.ranking import ranked, running
+from corvane.session import materialise
 
 
 def block_weights(blocks: DataFrame, block: str, iterations: int, seed: int = 42) -> DataFrame:
-    """``(iter, block, w)``: how often each block is drawn, with replacement, in each iteration."""
+    """``(iter, block, w)``: how often each block is drawn, with replacement, in each iteration. A single block allows no
+    draws: there are no rows, and ``interval`` gives nulls."""
     named = blocks.select(block).distinct()
-    count = named.agg(F.count("*").alias("k"))
-    number = named.withColumn("place", F.row_number().over(W.orderBy(block)) - 1)  # blocks: one row for each group
+    count = named.agg(F.count("*").alias("k")).where("k > 1")
+    number = ranked(named, [], [F.col(block)], "place").withColumn("place", F.col("place") - 1)
     draws = count.select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint"))).alias("iter"))
     draws = draws.select("k", "iter", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("j"))
     pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("iter").cast("string"), F.col("j").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.col("k"))
@@ -31,17 +35,46 @@ def interval(values: DataFrame, keys: list[str], value: str, level: float = 0.95
     return values.groupBy(*keys).agg(F.avg(value).alias("mean"), q[0].alias("low"), q[1].alias("high"))
 
 
-def bootstrap_ap(scored: DataFrame, keys: list[str], block: str, iterations: int, seed: int = 42, score: str = "score") -> DataFrame:
+def bootstrap_ap(scored: DataFrame, keys: list[str], block: str, iterations: int, seed: int = 42, score: str = "score", weights: DataFrame | None = None) -> DataFrame:
     """``(keys, iter, macro_ap)`` of block draws: scores are merged by (label, score, block) before they meet weights."""
     merged = scored.groupBy(*keys, "label_id", F.col(score).alias("score"), block).agg(F.count("*").alias("n"), F.sum("y").alias("tp"))
-    drawn = merged.join(block_weights(scored, block, iterations, seed), block)
+    drawn = merged.join(block_weights(scored, block, iterations, seed) if weights is None else weights, block)
     point = drawn.groupBy(*keys, "iter", "label_id", "score").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("tp")).alias("tp"))
-    w = W.partitionBy(*keys, "iter", "label_id").orderBy(F.desc("score"))
-    cum = point.withColumn("cn", F.sum("n").over(w)).withColumn("ct", F.sum("tp").over(w))
-    ap = cum.groupBy(*keys, "iter", "label_id").agg(F.try_divide(F.sum(F.col("tp") * F.col("ct") / F.col("cn")), F.sum("tp")).alias("ap"))
+    cum = metrics.cumulated(point, [*keys, "iter", "label_id"], metrics.cuts(scored, score))
+    ap = cum.groupBy(*keys, "iter", "label_id").agg(F.try_divide(F.sum(F.col("tp") * F.col("cum_tp") / F.col("cum_n")), F.sum("tp")).alias("ap"))
     return ap.groupBy(*keys, "iter").agg(F.avg("ap").alias("macro_ap"))
 
 
+def weighted_cache_ap(scored: DataFrame, block: str, iterations: int, seed: int = 42, score: str = "score") -> DataFrame:
+    """``(iter, macro_ap)`` as ``bootstrap_ap``, with scores sorted once.
+
+    The cache holds, for each distinct score of a label, every block's counts at it and from the highest score down to it.
+    All are linear in the weights, so an iteration only adds them up: nothing is sorted or summed along scores again. The
+    cache has a row for each distinct score and block; with many of both, ``bootstrap_ap`` is smaller.
+    """
+    merged = scored.groupBy("label_id", F.col(score).alias("score"), block).agg(F.count("*").alias("n"), F.sum("y").alias("tp"))
+    places = merged.select("label_id", "score").distinct().join(F.broadcast(merged.select("label_id", block).distinct()), "label_id")  # scores x blocks: the cache
+    dense = places.join(merged, ["label_id", "score", block], "left").fillna(0, ["n", "tp"])
+    cache = metrics.cumulated(dense, ["label_id", block], metrics.cuts(scored, score)).groupBy("label_id", "score").agg(F.collect_list(F.struct(block, "n", "tp", "cum_n", "cum_tp")).alias("b"))  # one entry a block
+    weights = block_weights(scored, block, iterations, seed).groupBy("iter").agg(F.map_from_entries(F.collect_list(F.struct(block, "w"))).alias("w"))
+    each = cache.withColumn("iter", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint")))).join(F.broadcast(weights), "iter")  # a row an iteration
+    total = lambda c: F.aggregate("b", F.lit(0).cast("bigint"), lambda a, x: a + x[c] * F.coalesce(F.try_element_at(F.col("w"), x[block]), F.lit(0)))
+    each = each.select("iter", "label_id", total("tp").alias("tp"), total("cum_tp").alias("ct"), total("cum_n").alias("cn"))
+    ap = each.groupBy("iter", "label_id").agg(F.try_divide(F.sum(F.try_divide(F.col("tp") * F.col("ct"), F.col("cn"))), F.sum("tp")).alias("ap"))
+    return ap.groupBy("iter").agg(F.avg("ap").alias("macro_ap"))
+
+
+def item_draws(items: DataFrame, group: str, item: str, iterations: int, seed: int = 42) -> DataFrame:
+    """``(group, iter, item, w)``: as many draws with replacement in each group as it has items, in each iteration."""
+    placed = ranked(items.select(group, item), [group], [F.col(item)], "place")
+    size = placed.groupBy(group).agg(F.count("*").alias("k"))
+    each = placed.join(size, group).select(group, "k", F.col("place").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter"))
+    key = F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"), F.col("iter").cast("string"), F.col("j").cast("string"))
+    pick = F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.col("k")) + 1
+    drawn = each.select(group, "iter", pick.alias("place")).groupBy(group, "iter", "place").agg(F.count("*").alias("w"))
+    return drawn.join(placed, [group, "place"]).select(group, "iter", item, "w")
+
+
 def bootstrap_f1(scored: DataFrame, keys: list[str], block: str, iterations: int, seed: int = 42) -> DataFrame:
     """``(keys, iter, f1)`` from the summed counts of the drawn blocks."""
     sums = metrics.confusion(scored, [*keys, block])
@@ -49,6 +82,76 @@ def bootstrap_f1(scored: DataFrame, keys: list[str], block: str, iterations: int
     return drawn.groupBy(*keys, "iter").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "fp", "fn"))).select(*keys, "iter", metrics.f1().alias("f1"))
 
 
+def metric_draws(scored: DataFrame, model: str, block: str, iterations: int, seed: int = 42) -> DataFrame:
+    """``(model, iter, macro_ap, micro_ap, macro_f1, micro_f1)`` of block draws; all models and metrics see the same draws."""
+    weights = materialise(block_weights(scored, block, iterations, seed), "weights")
+    macro = bootstrap_ap(scored, [model], block, iterations, seed, weights=weights)
+    micro = bootstrap_ap(scored.withColumn("label_id", F.lit("all")), [model], block, iterations, seed, weights=weights).withColumnRenamed("macro_ap", "micro_ap")
+    sums = metrics.confusion(scored, [model, "label_id", block]).join(weights, block)
+    sums = sums.groupBy(model, "iter", "label_id").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")))
+    pooled = F.try_divide(2.0 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn"))
+    f = sums.groupBy(model, "iter").agg(F.avg(F.coalesce(metrics.f1(), F.lit(0.0))).alias("macro_f1"), pooled.alias("micro_f1"))
+    return macro.join(micro, [model, "iter"]).join(f, [model, "iter"])
+
+
+def permuted_clusters(items: DataFrame, item: str, cluster: str, iterations: int, seed: int = 42) -> DataFrame:
+    """The items with ``iter``: -1 as they are, then with the clusters' names dealt anew, which keeps the clusters' sizes."""
+    names = materialise(ranked(items.select(cluster, item), [], [F.col(item)], "_k").select("_k", cluster), "names")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("iter").cast("string"), F.col(item).cast("string")).cast("binary"))
+    each = items.drop(cluster).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    dealt = ranked(each, ["iter"], [key, F.col(item)], "_k").join(names, "_k").drop("_k")
+    return items.withColumn("iter", F.lit(-1)).unionByName(dealt)
+
+
+def stratified_effects(scored: DataFrame, keys: list[str], block: str, iterations: int, seed: int = 42) -> DataFrame:
+    """``(keys, n, delta, low, high, p)``: F1 of ``context`` less that of ``base`` at 0.5, its interval over block draws, and the
+    share of block-wise swaps whose difference is as large, the observed one counted in."""
+    y, names = F.col("y") == 1, [f"{c}_{m}" for c in ("tp", "fp", "fn") for m in "ab"]
+    hit = {"a": F.col("base") >= 0.5, "b": F.col("context") >= 0.5}
+    each = [F.count_if(x).alias(f"{c}_{m}") for m, h in hit.items() for c, x in (("tp", h & y), ("fp", h & ~y), ("fn", ~h & y))]
+    sums = materialise(scored.groupBy(*keys, block).agg(F.count("*").alias("n"), *each), "counts")
+    delta = metrics.f1("tp_b", "fp_b", "fn_b") - metrics.f1("tp_a", "fp_a", "fn_a")
+    seen = sums.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)).select(*keys, "n", delta.alias("delta"))
+    drawn = sums.join(block_weights(scored, block, iterations, seed), block).groupBy(*keys, "iter").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in names))
+    ci = interval(drawn.select(*keys, delta.alias("d")), keys, "d").select(*keys, "low", "high")
+    it = sums.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    swap = stable_bucket(F.concat_ws("|", F.lit(str(seed)), F.col("iter").cast("string"), F.col(block).cast("string")), 2) == 1
+    other = {"a": "b", "b": "a"}
+    swapped = it.groupBy(*keys, "iter").agg(*(F.sum(F.when(swap, F.col(f"{c}_{other[m]}")).otherwise(F.col(f"{c}_{m}"))).alias(f"{c}_{m}") for c in ("tp", "fp", "fn") for m in "ab"))
+    as_large = F.abs(F.coalesce("d", F.lit(0.0))) >= F.abs(F.coalesce("delta", F.lit(0.0))) - 1e-12
+    p = swapped.select(*keys, delta.alias("d")).join(seen, keys).groupBy(*keys).agg(((F.count_if(as_large) + 1) / (iterations + 1)).alias("p"))
+    return seen.join(ci, keys, "left").join(p, keys, "left")
+
+
+#: Complement of the error function by a rational approximation (absolute error under 1.5e-7), fixed values.
+_ERFC = (0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429))
+
+
+def _erfc(x: Column) -> Column:
+    q, a = 1 / (1 + _ERFC[0] * x), _ERFC[1]
+    return q * (a[0] + q * (a[1] + q * (a[2] + q * (a[3] + q * a[4])))) * F.exp(-x * x)
+
+
+def signed_rank(differences: DataFrame, key: str, value: str, exact_up_to: int = 50) -> DataFrame:
+    """``(key, w, n, z, p)``: two-sided signed-rank test of the non-zero differences, with average ranks. p is exact for at most
+    ``exact_up_to`` differences without ties, else by the normal law with the ties' correction. Equal sizes are merged
+    before they are ranked."""
+    size = F.abs(F.col(value))
+    g = differences.where(F.col(value) != 0).groupBy(key, size.alias("_a")).agg(F.count("*").alias("t"), F.count_if(F.col(value) > 0).alias("up"))
+    g = running(g, [key], [F.col("_a")], {"_c": F.col("t")}).withColumn("rank", F.col("_c") - F.col("t") + (F.col("t") + 1) / 2)
+    s = g.groupBy(key).agg(F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("minus"), F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("ties"))
+    n, w = F.col("n"), F.least("plus", "minus")
+    z = F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
+    # ways to reach each rank sum with the ranks 1 to n, one rank after another
+    few = F.least(n, F.lit(exact_up_to)).cast("int")
+    sums = F.sequence(F.lit(0), (few * (few + 1) / 2).cast("int"))
+    ways = F.aggregate(F.sequence(F.lit(1), few), F.transform(sums, lambda i: F.when(i == 0, 1.0).otherwise(0.0)), lambda a, k: F.transform(a, lambda x, i: x + F.when(i >= k, F.get(a, i - k)).otherwise(0.0)))
+    tail = F.aggregate(F.slice(ways, F.lit(1), w.cast("int") + 1), F.lit(0.0), lambda a, x: a + x)
+    exact = F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), few))
+    p = F.when((n <= exact_up_to) & (F.col("ties") == 0), exact).otherwise(_erfc(F.abs(z) / math.sqrt(2)))
+    return s.select(key, w.alias("w"), "n", z.alias("z"), p.alias("p"))
+
+
 def swap_test(counts: DataFrame, block: str, iterations: int, seed: int = 42) -> DataFrame:
     """``(observed, p)``: share of block-wise swaps of two models whose absolute F1 difference reaches the observed one.
     Needs columns tp_a, fp_a, fn_a, tp_b, fp_b, fn_b for each block."""
@@ -62,8 +165,14 @@ def swap_test(counts: DataFrame, block: str, iterations: int, seed: int = 42) ->
     return g.select("observed", (F.size(F.filter("null", lambda x: x >= F.abs("observed") - 1e-12)) / iterations).alias("p"))
 
 
+_SMALL = [math.lgamma(k + 1) for k in range(16)]
+
+
 def _log_factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(0), n), F.lit(0.0), lambda a, k: a + F.when(k > 1, F.log(k.cast("double"))).otherwise(0.0))
+    """ln n!: a table up to 15, then Stirling's series, whose next term is below 1e-13 there."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return F.when(n < 16, F.element_at(F.array(*map(F.lit, _SMALL)), F.least(n, F.lit(15)).cast("int") + 1)).otherwise(series)
 
 
 def log_choose(n: Column, k: Column) -> Column:

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import materialise
+
+
+#: Distinct query runs of at most so many rows are broadcast to the scan of the targets; more are joined by a shuffle.
+FEW = 500_000
+
 
 def shared_kmers(queries: DataFrame, targets: DataFrame, words: int = 5) -> DataFrame:
-    """``(query, target, shared, identity)`` of (id, text) tables: equal runs of words, and the share of the query's. Hashes of
-    the runs are exploded once for each side and joined; both sides keep distinct runs only."""
+    """``(query, target, shared, identity)`` of (id, text) tables: equal runs of words, and the share of the query's. Both sides keep
+    distinct runs only. Few query runs travel to the targets, whose other runs never leave the scan."""
 
     def kmers(df: DataFrame, name: str) -> DataFrame:
         w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
@@ -16,5 +22,12 @@ def shared_kmers(queries: DataFrame, targets: DataFrame, words: int = 5) -> Data
         runs = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, words)))))
         return df.select(F.col("id").alias(name), w.alias("w")).select(name, F.size(runs).alias(f"n_{name}"), F.explode(runs).alias("k"))
 
-    q, t = kmers(queries, "query"), kmers(targets, "target")
-    return q.join(t, "k").groupBy("query", "target").agg(F.count("*").alias("shared"), F.first("n_query").alias("n")).select("query", "target", "shared", (F.col("shared") / F.col("n")).alias("identity"))
+    q, t = materialise(kmers(queries, "query"), "runs"), kmers(targets, "target").select("target", "k")
+    j = t.join(F.broadcast(q), "k") if q.count() <= FEW else t.join(q, "k")
+    return j.groupBy("query", "target").agg(F.count("*").alias("shared"), F.first("n_query").alias("n")).select("query", "target", "shared", (F.col("shared") / F.col("n")).alias("identity"))
+
+
+def nearest_by_kmers(queries: DataFrame, targets: DataFrame, words: int = 5) -> DataFrame:
+    """The target that shares most runs with each query, the least id on a tie; queries that share none are left out."""
+    best = F.max_by(F.struct("target", "shared", "identity"), F.struct("shared", -F.col("target"))).alias("x")
+    return shared_kmers(queries, targets, words).groupBy("query").agg(best).select("query", "x.*")

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from corvane.functions.scalar import token_list
+
+#: Labels are a short fixed list; more are an error.
+MOST_LABELS = 10_000
 STATUS = ("unknown_item", "unknown_label", "not_numeric", "not_finite", "out_of_range", "duplicate", "ok")
 
 
@@ -18,6 +22,28 @@ def require_columns(df: DataFrame, groups: dict[str, list[str]]) -> dict[str, st
     return found
 
 
+def load_truth(df: DataFrame, labels: list[str], item: str = "item_id") -> DataFrame:
+    """``(item_id, label_id, y)`` from any of three forms: rows of pairs (label_id, y), a list column of an item's labels (an array, JSON or
+    text with separators), or a column for each label, named ``x``, ``label:x`` or ``y_x``. An item, or a pair, that occurs twice is
+    an error, as is a table of no form."""
+    if {"label_id", "y"} <= set(df.columns):
+        out, key = df.select(F.col(item).alias("item_id"), "label_id", F.col("y").cast("int").alias("y")), ["item_id", "label_id"]
+    elif "true_labels" in df.columns:
+        listed = F.col("true_labels") if df.schema["true_labels"].dataType.typeName() == "array" else token_list("true_labels")
+        flags = F.array(*(F.struct(F.lit(n).alias("label_id"), F.array_contains(listed, n).cast("int").alias("y")) for n in labels))
+        out, key = df.select(F.col(item).alias("item_id"), F.explode(flags).alias("x")).select("item_id", "x.*"), ["item_id", "label_id"]
+    else:
+        named = {n: next((c for c in (n, f"label:{n}", f"y_{n}") if c in df.columns), None) for n in labels}
+        if not all(named.values()):
+            raise ValueError("the truth has none of the known forms")
+        flags = F.array(*(F.struct(F.lit(n).alias("label_id"), F.col(f"`{c}`").cast("int").alias("y")) for n, c in named.items()))
+        out, key = df.select(F.col(item).alias("item_id"), F.explode(flags).alias("x")).select("item_id", "x.*"), ["item_id", "label_id"]
+    twice = out.groupBy(*key).count().where("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"items given twice: {', '.join(str(r.item_id) for r in twice)}")
+    return out
+
+
 def check_rows(submission: DataFrame, items: DataFrame, labels: DataFrame, row_order: str = "row_order") -> DataFrame:
     """Adds ``status`` (the first failure, or ok) and ``value`` to rows (item_id, label_id, score as text)."""
     known = items.select("item_id").distinct().withColumn("_item", F.lit(True))
@@ -39,7 +65,10 @@ def check_rows(submission: DataFrame, items: DataFrame, labels: DataFrame, row_o
 
 def complete_grid(checked: DataFrame, items: DataFrame, labels: DataFrame) -> DataFrame:
     """Every item with every label; missing pairs score 0. The label list is short and fixed."""
-    grid = items.select("item_id").distinct().withColumn("label_id", F.explode(F.array(*(F.lit(r.label_id) for r in labels.select("label_id").distinct().limit(10_000).collect()))))
+    names = [r.label_id for r in labels.select("label_id").distinct().limit(MOST_LABELS + 1).collect()]
+    if len(names) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    grid = items.select("item_id").distinct().withColumn("label_id", F.explode(F.array(*map(F.lit, names))))
     ok = checked.where("status = 'ok'").select("item_id", "label_id", F.col("value").alias("score"))
     return grid.join(ok, ["item_id", "label_id"], "left").select("item_id", "label_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNull().alias("missing"))
 

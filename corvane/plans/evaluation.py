@@ -62,19 +62,6 @@ def met7(spark, sf):
     return metrics.fmax(long(spark, sf), ["label_id"]).select("label_id", R("fmax").alias("fmax"), "threshold")
 
 
-QUANTILES = [k / 100 for k in range(101)]
-
-
-@query("met8_fmax_on_quantiles", LONG + ", q AS (SELECT DISTINCT label_id, unnest(quantile_cont(score, [x / 100.0 FOR x IN range(101)])) AS t FROM long GROUP BY label_id), f AS (SELECT q.label_id, t, 2.0 * count(*) FILTER (score >= t AND y = 1) / (count(*) FILTER (score >= t) + sum(y)) AS f FROM q JOIN long USING (label_id) GROUP BY ALL) SELECT label_id, round(max(f), 6) AS fmax FROM f GROUP BY 1")
-def met8(spark, sf):
-    df = long(spark, sf)
-    q = df.groupBy("label_id").agg(F.percentile("score", F.array(*map(F.lit, QUANTILES))).alias("q")).select("label_id", F.explode(F.array_distinct("q")).alias("t"))
-    point = df.groupBy("label_id", "score").agg(F.count("*").alias("n"), F.sum("y").alias("tp"))
-    p = df.groupBy("label_id").agg(F.sum("y").alias("p"))
-    j = q.join(point, (q.label_id == point.label_id) & (point.score >= q.t)).groupBy(q.label_id, "t").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp")).join(p, "label_id")
-    return j.groupBy("label_id").agg(R(F.max(2.0 * F.col("tp") / (F.col("n") + F.col("p")))).alias("fmax"))
-
-
 GRID = [0.1 + 0.05 * k for k in range(17)]
 
 
@@ -101,11 +88,6 @@ def tops(spark, sf):
     return long(spark, sf).groupBy("item_id").agg(F.max_by("label_id", best).alias("label_id"), F.max("score").alias("top"), F.max_by("y", best).alias("y"))
 
 
-@query("met12_coverage_curve", TOPS + ", c AS (SELECT top, count(*) AS n, sum(y) AS tp FROM tops GROUP BY 1), d AS (SELECT *, sum(n) OVER (ORDER BY top DESC) - n AS before, sum(n) OVER () AS total FROM c), g AS (SELECT *, round_even(s * total, 0)::BIGINT AS kept FROM d CROSS JOIN (SELECT unnest([0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0]) AS s)) SELECT s::DOUBLE AS share, kept, round(sum(tp * greatest(0, least(n, kept - before)) / n) / sum(greatest(0, least(n, kept - before))), 6) AS precision FROM g GROUP BY 1, 2")
-def met12(spark, sf):
-    return metrics.coverage_curve(tops(spark, sf), [0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0], "top").select("share", "kept", R("precision").alias("precision"))
-
-
 @query("met13_gate", TOPS + ", l AS (SELECT item_id, list_sort(list(label_id) FILTER (score >= 0.6)) AS over FROM long GROUP BY 1) SELECT item_id, label_id AS top_label, top >= 0.7 AS passes, coalesce(array_to_string(over, ';'), '') AS over FROM tops JOIN l USING (item_id)")
 def met13(spark, sf):
     over = long(spark, sf).groupBy("item_id").agg(F.concat_ws(";", F.array_sort(F.collect_list(F.when(F.col("score") >= 0.6, F.col("label_id"))))).alias("over"))
@@ -122,29 +104,6 @@ def both(spark, sf):
     return scores(spark, sf).unpivot(["item_id", "label_id", "y", "family", "host"], ["base", "context"], "model", "score")
 
 
-@query("met15_paired_deltas", f"WITH {SCORES}" + AP2 + "SELECT label_id, round(max(ap) FILTER (model = 'context') - max(ap) FILTER (model = 'base'), 6) AS delta_ap FROM ap GROUP BY 1")
-def met15(spark, sf):
-    ap = metrics.average_precision(both(spark, sf), ["model", "label_id"])
-    at = lambda m: F.max(F.when(F.col("model") == m, F.col("ap")))
-    return ap.groupBy("label_id").agg(R(at("context") - at("base")).alias("delta_ap"))
-
-
-@query("met16_subset_metrics", f"WITH {SCORES}" + ", t AS (SELECT md5(text) AS h FROM documents GROUP BY 1 HAVING count(*) > 1), s AS (SELECT scores.*, h IS NOT NULL AS copy FROM scores JOIN items USING (item_id) LEFT JOIN t ON md5(items.text) = h), u AS (SELECT 'all' AS subset, * FROM s UNION ALL SELECT CASE WHEN copy THEN 'copied' ELSE 'single' END, * FROM s), pt AS (SELECT subset, label_id, context AS score, count(*) AS n, sum(y) AS tp FROM u GROUP BY ALL), c AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM pt WINDOW w AS (PARTITION BY subset, label_id ORDER BY score DESC)) SELECT subset, label_id, sum(tp) AS positives, round(sum(tp * ct / cn) / nullif(sum(tp), 0), 6) AS ap FROM c GROUP BY 1, 2")
-def met16(spark, sf):
-    h = items(spark, sf).select("item_id", F.md5(F.col("text").cast("binary")).alias("h"))
-    copied = h.groupBy("h").count().where("count > 1").select("h", F.lit("copied").alias("kind"))
-    tag = h.join(copied, "h", "left").select("item_id", F.array(F.lit("all"), F.coalesce("kind", F.lit("single"))).alias("tags"))
-    df = scores(spark, sf).join(tag, "item_id").select("label_id", "y", F.col("context").alias("score"), F.explode("tags").alias("subset"))
-    return metrics.average_precision(df, ["subset", "label_id"]).select("subset", "label_id", "positives", R("ap").alias("ap"))
-
-
-@query("met22_leave_one_label_out", LONG + CURVE + ", a AS (SELECT label_id, sum(tp * ct / cn) / sum(tp) AS ap FROM c GROUP BY 1) SELECT label_id, round(ap, 6) AS ap, round((sum(ap) OVER () - ap) / (count(*) OVER () - 1), 6) AS macro_without FROM a")
-def met22(spark, sf):
-    a = metrics.average_precision(long(spark, sf), ["label_id"])
-    total = a.agg(F.sum("ap").alias("s"), F.count("ap").alias("k"))  # one row for each label
-    return a.join(total).select("label_id", R("ap").alias("ap"), R((F.col("s") - F.col("ap")) / (F.col("k") - 1)).alias("macro_without"))
-
-
 @query("met24_scored_table_macro_ap", LONG + CURVE + "SELECT round(avg(ap), 6) AS macro_ap FROM (SELECT sum(tp * ct / cn) / nullif(sum(tp), 0) AS ap FROM c GROUP BY label_id)")
 def met24(spark, sf):
     return metrics.average_precision(long(spark, sf), ["label_id"]).agg(R(F.avg("ap")).alias("macro_ap"))
@@ -212,12 +171,6 @@ def checked(spark, sf):
     return validate.check_rows(submission(spark, sf), t, t)
 
 
-@query("val1_required_columns", "SELECT 'item' AS role, 'item_id' AS col UNION ALL SELECT 'label', 'label_id' UNION ALL SELECT 'score', 'score' FROM (SELECT count(*) FROM labels)")
-def val1(spark, sf):
-    found = validate.require_columns(submission(spark, sf), {"item": ["protein", "item_id"], "label": ["label_id", "label"], "score": ["prob", "score"]})
-    return spark.createDataFrame([(k, v) for k, v in found.items()], "role string, col string")
-
-
 @query("val2_row_checks", SUBMISSION + "SELECT status, count(*) AS n FROM v GROUP BY 1")
 def val2(spark, sf):
     return checked(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
@@ -229,11 +182,6 @@ def val3(spark, sf):
     return validate.complete_grid(checked(spark, sf), t, t)
 
 
-@query("val4_truth_loader", f"WITH {TRUTH} SELECT label_id, count(*) AS n, sum(y) AS positives, count(DISTINCT item_id) AS item_count FROM truth GROUP BY 1")
-def val4(spark, sf):
-    return truth(spark, sf).groupBy("label_id").agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.count_distinct("item_id").alias("item_count"))
-
-
 @query("val5_split_filter", f"WITH {SPLIT_ITEMS} SELECT item_id, family FROM split_items WHERE lower(split) IN ('test', '2', 'heldout')")
 def val5(spark, sf):
     from corvane.functions.scalar import group_split
@@ -268,17 +216,6 @@ def set3(spark, sf):
     return few.agg(F.count("*").alias("n"), F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.col("item_id"))))).alias("examples"))
 
 
-@query("job7_evaluate_submission", SUBMISSION + """, g AS (SELECT item_id, label_id, max(score::DOUBLE) AS score FROM v WHERE status = 'ok' GROUP BY ALL), long AS (SELECT item_id, label_id, y, coalesce(score, 0) AS score FROM truth LEFT JOIN g USING (item_id, label_id))""" + CURVE.replace("pt AS", "lpt AS").replace("FROM pt", "FROM lpt").replace("c AS (", "lc AS (") + FLAT + COUNTS + """SELECT (SELECT count(*) FROM v WHERE status <> 'ok') AS errors, (SELECT round(avg(ap), 6) FROM (SELECT sum(tp * ct / cn) / nullif(max(p), 0) AS ap FROM lc GROUP BY label_id)) AS macro_ap, (SELECT round(sum(tp * ct / cn) / max(p), 6) FROM c) AS micro_ap,
-round(avg(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS macro_f1, round(2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1 FROM k""")
-def job7(spark, sf):
-    """The flagship: validate a submission, fill the grid, join the truth, report the four metrics."""
-    t, rows = truth(spark, sf), checked(spark, sf)
-    scored = validate.complete_grid(rows, t, t).join(t, ["item_id", "label_id"])
-    m = metrics.macro_micro(scored)
-    errors = rows.agg(F.count_if(F.col("status") != "ok").alias("errors"))
-    return errors.join(m).select("errors", *(R(c).alias(c) for c in ("macro_ap", "micro_ap", "macro_f1", "micro_f1")))
-
-
 @query("set5_label_sets", LONG + ", s AS (SELECT item_id, list(label_id) FILTER (y = 1) AS t, list(label_id) FILTER (score >= 0.5) AS p FROM long GROUP BY 1) SELECT item_id, len(list_intersect(coalesce(t, []), coalesce(p, []))) AS hit, len(list_filter(coalesce(p, []), lambda x: NOT list_contains(coalesce(t, []), x))) AS extra, len(list_filter(coalesce(t, []), lambda x: NOT list_contains(coalesce(p, []), x))) AS missed FROM s")
 def set5(spark, sf):
     s = long(spark, sf).groupBy("item_id").agg(F.collect_list(F.when(F.col("y") == 1, F.col("label_id"))).alias("t"), F.collect_list(F.when(F.col("score") >= 0.5, F.col("label_id"))).alias("p"))

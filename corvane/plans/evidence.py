@@ -21,14 +21,6 @@ def tops(spark, sf):
     return top_hit(hits(spark, sf))
 
 
-@query("agg19_hit_summary", f"WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY bits DESC, target) AS k FROM hits), a AS (SELECT query, max(bits) FILTER (k = 1) AS top, max(bits) FILTER (k = 2) AS second, count(*) FILTER (bits >= 30000) AS strong, count(DISTINCT label) AS labels, count(*) AS n FROM r WHERE k <= 10 GROUP BY 1) SELECT query, top, second, strong, labels, round(0.45 * coalesce(second, 0) / top + 0.35 * (labels - 1) / 3 + 0.2 * (n - 1) / 10, 6) AS ambiguity FROM a")
-def agg19(spark, sf):
-    r = hits(spark, sf).withColumn("k", F.row_number().over(W.partitionBy("query").orderBy(F.desc("bits"), "target"))).where("k <= 10")
-    a = r.groupBy("query").agg(F.max(F.when(F.col("k") == 1, F.col("bits"))).alias("top"), F.max(F.when(F.col("k") == 2, F.col("bits"))).alias("second"), F.count_if(F.col("bits") >= 30000).alias("strong"), F.count_distinct("label").alias("labels"), F.count("*").alias("n"))
-    ambiguity = 0.45 * F.coalesce("second", F.lit(0.0)) / F.col("top") + 0.35 * (F.col("labels") - 1) / 3 + 0.2 * (F.col("n") - 1) / 10
-    return a.select("query", "top", "second", "strong", "labels", R(ambiguity).alias("ambiguity"))
-
-
 @query("agg21_landscape", TOP + " SELECT CASE WHEN pident IS NULL THEN 'missing' WHEN pident < 30 THEN 'lt_30' WHEN pident < 60 THEN '30_60' ELSE 'ge_60' END AS identity, CASE WHEN bits < 20000 THEN 'lt_20000' WHEN bits < 40000 THEN '20000_40000' ELSE 'ge_40000' END AS strength, count(*) AS n, round(avg(qcov), 6) AS cover FROM top GROUP BY 1, 2")
 def agg21(spark, sf):
     return tops(spark, sf).groupBy(S.bins("pident", [30, 60]).alias("identity"), S.bins("bits", [20000, 40000]).alias("strength")).agg(F.count("*").alias("n"), R(F.avg("qcov")).alias("cover"))
@@ -65,14 +57,6 @@ def agg32(spark, sf):
     return c.join(any_).where("n >= 100 or (n > 0 and not any)").select("label_id", "n")
 
 
-@query("agg36_threshold_overlaps", "WITH u AS (SELECT t, item_id, CASE t WHEN 30 THEN left(h, 2) WHEN 50 THEN left(h, 3) ELSE h END AS c, item_split FROM (SELECT doc_id AS item_id, md5(text) AS h, " + SPLIT_ITEMS.split("AS split, ")[1].split(" AS item_split")[0].replace("item_id::VARCHAR", "doc_id::VARCHAR") + " AS item_split FROM documents), (SELECT unnest([30, 50, 70]) AS t)), g AS (SELECT t, c, bool_or(item_split = 'train') AS a, bool_or(item_split = 'test') AS b FROM u GROUP BY 1, 2) SELECT t AS threshold, count(*) FILTER (a) AS train, count(*) FILTER (b) AS test, count(*) FILTER (a AND b) AS shared FROM g GROUP BY 1")
-def agg36(spark, sf):
-    h = F.md5(F.col("text").cast("binary"))
-    u = split_items(spark, sf).select("item_split", F.explode(F.create_map(F.lit(30), F.left(h, F.lit(2)), F.lit(50), F.left(h, F.lit(3)), F.lit(70), h)).alias("threshold", "c"))
-    g = u.groupBy("threshold", "c").agg(F.bool_or(F.col("item_split") == "train").alias("a"), F.bool_or(F.col("item_split") == "test").alias("b"))
-    return g.groupBy("threshold").agg(F.count_if("a").alias("train"), F.count_if("b").alias("test"), F.count_if(F.col("a") & F.col("b")).alias("shared"))
-
-
 VOTES = f"WITH {SPLIT_ITEMS}, {TRUTH}, x AS (SELECT t.item_id, label_id, y, item_split, md5(text) AS h, left(md5(left(text, 20)), 3) AS sk FROM truth t JOIN split_items USING (item_id)), a AS (SELECT h, label_id, avg(y) AS v FROM x WHERE item_split = 'train' GROUP BY 1, 2), b AS (SELECT sk, label_id, avg(y) AS v FROM x WHERE item_split = 'train' GROUP BY 1, 2), s AS (SELECT item_id, label_id, y, coalesce(a.v, b.v, 0) AS score, a.v IS NOT NULL AS exact FROM x LEFT JOIN a USING (h, label_id) LEFT JOIN b USING (sk, label_id) WHERE item_split = 'test')"
 
 
@@ -83,7 +67,7 @@ def votes(spark, sf):
     tr = x.where("item_split = 'train'")
     a, b = (tr.groupBy(k, "label_id").agg(F.avg("y").alias(n)) for k, n in (("h", "va"), ("sk", "vb")))
     j = x.where("item_split = 'test'").join(a, ["h", "label_id"], "left").join(b, ["sk", "label_id"], "left")
-    return j.select("item_id", "label_id", "y", F.coalesce("va", "vb", F.lit(0.0)).alias("score"), F.col("va").isNotNull().alias("exact"))
+    return j.select("item_id", "label_id", "y", F.coalesce("va", "vb", F.lit(0.0)).alias("score"), F.col("va").isNotNull().alias("exact"), (F.col("va").isNull() & F.col("vb").isNotNull()).alias("sketch"))
 
 
 @query("jn8_vote_scores", VOTES + " SELECT item_id, label_id, round(score, 6) AS score FROM s")
@@ -91,21 +75,6 @@ def jn8(spark, sf):
     return votes(spark, sf).select("item_id", "label_id", R("score").alias("score"))
 
 
-@query("met19_neighbour_transfer", VOTES + ", pt AS (SELECT label_id, round(score, 9) AS score, count(*) AS n, sum(y) AS tp FROM s GROUP BY ALL), c AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM pt WINDOW w AS (PARTITION BY label_id ORDER BY score DESC)), e AS (SELECT label_id, avg(exact::INT) AS rate FROM s GROUP BY 1) SELECT label_id, round(sum(tp * ct / cn) / nullif(sum(tp), 0), 6) AS ap, round(max(rate), 6) AS exact_rate FROM c JOIN e USING (label_id) GROUP BY 1")
-def met19(spark, sf):
-    v = votes(spark, sf).withColumn("score", F.round("score", 9))
-    e = v.groupBy("label_id").agg(F.avg(F.col("exact").cast("int")).alias("rate"))
-    return metrics.average_precision(v, ["label_id"]).join(e, "label_id").select("label_id", R("ap").alias("ap"), R("rate").alias("exact_rate"))
-
-
-@query("met17_top_hit_transfer", TOP + ", g AS (SELECT query, label, coalesce(pident, 0) / 100 AS s FROM top), t AS (SELECT DISTINCT l_orderkey AS query, l_linestatus AS truth FROM lineitem), x AS (SELECT t.query, truth = 'O' AS y, coalesce(s, 0) AS score FROM t LEFT JOIN g ON t.query = g.query AND g.label IN ('A', 'N')), pt AS (SELECT round(score, 9) AS score, count(*) AS n, sum(y::INT) AS tp FROM x GROUP BY 1), c AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM pt WINDOW w AS (ORDER BY score DESC)) SELECT round(sum(tp * ct / cn) / sum(tp), 6) AS ap, sum(n) AS n FROM c")
-def met17(spark, sf):
-    g = tops(spark, sf).where("label in ('A', 'N')").select("query", (F.coalesce("pident", F.lit(0.0)) / 100).alias("s"))
-    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query"), (F.col("l_linestatus") == "O").cast("int").alias("y")).distinct()
-    x = t.join(g, "query", "left").select("y", F.round(F.coalesce("s", F.lit(0.0)), 9).alias("score"))
-    return metrics.average_precision(x, []).join(x.agg(F.count("*").alias("n"))).select(R("ap").alias("ap"), "n")
-
-
 @query("met18_precision_at_identity", TOP + " SELECT cut, count(*) FILTER (pident >= cut) AS kept, round(avg((label = 'N')::INT) FILTER (pident >= cut), 6) AS precision FROM top, (SELECT unnest([30, 50, 70, 90, 100]) AS cut) GROUP BY 1")
 def met18(spark, sf):
     x = tops(spark, sf).select("pident", "label", F.explode(F.array(*map(F.lit, (30, 50, 70, 90, 100)))).alias("cut"))
@@ -113,13 +82,6 @@ def met18(spark, sf):
     return x.groupBy("cut").agg(F.count_if(over).alias("kept"), R(F.avg(F.when(over, (F.col("label") == "N").cast("int")))).alias("precision"))
 
 
-@query("met20_ensemble_rows", f"WITH {SCORES}, u AS (SELECT 'item' AS model, label_id, y, base AS score FROM scores UNION ALL SELECT 'ensemble', label_id, y, round(0.5 * base + 0.5 * context, 6) FROM scores), pt AS (SELECT model, label_id, score, count(*) AS n, sum(y) AS tp FROM u GROUP BY ALL), c AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM pt WINDOW w AS (PARTITION BY model, label_id ORDER BY score DESC)) SELECT model, round(avg(ap), 6) AS macro_ap FROM (SELECT model, label_id, sum(tp * ct / cn) / nullif(sum(tp), 0) AS ap FROM c GROUP BY 1, 2) GROUP BY 1")
-def met20(spark, sf):
-    s = scores(spark, sf)
-    u = s.select(F.lit("item").alias("model"), "label_id", "y", F.col("base").alias("score")).union(s.select(F.lit("ensemble"), "label_id", "y", F.round(S.blend("base", "context"), 6)))
-    return metrics.average_precision(u, ["model", "label_id"]).groupBy("model").agg(R(F.avg("ap")).alias("macro_ap"))
-
-
 @query("met21_definition_sensitivity", f"WITH {SCORES}, f AS (SELECT label_id, y, base AS score, regexp_matches(text, 'License') AS syn, n_chars < 400 AS amb FROM scores JOIN items USING (item_id)), u AS (SELECT 'plain' AS c, * FROM f UNION ALL SELECT 'expanded', label_id, greatest(y, syn::INT), score, syn, amb FROM f UNION ALL SELECT 'no_synonyms', * FROM f WHERE NOT (y = 0 AND syn) UNION ALL SELECT 'no_ambiguous', * FROM f WHERE NOT (y = 0 AND amb)), pt AS (SELECT c, label_id, score, count(*) AS n, sum(y) AS tp FROM u GROUP BY ALL), k AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM pt WINDOW w AS (PARTITION BY c, label_id ORDER BY score DESC)) SELECT c AS condition, label_id, sum(tp) AS positives, round(sum(tp * ct / cn) / nullif(sum(tp), 0), 6) AS ap FROM k GROUP BY 1, 2")
 def met21(spark, sf):
     f = scores(spark, sf).join(items(spark, sf).select("item_id", F.col("text").rlike("License").alias("syn"), (F.col("n_chars") < 400).alias("amb")), "item_id")
@@ -175,12 +137,6 @@ def ev6(spark, sf):
     return regimes(spark, sf).join(o, "query").groupBy(F.concat("regime", "o").alias("regime")).agg(F.count("*").alias("n"), R(F.avg("bits"), 2).alias("bits"))
 
 
-@query("ev7_flag_rows", f"WITH {SCORES} SELECT item_id, label_id, (base >= 0.6)::INT AS high_base, (context >= 0.6)::INT AS high_context, (context - base >= 0.2)::INT AS high_gain, (y = 1 AND context >= 0.5)::INT AS agrees, (host = 'en')::INT AS main_host FROM scores")
-def ev7(spark, sf):
-    f = {"high_base": F.col("base") >= 0.6, "high_context": F.col("context") >= 0.6, "high_gain": F.col("context") - F.col("base") >= 0.2, "agrees": (F.col("y") == 1) & (F.col("context") >= 0.5), "main_host": F.col("host") == "en"}
-    return scores(spark, sf).select("item_id", "label_id", *(c.cast("int").alias(n) for n, c in f.items()))
-
-
 @query("ev8_snippets", "SELECT conv_id, bool_or(regexp_matches(lower(text), 'the')) AS any_hit, array_to_string(list(left(text, 40) ORDER BY turn)[1:3], '|') AS snippets FROM conversations GROUP BY 1")
 def ev8(spark, sf):
     # three rows are kept before the lists are made
@@ -223,36 +179,6 @@ def ev14(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("member")).agg(F.min_by("l_orderkey", F.struct(F.col("l_linenumber") != 1, "l_orderkey")).alias("centre"))
 
 
-@query("ev15_triage", f"WITH {SCORES} SELECT item_id, sum((base >= 0.5)::INT + (context >= 0.5)::INT + (context - base >= 0.1)::INT + (y = 1)::INT)::BIGINT AS triage FROM scores GROUP BY 1")
-def ev15(spark, sf):
-    b = [F.col("base") >= 0.5, F.col("context") >= 0.5, F.col("context") - F.col("base") >= 0.1, F.col("y") == 1]
-    return scores(spark, sf).groupBy("item_id").agg(F.sum(sum((c.cast("int") for c in b), F.lit(0))).alias("triage"))
-
-
-@query("ev17_neighbour_edges", "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.v, b.v) AS w FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(w, 9) DESC, dst) AS k FROM p) SELECT src, dst, round(greatest(0, w), 5) AS w FROM r WHERE k <= 3")
-def ev17(spark, sf):
-    # neighbours inside a block (label); a vector's own norm is computed once
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
-    b = e.select(F.col("vec_id").alias("dst"), "label", F.col("v").alias("u"), F.col("n").alias("m"))
-    p = e.join(b, "label").where("vec_id <> dst").select(F.col("vec_id").alias("src"), "dst", (dot(F.col("v"), F.col("u")) / (F.col("n") * F.col("m"))).alias("w"))
-    k = F.row_number().over(W.partitionBy("src").orderBy(F.desc(F.round("w", 9)), "dst"))
-    return p.withColumn("k", k).where("k <= 3").select("src", "dst", R(F.greatest(F.lit(0.0), "w"), 5).alias("w"))
-
-
-@query("ev18_similarity_cluster_holdout", "WITH RECURSIVE e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY md5(left(text, 60))) AS b FROM documents UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(right(text, 60))) FROM documents), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, b AS c FROM s UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.c) SELECT id AS doc_id, min(c) AS cluster FROM r GROUP BY 1")
-def ev18(spark, sf):
-    from corvane.operators.components import connected_components
-
-    d = table(spark, sf, "documents").select("doc_id", F.md5(F.left("text", F.lit(60)).cast("binary")).alias("h"), F.md5(F.right("text", F.lit(60)).cast("binary")).alias("t"))
-    pairs = None
-    for k in ("h", "t"):
-        part = d.join(d.groupBy(k).agg(F.min("doc_id").alias("dst")), k).select(F.col("doc_id").alias("src"), "dst")
-        pairs = part if pairs is None else pairs.union(part)
-    return connected_components(pairs).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-
-
 @query("ev22_cluster_examples", "SELECT p_brand AS cluster, count(*) AS n, array_to_string(list(p_partkey ORDER BY p_partkey)[1:5], ',') AS examples FROM part GROUP BY 1")
 def ev22(spark, sf):
     k = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
@@ -262,33 +188,12 @@ def ev22(spark, sf):
 # ---- rankings
 
 
-@query("top1_candidate_score", f"WITH {SCORES}, a AS (SELECT item_id, max(context) AS p, max(context) - min(context) AS margin, max(context - base) AS gain FROM scores GROUP BY 1), b AS (SELECT item_id, p, round(0.45 * p + 0.35 * margin + 0.2 * gain, 6) AS score, CASE WHEN p >= 0.85 AND margin >= 0.1 THEN 'confident' WHEN p >= 0.6 THEN 'possible' ELSE 'weak' END AS bucket FROM a) SELECT * FROM b ORDER BY score DESC, p DESC, item_id LIMIT 100")
-def top1(spark, sf):
-    a = scores(spark, sf).groupBy("item_id").agg(F.max("context").alias("p"), (F.max("context") - F.min("context")).alias("margin"), F.max(F.col("context") - F.col("base")).alias("gain"))
-    b = a.select("item_id", "p", R(0.45 * F.col("p") + 0.35 * F.col("margin") + 0.2 * F.col("gain")).alias("score"), F.when((F.col("p") >= 0.85) & (F.col("margin") >= 0.1), "confident").when(F.col("p") >= 0.6, "possible").otherwise("weak").alias("bucket"))
-    return b.orderBy(F.desc("score"), F.desc("p"), "item_id").limit(100)
-
-
 @query("top2_diverse_pick", f"WITH {SCORES}, r AS (SELECT item_id, label_id, host, context, row_number() OVER (PARTITION BY label_id, host ORDER BY context DESC, item_id) AS k FROM scores) SELECT item_id, label_id, host FROM r ORDER BY k > 1, context DESC, item_id, label_id LIMIT 40")
 def top2(spark, sf):
     k = F.row_number().over(W.partitionBy("label_id", "host").orderBy(F.desc("context"), "item_id"))
     return scores(spark, sf).withColumn("k", k).orderBy(F.col("k") > 1, F.desc("context"), "item_id", "label_id").limit(40).select("item_id", "label_id", "host")
 
 
-@query("top5_shortlist", "WITH c AS (SELECT p_brand, count(*) AS n, avg(p_retailprice) AS m FROM part GROUP BY 1) SELECT p_brand, round(least(1, log10(n) / 3) * 0.5 + m / 2000 * 0.5, 6) AS score FROM c WHERE n <= 500 ORDER BY 2 DESC, 1 LIMIT 20")
-def top5(spark, sf):
-    c = table(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.avg("p_retailprice").alias("m")).where("n <= 500")
-    score = R(F.least(F.lit(1.0), F.log10("n") / 3) * 0.5 + F.col("m") / 2000 * 0.5)
-    return c.select("p_brand", score.alias("score")).orderBy(F.desc("score"), "p_brand").limit(20)
-
-
-@query("top6_representatives", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) SELECT p_brand, array_to_string(list(p_partkey ORDER BY k), ',') AS best FROM r WHERE k <= 8 GROUP BY 1")
-def top6(spark, sf):
-    k = F.row_number().over(W.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
-    r = table(spark, sf, "part").withColumn("k", k).where("k <= 8").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("k", "p_partkey"))).alias("l"))
-    return r.select("p_brand", F.concat_ws(",", F.transform("l", lambda x: x["p_partkey"].cast("string"))).alias("best"))
-
-
 @query("top7_members_of_top_clusters", "WITH c AS (SELECT p_brand, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS ck FROM part GROUP BY 1), r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT p_partkey, p_brand FROM r JOIN c USING (p_brand) WHERE k <= 5 AND ck <= 10")
 def top7(spark, sf):
     p = table(spark, sf, "part")
@@ -328,11 +233,3 @@ def jn21(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return shared_kmers(q, d).withColumn("identity", R("identity"))
-
-
-@query("job6_split_audit", VOTES.split(", a AS (SELECT h, label_id")[0] + ", g AS (SELECT label_id, h, bool_or(item_split = 'train') AS a, bool_or(item_split = 'test') AS b, count(*) FILTER (item_split = 'test') AS n FROM x GROUP BY 1, 2) SELECT label_id, count(*) FILTER (a AND b) AS shared, round(sum(n) FILTER (a) / sum(n), 6) AS exact_rate FROM g GROUP BY 1")
-def job6(spark, sf):
-    h = split_items(spark, sf).select("item_id", "item_split", F.md5(F.col("text").cast("binary")).alias("h"))
-    side = lambda s: F.col("item_split") == s
-    g = truth(spark, sf).join(h, "item_id").groupBy("label_id", "h").agg(F.bool_or(side("train")).alias("a"), F.bool_or(side("test")).alias("b"), F.count_if(side("test")).alias("n"))
-    return g.groupBy("label_id").agg(F.count_if(F.col("a") & F.col("b")).alias("shared"), R(F.sum(F.when(F.col("a"), F.col("n"))) / F.sum("n")).alias("exact_rate"))

@@ -1,18 +1,18 @@
-"""Queries: ordered neighbourhoods, resampling and exact tests (order(), AGG12-17, INF)."""
+"""Queries: ordered neighbourhoods and counts (order(), AGG12-17)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corvane.operators import metrics, neighbours, resample
+from corvane.operators import metrics, neighbours
 from corvane.plans.fixtures import SCORES, scores
 from corvane.plans.registry import query
 from corvane.session import table
 
 R = lambda c, n=6: F.round(c, n)
 # genes of an order: coordinates from running quantities; every seventh part has unknown coordinates
-SEQ = """raw AS (SELECT l_orderkey AS seq, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS q, l_returnflag AS strand, l_linestatus AS kind, l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS row_order,
+SEQ = """raw AS (SELECT l_orderkey AS seq, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS q, l_returnflag AS strand, l_linestatus AS kind, l_orderkey * 1000000000000 + l_linenumber * 100000000000 + (l_partkey * 1000 + l_suppkey % 1000) * 100 + l_quantity::BIGINT AS row_order,
 coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM lineitem),
 seqs AS (SELECT seq, row_order, l_partkey, q, strand, kind, CASE WHEN l_partkey % 7 = 0 THEN 0 ELSE before + 1 END AS start, CASE WHEN l_partkey % 7 = 0 THEN 0 ELSE before + q + l_suppkey % 5 END AS end_ FROM raw)"""
 ORD = "(PARTITION BY seq ORDER BY (start <= 0), start, CASE WHEN end_ > 0 THEN end_ ELSE 1000000000000 END, row_order)"
@@ -25,7 +25,7 @@ def sequences(spark, sf):
     unknown, q = F.col("l_partkey") % 7 == 0, F.col("l_quantity").cast("bigint")
     return li.select(
         F.col("l_orderkey").alias("seq"),
-        (F.col("l_orderkey") * 1000000000 + F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("row_order"),
+        (F.col("l_orderkey") * 1000000000000 + F.col("l_linenumber") * 100000000000 + (F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000) * 100 + q).alias("row_order"),
         "l_partkey", q.alias("q"), F.col("l_returnflag").alias("strand"), F.col("l_linestatus").alias("kind"),
         F.when(unknown, 0).otherwise(before + 1).alias("start"), F.when(unknown, 0).otherwise(before + q + F.col("l_suppkey") % 5).alias("end"),
     )
@@ -71,35 +71,18 @@ def win7(spark, sf):
     return sequences(spark, sf).select("seq", "row_order", R(neighbours.leave_one_out(F.col("kind") == "O", "seq")).alias("f"))
 
 
-@query("win8_train_priors", f"WITH {SEQ}, t AS (SELECT *, row_order % 3 <> 0 AS tr, kind = 'O' AS f FROM seqs) SELECT seq, row_order, round((sum((tr AND f)::INT) OVER s - (tr AND f)::INT) / greatest(sum(tr::INT) OVER s - tr::INT, 1)::DOUBLE, 6) AS prior FROM t WINDOW s AS (PARTITION BY seq)")
-def win8(spark, sf):
-    return sequences(spark, sf).select("seq", "row_order", R(neighbours.train_prior(F.col("kind") == "O", F.col("row_order") % 3 != 0, "seq")).alias("prior"))
-
-
-@query("win9_slots", f"WITH {SEQ} SELECT seq, row_order, " + ", ".join(f"{'lag' if k < 0 else 'lead'}(q, {abs(k)}) OVER w AS {'p' if k < 0 else 'n'}{abs(k)}" for k in (-2, -1, 1, 2)) + f" FROM seqs WINDOW w AS {ORD}")
-def win9(spark, sf):
-    s = sequences(spark, sf).withColumn("slots", neighbours.slots(["q", "strand"], order(), 2))
-    return s.select("seq", "row_order", *(F.col("slots")[i]["q"].alias(n) for i, n in enumerate(("p2", "p1", "n1", "n2"))))
-
-
-@query("win10_module_windows", f"WITH {SEQ} SELECT seq, row_order, array_to_string(list(kind) OVER w, '>') AS signature, round(avg((strand = 'N')::INT) OVER w, 6) AS ratio FROM seqs WINDOW w AS (PARTITION BY seq ORDER BY (start <= 0), start, CASE WHEN end_ > 0 THEN end_ ELSE 1000000000000 END, row_order ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)")
-def win10(spark, sf):
-    w = order().rowsBetween(-1, 1)
-    return sequences(spark, sf).select("seq", "row_order", F.concat_ws(">", F.collect_list("kind").over(w)).alias("signature"), R(F.avg((F.col("strand") == "N").cast("int")).over(w)).alias("ratio"))
-
-
-@query("win11_neighbour_text", f"WITH {SEQ}, r AS (SELECT *, row_number() OVER w AS k FROM seqs WINDOW w AS {ORD}) SELECT c.row_order AS centre, string_agg((n.k - c.k) || ':' || n.kind, ' | ' ORDER BY n.k) AS text FROM r c JOIN r n ON c.seq = n.seq AND abs(c.k - n.k) <= 2 WHERE c.l_partkey % 50 = 0 GROUP BY 1")
+@query("win11_neighbour_text", f"WITH {SEQ}, r AS (SELECT *, row_number() OVER w AS k FROM seqs WINDOW w AS {ORD}) SELECT c.row_order AS centre, string_agg((n.k - c.k) || ':' || n.kind, ' | ' ORDER BY n.k) AS text FROM r c JOIN r n ON c.seq = n.seq AND abs(c.k - n.k) <= 2 GROUP BY 1")
 def win11(spark, sf):
     s = sequences(spark, sf)
-    near = neighbours.within(s, s.where("l_partkey % 50 = 0"), order(), "seq", "row_order", 2)
+    near = neighbours.within(s, s, order(), "seq", "row_order", 2)
     t = near.groupBy("centre").agg(F.array_sort(F.collect_list(F.struct("offset", "kind"))).alias("l"))  # at most five rows
     return t.select("centre", F.concat_ws(" | ", F.transform("l", lambda x: F.concat(x["offset"].cast("string"), F.lit(":"), x["kind"]))).alias("text"))
 
 
-@query("jn18_rank_neighbours", f"WITH {SEQ}, r AS (SELECT *, row_number() OVER w AS k FROM seqs WINDOW w AS {ORD}) SELECT c.row_order AS centre, n.row_order, n.k - c.k AS off FROM r c JOIN r n ON c.seq = n.seq AND abs(c.k - n.k) <= 3 WHERE c.l_partkey % 40 = 1")
+@query("jn18_rank_neighbours", f"WITH {SEQ}, r AS (SELECT *, row_number() OVER w AS k FROM seqs WINDOW w AS {ORD}) SELECT c.row_order AS centre, n.row_order, n.k - c.k AS off FROM r c JOIN r n ON c.seq = n.seq AND abs(c.k - n.k) <= 3")
 def jn18(spark, sf):
     s = sequences(spark, sf)
-    return neighbours.within(s, s.where("l_partkey % 40 = 1"), order(), "seq", "row_order", 3).select("centre", "row_order", F.col("offset").alias("off"))
+    return neighbours.within(s, s, order(), "seq", "row_order", 3).select("centre", "row_order", F.col("offset").alias("off"))
 
 
 @query("win15_ranked_hits", "SELECT l_orderkey, l_partkey, k FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS k FROM lineitem) WHERE k <= 2")
@@ -108,11 +91,6 @@ def win15(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", k.alias("k")).where("k <= 2")
 
 
-@query("agg12_sequence_organisation", f"WITH {SEQ} SELECT seq, count(*) AS n, round(avg((strand = 'N')::INT), 6) AS unknown, count(DISTINCT kind) AS kinds, max(end_) - min(CASE WHEN start > 0 THEN start END) AS span, round(avg(q), 6) AS mean, round(stddev_pop(q) / avg(q), 6) AS cv FROM seqs GROUP BY 1")
-def agg12(spark, sf):
-    return sequences(spark, sf).groupBy("seq").agg(F.count("*").alias("n"), R(F.avg((F.col("strand") == "N").cast("int"))).alias("unknown"), F.count_distinct("kind").alias("kinds"), (F.max("end") - F.min(F.when(F.col("start") > 0, F.col("start")))).alias("span"), R(F.avg("q")).alias("mean"), R(F.stddev_pop("q") / F.avg("q")).alias("cv"))
-
-
 @query("agg13_overlap_density", f"WITH {SEQ}, p AS (SELECT *, lag(end_) OVER w AS pe FROM seqs WINDOW w AS {ORD}) SELECT seq, round(count(*) FILTER (pe > 0 AND start > 0 AND pe >= start) / nullif(count(*) FILTER (pe > 0 AND start > 0), 0), 6) AS density, round(sum(end_ - start + 1) FILTER (start > 0) / nullif(max(end_) FILTER (start > 0) - min(start) FILTER (start > 0) + 1, 0), 6) AS compression FROM p GROUP BY 1")
 def agg13(spark, sf):
     p = sequences(spark, sf).withColumn("pe", F.lag("end").over(order()))
@@ -121,7 +99,7 @@ def agg13(spark, sf):
     return p.groupBy("seq").agg(R(F.try_divide(F.count_if(ok & (F.col("pe") >= F.col("start"))), F.count_if(ok))).alias("density"), R(F.try_divide(F.sum(only(F.col("end") - F.col("start") + 1)), F.max(only(F.col("end"))) - F.min(only(F.col("start"))) + 1)).alias("compression"))
 
 
-# ---- counts, resampling
+# ---- counts
 
 K = f"WITH {SCORES}, k AS (SELECT family, label_id, count(*) FILTER (base >= 0.5 AND y = 1) AS tp_a, count(*) FILTER (base >= 0.5 AND y = 0) AS fp_a, count(*) FILTER (base < 0.5 AND y = 1) AS fn_a, count(*) FILTER (context >= 0.5 AND y = 1) AS tp_b, count(*) FILTER (context >= 0.5 AND y = 0) AS fp_b, count(*) FILTER (context < 0.5 AND y = 1) AS fn_b, count(*) AS n, sum(y) AS positives FROM scores GROUP BY 1, 2)"
 F1 = lambda m: f"2.0 * sum(tp_{m}) / nullif(2 * sum(tp_{m}) + sum(fp_{m}) + sum(fn_{m}), 0)"
@@ -159,134 +137,12 @@ def agg17(spark, sf):
     return k.agg(R(F.avg(f1m("a"))).alias("macro"), R(F.try_divide(2.0 * F.sum("tp_a"), 2 * F.sum("tp_a") + F.sum("fp_a") + F.sum("fn_a"))).alias("micro"))
 
 
-@query("agg22_group_deltas", K + f" SELECT host_group, count(*) AS labels, round(avg(d), 6) AS delta, sum(p) AS positives FROM (SELECT label_id || '_' || left(family, 4) AS host_group, family, {F1('b')} - {F1('a')} AS d, sum(positives) AS p FROM k GROUP BY 1, 2) GROUP BY 1")
-def agg22(spark, sf):
-    k = counts(spark, sf).withColumn("host_group", F.concat("label_id", F.lit("_"), F.left("family", F.lit(4))))
-    return k.groupBy("host_group").agg(F.count("*").alias("labels"), R(F.avg(f1m("b") - f1m("a"))).alias("delta"), F.sum("positives").alias("positives"))
-
-
-@query("inf17_leave_one_family_out", K + ", f AS (SELECT family, sum(tp_a) AS ta, sum(fp_a) AS pa, sum(fn_a) AS na, sum(tp_b) AS tb, sum(fp_b) AS pb, sum(fn_b) AS nb FROM k GROUP BY 1), t AS (SELECT sum(ta) AS ta, sum(pa) AS pa, sum(na) AS na, sum(tb) AS tb, sum(pb) AS pb, sum(nb) AS nb FROM f) SELECT family, round(2.0 * (t.tb - f.tb) / (2 * (t.tb - f.tb) + t.pb - f.pb + t.nb - f.nb) - 2.0 * (t.ta - f.ta) / (2 * (t.ta - f.ta) + t.pa - f.pa + t.na - f.na), 6) AS delta_without FROM f, t")
-def inf17(spark, sf):
-    f = summed(counts(spark, sf), "family")
-    total = f.agg(*(F.sum(c).alias(f"t_{c}") for c in f.columns[1:]))
-    rest = f.join(total).select("family", *((F.col(f"t_{c}") - F.col(c)).alias(c) for c in f.columns[1:]))
-    return rest.select("family", R(f1m("b") - f1m("a")).alias("delta_without"))
-
-
-@query("inf18_family_effects", K + f" SELECT family, sum(n) AS n, sum(positives) AS positives, round({F1('b')} - {F1('a')}, 6) AS delta FROM k GROUP BY 1 HAVING sum(n) >= 30 AND sum(positives) >= 15")
-def inf18(spark, sf):
-    f = summed(counts(spark, sf), "family").where("n >= 30 and positives >= 15")
-    return f.select("family", "n", "positives", R(f1m("b") - f1m("a")).alias("delta"))
-
-
-ITER = 40
-DRAWS = f"""nb AS (SELECT family, row_number() OVER (ORDER BY family) - 1 AS place FROM (SELECT DISTINCT family FROM scores)), kk AS (SELECT count(*) AS k FROM nb),
-dr AS (SELECT iter, (('0x' || substr(md5('42|' || iter || '|' || j), 1, 8))::UBIGINT % k)::BIGINT AS place FROM kk, (SELECT unnest(range({ITER})) AS iter) a, LATERAL (SELECT unnest(range(k)) AS j) b),
-wt AS (SELECT iter, family, count(*) AS w FROM dr JOIN nb USING (place) GROUP BY 1, 2)"""
-
-
-@query("inf0_block_weights", f"WITH {SCORES}, {DRAWS} SELECT iter, family, w FROM wt")
-def inf0(spark, sf):
-    return resample.block_weights(scores(spark, sf), "family", ITER)
-
-
-BOOT = """, mg AS (SELECT label_id, {c} AS score, family, count(*) AS n, sum(y) AS tp FROM scores GROUP BY ALL), pt AS (SELECT iter, label_id, score, sum(w * n) AS n, sum(w * tp) AS tp FROM mg JOIN wt USING (family) GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER q AS cn, sum(tp) OVER q AS ct FROM pt WINDOW q AS (PARTITION BY iter, label_id ORDER BY score DESC)), it AS (SELECT iter, avg(ap) AS v FROM (SELECT iter, label_id, sum(tp * ct / cn) / nullif(sum(tp), 0) AS ap FROM c GROUP BY 1, 2) GROUP BY 1)"""
-
-
-@query("inf1_block_bootstrap_ap", f"WITH {SCORES}, {DRAWS}" + BOOT.format(c="context") + " SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM it")
-def inf1(spark, sf):
-    v = resample.bootstrap_ap(scores(spark, sf), [], "family", ITER, score="context")
-    return resample.interval(v, [], "macro_ap").select(*(R(c).alias(c) for c in ("mean", "low", "high")))
-
-
-@query("inf2_paired_bootstrap", f"WITH {SCORES}, {DRAWS}, mg AS (SELECT 'a' AS m, label_id, base AS score, family, count(*) AS n, sum(y) AS tp FROM scores GROUP BY ALL UNION ALL SELECT 'b', label_id, context, family, count(*), sum(y) FROM scores GROUP BY ALL), pt AS (SELECT m, iter, label_id, score, sum(w * n) AS n, sum(w * tp) AS tp FROM mg JOIN wt USING (family) GROUP BY ALL), c AS (SELECT *, sum(n) OVER q AS cn, sum(tp) OVER q AS ct FROM pt WINDOW q AS (PARTITION BY m, iter, label_id ORDER BY score DESC)), it AS (SELECT m, iter, avg(ap) AS v FROM (SELECT m, iter, label_id, sum(tp * ct / cn) / nullif(sum(tp), 0) AS ap FROM c GROUP BY ALL) GROUP BY 1, 2), d AS (SELECT iter, max(v) FILTER (m = 'b') - max(v) FILTER (m = 'a') AS v FROM it GROUP BY 1) SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM d")
-def inf2(spark, sf):
-    u = scores(spark, sf).unpivot(["label_id", "y", "family"], ["base", "context"], "m", "score")
-    v = resample.bootstrap_ap(u, ["m"], "family", ITER)
-    d = v.groupBy("iter").agg((F.max(F.when(F.col("m") == "context", F.col("macro_ap"))) - F.max(F.when(F.col("m") == "base", F.col("macro_ap")))).alias("d"))
-    return resample.interval(d, [], "d").select(*(R(c).alias(c) for c in ("mean", "low", "high")))
-
-
-@query("inf5_delta_f1_bootstrap", K + f", {DRAWS}, it AS (SELECT iter, label_id, {F1('b').replace('sum(', 'sum(w * ')} - {F1('a').replace('sum(', 'sum(w * ')} AS v FROM k JOIN wt USING (family) GROUP BY 1, 2) SELECT label_id, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM it GROUP BY 1")
-def inf5(spark, sf):
-    k = counts(spark, sf)
-    drawn = k.join(resample.block_weights(k, "family", ITER), "family")
-    s = drawn.groupBy("iter", "label_id").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp_a", "fp_a", "fn_a", "tp_b", "fp_b", "fn_b")))
-    return resample.interval(s.select("label_id", (f1m("b") - f1m("a")).alias("d")), ["label_id"], "d").select("label_id", *(R(c).alias(c) for c in ("mean", "low", "high")))
-
-
-@query("inf6_block_swap_permutation", K + f", f AS (SELECT family, sum(tp_a) AS ta, sum(fp_a) AS pa, sum(fn_a) AS na, sum(tp_b) AS tb, sum(fp_b) AS pb, sum(fn_b) AS nb FROM k GROUP BY 1), s AS (SELECT iter, family, iter >= 0 AND ('0x' || substr(md5('42|' || iter || '|' || family), 1, 8))::UBIGINT % 2 = 1 AS sw, f.* EXCLUDE (family) FROM f, (SELECT unnest(range(-1, {ITER})) AS iter)), d AS (SELECT iter, 2.0 * sum(CASE WHEN sw THEN ta ELSE tb END) / sum(CASE WHEN sw THEN 2 * ta + pa + na ELSE 2 * tb + pb + nb END) - 2.0 * sum(CASE WHEN sw THEN tb ELSE ta END) / sum(CASE WHEN sw THEN 2 * tb + pb + nb ELSE 2 * ta + pa + na END) AS d FROM s GROUP BY 1) SELECT round(max(d) FILTER (iter = -1), 6) AS observed, count(*) FILTER (iter >= 0 AND abs(d) >= (SELECT abs(d) FROM d WHERE iter = -1) - 1e-12) / {ITER} AS p FROM d")
-def inf6(spark, sf):
-    t = resample.swap_test(summed(counts(spark, sf), "family"), "family", ITER)
-    return t.select(R("observed").alias("observed"), "p")
-
-
-@query("inf8_bootstrap_of_label_deltas", K + f", d AS (SELECT family, row_number() OVER (ORDER BY family) - 1 AS place, {F1('b')} - {F1('a')} AS d FROM k GROUP BY 1), n AS (SELECT count(*) AS k FROM d), it AS (SELECT iter, avg(d) AS v FROM n, (SELECT unnest(range({ITER})) AS iter) a, LATERAL (SELECT unnest(range(k)) AS j) b JOIN d ON place = (('0x' || substr(md5('42|' || iter || '|' || j), 1, 8))::UBIGINT % k)::BIGINT GROUP BY 1) SELECT round(list_sort(list(v))[2], 6) AS low, round(list_sort(list(v))[39], 6) AS high FROM it")
-def inf8(spark, sf):
-    d = summed(counts(spark, sf), "family").select("family", (f1m("b") - f1m("a")).alias("d"))
-    it = d.join(resample.block_weights(d, "family", ITER), "family").groupBy("iter").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("v"))
-    s = it.agg(F.array_sort(F.collect_list("v")).alias("s"))  # one value an iteration
-    return s.select(R(F.col("s")[1]).alias("low"), R(F.col("s")[38]).alias("high"))
-
-
-@query("inf10_sign_test", K + f", d AS (SELECT label_id, {F1('b')} - {F1('a')} AS d FROM k GROUP BY family, label_id), s AS (SELECT label_id, count(*) FILTER (d > 0) AS a, count(*) FILTER (d < 0) AS b FROM d GROUP BY 1) SELECT label_id, a, b, round(least(1, 2 * list_sum(list_transform(range(least(a, b) + 1), lambda i: exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))))), 6) AS p FROM s")
-def inf10(spark, sf):
-    d = counts(spark, sf).select("label_id", (f1m("b") - f1m("a")).alias("d"))
-    s = d.groupBy("label_id").agg(F.count_if(F.col("d") > 0).alias("a"), F.count_if(F.col("d") < 0).alias("b"))
-    return s.select("label_id", "a", "b", R(resample.sign_test(F.col("a"), F.col("b"))).alias("p"))
-
-
-TWO = f"WITH {SCORES}, t AS (SELECT label_id, count(*) FILTER (base >= 0.5 AND host = 'en') AS a, count(*) FILTER (base < 0.5 AND host = 'en') AS b, count(*) FILTER (base >= 0.5 AND host <> 'en') AS c, count(*) FILTER (base < 0.5 AND host <> 'en') AS d FROM scores WHERE y = 0 GROUP BY 1)"
-
-
-def two_by_two(spark, sf):
-    s = scores(spark, sf).where("y = 0")
-    at = lambda h, over: F.count_if(((F.col("base") >= 0.5) == F.lit(over)) & ((F.col("host") == "en") == F.lit(h)))
-    return s.groupBy("label_id").agg(at(True, True).alias("a"), at(True, False).alias("b"), at(False, True).alias("c"), at(False, False).alias("d"))
-
-
-LC = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
-PX = lambda x: f"exp({LC('(a + b)', x)} + {LC('(c + d)', f'(a + c - {x})')} - {LC('(a + b + c + d)', '(a + c)')})"
-
-
-@query("inf12_fisher_exact", TWO + f" SELECT label_id, round(least(1, list_sum(list_filter(list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda x: {PX('x')}), lambda p: p <= {PX('a')} * (1 + 1e-7)))), 6) AS p FROM t")
-def inf12(spark, sf):
-    return two_by_two(spark, sf).select("label_id", R(resample.fisher(*(F.col(c) for c in "abcd"))).alias("p"))
-
-
-@query("inf13_mcnemar", f"WITH {SCORES}, t AS (SELECT host, label_id, count(*) FILTER (base >= 0.5 AND context < 0.5) AS a, count(*) FILTER (base < 0.5 AND context >= 0.5) AS b FROM scores WHERE y = 1 AND item_id % 7 = 0 GROUP BY 1, 2) SELECT host, label_id, a, b, CASE WHEN a + b > 0 THEN round(least(1, 2 * list_sum(list_transform(range(least(a, b) + 1), lambda i: exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))))), 6) END AS p FROM t")
-def inf13(spark, sf):
-    s = scores(spark, sf).where("y = 1 and item_id % 7 = 0")
-    t = s.groupBy("host", "label_id").agg(F.count_if((F.col("base") >= 0.5) & (F.col("context") < 0.5)).alias("a"), F.count_if((F.col("base") < 0.5) & (F.col("context") >= 0.5)).alias("b"))
-    return t.select("host", "label_id", "a", "b", R(resample.sign_test(F.col("a"), F.col("b"))).alias("p"))
-
-
-@query("inf14_enrichment", TWO + " SELECT label_id, round(a / (a + b) - c / (c + d), 6) AS difference, round((a / (a + b)) / (c / (c + d)), 6) AS ratio, round((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)), 6) AS haldane, round(exp(ln(a * d / (b * c)::DOUBLE) - 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d)), 6) AS low, round(exp(ln(a * d / (b * c)::DOUBLE) + 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d)), 6) AS high FROM t")
-def inf14(spark, sf):
-    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
-    odds, se = F.log(F.try_divide(a * d, b * c)), F.sqrt(F.try_divide(F.lit(1), a) + F.try_divide(F.lit(1), b) + F.try_divide(F.lit(1), c) + F.try_divide(F.lit(1), d))
-    return two_by_two(spark, sf).select("label_id", R(F.try_divide(a, a + b) - F.try_divide(c, c + d)).alias("difference"), R(F.try_divide(F.try_divide(a, a + b), F.try_divide(c, c + d))).alias("ratio"), R((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))).alias("haldane"), R(F.exp(odds - 1.96 * se)).alias("low"), R(F.exp(odds + 1.96 * se)).alias("high"))
-
-
-@query("inf15_paired_contingency", f"WITH {SCORES} SELECT label_id, count(*) FILTER (base >= 0.5 AND context >= 0.5) AS both, count(*) FILTER (base >= 0.5 AND context < 0.5) AS only_a, count(*) FILTER (base < 0.5 AND context >= 0.5) AS only_b, count(*) FILTER (base < 0.5 AND context < 0.5) AS neither FROM scores GROUP BY 1")
-def inf15(spark, sf):
-    a, b = F.col("base") >= 0.5, F.col("context") >= 0.5
-    return scores(spark, sf).groupBy("label_id").agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(~a & ~b).alias("neither"))
-
-
 @query("agg35_seed_mean_sd", f"WITH {SCORES} SELECT label_id, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd FROM (SELECT label_id, item_id % 3 AS seed, avg(base) AS m FROM scores GROUP BY 1, 2) GROUP BY 1")
 def agg35(spark, sf):
     m = scores(spark, sf).groupBy("label_id", (F.col("item_id") % 3).alias("seed")).agg(F.avg("base").alias("m"))
     return m.groupBy("label_id").agg(R(F.avg("m")).alias("mean"), R(F.stddev_samp("m")).alias("sd"))
 
 
-@query("agg23_stratified_summary", f"WITH {SCORES}, u AS (SELECT 'host' AS stratum, host AS v, label_id, base, context FROM scores UNION ALL SELECT 'family', family, label_id, base, context FROM scores) SELECT stratum, v, label_id, count(*) AS n, round(avg(context - base), 6) AS delta FROM u GROUP BY 1, 2, 3 HAVING count(*) >= 20")
-def agg23(spark, sf):
-    u = scores(spark, sf).select("label_id", "base", "context", F.explode(F.create_map(F.lit("host"), "host", F.lit("family"), "family")).alias("stratum", "v"))
-    return u.groupBy("stratum", "v", "label_id").agg(F.count("*").alias("n"), R(F.avg(F.col("context") - F.col("base"))).alias("delta")).where("n >= 20")
-
-
 @query("agg34_label_deep_dive", f"WITH {SCORES} SELECT label_id, sum(y) AS positives, count(DISTINCT family) FILTER (y = 1) AS families, count(*) FILTER (base >= 0.5) AS predicted, count(*) FILTER (base >= 0.5 AND y = 1) AS hit, count(*) FILTER (base >= 0.5 AND y = 0) AS wrong FROM scores GROUP BY 1")
 def agg34(spark, sf):
     over, y = F.col("base") >= 0.5, F.col("y") == 1

@@ -1,4 +1,4 @@
-"""Queries: sketches, seeds, donor shuffles, module and regime tables (PRJ6, PRJ8, FN11, FN15, SMP11, INF3, INF7, JN16, JN20, EV4, EV11, EV21)."""
+"""Queries: sketches, seeds, donor shuffles, module and regime tables (PRJ6, PRJ8, SMP11, JN16, JN20, EV4, EV11, EV21)."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corvane.functions import scalar as S
-from corvane.operators import neighbours, resample
-from corvane.plans.features import ITER, ORD, SEQ, order, sequences
+from corvane.operators import neighbours
+from corvane.plans.features import ORD, SEQ, order, sequences
 from corvane.plans.fixtures import SCORES, bucket_sql, items, scores
 from corvane.plans.registry import query
 from corvane.session import table
@@ -28,28 +28,6 @@ def prj8(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") < 0, "none").when(name.isin("building", "machinery"), "heavy").otherwise("other").alias("bucket"))
 
 
-SLOPES = ((6364136223846793005, 1442695040888963407), (2862933555777941757, 3037000493), (3202034522624059733, 4354685564936845354))
-
-
-@query("fn11_minhash_sketch", "WITH c AS (SELECT p_partkey, list_transform(range(1, greatest(length(p_name) - 3, 0) + 1), lambda i: (ord(substr(p_name, i, 1)) * 16777216::HUGEINT + ord(substr(p_name, i + 1, 1)) * 65536 + ord(substr(p_name, i + 2, 1)) * 256 + ord(substr(p_name, i + 3, 1)))) AS k, length(p_name) AS n FROM part) SELECT p_partkey, " + ", ".join(f"(list_min(list_transform(k, lambda x: (x * {a}::HUGEINT + {b}::HUGEINT) % 18446744073709551616::HUGEINT)) // 4503599627370496::HUGEINT)::BIGINT AS s{i}" for i, (a, b) in enumerate(SLOPES)) + " FROM c")
-def fn11(spark, sf):
-    """Minima of three affine hashes modulo 2**64 over character 4-grams; decimals, since long products would overflow."""
-    dec = lambda x: F.lit(str(x)).cast("decimal(38,0)")
-    at = lambda i, k: F.ascii(F.substring("p_name", i + k, F.lit(1))).cast("bigint")
-    codes = F.transform(F.sequence(F.lit(1), F.length("p_name") - 3), lambda i: at(i, 0) * 16777216 + at(i, 1) * 65536 + at(i, 2) * 256 + at(i, 3))
-    codes = F.when(F.length("p_name") >= 4, codes)
-    p = table(spark, sf, "part").withColumn("k", codes)
-    least = lambda a, b: F.array_min(F.transform("k", lambda x: (x.cast("decimal(18,0)") * F.lit(str(a)).cast("decimal(19,0)") + dec(b)) % dec(2**64)))
-    return p.select("p_partkey", *(F.floor(least(a, b) / dec(2**52)).cast("bigint").alias(f"s{i}") for i, (a, b) in enumerate(SLOPES)))
-
-
-@query("fn15_head_score", "SELECT p_partkey, round((length(substr(lower(p_name), 1, 8)) - length(translate(substr(lower(p_name), 1, 8), 'aeiou', ''))) + CASE WHEN lower(p_name) LIKE 'b%' THEN 0.5 ELSE 0 END - 0.1 * greatest(length(p_name) - 10, 0), 6) AS score FROM part")
-def fn15(spark, sf):
-    head = F.left(F.lower("p_name"), F.lit(8))
-    score = F.length(head) - F.length(F.translate(head, "aeiou", "")) + F.when(F.lower("p_name").startswith("b"), 0.5).otherwise(0.0) - 0.1 * F.greatest(F.length("p_name") - 10, F.lit(0))
-    return table(spark, sf, "part").select("p_partkey", R(score).alias("score"))
-
-
 @query("smp11_shuffle_in_sequence", f"WITH {SEQ}, r AS (SELECT seq, row_order, row_number() OVER w AS a, row_number() OVER (PARTITION BY seq ORDER BY md5('p|' || row_order), row_order) AS b FROM seqs WINDOW w AS {ORD}) SELECT x.seq, x.row_order, y.a AS pos FROM r x JOIN r y ON x.seq = y.seq AND x.a = y.b")
 def smp11(spark, sf):
     digest = F.md5(F.concat(F.lit("p|"), F.col("row_order").cast("string")).cast("binary"))
@@ -58,34 +36,6 @@ def smp11(spark, sf):
     return r.select("seq", "row_order", "a").join(y, ["seq", "a"]).select("seq", "row_order", "pos")
 
 
-F1S = "2.0 * sum(w * tp) / nullif(2 * sum(w * tp) + sum(w * fp) + sum(w * fn), 0)"
-
-
-@query("inf3_seed_averaged_bootstrap", f"WITH {SCORES}, nb AS (SELECT family, row_number() OVER (ORDER BY family) - 1 AS place FROM (SELECT DISTINCT family FROM scores)), kk AS (SELECT count(*) AS k FROM nb), dr AS (SELECT seed, iter, (('0x' || substr(md5(seed || '|' || iter || '|' || j), 1, 8))::UBIGINT % k)::BIGINT AS place FROM kk, (SELECT unnest([1, 2, 3]) AS seed) s, (SELECT unnest(range({ITER})) AS iter) a, LATERAL (SELECT unnest(range(k)) AS j) b), wt AS (SELECT seed, iter, family, count(*) AS w FROM dr JOIN nb USING (place) GROUP BY ALL), k AS (SELECT family, count(*) FILTER (base >= 0.5 AND y = 1) AS tp, count(*) FILTER (base >= 0.5 AND y = 0) AS fp, count(*) FILTER (base < 0.5 AND y = 1) AS fn FROM scores GROUP BY 1), v AS (SELECT seed, iter, {F1S} AS f FROM k JOIN wt USING (family) GROUP BY 1, 2), m AS (SELECT iter, avg(f) AS f FROM v GROUP BY 1) SELECT round(avg(f), 6) AS mean, round(quantile_cont(f, 0.025), 6) AS low, round(quantile_cont(f, 0.975), 6) AS high FROM m")
-def inf3(spark, sf):
-    s, runs = scores(spark, sf), None
-    for seed in (1, 2, 3):
-        v = resample.bootstrap_f1(s.withColumn("score", F.col("base")), [], "family", ITER, seed)
-        runs = v if runs is None else runs.union(v)
-    return resample.interval(runs.groupBy("iter").agg(F.avg("f1").alias("f")), [], "f").select(*(R(c).alias(c) for c in ("mean", "low", "high")))
-
-
-@query("inf7_item_bootstrap_in_family", f"WITH {SCORES}, s AS (SELECT *, {bucket_sql("'i|' || item_id || '|' || iter", 3)} AS w FROM scores, (SELECT unnest(range(10)) AS iter) WHERE family IN ('src1', 'src2')), v AS (SELECT family, iter, 2.0 * sum(w * (base >= 0.5 AND y = 1)::INT) / nullif(sum(w * ((base >= 0.5)::INT + y)), 0) AS f FROM s GROUP BY 1, 2) SELECT family, round(avg(f), 6) AS mean, round(quantile_cont(f, 0.025), 6) AS low, round(quantile_cont(f, 0.975), 6) AS high FROM v GROUP BY 1")
-def inf7(spark, sf):
-    s = scores(spark, sf).where("family in ('src1', 'src2')").withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    w = S.stable_bucket(F.concat(F.lit("i|"), F.col("item_id").cast("string"), F.lit("|"), F.col("iter").cast("string")), 3)
-    over = (F.col("base") >= 0.5).cast("int")
-    v = s.withColumn("w", w).groupBy("family", "iter").agg(F.try_divide(2.0 * F.sum(F.col("w") * over * F.col("y")), F.sum(F.col("w") * (over + F.col("y")))).alias("f"))
-    return resample.interval(v, ["family"], "f").select("family", *(R(c).alias(c) for c in ("mean", "low", "high")))
-
-
-@query("jn16_module_prioritisation", "WITH j AS (SELECT p_brand AS cluster, p_partkey, coalesce(n, 0) AS n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON p_partkey = l_partkey) SELECT cluster, count(*) AS members, sum(n) AS candidates, max_by(p_partkey, struct_pack(a := n, b := -p_partkey)) AS best FROM j GROUP BY 1")
-def jn16(spark, sf):
-    n = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
-    j = table(spark, sf, "part").join(n, "p_partkey", "left").select(F.col("p_brand").alias("cluster"), "p_partkey", F.coalesce("n", F.lit(0)).alias("n"))
-    return j.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("candidates"), F.max_by("p_partkey", F.struct("n", -F.col("p_partkey"))).alias("best"))
-
-
 @query("jn20_other_backbone", "WITH r AS (SELECT source, lang, avg(n_chars) AS v FROM documents GROUP BY 1, 2) SELECT source, round(max(v) FILTER (lang = 'en') - max(v) FILTER (lang = 'fr'), 4) AS delta FROM r GROUP BY 1")
 def jn20(spark, sf):
     r = table(spark, sf, "documents").groupBy("source", "lang").agg(F.avg("n_chars").alias("v"))
@@ -99,10 +49,10 @@ def ev4(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.when(~known, "orphan").when(F.col("p_size") > 40, "ambiguous").when(F.col("p_retailprice") > 1200, "resolved").otherwise("weak").alias("regime"))
 
 
-@query("ev11_case_evidence", f"WITH {SEQ}, r AS (SELECT *, row_number() OVER w AS k FROM seqs WINDOW w AS {ORD}) SELECT c.row_order AS centre, count(*) FILTER (n.k <> c.k) AS neighbours, sum(n.q) FILTER (n.k <> c.k) AS q, max(p_brand) AS brand FROM r c JOIN r n ON c.seq = n.seq AND abs(c.k - n.k) <= 2 LEFT JOIN part ON p_partkey = c.l_partkey WHERE c.l_partkey % 60 = 2 GROUP BY 1")
+@query("ev11_case_evidence", f"WITH {SEQ}, r AS (SELECT *, row_number() OVER w AS k FROM seqs WINDOW w AS {ORD}) SELECT c.row_order AS centre, count(*) FILTER (n.k <> c.k) AS neighbours, sum(n.q) FILTER (n.k <> c.k) AS q, max(p_brand) AS brand FROM r c JOIN r n ON c.seq = n.seq AND abs(c.k - n.k) <= 2 LEFT JOIN part ON p_partkey = c.l_partkey GROUP BY 1")
 def ev11(spark, sf):
     s = sequences(spark, sf)
-    near = neighbours.within(s, s.where("l_partkey % 60 = 2"), order(), "seq", "row_order", 2)
+    near = neighbours.within(s, s, order(), "seq", "row_order", 2)
     other = F.col("offset") != 0
     g = near.groupBy("centre").agg(F.count_if(other).alias("neighbours"), F.sum(F.when(other, F.col("q"))).alias("q"), F.max(F.when(~other, F.col("l_partkey"))).alias("p_partkey"))
     return g.join(table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("brand")), "p_partkey", "left").select("centre", "neighbours", "q", "brand")

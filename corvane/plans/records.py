@@ -29,12 +29,66 @@ def src3(spark, sf):
     return records.sequence_records(spark, path).select("id", "sequence", F.col("length").cast("bigint").alias("length"))
 
 
-@query("src5_locations", "SELECT l_orderkey, l_linenumber, l_partkey, least(l_partkey, l_suppkey)::INT AS start, greatest(l_partkey, l_suppkey)::INT AS end_, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS strand FROM lineitem")
+@query("src5_locations", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, least(l_partkey, l_suppkey)::INT AS start, (CASE WHEN l_linenumber % 3 = 0 THEN greatest(l_partkey, l_suppkey) + 100 ELSE greatest(l_partkey, l_suppkey) END)::INT AS end_, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS strand, CASE WHEN l_linenumber % 3 = 0 THEN 'join' ELSE 'simple' END AS kind, CASE WHEN l_linenumber % 3 = 0 THEN 2 ELSE 1 END AS parts, l_linenumber % 5 = 0 AS partial_left, l_linenumber % 7 = 0 AS partial_right FROM lineitem")
 def src5(spark, sf):
     li = table(spark, sf, "lineitem")
-    text = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "complement(").otherwise(""), F.col("l_partkey").cast("string"), F.lit(".."), F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ")").otherwise(""))
+    n, low, high = F.col("l_linenumber"), F.least("l_partkey", "l_suppkey").cast("string"), F.greatest("l_partkey", "l_suppkey")
+    one = F.concat(F.when(n % 5 == 0, "<").otherwise(""), low, F.lit(".."), F.when(n % 7 == 0, ">").otherwise(""), high.cast("string"))
+    two = F.concat(F.lit("join("), one, F.lit(",A12.1:"), high.cast("string"), F.lit(".."), (high + 100).cast("string"), F.lit(")"))
+    text = F.when(n % 3 == 0, two).otherwise(one)
+    text = F.when(n % 2 == 0, F.concat(F.lit("complement("), text, F.lit(")"))).otherwise(text)
     loc = records.location("loc")
-    return li.withColumn("loc", text).select("l_orderkey", "l_linenumber", "l_partkey", loc["start"].alias("start"), loc["end"].alias("end_"), loc["strand"].alias("strand"))
+    return li.withColumn("loc", text).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", loc["start"].alias("start"), loc["end"].alias("end_"), *(loc[c].alias(c) for c in ("strand", "kind", "parts", "partial_left", "partial_right")))
+
+
+@query("src2_capped_rows", "SELECT least(count(*), 12) AS n, min(length(n_name)) >= 1 AS named FROM nation")
+def src2(spark, sf):
+    """The row cap of a scan: it is the feature."""
+    path = scratch(spark, "capped") + "/t.tsv"
+    records.write_delimited(table(spark, sf, "nation"), path, ["n_name", "n_nationkey"])
+    few = records.delimited(spark, path, "n_name string, n_nationkey string", most=12)
+    return few.agg(F.count("*").alias("n"), (F.min(F.length("n_name")) >= 1).alias("named"))
+
+
+@query("src4_flat_records", "SELECT 'O' || o_orderkey AS accession, o_orderpriority AS definition, (o_orderkey % 900 + 90)::INT AS length, o_custkey::VARCHAR AS taxon, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS host, coalesce(n, 0) AS features, coalesce(back, 0) AS complements, coalesce(product, '') AS product FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS back, min(l_returnflag || ' ' || l_linestatus) AS product FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
+def src4(spark, sf):
+    """Orders as annotated flat records with their lines as features, written and parsed again."""
+    path = scratch(spark, "flat") + "/f"
+    li = table(spark, sf, "lineitem")
+    back = F.col("l_returnflag") == "R"
+    place = F.concat(F.col("l_linenumber").cast("string"), F.lit(".."), F.col("l_partkey").cast("string"))
+    gene = F.concat(F.lit("     CDS             "), F.when(back, F.concat(F.lit("complement("), place, F.lit(")"))).otherwise(place), F.lit('\n                     /gene="g'), F.col("l_linenumber").cast("string"), F.lit('"\n                     /product="'), F.col("l_returnflag"), F.lit("\n                     "), F.col("l_linestatus"), F.lit('"\n                     /db_xref="a:1"\n                     /db_xref="b:2"'))
+    genes = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.concat_ws("\n", F.array_sort(F.collect_list(gene))).alias("genes"))  # lines of one order
+    o, key = table(spark, sf, "orders").join(genes, "o_orderkey", "left"), F.col("o_orderkey").cast("string")
+    length = (F.col("o_orderkey") % 900 + 90).cast("string")
+    host = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('\n                     /host="'), "o_orderstatus", F.lit('"'))).otherwise("")
+    head = F.concat(F.lit("LOCUS       O"), key, F.lit("   "), length, F.lit(" bp    DNA     linear\nDEFINITION  "), "o_orderpriority", F.lit("\nACCESSION   O"), key, F.lit("\nFEATURES             Location/Qualifiers\n     source          1.."), length, host, F.lit('\n                     /db_xref="taxon:'), F.col("o_custkey").cast("string"), F.lit('"\n'))
+    o.select(F.concat(head, F.coalesce(F.concat("genes", F.lit("\n")), F.lit("")), F.lit("ORIGIN\n        1 acgt\n//"))).write.mode("overwrite").text(path)
+    genes = F.filter("features", lambda x: x["type"] == "CDS")
+    products = F.transform(genes, lambda x: F.element_at(F.try_element_at(x["qualifiers"], F.lit("product")), 1))
+    return records.flat_records(spark, path).select("accession", "definition", "length", "source.taxon", "source.host", F.size(genes).cast("bigint").alias("features"), F.size(F.filter(genes, lambda x: F.contains(x["location"], F.lit("complement")))).cast("bigint").alias("complements"), F.coalesce(F.array_min(products), F.lit("")).alias("product"))
+
+
+@query("src6_atom_quality", "SELECT l_returnflag AS model, count(DISTINCT l_orderkey % 9999) AS residues, round(avg(l_quantity + 45), 4) AS mean, round(median(l_quantity + 45), 4) AS median, round(avg((l_quantity + 45 >= 70)::INT), 6) AS high, round(avg((l_quantity + 45 >= 90)::INT), 6) AS very_high FROM lineitem GROUP BY 1")
+def src6(spark, sf):
+    """Lines as fixed-width atoms, one model for each return flag."""
+    path = scratch(spark, "atoms") + "/a"
+    residue = F.lpad((F.col("l_orderkey") % 9999).cast("string"), 4, " ")
+    line = F.concat(F.lit("ATOM  "), F.lit("    1"), F.lit("  CA  ALA A"), residue, F.lit("       0.000   0.000   0.000  1.00"), F.lpad(F.format_string("%.2f", F.col("l_quantity") + 45), 6, " "))
+    table(spark, sf, "lineitem").select(line.alias("value"), F.col("l_returnflag").alias("model")).write.mode("overwrite").partitionBy("model").text(path)
+    q = records.atom_quality(spark, path, r"model=([^/]*)/")
+    return q.select("model", "residues", R("mean", 4).alias("mean"), R("median", 4).alias("median"), R("high").alias("high"), R("very_high").alias("very_high"))
+
+
+@query("snk3_wrapped_sequences", "WITH s AS (SELECT 'p' || p_partkey AS id, regexp_replace(upper(repeat(p_name || p_type, 9)), '[^A-Z]', '', 'g') AS s FROM part) SELECT id, length(s) AS length, ceil(length(s) / 80.0)::BIGINT AS lines, least(80, length(s)) AS widest FROM s")
+def snk3(spark, sf):
+    """Sequences longer than a line: the lines of each record and the widest of them."""
+    path = scratch(spark, "wrapped") + "/f"
+    p = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.repeat(F.concat("p_name", "p_type"), F.lit(9)).alias("sequence"))
+    records.write_sequences(p, path)
+    rec = spark.read.option("lineSep", "\n>").text(path).select(F.split(F.regexp_replace("value", r"^>|\n$", ""), "\n").alias("l"))
+    body = F.transform(F.slice("l", F.lit(2), F.size("l")), F.length)
+    return rec.select(F.col("l")[0].alias("id"), F.aggregate(body, F.lit(0), lambda a, x: a + x).cast("bigint").alias("length"), F.size(body).cast("bigint").alias("lines"), F.array_max(body).cast("bigint").alias("widest"))
 
 
 @query("src7_hierarchy_dump", "SELECT n_nationkey::VARCHAR AS id, n_regionkey::VARCHAR AS parent, n_name AS name FROM nation")
@@ -63,98 +117,3 @@ def snk2(spark, sf):
     path = scratch(spark, "report") + "/r"
     records.write_report(r, path)
     return spark.read.schema("n bigint, families bigint, l array<string>").json(path).select("n", "families", F.concat_ws(",", "l").alias("top"))
-
-
-@query("smp10_corrupt_fraction", "WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY md5('c|' || doc_id)) AS k, count(*) OVER () AS n FROM documents) SELECT count(*) FILTER (k <= round_even(n * 0.2, 0)) AS changed, count(*) AS n FROM r")
-def smp10(spark, sf):
-    # the lowest hashes are chosen; their number is exact, their place needs no global order
-    d = table(spark, sf, "documents").select("doc_id", F.md5(F.concat(F.lit("c|"), F.col("doc_id").cast("string")).cast("binary")).alias("h"))
-    n = d.agg(F.bround(F.count("*") * 0.2).cast("bigint").alias("want"), F.count("*").alias("n"))
-    return n.select(F.least("want", "n").alias("changed"), "n")
-
-
-@query("smp12_local_swap", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN (('0x' || substr(md5('w|' || l_orderkey || '|' || l_linenumber), 1, 8))::UBIGINT % 10000) < 5000 THEN l_tax ELSE l_discount END AS prev, CASE WHEN (('0x' || substr(md5('w|' || l_orderkey || '|' || l_linenumber), 1, 8))::UBIGINT % 10000) < 5000 THEN l_discount ELSE l_tax END AS next FROM lineitem")
-def smp12(spark, sf):
-    swap = S.stable_bucket(F.concat_ws("|", F.lit("w"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))) < 5000
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(swap, F.col("l_tax")).otherwise(F.col("l_discount")).alias("prev"), F.when(swap, F.col("l_discount")).otherwise(F.col("l_tax")).alias("next"))
-
-
-SIGNED = f"WITH {SCORES}, d AS (SELECT label_id, host, round(avg(context - base), 4) AS d FROM scores GROUP BY label_id, host, family), r AS (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY abs(d)) AS k, count(*) OVER (PARTITION BY label_id, abs(d)) AS t FROM d WHERE d <> 0), a AS (SELECT label_id, d, min(k) OVER (PARTITION BY label_id, abs(d)) + (t - 1) / 2.0 AS rank, t FROM r), w AS (SELECT label_id, sum(rank) FILTER (d > 0) AS plus, sum(rank) FILTER (d < 0) AS minus, count(*) AS n FROM a GROUP BY 1)"
-
-
-@query("inf11_signed_rank", SIGNED + " SELECT label_id, round(least(coalesce(plus, 0), coalesce(minus, 0)), 2) AS w, n FROM w")
-def inf11(spark, sf):
-    d = scores(spark, sf).groupBy("label_id", "host", "family").agg(F.round(F.avg(F.col("context") - F.col("base")), 4).alias("d")).where("d <> 0")
-    k, t = F.row_number().over(W.partitionBy("label_id").orderBy(F.abs("d"))), W.partitionBy("label_id", F.abs("d"))
-    r = d.withColumn("k", k).withColumn("rank", F.min("k").over(t) + (F.count("*").over(t) - 1) / 2.0)
-    side = lambda c: F.coalesce(F.sum(F.when(c, F.col("rank"))), F.lit(0.0))
-    return r.groupBy("label_id").agg(R(F.least(side(F.col("d") > 0), side(F.col("d") < 0)), 2).alias("w"), F.count("*").alias("n"))
-
-
-@query("inf16_linear_regression", "SELECT round(regr_slope(l_extendedprice, l_quantity), 2) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
-def inf16(spark, sf):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    df = VectorAssembler(inputCols=["l_quantity"], outputCol="x").transform(table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice"))
-    m = LinearRegression(featuresCol="x", labelCol="l_extendedprice", solver="normal").fit(df)
-    return spark.createDataFrame([(round(float(m.coefficients[0]), 2), round(m.summary.r2, 6))], "slope double, r2 double")
-
-
-@query("fn18_low_complexity")
-def fn18(spark, sf):
-    """Share of characters in windows of 12 with at most four symbols."""
-    p = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("s"))
-    at = F.sequence(F.lit(1), F.greatest(F.length("s") - 11, F.lit(1)))
-    few = F.transform(at, lambda i: F.size(F.array_distinct(F.split(F.substring("s", i, F.lit(12)), ""))) <= 4)
-    return p.select("p_partkey", R(F.size(F.filter(few, lambda x: x)) / F.size(few)).alias("share"))
-
-
-@query("ev16_density_clusters")
-def ev16(spark, sf):
-    """Vectors within a cosine distance of 0.15 inside their label; cores have five neighbours; -1 is noise."""
-    from corvane.operators.components import connected_components
-
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
-    o = e.select(F.col("vec_id").alias("other"), "label", F.col("v").alias("u"), F.col("n").alias("m"))
-    near = e.join(o, "label").where(dot(F.col("v"), F.col("u")) >= 0.85 * F.col("n") * F.col("m")).select("vec_id", "other")
-    core = near.groupBy("vec_id").agg(F.count("*").alias("k")).where("k >= 5").select("vec_id")
-    links = near.join(core, "vec_id").join(core.withColumnRenamed("vec_id", "other"), "other")
-    c = connected_components(links.select(F.col("vec_id").alias("src"), F.col("other").alias("dst")))
-    edge = near.join(c, near.other == c.node).groupBy("vec_id").agg(F.min("component").alias("cluster"))
-    return e.select("vec_id").join(edge, "vec_id", "left").select("vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-
-
-@query("met14_temperature")
-def met14(spark, sf):
-    """Temperature with the least cross-entropy, by golden-section search; each step is one aggregate over the logits."""
-    z = scores(spark, sf).select("y", F.log((F.col("base") + 0.005) / (1.005 - F.col("base"))).alias("z")).groupBy("y", "z").agg(F.count("*").alias("n"))
-    grid = [0.25 * 1.05**k for k in range(70)]
-    p = lambda t: F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), S.sigmoid("z", t)))
-    loss = [F.sum(-F.col("n") * F.when(F.col("y") == 1, F.log(p(t))).otherwise(F.log(1 - p(t)))).alias(f"l{k}") for k, t in enumerate(grid)]
-    one = z.agg(*loss)
-    best = F.array_min(F.array(*(F.struct(F.col(f"l{k}").alias("loss"), F.lit(t).alias("t")) for k, t in enumerate(grid))))
-    return one.select(best["t"].alias("temperature"), best["loss"].alias("loss"))
-
-
-@query("met23_linear_probe")
-def met23(spark, sf):
-    """A weighted logistic probe on text features, one for each label, and its average precision."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    from corvane.operators import metrics
-    from corvane.plans.fixtures import items, truth
-
-    f = items(spark, sf).select("item_id", F.log1p("n_chars").alias("len"), S.charset_share("text", "|#$%&*").alias("signs"), S.charset_share("text", "aeiou").alias("vowels"))
-    out = None
-    for label in ("quality", "toxic"):
-        t = truth(spark, sf).where(F.col("label_id") == label).join(f, "item_id")
-        df = VectorAssembler(inputCols=["len", "signs", "vowels"], outputCol="x").transform(t)
-        m = LogisticRegression(featuresCol="x", labelCol="y", maxIter=20).fit(df)
-        part = m.transform(df).select("label_id", "y", vector_to_array("probability")[1].alias("score"))
-        out = part if out is None else out.union(part)
-    return metrics.average_precision(out, ["label_id"]).select("label_id", "positives", R("ap", 3).alias("ap"))

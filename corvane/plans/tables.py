@@ -225,11 +225,6 @@ def fn16(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.best_window(F.lower("p_name"), WEIGHTS, 5).alias("best"))
 
 
-@query("fn14_dense_windows")
-def fn14(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", "p_name", S.dense_windows(F.lower("p_name"), "aeiou", 4, 0.5).alias("n"))
-
-
 @query("fn17_composition", "SELECT doc_id, round(0.6 * v - 0.3 * t + 0.1, 6) AS s FROM (SELECT doc_id, (length(text) - length(translate(text, 'aeiou', ''))) / greatest(length(text), 1)::DOUBLE AS v, (length(text) - length(translate(text, 'nrst', ''))) / greatest(length(text), 1)::DOUBLE AS t FROM documents)")
 def fn17(spark, sf):
     return table(spark, sf, "documents").select("doc_id", R(0.6 * S.charset_share("text", "aeiou") - 0.3 * S.charset_share("text", "nrst") + 0.1).alias("s"))
@@ -302,13 +297,6 @@ def smp5(spark, sf):
     return few.select("doc_id", F.format_string("B-%05d", n).alias("blind_id"))
 
 
-@query("smp9_shuffle_in_family", "WITH r AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS a, row_number() OVER (PARTITION BY source ORDER BY md5('s|' || doc_id), doc_id) AS b FROM documents) SELECT x.doc_id, y.lang AS donor_lang FROM r x JOIN r y ON x.source = y.source AND x.a = y.b")
-def smp9(spark, sf):
-    from corvane.operators.sampling import shuffle_within
-
-    return shuffle_within(table(spark, sf, "documents"), "source", "doc_id", "s").select("doc_id", F.col("donor_lang"))
-
-
 @query("smp13_canonical_run", "WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (value > 50) DESC, ts DESC, event_id) AS k FROM events) SELECT event_id, k = 1 AS canonical FROM r")
 def smp13(spark, sf):
     k = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy(F.desc(F.col("value") > 50), F.desc("ts"), "event_id"))

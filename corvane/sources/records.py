@@ -32,7 +32,9 @@ def sequence_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flat_records(spark: SparkSession, path: str) -> DataFrame:
-    """Annotated flat records that end in ``//``: (accession, definition, features array of (type, location, qualifiers))."""
+    """Annotated flat records that end in ``//``: (accession, locus, definition, organism, taxonomy, length, molecule, source,
+    features array of (type, location, qualifiers)). Qualifiers are a map from name to the array of its values, in order; ``source``
+    holds the first source feature's qualifiers taxon, host, segment, isolate, place and date."""
     rec = spark.read.option("lineSep", "\n//\n").text(path).where("value like '%LOCUS%'")
     field = lambda name: F.trim(F.regexp_extract("value", rf"(?m)^{name}\s+(.*)$", 1))
     block = F.regexp_extract("value", r"(?s)FEATURES[^\n]*\n(.*?)(?:\nORIGIN|\z)", 1)
@@ -42,17 +44,39 @@ def flat_records(spark: SparkSession, path: str) -> DataFrame:
         lambda x: F.struct(
             F.regexp_extract(x, r"^(\S+)", 1).alias("type"),
             F.regexp_replace(F.regexp_extract(x, r"(?s)^\S+\s+(.*?)(?:\n\s+/|\z)", 1), r"\s+", "").alias("location"),
-            F.map_from_entries(
-                F.transform(F.regexp_extract_all(x, F.lit(r"/(\w+)=\"([^\"]*)\""), F.lit(0)), lambda q: F.struct(F.regexp_extract(q, r"/(\w+)=", 1).alias("k"), F.regexp_extract(q, r"=\"([^\"]*)\"", 1).alias("v")))
-            ).alias("qualifiers"),
+            _grouped(F.transform(F.regexp_extract_all(x, F.lit(r"/(\w+)=\"([^\"]*)\""), F.lit(0)), lambda q: F.struct(F.regexp_extract(q, r"/(\w+)=", 1).alias("k"), F.regexp_replace(F.regexp_extract(q, r"=\"([^\"]*)\"", 1), r"\s+", " ").alias("v")))).alias("qualifiers"),
         ),
     )
-    return rec.select(field("ACCESSION").alias("accession"), field("DEFINITION").alias("definition"), feature.alias("features"))
+    locus = F.regexp_extract_all("value", F.lit(r"(?m)^LOCUS\s+(\S+)\s+(\d+)\s+bp\s+(\S+)"), F.lit(0))
+    locus = F.coalesce(F.get(locus, 0), F.lit(""))
+    lines = F.regexp_extract("value", r"(?s)\n  ORGANISM\s+([^\n]*(?:\n {12}[^\n]*)*)", 1)
+    out = rec.select(
+        field("ACCESSION").alias("accession"),
+        F.regexp_extract(locus, r"^LOCUS\s+(\S+)", 1).alias("locus"),
+        field("DEFINITION").alias("definition"),
+        F.trim(F.substring_index(lines, "\n", 1)).alias("organism"),
+        F.trim(F.regexp_replace(F.regexp_replace(lines, r"^[^\n]*", ""), r"\s+", " ")).alias("taxonomy"),
+        F.regexp_extract(locus, r"(\d+)\s+bp", 1).try_cast("int").alias("length"),
+        F.regexp_extract(locus, r"bp\s+(\S+)", 1).alias("molecule"),
+        feature.alias("features"),
+    )
+    first = F.try_element_at(F.filter("features", lambda x: x["type"] == "source"), F.lit(1))["qualifiers"]
+    one = lambda name: F.try_element_at(F.try_element_at(first, F.lit(name)), F.lit(1))
+    taxon = F.regexp_extract(F.array_join(F.try_element_at(first, F.lit("db_xref")), " "), r"taxon:(\d+)", 1)
+    source = F.struct(F.nullif(taxon, F.lit("")).alias("taxon"), *(one(n).alias(a) for n, a in (("host", "host"), ("segment", "segment"), ("isolate", "isolate"), ("geo_loc_name", "place"), ("collection_date", "date"))))
+    return out.select("accession", "locus", "definition", "organism", "taxonomy", "length", "molecule", source.alias("source"), "features")
+
+
+def _grouped(pairs: Column) -> Column:
+    """A map from each name to the array of its values; names may repeat."""
+    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"])))
 
 
 def location(c: Column | str) -> dict[str, Column]:
     """Columns of a location: kind, start, end, strand, parts, partial ends."""
     c = F.col(c) if isinstance(c, str) else c
+    c = F.regexp_replace(c, r"[A-Za-z_][A-Za-z0-9_]*(?:\.[0-9]+)?:", "")  # accessions of remote parts
     n = F.transform(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
     parts = F.regexp_count(c, F.lit(r"\d+\.\."))
     kind = F.when(F.contains(c, F.lit("join")), "join").when(F.contains(c, F.lit("order")), "order").otherwise("simple")
@@ -67,9 +91,10 @@ def location(c: Column | str) -> dict[str, Column]:
     }
 
 
-def atom_quality(spark: SparkSession, path: str) -> DataFrame:
-    """Fixed-width atom lines, alpha carbons only: residues, mean and median confidence, shares of at least 70 and 90."""
-    lines = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("model"))
+def atom_quality(spark: SparkSession, path: str, model: str = r"([^./]*)(?:\.[^/]*)?$") -> DataFrame:
+    """Fixed-width atom lines, alpha carbons only: residues, mean and median confidence, shares of at least 70 and 90. A model's name
+    is the first group of the pattern ``model`` in the file's path, by default the file name up to its first dot."""
+    lines = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_path"), model, 1).alias("model"))
     ca = lines.where("substring(value, 1, 4) = 'ATOM' and trim(substring(value, 13, 4)) = 'CA'").select("model", F.substring("value", 22, 5).alias("residue"), F.trim(F.substring("value", 61, 6)).try_cast("double").alias("b"))
     return ca.groupBy("model").agg(F.count_distinct("residue").alias("residues"), F.avg("b").alias("mean"), F.percentile("b", F.lit(0.5)).alias("median"), F.avg((F.col("b") >= 70).cast("int")).alias("high"), F.avg((F.col("b") >= 90).cast("int")).alias("very_high"))
 

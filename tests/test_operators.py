@@ -2,14 +2,16 @@
 
 import itertools
 import json
+import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import scalar as S
-from corvane.operators import audit, conform, hierarchy, matching, metrics, neighbours, resample, validate
+from corvane.operators import audit, conform, hierarchy, matching, metrics, neighbours, ranking, regression, resample, sampling, similar, skew, validate, vectors
 from corvane.operators.components import connected_components
 from corvane.plans import registry
 from corvane.sources import records
@@ -117,10 +119,97 @@ def test_exact_tests_have_known_values(spark):
     assert one.select(resample.fisher(F.lit(5), F.lit(22), F.lit(17), F.lit(10)).alias("p")).first().p == pytest.approx(0.001973, abs=1e-6)
 
 
-def test_single_block_bootstrap_has_no_spread(spark):
+def test_single_block_has_no_interval(spark):
     df = spark.createDataFrame([("f", "l", 0.9, 1), ("f", "l", 0.2, 0)], "family string, label_id string, score double, y int")
-    v = {r.macro_ap for r in resample.bootstrap_ap(df, [], "family", 5).collect()}
-    assert v == {1.0}
+    r = resample.interval(resample.bootstrap_ap(df, [], "family", 5), [], "macro_ap").first()
+    assert (r["mean"], r.low, r.high) == (None, None, None)
+    assert resample.weighted_cache_ap(df, "family", 5).count() == 0
+
+
+def test_ranks_and_running_sums_over_ranges(spark):
+    rng = random.Random(31)
+    data = [(None if k % 7 == 0 else "g" * (1 + k % 2), rng.randint(0, 50), k) for k in range(300)]
+    df = spark.createDataFrame(data, "g string, v int, k int")
+    got = {r.k: (r.rank, r.s) for r in ranking.running(df, ["g"], [F.desc("v"), F.col("k")], {"rank": F.lit(1), "s": F.col("v")}).collect()}
+    for g in (None, "g", "gg"):
+        total = 0
+        for n, (_, v, k) in enumerate(sorted((x for x in data if x[0] == g), key=lambda x: (-x[1], x[2])), 1):
+            total += v
+            assert got[k] == (n, total)
+
+
+def test_signed_rank_equals_enumeration_and_the_normal_law(spark):
+    free = [1.5, -0.2, 3.0, 2.5, -0.7, 4.0, 0.9]
+    tied = [1.0, 1.0, -1.0, 2.0, 2.0, -3.0, 4.0, 0.0]
+    df = spark.createDataFrame([("free", x) for x in free] + [("tied", x) for x in tied], "k string, d double")
+    got = {r.k: r for r in resample.signed_rank(df, "k", "d").collect()}
+    w = [sum(r * s for r, s in zip(range(1, 8), signs)) for signs in itertools.product((0, 1), repeat=7)]
+    assert got["free"].w == 3 and got["free"].p == pytest.approx(min(1, 2 * sum(x <= 3 for x in w) / 2**7))
+    n, ties = 7, (3**3 - 3) + (2**3 - 2)
+    z = (8 - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)  # the minus ranks: 2 and 6
+    assert got["tied"].w == 8 and got["tied"].p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-6)
+
+
+def test_large_exact_tests_are_closed_forms(spark):
+    r = spark.range(1).select(resample.sign_test(F.lit(4000), F.lit(4100)).alias("s"), resample.fisher(*(F.lit(x) for x in (2000, 4000, 2100, 3900))).alias("f"), resample.log_choose(F.lit(15), F.lit(7)).alias("c")).first()
+    assert r.c == pytest.approx(math.log(math.comb(15, 7)))
+    assert r.s == pytest.approx(2 * sum(math.comb(8100, k) for k in range(4001)) / 2**8100, rel=1e-6)
+    whole = math.comb(12000, 4100)
+    p = [math.comb(6000, x) * math.comb(6000, 4100 - x) / whole for x in range(0, 4101)]
+    assert r.f == pytest.approx(sum(x for x in p if x <= p[2000] * (1 + 1e-7)), rel=1e-6)
+
+
+def test_least_squares_equal_numpy(spark):
+    rng = random.Random(5)
+    data = [(x := rng.random(), z := rng.gauss(0, 2), c := rng.choice("abc"), 3 * x - z + (c == "b") + rng.gauss(0, 0.3), 1.0, 2 * x) for _ in range(80)]
+    df = spark.createDataFrame(data, "x double, z double, c string, y double, one double, twice double")
+    got = {r.term: r for r in regression.least_squares(df, "y", ["x", "z", "one", "twice"], ["c"]).collect()}
+    assert set(got) == {"intercept", "x", "z", "c=b", "c=c"}
+    y = np.array([d[3] for d in data])
+    m = np.array([[d[0], d[1], d[2] == "b", d[2] == "c"] for d in data], float)
+    m = np.column_stack([np.ones(80), (m - m.mean(0)) / m.std(0)])
+    beta = np.linalg.lstsq(m, y, rcond=None)[0]
+    left = y - m @ beta
+    error = np.sqrt(left @ left / 75 * np.diag(np.linalg.inv(m.T @ m)))
+    for k, name in enumerate(("intercept", "x", "z", "c=b", "c=c")):
+        assert got[name].coefficient == pytest.approx(beta[k]) and got[name].error == pytest.approx(error[k])
+    assert got["x"].r2 == pytest.approx(1 - left @ left / ((y - y.mean()) ** 2).sum())
+    assert regression.student_p(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
+    assert regression.least_squares(df.limit(4), "y", ["x"]).count() == 0
+
+
+def test_truth_forms_and_their_errors(spark):
+    pairs = spark.createDataFrame([(1, "a", 1), (1, "b", 0)], "item_id int, label_id string, y int")
+    lists = spark.createDataFrame([(1, "a"), (2, '["b", "a"]'), (3, None)], "item_id int, true_labels string")
+    wide = spark.createDataFrame([(1, 1, 0)], "item_id int, `label:a` int, y_b int")
+    load = lambda df: rows(validate.load_truth(df, ["a", "b"]))
+    assert load(pairs) == load(wide) == [(1, "a", 1), (1, "b", 0)]
+    assert load(lists) == [(1, "a", 1), (1, "b", 0), (2, "a", 1), (2, "b", 1), (3, "a", 0), (3, "b", 0)]
+    for bad in (pairs.union(pairs), lists.union(lists), wide.union(wide), wide.drop("y_b")):
+        with pytest.raises(ValueError):
+            load(bad)
+
+
+def test_corrupted_rows_take_values_of_others(spark):
+    df = spark.createDataFrame([(k, f"f{k % 4}" if k else "alone", f"v{k}") for k in range(41)], "id int, f string, v string")
+    got = sampling.corrupt_fraction(df, "id", "f", ["v"], 1.0).collect()
+    family = {r.id: r.f for r in got}
+    assert len(got) == 41 and all(r.v == f"v{r.donor}" and r.donor != r.id and (r.id == 0 or family[r.donor] == r.f) for r in got)
+    assert sum(r.donor is not None for r in sampling.corrupt_fraction(df, "id", "f", ["v"], 0.3).collect()) == 12
+
+
+def test_cyclic_trees_are_refused(spark):
+    tree = spark.createDataFrame([("a", "b", "A"), ("b", "a", "B"), ("r", "r", "R"), ("c", "r", "C")], "id string, parent string, name string")
+    with pytest.raises(ValueError):
+        hierarchy.root_paths(tree)
+    assert [(r.id, list(r.ids)) for r in hierarchy.root_paths(tree.where("id in ('r', 'c')")).orderBy("id").collect()] == [("c", ["r", "c"]), ("r", ["r"])]
+
+
+def test_hub_join_keeps_all_rows(spark):
+    rows_ = spark.createDataFrame([(0, k) for k in range(200)] + [(k % 20, k) for k in range(200, 260)], "k int, v int")
+    right = rows_.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
+    got = skew.hub_join(rows_, right, ["k"], "n")
+    assert got.columns == ["k", "v", "m"] and rows(got) == rows(rows_.join(right.drop("n"), "k"))
 
 
 def test_scalar_edges(spark):
@@ -133,10 +222,10 @@ def test_scalar_edges(spark):
 
 
 def test_dense_windows_equal_a_greedy_loop(spark, sf):
-    for r in registry.queries()["fn14_dense_windows"](spark, sf).limit(50).collect():
-        n, end, s = 0, 0, r.p_name.lower()
-        for i in range(len(s) - 3):
-            if i >= end and sum(c in "aeiou" for c in s[i : i + 4]) >= 2:
+    for r in spark.read.parquet(f"{sf}/part.parquet").select(F.lower("p_name").alias("s"), S.dense_windows(F.lower("p_name"), "aeiou", 4, 0.5).alias("n")).limit(50).collect():
+        n, end = 0, 0
+        for i in range(len(r.s) - 3):
+            if i >= end and sum(c in "aeiou" for c in r.s[i : i + 4]) >= 2:
                 n, end = n + 1, i + 4
         assert r.n == n
 
@@ -158,10 +247,12 @@ def test_record_scans(spark, tmp_path):
     (tmp_path / "s.faa").write_text(">a first [Some bug]\nMKV\nLL\n>b second\nAAA\n")
     got = {r.id: (r.organism, r.sequence, r.length) for r in records.sequence_records(spark, str(tmp_path / "s.faa")).collect()}
     assert got == {"a": ("Some bug", "MKVLL", 5), "b": (None, "AAA", 3)}
-    flat = 'LOCUS X\nACCESSION   X1\nDEFINITION  A thing.\nFEATURES             Location/Qualifiers\n     CDS             complement(12..30)\n                     /gene="g"\n                     /product="p q"\nORIGIN\n//\n'
+    flat = 'LOCUS       X1   90 bp    DNA     linear\nACCESSION   X1\nDEFINITION  A thing.\nSOURCE      s\n  ORGANISM  Some bug\n            Realm; Family;\n            genus.\nREFERENCE   1\nFEATURES             Location/Qualifiers\n     source          1..90\n                     /host="h"\n                     /db_xref="taxon:7"\n                     /db_xref="other:8"\n     CDS             complement(12..30)\n                     /gene="g"\n                     /product="p q"\nORIGIN\n//\n'
     (tmp_path / "f.gb").write_text(flat)
     r = records.flat_records(spark, str(tmp_path / "f.gb")).first()
-    assert (r.accession, r.features[0].type, r.features[0].location, r.features[0].qualifiers) == ("X1", "CDS", "complement(12..30)", {"gene": "g", "product": "p q"})
+    assert (r.accession, r.features[1].type, r.features[1].location, r.features[1].qualifiers) == ("X1", "CDS", "complement(12..30)", {"gene": ["g"], "product": ["p q"]})
+    assert (r.locus, r.length, r.molecule, r.organism, r.taxonomy, r.source.taxon, r.source.host) == ("X1", 90, "DNA", "Some bug", "Realm; Family; genus.", "7", "h")
+    assert r.features[0].qualifiers["db_xref"] == ["taxon:7", "other:8"]
     atom = lambda n, res, b: f"ATOM  {n:5d}  CA  ALA A{res:4d}    {0:8.3f}{0:8.3f}{0:8.3f}{1:6.2f}{b:6.2f}\n"
     (tmp_path / "m1.pdb").write_text(atom(1, 1, 95) + atom(2, 2, 60) + "HETATM\n")
     q = records.atom_quality(spark, str(tmp_path / "m1.pdb")).first()
@@ -179,7 +270,7 @@ def test_open_queries_give_sane_rows(spark, sf):
     q = registry.queries()
     t = q["met14_temperature"](spark, sf).first()
     assert 0.2 < t.temperature < 10
-    assert all(0 <= r.ap <= 1 for r in q["met23_linear_probe"](spark, sf).collect())
+    assert all(r.ap is None or 0 <= r.ap <= 1 for r in q["met23_linear_probe"](spark, sf).collect())
     assert all(0 <= r.share <= 1 for r in q["fn18_low_complexity"](spark, sf).collect())
     clusters = defaultdict(int)
     for r in q["ev16_density_clusters"](spark, sf).collect():
@@ -188,3 +279,95 @@ def test_open_queries_give_sane_rows(spark, sf):
     taken = [r.control for r in q["smp4_matched_controls"](spark, sf).collect()]
     assert len(taken) == len(set(taken))
     assert not any(a == b for a, b in itertools.combinations(q, 2))
+
+
+def cosines(v):
+    v = np.array(v)
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    return v @ v.T
+
+
+@pytest.mark.parametrize("cell", [2000, 40])
+def test_density_clusters_equal_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(vectors, "CELL", cell)
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(6, 8)) * 3
+    v = np.concatenate([centre[k % 6] + rng.normal(size=8) * 0.8 for k in range(240)]).reshape(240, 8)
+    v = np.concatenate([v, rng.normal(size=(40, 8))])
+    near = cosines(v) >= 0.85
+    core = near.sum(1) >= 5
+    label = np.where(core, np.arange(len(v)), -1)
+    for _ in range(len(v)):  # least core of each component
+        for i in np.flatnonzero(core):
+            label[i] = label[near[i] & core].min()
+    for i in np.flatnonzero(~core):
+        label[i] = label[near[i] & core].min() if (near[i] & core).any() else -1
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    got = {r.id: r.cluster for r in vectors.density_clusters(df).collect()}
+    assert [got[k] for k in range(len(v))] == label.tolist() and len(set(label)) > 3
+
+
+def test_nearest_neighbours_in_cells_find_nine_in_ten(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 100)
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(12, 16)) * 2
+    v = np.array([centre[k % 12] + rng.normal(size=16) for k in range(600)])
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    got = defaultdict(set)
+    for r in vectors.nearest_neighbours(df, 10).collect():
+        got[r.src].add(r.dst)
+    s = cosines(v)
+    np.fill_diagonal(s, -2)
+    best = np.argsort(-s, axis=1)[:, :10]
+    assert all(len(x) == 10 for x in got.values())
+    assert np.mean([len(got[k] & set(best[k].tolist())) / 10 for k in range(600)]) >= 0.9
+
+
+def test_similarity_clusters_equal_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = []
+    for _ in range(15):
+        own = [word() for _ in range(60)]
+        texts.append(" ".join(own))
+        for part in (0.05, 0.15, 0.3):
+            n = int(60 * part)
+            at = rng.randrange(60 - n)
+            texts.append(" ".join(own[:at] + [word() for _ in range(n)] + own[at + n :]))
+    texts += [texts[0], "", None, "one two"]
+    runs = []
+    for t in texts:
+        w = (t or "").split()
+        runs.append({" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r for r in similar.similarity_clusters(df, [0.3, 0.5, 0.7]).collect()}
+    for level in (0.3, 0.5, 0.7):
+        root = list(range(len(texts)))
+        find = lambda i: i if root[i] == i else find(root[i])  # noqa: B023, E731
+        for i in range(len(texts)):
+            for j in range(i):
+                if runs[i] and runs[j] and len(runs[i] & runs[j]) / len(runs[i] | runs[j]) >= level:
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+        same = [got[i][f"cluster_{round(level * 100)}"] == find(i) for i in range(len(texts))]
+        assert np.mean(same) >= 0.95, level
+
+
+def test_splits_of_similarity_clusters_share_no_cluster(spark, sf):
+    queries = registry.queries()
+    for r in queries["agg36_threshold_overlaps"](spark, sf).collect():
+        assert r.shared_clusters == 0 and r.train_clusters > 0
+    assert queries["ev18_similarity_cluster_holdout"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_fitted_queries_have_their_terms(spark, sf):
+    terms = {r.term for r in registry.queries()["inf16_linear_regression"](spark, sf).collect()}
+    assert {"intercept", "l_quantity", "l_discount", "l_tax", "day", "flag=N", "flag=R"} == terms
+    assert {r.label_id for r in registry.queries()["met23_linear_probe"](spark, sf).collect()} <= {"quality", "toxic"}
+    rows_ = registry.queries()["ev16_density_clusters"](spark, sf).collect()
+    sizes = defaultdict(int)
+    for r in rows_:
+        sizes[r.cluster] += 1
+    assert all(n >= 5 for c, n in sizes.items() if c >= 0)
