@@ -25,11 +25,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     links, before = all_.where("u <> v"), None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")).persist()  # a lost part is counted again
         large = materialise(hub_join(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        least.unpersist()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).persist()
         small = hub_join(large, least, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        least.unpersist()
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
