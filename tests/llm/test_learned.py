@@ -366,3 +366,108 @@ def test_pipeline_keeps_clean_documents(spark, sf):
         assert kept <= ids and len(kept) > 0.5 * len(ids)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(ids)
     pytest.importorskip("public_tokenizers")
+
+
+def test_restoration_equals_the_best_of_all_paths():
+    model = toxicity.Characters({"sale": 30, "seal": 20, "ails": 10, "lass": 25, "as": 60, "is": 40})
+    rng = random.Random(17)
+
+    def best(token, k, state, cost, text):
+        if k == len(token):
+            yield cost + (0.0 if state == toxicity.START and text else model.cost(state, "\3")), text
+            return
+        c = token[k]
+        for x, step in [(c, toxicity.SAME)] * c.isalpha() + [(x, toxicity.ALIKE) for x in toxicity.LOOK_ALIKE.get(c, "")]:
+            yield from best(token, k + 1, state[1] + x, cost + step + model.cost(state, x), text + x)
+            if state[1] == x and k and (token[k - 1] == c or c not in toxicity.LOOK_ALIKE):
+                yield from best(token, k + 1, state, cost + step + toxicity.REPEAT, text)
+        if not c.isalpha():
+            yield from best(token, k + 1, state, cost + toxicity.NOTHING, text)
+
+    for _ in range(150):
+        token = "".join(rng.choice("sale5@1!-l") for _ in range(rng.randint(1, 6)))
+        cost, want = min(best(token, 0, toxicity.START, 0.0, ""))
+        got = model.restore(token)
+        paths = [c for c, t in best(token, 0, toxicity.START, 0.0, "") if t == got]
+        assert got == want or abs(min(paths) - cost) < 1e-9, token
+
+
+def brute_character_model(texts):
+    """Interpolated Kneser-Ney over character 4-grams inside words, with dictionaries: cost of a word's characters."""
+    from collections import Counter, defaultdict
+
+    from corvane.llm.kneser_ney import discounts
+
+    letters = lambda w: [ord(c) for c in re.sub(r"\d", "0", w.lower())] + [3]
+    gram = lambda c, i, k: tuple([2] * max(k - 1 - i, 0) + c[max(i - k + 1, 0) : i + 1])
+    words = Counter(w for t in texts for w in t.split())
+    count = {k: Counter() for k in range(1, 5)}
+    for w, n in words.items():
+        c = letters(w)
+        for i in range(len(c)):
+            count[4][gram(c, i, 4)] += n
+    for k in (3, 2, 1):
+        wider = {gram(letters(w), i, k + 1) for w in words for i in range(len(letters(w)))}
+        count[k] = Counter(g[1:] for g in wider)
+    levels = {}
+    for k in range(1, 5):
+        d = [0.0, *discounts([sum(n == x for n in count[k].values()) for x in (1, 2, 3, 4)])]
+        total, left = defaultdict(float), defaultdict(float)
+        for g, n in count[k].items():
+            total[g[:-1]] += n
+            left[g[:-1]] += d[min(n, 3)]
+        levels[k] = ({g: (n - d[min(n, 3)]) / total[g[:-1]] for g, n in count[k].items()}, {h: left[h] / total[h] for h in total})
+
+    def cost(word, size):
+        c, out = letters(word), 0.0
+        for i in range(len(c)):
+            p = 1.0 / size
+            for k in range(1, 5):
+                g = gram(c, i, k)
+                p = p * levels[k][1].get(g[:-1], 1.0) + levels[k][0].get(g, 0.0)
+            out -= np.log(p)
+        return out, len(c)
+
+    return cost, {g for g in count[1]}
+
+
+def test_character_models_equal_dictionaries(spark):
+    rng = random.Random(19)
+    texts = {"aa": [" ".join(words(rng, 12)) for _ in range(20)], "bb": [" ".join(words(rng, 12, ("el", "no", "7x", "ri"))) for _ in range(20)]}
+    rows = [(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang in texts for t in texts[lang])]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    models = {lang: brute_character_model([t for i, t, g in rows if g == lang and not held(i)]) for lang in texts}
+    size = max(2, len(set().union(*(m[1] for m in models.values()))) + 1)
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        entropy = {}
+        for lang, (cost, _) in models.items():
+            parts = [cost(w, size) for w in t.split()]
+            entropy[lang] = sum(p[0] for p in parts) / sum(p[1] for p in parts)
+        least = min(entropy.values())
+        assert got[i].held_out == held(i) and got[i].lang_pred == min(entropy, key=entropy.get)
+        assert got[i].entropy == pytest.approx(least, rel=1e-4)
+        assert got[i].score == pytest.approx(1 / sum(np.exp(-(e - least) * language.EVIDENCE) for e in entropy.values()), rel=1e-2)
+
+
+def test_pipeline_with_odd_rows_and_columns(spark, sf, tmp_path):
+    """The stages chained over nulls, repeated ids, clashing names and empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    own = " ".join(words(rng, 50))
+    rows = [(1, own), (1, own), (2, "mail me at a.b@c.org now"), (None, "call +1 555 123 4567 ok"), (None, None), (3, ""), (3, " ".join(words(rng, 40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars", "1 row", "2 _row", "3 spans", "4 ids", "5 label", "6 key")
+    for name, table in (("documents", docs), ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns
+        at = spark.createDataFrame(at.collect(), at.schema)
+    texts = sorted((str(r.doc_id), str(r.text)) for r in at.collect())
+    assert texts == sorted([("1", own), ("2", "mail me at [EMAIL] now"), ("None", "call [PHONE] ok"), ("None", "None"), ("3", ""), ("3", rows[-1][1])])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == 6 and {r.n_tokens for r in out if r.doc_id is None} >= {0}
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
