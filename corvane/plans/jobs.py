@@ -11,7 +11,7 @@ from corvane.operators import context
 from corvane.operators.conform import tiered_join
 from corvane.operators.hierarchy import chase, root_paths
 from corvane.plans.features import SEQ, order, sequences
-from corvane.plans.fixtures import bucket_sql, split_sql
+from corvane.plans.fixtures import SCORES, bucket_sql, scores, split_sql
 from corvane.plans.registry import query
 from corvane.plans.tables import LINE
 from corvane.session import table
@@ -246,3 +246,75 @@ def win10(spark, sf):
     m = context.module_window(order(), 1, "l_partkey", "kind", F.col("strand") == "N", F.col("q") > 25, ["q"])
     s = context_rows(spark, sf).withColumn("m", m)
     return s.select("seq", "row_order", F.concat_ws(",", F.transform("m.members", lambda x: x.cast("string"))).alias("members"), "m.signature", R("m.unknown").alias("unknown"), "m.histogram", R("m.vote").alias("vote"), R(F.col("m.mean")[0]).alias("mean_q"))
+
+
+# ---- JOB5: frozen labels, splits and calibration
+
+RULES = {"licensed": ["license", "apache", "copyright"], "tabular": ["[|]"], "numbered": ["[0-9]{4}"]}
+FLAG_SQL = {n: f"regexp_matches(lower(coalesce(text, '')), '{'|'.join(p)}')" for n, p in RULES.items()}
+FROZEN = f"""fz AS (SELECT doc_id AS item_id, {', '.join(f'({c})::INT AS {n}' for n, c in FLAG_SQL.items())}, {' + '.join(f'({c})::INT' for c in FLAG_SQL.values())} AS positive_label_count, {split_sql(42, 'family', 'source')} AS split, ('0x' || substr(md5(coalesce(text, '')), 1, 8))::UBIGINT / 4294967295.0 < 0.1 AS carved FROM documents),
+fr AS (SELECT * EXCLUDE (split, carved), CASE WHEN split = 'train' AND carved THEN 'calibration' ELSE split END AS split FROM fz)"""
+
+
+def frozen(spark, sf):
+    d = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    found = S.rule_labels(F.lower("text"), RULES)
+    split = S.group_split(42, "family", "source")
+    flags = [F.array_contains(found, n).cast("int").alias(n) for n in RULES]
+    return d.select(F.col("doc_id").alias("item_id"), *flags, F.size(found).alias("positive_label_count"), F.when((split == "train") & (S.stable_fraction("text") < 0.1), "calibration").otherwise(split).alias("split"))
+
+
+@query("job5_frozen_labels", f"WITH {FROZEN} SELECT * FROM fr")
+def job5_labels(spark, sf):
+    """Every item with its rule labels, their number and its split; a tenth of the training items is carved out for calibration."""
+    return frozen(spark, sf)
+
+
+@query("job5_freeze_report", f"WITH {FROZEN}, u AS (" + " UNION ALL ".join(f"SELECT split, '{n}' AS label_id, {n} AS y FROM fr" for n in RULES) + ") SELECT split, label_id, count(*) AS n, sum(y) AS positives, round(avg(y), 6) AS rate FROM u GROUP BY 1, 2")
+def job5_report(spark, sf):
+    u = frozen(spark, sf).unpivot("split", list(RULES), "label_id", "y")
+    return u.groupBy("split", "label_id").agg(F.count("*").alias("n"), F.sum("y").alias("positives"), R(F.avg("y")).alias("rate"))
+
+
+# ---- JOB9: the data checks in one table
+
+CHECKS = f"""dx AS (SELECT doc_id AS item_id, text, source AS family, md5(text) AS h, {split_sql(42, 'item', 'doc_id')} AS sp FROM documents), tr AS (SELECT DISTINCT h FROM dx WHERE sp = 'train' AND h IS NOT NULL)"""
+
+
+@query("job9_data_checks", f"WITH {CHECKS}, c AS (SELECT count(*) AS items, count(*) FILTER (text IS NULL OR trim(text) = '') AS blank, count(*) - count(DISTINCT item_id) AS repeated_ids, count(h) - count(DISTINCT h) AS repeated_texts, count(*) FILTER (sp = 'test') AS test_items, count(*) FILTER (sp = 'test' AND h IN (SELECT h FROM tr)) AS exact_transfer, count(*) FILTER (sp = 'test' AND h IS NOT NULL AND h NOT IN (SELECT h FROM tr)) AS strict_zero FROM dx), f AS (SELECT count(*) AS split_families FROM (SELECT family FROM dx GROUP BY 1 HAVING count(DISTINCT sp) > 1)), l AS (SELECT count(*) AS unlabelled FROM dx WHERE item_id NOT IN (SELECT doc_id FROM labels)), o AS (SELECT count(*) AS orphan_labels FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) SELECT chk, n FROM (UNPIVOT (SELECT * FROM c, f, l, o) ON COLUMNS(*) INTO NAME chk VALUE n)")
+def job9(spark, sf):
+    """Counts of what would spoil an evaluation: blanks, repeats, texts and families on both sides, labels without items."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.trim("text").alias("t"), F.col("source").alias("family"), F.md5(F.col("text").cast("binary")).alias("h"), S.group_split(42, "item", "doc_id").alias("sp"))
+    label = table(spark, sf, "labels").select(F.col("doc_id").alias("item_id")).distinct()
+    test = F.col("sp") == "test"
+    by_text = d.where("h is not null").groupBy("h").agg(F.count("*").alias("n"), F.bool_or(F.col("sp") == "train").alias("train"), F.count_if(test).alias("test"))
+    texts = by_text.agg(F.sum(F.col("n") - 1).alias("repeated_texts"), F.sum(F.when(F.col("train"), F.col("test")).otherwise(0)).alias("exact_transfer"), F.sum(F.when(~F.col("train"), F.col("test")).otherwise(0)).alias("strict_zero"))
+    rows = d.agg(F.count("*").alias("items"), F.count_if(F.col("t").isNull() | (F.col("t") == "")).alias("blank"), F.count_if(test).alias("test_items"))
+    ids = d.groupBy("item_id").count().agg(F.sum(F.col("count") - 1).alias("repeated_ids"))
+    families = d.groupBy("family").agg(F.count_distinct("sp").alias("k")).agg(F.count_if(F.col("k") > 1).alias("split_families"))
+    unlabelled = d.join(label, "item_id", "left_anti").agg(F.count("*").alias("unlabelled"))
+    orphans = table(spark, sf, "labels").select(F.col("doc_id").alias("item_id")).join(d, "item_id", "left_anti").agg(F.count("*").alias("orphan_labels"))
+    one = rows.join(ids).join(texts).join(families).join(unlabelled).join(orphans)  # one row each
+    return one.unpivot([], one.columns, "chk", "n")
+
+
+# ---- JOB10: gold set
+
+GOLD = f"""WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY label_id, family ORDER BY base DESC, item_id) AS rn FROM scores WHERE y = 1), p AS (SELECT label_id, item_id, 'positive' AS role FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY rn, family) AS k FROM r) WHERE k <= 25),
+hp AS (SELECT DISTINCT label_id, family FROM p JOIN scores USING (label_id, item_id)), n AS (SELECT label_id, item_id, 'hard_negative' AS role FROM (SELECT s.*, row_number() OVER (PARTITION BY s.label_id ORDER BY (hp.family IS NOT NULL) DESC, base DESC, item_id) AS k FROM scores s LEFT JOIN hp ON s.label_id = hp.label_id AND s.family = hp.family WHERE y = 0) WHERE k <= 25), u AS (SELECT * FROM p UNION ALL SELECT * FROM n)"""
+
+
+@query("job10_gold_set", GOLD + " SELECT label_id, item_id, role, 'G-' || lpad((row_number() OVER (ORDER BY md5('g|' || label_id || '|' || item_id)))::VARCHAR, 4, '0') AS blind_id FROM u")
+def job10(spark, sf):
+    """For each label 25 positives in turn over families and 25 hard negatives, of the positives' families first, under blind ids."""
+    from corvane.operators.sampling import round_robin
+
+    s = scores(spark, sf)
+    p = round_robin(s.where("y = 1"), "label_id", ["family"], [F.desc("base"), F.col("item_id")], 25)
+    near = p.select("label_id", "family").distinct().withColumn("near", F.lit(True))
+    n = s.where("y = 0").join(near, ["label_id", "family"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    place = F.row_number().over(W.partitionBy("label_id").orderBy(F.desc("near"), F.desc("base"), "item_id"))
+    n = n.withColumn("k", place).where("k <= 25")
+    u = p.select("label_id", "item_id", F.lit("positive").alias("role")).union(n.select("label_id", "item_id", F.lit("hard_negative")))
+    key = F.md5(F.concat_ws("|", F.lit("g"), "label_id", F.col("item_id").cast("string")).cast("binary"))
+    return u.select("label_id", "item_id", "role", F.format_string("G-%04d", F.row_number().over(W.orderBy(key))).alias("blind_id"))  # fifty rows a label
