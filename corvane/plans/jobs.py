@@ -57,10 +57,10 @@ def fn18(spark, sf):
     return texts(spark, sf).select("p_partkey", R(Q.low_complexity("s")).alias("share"))
 
 
-@query("fn19_feature_bundle", f"WITH RECURSIVE {TEXT}, {DENSE} SELECT p_partkey, n AS helix_count, round(ln(1 + list_max(list_transform(regexp_split_to_array(s, '[^{Q.HYDROPHOBIC}]+'), lambda x: length(x)))), 6) AS longest_run, round({HEAD}, 6) AS head, round({COIL}, 6) AS coil, round({DISORDER}, 6) AS disorder, round({LOW}, 6) AS low_complexity FROM s JOIN dense USING (p_partkey)")
+@query("fn19_feature_bundle", f"WITH RECURSIVE {TEXT}, {DENSE} SELECT p_partkey, n AS helix_count, round(ln(1 + list_max(list_transform(regexp_split_to_array(s, '[^{Q.HYDROPHOBIC}]+'), lambda x: length(x)))), 8) AS longest_run, round({HEAD}, 8) AS head, round({COIL}, 8) AS coil, round({DISORDER}, 8) AS disorder, round({LOW}, 8) AS low_complexity FROM s JOIN dense USING (p_partkey)")
 def fn19(spark, sf):
     b = texts(spark, sf).select("p_partkey", Q.bundle("s").alias("b"))
-    return b.select("p_partkey", *(R(F.col(f"b.{c}")).alias(c) for c in ("helix_count", "longest_run", "head", "coil", "disorder", "low_complexity")))
+    return b.select("p_partkey", *(R(F.col(f"b.{c}"), 8).alias(c) for c in ("helix_count", "longest_run", "head", "coil", "disorder", "low_complexity")))
 
 
 def sketch_sql(s: str, source: str, key: str) -> str:
