@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import byte_bpe, decontaminate, kneser_ney, language, near_text, near_vectors, pii, sharding, token_files, toxicity
+from corvane.llm import byte_bpe, decontaminate, kneser_ney, language, manifest, near_text, near_vectors, pii, sharding, token_files, toxicity
 from corvane.session import table
 
 
@@ -52,6 +52,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.prove_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cap_filters": op1_cap_filters,
@@ -64,8 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bounded_ring": op8_bounded_ring,
         "op9_token_files": op9_token_files,
         "op10_order_minhash": op10_order_minhash,
+        "op11_merkle_descent": op11_merkle_descent,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_merkle_descent": manifest.SQL}
