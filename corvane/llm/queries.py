@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import byte_bpe, decontaminate, kneser_ney, language, manifest, near_text, near_vectors, pii, sharding, token_files, toxicity
+from corvane.llm import byte_bpe, decontaminate, kneser_ney, language, lexical, licenses, manifest, near_text, near_vectors, pii, sharding, token_files, toxicity
 from corvane.session import table
 
 
@@ -56,6 +56,14 @@ def op11_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.prove_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cap_filters": op1_cap_filters,
@@ -69,8 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_files": op9_token_files,
         "op10_order_minhash": op10_order_minhash,
         "op11_merkle_descent": op11_merkle_descent,
+        "op12_signature_rules": op12_signature_rules,
+        "op13_norm_buckets": op13_norm_buckets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle_descent": manifest.SQL}
+    return {"op11_merkle_descent": manifest.SQL, "op13_norm_buckets": lexical.SQL}
