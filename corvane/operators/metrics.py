@@ -15,7 +15,8 @@ from corvane.functions.scalar import sigmoid
 from corvane.operators.ranking import following, ranked, running
 from corvane.session import materialise
 
-RANGES = 64
+#: Ranges that the first look at the scores asks for, rows of a range, most ranges.
+RANGES, RANGE_ROWS, MOST_RANGES = 64, 100_000, 4096
 
 
 def curve(scored: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: str | None = None) -> DataFrame:
@@ -26,16 +27,35 @@ def curve(scored: DataFrame, keys: list[str], score: str = "score", y: str = "y"
 
 
 def cuts(scored: DataFrame, score: str = "score") -> list[float]:
-    """Quantiles of the scores, where ranges are cut; numbers, since both passes over the ranges must see the same ones."""
-    found = scored.agg(F.percentile_approx(score, F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), 10 * RANGES)).first()[0]
+    """Quantiles of the scores, where ranges are cut; numbers, since both passes over the ranges must see the same ones. There is
+    a range for each ``RANGE_ROWS`` rows, ``MOST_RANGES`` at most, and no cut if one range is enough."""
+
+    def quantiles(n: int):
+        return F.percentile_approx(score, F.array(*(F.lit(k / n) for k in range(1, n))), 10 * n)
+
+    rows, found = scored.agg(F.count("*"), quantiles(RANGES)).first()
+    ranges = min(MOST_RANGES, -(-rows // RANGE_ROWS))
+    if ranges <= 1:
+        return []
+    if ranges > RANGES:
+        found = scored.agg(quantiles(ranges)).first()[0]
     return sorted(set(found or []))
 
 
-def cumulated(point: DataFrame, keys: list[str], at: list[float]) -> DataFrame:
+def ranged(point: DataFrame, at: list[float]) -> DataFrame:
+    """Adds ``_range``, the number of the cuts below the score."""
+    cut = F.array(*map(F.lit, at)) if len(at) <= RANGES else F.transform(F.split(F.lit(",".join(map(repr, at))), ","), lambda c: c.cast("double"))
+    return point.withColumn("_range", F.size(F.filter(cut, lambda c: c < F.col("score"))) if at else F.lit(0))
+
+
+def cumulated(point: DataFrame, keys: list[str], at: list[float], always: bool = False) -> DataFrame:
     """Adds ``cum_n`` and ``cum_tp`` from the highest score down to points (keys, score, n, tp) of distinct scores, by the
-    ranges between ``at``. These follow the scores, so that skewed ones do not fall into one range."""
-    place = F.size(F.filter(F.array(*map(F.lit, at)), lambda c: c < F.col("score"))) if at else F.lit(0)
-    point = point.withColumn("_range", place)
+    ranges between ``at``. These follow the scores, so that skewed ones do not fall into one range. Without cuts a group is
+    summed in one window, unless ``always`` says that there may be many rows all the same."""
+    if not at and not always:
+        down = W.partitionBy(*keys).orderBy(F.desc("score"))
+        return point.select("*", F.sum("n").over(down).alias("cum_n"), F.sum("tp").over(down).alias("cum_tp"))
+    point = ranged(point, at)
     part = point.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"), F.sum("tp").alias("_tp"))
     above = W.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     part = part.select(*keys, "_range", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_an"), F.coalesce(F.sum("_tp").over(above), F.lit(0)).alias("_atp"))

@@ -1,32 +1,79 @@
 """Block resampling and exact tests.
 
 Draws are MD5 of (seed, iteration, place), so weights do not depend on partitions and SQL gives the same. F1-type
-statistics resample the sums of each block; AP-type statistics re-weight merged scores.
+statistics resample the sums of each block; AP-type statistics re-weight merged scores by vectors of weights.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window as W
 
 from corvane.functions.scalar import stable_bucket
 from corvane.operators import metrics
 from corvane.operators.ranking import ranked, running
-from corvane.session import materialise
+from corvane.session import materialise, shuffle_width
+
+
+#: Weights that travel to the workers at once (blocks times iterations); iterations go in portions of so many.
+PORTION = 4_000_000
+#: So few blocks are numbered in one window.
+FEW_BLOCKS = 100_000
+
+
+class BlockDraws:
+    """Draws of blocks with replacement, as many as there are blocks, in each iteration.
+
+    A draw is MD5 of (seed, iteration, place), so draws come from a range of numbers that any number of tasks share; what
+    comes to the driver is the count of the blocks and, portion by portion, a matrix of ``PORTION`` weights at most.
+    """
+
+    def __init__(self, blocks: DataFrame, block: str, iterations: int, seed: int = 42):
+        self.block, self.iterations, self.seed = block, iterations, seed
+        named = materialise(blocks.select(block).distinct(), "blocks")
+        self.count = named.count()
+        if self.count <= FEW_BLOCKS:
+            self.named = named.withColumn("place", F.row_number().over(W.orderBy(block)) - 1)
+        else:
+            self.named = ranked(named, [], [F.col(block)], "place").withColumn("place", F.col("place") - 1)
+        self.named = self.named.withColumn("place", F.col("place").cast("bigint"))
+
+    def places(self, first: int = 0, last: int | None = None) -> DataFrame:
+        """``(iter, place, w)`` of the iterations from ``first`` to before ``last``. A single block allows no draws: no rows."""
+        spark, k = self.named.sparkSession, self.count
+        last = self.iterations if last is None else last
+        n = (last - first) * k if k > 1 else 0
+        at = spark.range(0, n, 1, max(1, min(shuffle_width(spark), -(-n // 10_000)), -(-n // 2_000_000)))
+        draw = at.select((F.floor(F.col("id") / F.lit(max(k, 1))) + first).cast("bigint").alias("iter"), F.pmod("id", F.lit(max(k, 1))).alias("j"))
+        key = F.concat_ws("|", F.lit(str(self.seed)), F.col("iter").cast("string"), F.col("j").cast("string"))
+        pick = F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(max(k, 1)))
+        return draw.select("iter", pick.alias("place")).groupBy("iter", "place").agg(F.count("*").alias("w"))
+
+    def weights(self) -> DataFrame:
+        """``(iter, block, w)``."""
+        return self.places().join(self.named, "place").select("iter", self.block, "w")
+
+    def portions(self):
+        """``(first iteration, broadcast matrix of weights: places by iterations)``."""
+        step = max(1, PORTION // max(self.count, 1))
+        for first in range(0, self.iterations if self.count > 1 else 0, step):
+            last = min(self.iterations, first + step)
+            rows = self.places(first, last).toArrow()  # PORTION at most
+            matrix = np.zeros((self.count, last - first), np.int32)
+            matrix[rows["place"].to_numpy(), rows["iter"].to_numpy() - first] = rows["w"].to_numpy()
+            yield first, self.named.sparkSession.sparkContext.broadcast(matrix)
 
 
 def block_weights(blocks: DataFrame, block: str, iterations: int, seed: int = 42) -> DataFrame:
     """``(iter, block, w)``: how often each block is drawn, with replacement, in each iteration. A single block allows no
     draws: there are no rows, and ``interval`` gives nulls."""
-    named = blocks.select(block).distinct()
-    count = named.agg(F.count("*").alias("k")).where("k > 1")
-    number = ranked(named, [], [F.col(block)], "place").withColumn("place", F.col("place") - 1)
-    draws = count.select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint"))).alias("iter"))
-    draws = draws.select("k", "iter", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("j"))
-    pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("iter").cast("string"), F.col("j").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.col("k"))
-    return draws.select("iter", pick.alias("place")).groupBy("iter", "place").agg(F.count("*").alias("w")).join(number, "place").select("iter", block, "w")
+    return BlockDraws(blocks, block, iterations, seed).weights()
 
 
 def interval(values: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
@@ -35,33 +82,111 @@ def interval(values: DataFrame, keys: list[str], value: str, level: float = 0.95
     return values.groupBy(*keys).agg(F.avg(value).alias("mean"), q[0].alias("low"), q[1].alias("high"))
 
 
-def bootstrap_ap(scored: DataFrame, keys: list[str], block: str, iterations: int, seed: int = 42, score: str = "score", weights: DataFrame | None = None) -> DataFrame:
-    """``(keys, iter, macro_ap)`` of block draws: scores are merged by (label, score, block) before they meet weights."""
-    merged = scored.groupBy(*keys, "label_id", F.col(score).alias("score"), block).agg(F.count("*").alias("n"), F.sum("y").alias("tp"))
-    drawn = merged.join(block_weights(scored, block, iterations, seed) if weights is None else weights, block)
+def _descending(table: pa.Table, matrix: np.ndarray, above: tuple[np.ndarray, np.ndarray] | None = None, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of positives times precision, positives) in each iteration over points (score, place, n, tp) from the highest score down,
+    behind the weighted counts ``above``. Rows are weighted a few thousand at a time."""
+    score, place, n, tp = (table[c].to_numpy() for c in ("score", "place", "n", "tp"))
+    order = np.argsort(-score, kind="stable")
+    score, place, n, tp = score[order], place[order], n[order], tp[order]
+    width = matrix.shape[1]
+    cum_n, cum_tp = above if above is not None else (np.zeros(width), np.zeros(width))
+    area, positives = np.zeros(width), np.zeros(width)
+    edges = np.append(np.flatnonzero(np.append(True, score[1:] != score[:-1])), len(score)) if len(score) else np.zeros(1, int)
+    a = 0
+    while a < len(edges) - 1:
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + rows, side="right")) - 1)
+        at = edges[a:b]
+        sums = []
+        for counts in (n, tp):
+            total = np.zeros((len(at), width))
+            for k in range(edges[a], edges[b], rows):  # one score may have more rows than a portion
+                end = min(k + rows, edges[b])
+                np.add.at(total, np.searchsorted(at, np.arange(k, end), side="right") - 1, matrix[place[k:end]] * counts[k:end, None])
+            sums.append(total)
+        here_n, here_tp = np.cumsum(sums[0], 0) + cum_n, np.cumsum(sums[1], 0) + cum_tp
+        area += np.divide(sums[1] * here_tp, here_n, out=np.zeros_like(here_n), where=here_n > 0).sum(0)
+        positives += sums[1].sum(0)
+        cum_n, cum_tp = here_n[-1], here_tp[-1]
+        a = b
+    return area, positives
+
+
+def bootstrap_ap(scored: DataFrame, keys: list[str], block: str, iterations: int, seed: int = 42, score: str = "score", draws: BlockDraws | None = None) -> DataFrame:
+    """``(keys, iter, macro_ap)`` of block draws.
+
+    Scores are merged by (label, score, block) and sorted once. Block weights are vectors over iterations, so a task that has a
+    range of a label's scores gets all iterations' curves from sums of vectors; ranges meet through their totals.
+    """
+    draws = draws or BlockDraws(scored, block, iterations, seed)
+    spark, series = scored.sparkSession, [*keys, "label_id"]
+    merged = scored.groupBy(*series, F.col(score).cast("double").alias("score"), block).agg(F.count("*").cast("bigint").alias("n"), F.sum("y").cast("bigint").alias("tp"))
+    if draws.count > PORTION:
+        return _joined_ap(merged, keys, draws.weights(), block, metrics.cuts(scored, score))
+    at = metrics.cuts(scored, score)
+    merged = materialise(metrics.ranged(merged, at).join(draws.named, block).select(*series, "_range", "score", "place", "n", "tp").where("score is not null"), "points")
+    kinds = [merged.schema[c] for c in series]
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
+    types, group = [*(to_arrow_type(f.dataType) for f in kinds), pa.int32()], [*series, "_range"]
+
+    def keyed(key, n):
+        return [pa.array([k.as_py()] * n, t) for k, t in zip(key, types)]
+
+    def totals(shipped):
+        """The weighted counts of a range, as vectors over iterations."""
+
+        def run(key, table):
+            w, place = shipped.value, table["place"].to_numpy()
+            sums = [np.bincount(place, weights=table[c].to_numpy(), minlength=len(w)) @ w for c in ("n", "tp")]
+            return pa.Table.from_arrays([*keyed(key, 1), *(pa.array([x.tobytes()], pa.binary()) for x in sums)], [*group, "n", "tp"])
+
+        return run
+
+    def behind(key, table):
+        """The totals of the ranges above each."""
+        table = table.sort_by([("_range", "descending")])
+        sums = [np.array([np.frombuffer(x) for x in table[c].to_pylist()]) for c in ("n", "tp")]
+        before = [np.cumsum(x, 0) - x for x in sums]
+        return pa.Table.from_arrays([*keyed(key, table.num_rows), table["_range"].combine_chunks(), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in before)], [*group, "n", "tp"])
+
+    def curve(shipped, first, several):
+        def rows(key, area, positives):
+            return pa.Table.from_arrays([*keyed(key, len(area)), pa.array(np.arange(first, first + len(area))), pa.array(area), pa.array(positives)], [*series, "iter", "area", "positives"])
+
+        def alone(key, table):
+            return rows(key, *_descending(table, shipped.value))
+
+        def both(key, left, right):
+            start = tuple(np.frombuffer(right[c][0].as_py()) for c in ("n", "tp")) if right.num_rows else None
+            return rows(key[:-1], *_descending(left, shipped.value, start))
+
+        return both if several else alone
+
+    schema, kind, out = f"{head}, iter bigint, area double, positives double", f"{head}, _range int, n binary, tp binary", None
+    for first, shipped in draws.portions():
+        if at:
+            above = merged.groupBy(*group).applyInArrow(totals(shipped), kind).groupBy(*series).applyInArrow(behind, kind)
+            part = merged.groupBy(*group).cogroup(above.groupBy(*group)).applyInArrow(curve(shipped, first, True), schema)
+        else:
+            part = merged.groupBy(*series).applyInArrow(curve(shipped, first, False), schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    ap = out.groupBy(*series, "iter").agg(F.try_divide(F.sum("area"), F.sum("positives")).alias("ap"))
+    return ap.groupBy(*keys, "iter").agg(F.avg("ap").alias("macro_ap"))
+
+
+def _joined_ap(merged: DataFrame, keys: list[str], weights: DataFrame, block: str, at: list[float]) -> DataFrame:
+    """As ``bootstrap_ap`` for more blocks than fit a vector's portion: weights meet the merged scores by a join."""
+    drawn = merged.join(weights, block)
     point = drawn.groupBy(*keys, "iter", "label_id", "score").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("tp")).alias("tp"))
-    cum = metrics.cumulated(point, [*keys, "iter", "label_id"], metrics.cuts(scored, score))
+    cum = metrics.cumulated(point, [*keys, "iter", "label_id"], at, always=True)
     ap = cum.groupBy(*keys, "iter", "label_id").agg(F.try_divide(F.sum(F.col("tp") * F.col("cum_tp") / F.col("cum_n")), F.sum("tp")).alias("ap"))
     return ap.groupBy(*keys, "iter").agg(F.avg("ap").alias("macro_ap"))
 
 
 def weighted_cache_ap(scored: DataFrame, block: str, iterations: int, seed: int = 42, score: str = "score") -> DataFrame:
-    """``(iter, macro_ap)`` as ``bootstrap_ap``, with scores sorted once.
-
-    The cache holds, for each distinct score of a label, every block's counts at it and from the highest score down to it.
-    All are linear in the weights, so an iteration only adds them up: nothing is sorted or summed along scores again. The
-    cache has a row for each distinct score and block; with many of both, ``bootstrap_ap`` is smaller.
-    """
-    merged = scored.groupBy("label_id", F.col(score).alias("score"), block).agg(F.count("*").alias("n"), F.sum("y").alias("tp"))
-    places = merged.select("label_id", "score").distinct().join(F.broadcast(merged.select("label_id", block).distinct()), "label_id")  # scores x blocks: the cache
-    dense = places.join(merged, ["label_id", "score", block], "left").fillna(0, ["n", "tp"])
-    cache = metrics.cumulated(dense, ["label_id", block], metrics.cuts(scored, score)).groupBy("label_id", "score").agg(F.collect_list(F.struct(block, "n", "tp", "cum_n", "cum_tp")).alias("b"))  # one entry a block
-    weights = block_weights(scored, block, iterations, seed).groupBy("iter").agg(F.map_from_entries(F.collect_list(F.struct(block, "w"))).alias("w"))
-    each = cache.withColumn("iter", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint")))).join(F.broadcast(weights), "iter")  # a row an iteration
-    total = lambda c: F.aggregate("b", F.lit(0).cast("bigint"), lambda a, x: a + x[c] * F.coalesce(F.try_element_at(F.col("w"), x[block]), F.lit(0)))
-    each = each.select("iter", "label_id", total("tp").alias("tp"), total("cum_tp").alias("ct"), total("cum_n").alias("cn"))
-    ap = each.groupBy("iter", "label_id").agg(F.try_divide(F.sum(F.try_divide(F.col("tp") * F.col("ct"), F.col("cn"))), F.sum("tp")).alias("ap"))
-    return ap.groupBy("iter").agg(F.avg("ap").alias("macro_ap"))
+    """``(iter, macro_ap)``: scores are sorted once and re-weighted in each iteration."""
+    return bootstrap_ap(scored, [], block, iterations, seed, score)
 
 
 def item_draws(items: DataFrame, group: str, item: str, iterations: int, seed: int = 42) -> DataFrame:
@@ -84,9 +209,10 @@ def bootstrap_f1(scored: DataFrame, keys: list[str], block: str, iterations: int
 
 def metric_draws(scored: DataFrame, model: str, block: str, iterations: int, seed: int = 42) -> DataFrame:
     """``(model, iter, macro_ap, micro_ap, macro_f1, micro_f1)`` of block draws; all models and metrics see the same draws."""
-    weights = materialise(block_weights(scored, block, iterations, seed), "weights")
-    macro = bootstrap_ap(scored, [model], block, iterations, seed, weights=weights)
-    micro = bootstrap_ap(scored.withColumn("label_id", F.lit("all")), [model], block, iterations, seed, weights=weights).withColumnRenamed("macro_ap", "micro_ap")
+    draws = BlockDraws(scored, block, iterations, seed)
+    weights = materialise(draws.weights(), "weights")
+    macro = bootstrap_ap(scored, [model], block, iterations, seed, draws=draws)
+    micro = bootstrap_ap(scored.withColumn("label_id", F.lit("all")), [model], block, iterations, seed, draws=draws).withColumnRenamed("macro_ap", "micro_ap")
     sums = metrics.confusion(scored, [model, "label_id", block]).join(weights, block)
     sums = sums.groupBy(model, "iter", "label_id").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")))
     pooled = F.try_divide(2.0 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn"))

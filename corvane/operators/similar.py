@@ -1,7 +1,9 @@
-"""Clusters of similar texts by MinHash bands, verified shingle by shingle."""
+"""Clusters of similar texts by an exact join of word-run sets."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from corvane.operators.components import connected_components
 from corvane.operators.skew import hub_join
 from corvane.session import materialise
 
-HASHES = 32
+#: A run that stands in the prefixes of more texts than this is crowded. Texts of a block of a crowded run. Columns compared at once.
+CROWD, BLOCK, COLUMNS = 64, 256, 8192
 
 
 def _shingles(text: str, words: int):
@@ -18,37 +21,110 @@ def _shingles(text: str, words: int):
     return w, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, words)))))
 
 
-def similar_texts(docs: DataFrame, least: float, words: int = 5, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``(src, dst, similarity)``: pairs of texts whose shares of common runs of words (of all of both) reach ``least``.
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of common values of every left and right set, a few thousand values at a time."""
+    values, code = np.unique(np.concatenate([*left, *right]) if left or right else np.zeros(0, np.int64), return_inverse=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    cuts = np.cumsum([len(x) for x in [*left, *right]])[:-1]
+    rows = np.split(code, cuts)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    order = np.argsort(code, kind="stable")
+    edges = np.searchsorted(code[order], np.arange(0, len(values) + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        some = np.zeros((len(rows), COLUMNS), np.float32)
+        some[row[order[a:b]], code[order[a:b]] - k * COLUMNS] = 1
+        out += some[: len(left)] @ some[len(left) :].T
+    return out
+
+
+def chained(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what ``near`` joins: each id with the least id that its links in the block reach."""
+    a, b, big = left.copy(), right.copy(), np.iinfo(np.int64).max
+    while True:
+        new_a = np.minimum(a, np.where(near, b[None, :], big).min(1))
+        new_b = np.minimum(b, np.where(near, new_a[:, None], big).min(0))
+        if (new_a == a).all() and (new_b == b).all():
+            break
+        a, b = new_a, new_b
+    x, y = near.any(1), near.any(0)
+    return np.concatenate([left[x], right[y]]), np.concatenate([a[x], b[y]])
+
+
+def _crowded_links(members: DataFrame, sets: DataFrame, levels: list[float]) -> DataFrame:
+    """``(src, dst, similarity)`` that connect, at each level, what the members ``(bucket, id, parts, part)`` of crowded runs are connected by.
+    Blocks of a bucket meet two by two inside tasks; a block's pairs never leave it, only links that span its components."""
+    i = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    at = members.select("*", i.alias("other")).select("bucket", "id", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
+    blocks = at.distinct().join(sets, "id")  # a text in its own block once
 
-    Texts meet in bands of their MinHash signature: single hashes below a similarity of 0.5, pairs of hashes from there on. In each band
-    a text is compared with two leaders, the least id and the least hash of an id, so a band costs two pairs a text.
-    Equal texts meet in one class first. Texts without words link with nothing.
+    def run(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        part, ids = table["part"].to_numpy(), table["id"].to_numpy()
+        values = table["s"].to_pylist() if table.num_rows < 2 else [x.values.to_numpy() for x in table["s"].combine_chunks()]
+        values = [np.asarray(v, np.int64) for v in values]
+        a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        n = np.array([len(v) for v in values])
+        shared = overlaps([values[k] for k in a], [values[k] for k in b])
+        share = shared / np.maximum(n[a][:, None] + n[b][None, :] - shared, 1)
+        share[ids[a][:, None] == ids[b][None, :]] = 0
+        found = [(*chained(share >= level, ids[a], ids[b]), level) for level in levels]
+        src, dst = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        level = np.repeat(levels, [len(f[0]) for f in found])
+        keep = src != dst
+        return pa.table({"src": src[keep], "dst": dst[keep], "similarity": level[keep]})
+
+    return blocks.select("bucket", "i", "j", "part", "id", "s").groupBy("bucket", "i", "j").applyInArrow(run, "src long, dst long, similarity double").distinct()
+
+
+def similar_texts(docs: DataFrame, levels: list[float], words: int = 5, id_col: str = "id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """``(src, dst, similarity)``: links that connect, at each of the ``levels``, exactly the texts whose shares of common runs of words (of
+    all of both) connect them. Pairs that meet in a run that is not crowded come with their similarity; crowded runs give links
+    that span the components of their texts, with the level as similarity.
+
+    An exact join of sets: runs are ordered by how many texts have them, rarest first. Two sets of n and m runs that share
+    enough for the least level t have a common run among the first ``n - ceil(t n) + 1`` and ``m - ceil(t m) + 1``, and t n <= m. Runs with
+    the same texts in their prefixes count once. Equal texts meet in one class first. Texts without words link with nothing.
     """
+    least = min(levels)
     w, runs = _shingles("text", words)
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", w.alias("w")).where("size(w) > 0")
-    each = materialise(named.select("id", runs.alias("s")).withColumn("h", F.xxhash64(F.array_sort("s"))), "shingles")
-    reps = each.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    reps = materialise(reps, "texts")
-    sets = materialise(each.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "s"), "sets")
-    least_of = lambda j: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(j))))
-    rows = 1 if least < 0.5 else 2
-    bands = F.array(*(F.xxhash64(F.lit(b), *(least_of(b * rows + r) for r in range(rows))) for b in range(HASHES // rows)))
-    met = sets.select("id", F.explode(bands).alias("band"))
-    lead = met.groupBy("band").agg(F.min("id").alias("a"), F.min_by("id", F.xxhash64(F.lit("b"), "id")).alias("b"), F.max("id").alias("last"), F.count("*").alias("n"))
-    lead = materialise(lead.where("a <> last").drop("last"), "leaders")
-    pairs = hub_join(met, lead, ["band"], "n").select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
-    pairs = pairs.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
+    each = materialise(named.select("id", F.array_sort(runs).alias("s")).withColumn("h", F.xxhash64("s")), "shingles")
+    reps = materialise(each.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "texts")
+    sets = each.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "s").groupBy("id").agg(F.first("s").alias("s"))
+    sets = materialise(sets, "sets")
+    spread = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("k"))
+    held = spread.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")  # a run of one text meets nobody
+    held = materialise(held, "frequencies")
+    # runs of one text stand first in its order, so the prefix holds that many fewer of the others
+    shared = hub_join(spread, held.withColumn("count", F.col("df")), ["k"], "count")
+    own = shared.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("r"))
+    first = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1 - (F.col("n") - F.size("r"))
+    prefix = own.where(first > 0).select("id", "n", F.explode(F.slice("r", F.lit(1), first)).alias("x")).select("id", "n", F.col("x.k").alias("k"))
+    prefix = materialise(prefix, "prefixes")
+    buckets = prefix.groupBy("k").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("id")).alias("who")).where("count > 1")
+    buckets = materialise(buckets.groupBy("who", "count").agg(F.min("k").alias("k")).select("k", "count"), "buckets")
+    few = buckets.where(F.col("count") <= crowd).select("k")
+    small = materialise(prefix.join(few, "k", "left_semi"), "members")
+    other = small.select("k", F.col("id").alias("dst"), F.col("n").alias("m"))
+    pairs = small.withColumnRenamed("id", "src").join(other, "k").where((F.col("src") < F.col("dst")) & (F.col("n") * least <= F.col("m") + 1e-9) & (F.col("m") * least <= F.col("n") + 1e-9))
+    pairs = pairs.select("src", "dst").distinct()
     both = pairs.join(sets.select(F.col("id").alias("src"), F.col("s").alias("x")), "src").join(sets.select(F.col("id").alias("dst"), F.col("s").alias("y")), "dst")
-    shared = F.size(F.array_intersect("x", "y"))
-    found = both.select("src", "dst", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).where(F.col("similarity") >= least)
+    common = F.size(F.array_intersect("x", "y"))
+    found = both.select("src", "dst", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= least)
     same = hub_join(each.select("id", "h"), reps, ["h"], "n").where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("similarity"))
-    return found.union(same)
+    out = found.union(same)
+    large = buckets.where(F.col("count") > crowd)
+    if not large.isEmpty():
+        parts = F.ceil(F.col("count") / BLOCK).cast("int")
+        members = hub_join(prefix, large.withColumn("parts", parts), ["k"], "count").select(F.col("k").alias("bucket"), "id", "parts")
+        members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        out = out.union(_crowded_links(members, sets, sorted(levels)))
+    return out
 
 
-def similarity_clusters(docs: DataFrame, levels: list[float], id_col: str = "id", text_col: str = "text") -> DataFrame:
+def similarity_clusters(docs: DataFrame, levels: list[float], id_col: str = "id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """The ids with ``cluster_<level in percent>`` for each level: the least id reachable by links at the level."""
-    links = materialise(similar_texts(docs, min(levels), id_col=id_col, text_col=text_col), "links")
+    links = materialise(similar_texts(docs, levels, id_col=id_col, text_col=text_col, crowd=crowd), "links")
     out = docs.select(F.col(id_col).cast("long").alias("id"))
     for level in levels:
         name = f"cluster_{round(level * 100)}"

@@ -7,11 +7,12 @@ from pyspark.sql.window import Window as W
 
 from corvane.functions import scalar as S
 from corvane.operators import metrics
+from corvane.operators.discovery import cluster_metrics, cluster_null, cluster_rollup, module_clusters, module_windows
 from corvane.operators.shared_kmers import nearest_by_kmers
 from corvane.operators.similar import similarity_clusters
 from corvane.operators.vectors import density_clusters, nearest_neighbours
 from corvane.plans.features import F1, K, SEQ, counts, f1m, sequences, summed
-from corvane.plans.fixtures import SCORES, items, scores, truth
+from corvane.plans.fixtures import ITEMS, SCORES, items, scores, split_sql, truth
 from corvane.plans.registry import query
 from corvane.plans.tables import HITS, hits, split_items
 from corvane.session import materialise, table
@@ -34,6 +35,14 @@ def ev16(spark, sf):
 
 
 LEVELS = [0.3, 0.5, 0.7]
+#: Clusters of documents at each level in SQL: sets of word runs, their shares, components by closure; then the split of each cluster.
+CLUSTERED = f"""WITH RECURSIVE {ITEMS}, sw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM items),
+sk AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS k FROM sw WHERE len(w) > 0), sn AS (SELECT item_id, count(*) AS n FROM sk GROUP BY 1),
+sp AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS c FROM sk a JOIN sk b ON a.k = b.k AND a.item_id <> b.item_id GROUP BY 1, 2), sj AS (SELECT a, b, c / (x.n + y.n - c) AS s FROM sp JOIN sn x ON a = x.item_id JOIN sn y ON b = y.item_id),
+lv AS (SELECT unnest({LEVELS}) AS level), reach(level, a, b) AS (SELECT level, item_id, item_id FROM items, lv UNION SELECT r.level, r.a, j.b FROM reach r JOIN sj j ON r.b = j.a AND j.s >= r.level),
+cl AS (SELECT level, a AS item_id, min(b) AS c FROM reach GROUP BY 1, 2),
+clustered AS (SELECT item_id AS id, {', '.join(f"max(c) FILTER (level = {x}) AS cluster_{round(x * 100)}" for x in LEVELS)} FROM cl GROUP BY 1),
+sc AS (SELECT *, {', '.join(f"{split_sql(42, f'cluster_{round(x * 100)}', f'cluster_{round(x * 100)}')} AS split_{round(x * 100)}" for x in LEVELS)} FROM clustered)"""
 
 
 def clustered(spark, sf):
@@ -43,16 +52,24 @@ def clustered(spark, sf):
     return c.select("id", *names, *(S.group_split(42, n, n).alias(n.replace("cluster", "split")) for n in names))
 
 
-@query("ev18_similarity_cluster_holdout")
+@query("ev18_similarity_cluster_holdout", f"{CLUSTERED} SELECT * EXCLUDE (id), id AS doc_id FROM sc")
 def ev18(spark, sf):
     """Splits that keep similar texts together, at shares of common word runs of 0.3, 0.5 and 0.7."""
     return clustered(spark, sf).withColumnRenamed("id", "doc_id")
 
 
-@query("agg36_threshold_overlaps")
+def _side(key, name):
+    return f"SELECT threshold, count(*) FILTER (a) AS train_{name}, count(*) FILTER (b) AS test_{name}, count(*) FILTER (a AND b) AS shared_{name} FROM (SELECT threshold, {key}, bool_or(s = 'train') AS a, bool_or(s = 'test') AS b FROM u GROUP BY ALL) GROUP BY 1"
+
+
+@query("agg36_threshold_overlaps", f"""{CLUSTERED}, dd AS (SELECT sc.*, family, md5(coalesce(text, '')) AS h FROM sc JOIN items ON id = item_id),
+u AS ({' UNION ALL '.join(f"SELECT {round(x * 100)} AS threshold, family, h, cluster_{round(x * 100)} AS c, split_{round(x * 100)} AS s FROM dd" for x in LEVELS)}),
+xx AS (SELECT threshold, h, bool_or(s = 'train') AS a, count(*) FILTER (s = 'test') AS n FROM u GROUP BY 1, 2), rr AS (SELECT threshold, round(coalesce(sum(CASE WHEN a THEN n ELSE 0 END) / nullif(sum(n), 0), 0), 6) AS exact_rate FROM xx GROUP BY 1)
+SELECT * FROM ({_side('c', 'clusters')}) JOIN ({_side('family', 'families')}) USING (threshold) JOIN rr USING (threshold)""")
 def agg36(spark, sf):
     """For each level: clusters on either side, clusters and families on both, and the share of test texts equal to a training text."""
-    d = materialise(clustered(spark, sf).join(items(spark, sf).select(F.col("item_id").alias("id"), "family", F.md5(F.col("text").cast("binary")).alias("h")), "id"), "clustered")
+    h = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    d = materialise(clustered(spark, sf).join(items(spark, sf).select(F.col("item_id").alias("id"), "family", h.alias("h")), "id"), "clustered")
     u = d.select("id", "family", "h", F.explode(F.array(*(F.struct(F.lit(round(x * 100)).alias("threshold"), F.col(f"cluster_{round(x * 100)}").alias("c"), F.col(f"split_{round(x * 100)}").alias("s")) for x in LEVELS))).alias("x")).select("id", "family", "h", "x.*")
     side = lambda s: F.bool_or(F.col("s") == s)
     both = lambda key, name: u.groupBy("threshold", key).agg(side("train").alias("a"), side("test").alias("b")).groupBy("threshold").agg(F.count_if("a").alias(f"train_{name}"), F.count_if("b").alias(f"test_{name}"), F.count_if(F.col("a") & F.col("b")).alias(f"shared_{name}"))
@@ -61,6 +78,56 @@ def agg36(spark, sf):
     return both("c", "clusters").join(both("family", "families"), "threshold").join(rate, "threshold")
 
 
+# ---- the module chain: parts of a brand in the order of their keys, windows of three on either side
+
+RADIUS, NEAR, LEAST = 3, 0.85, 3
+MODULES = f"""WITH RECURSIVE pk AS (SELECT p_partkey AS centre, p_brand AS seq, p_type AS family, p_size, split_part(p_name, ' ', 1) AS label, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS kind, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
+wn AS (SELECT c.centre, c.family, n.centre AS member, n.k, n.kind, n.p_size, n.label FROM pk c JOIN pk n ON c.seq = n.seq AND abs(c.k - n.k) <= {RADIUS}),
+wr AS (SELECT centre, any_value(family) AS family, string_agg(kind, '|' ORDER BY k) AS signature, avg((p_size < 10)::INT) AS unknown_ratio, avg((p_size > 40)::INT) AS vote_fraction, avg((label IN ('red', 'blue'))::INT) AS sensitive_fraction FROM wn GROUP BY 1),
+vx AS (SELECT centre, pos, avg(x) AS x FROM (SELECT centre, unnest(list_transform(embedding, lambda y: y::DOUBLE)) AS x, generate_subscripts(embedding, 1) AS pos FROM wn JOIN embeddings ON vec_id = member) GROUP BY 1, 2), vm AS (SELECT centre, list(x ORDER BY pos) AS v FROM vx GROUP BY 1),
+nr AS (SELECT a.centre AS a, b.centre AS b FROM vm a, vm b WHERE list_cosine_similarity(a.v, b.v) >= {NEAR}), co AS (SELECT a FROM nr GROUP BY 1 HAVING count(*) >= {LEAST}),
+ed AS (SELECT a, b FROM nr WHERE a IN (FROM co) AND b IN (FROM co)), rc(a, b) AS (SELECT a, a FROM co UNION SELECT rc.a, ed.b FROM rc JOIN ed ON rc.b = ed.a), cc AS (SELECT a, min(b) AS c FROM rc GROUP BY 1),
+mc AS (SELECT centre, coalesce(cc.c, x.c, -1) AS cluster FROM vm LEFT JOIN cc ON centre = cc.a LEFT JOIN (SELECT nr.a, min(cc.c) AS c FROM nr JOIN cc ON nr.b = cc.a GROUP BY 1) x ON centre = x.a),
+md AS (SELECT * FROM wr JOIN mc USING (centre)), sg AS (SELECT cluster, signature, count(*) AS n FROM md WHERE cluster >= 0 GROUP BY 1, 2), tp AS (SELECT cluster, max(n) AS top, min_by(signature, struct_pack(a := -n, b := signature)) AS top_signature FROM sg GROUP BY 1),
+ru AS (SELECT *, family_count + 2 * unknown_ratio + vote_fraction + consistency AS priority FROM (SELECT cluster, count(*) AS module_count, count(DISTINCT nullif(family, '')) AS family_count, avg(unknown_ratio) AS unknown_ratio, avg(vote_fraction) AS vote_fraction, avg(sensitive_fraction) AS sensitive_fraction, max(top) / count(*) AS consistency, max(top_signature) AS top_signature FROM md JOIN tp USING (cluster) GROUP BY 1))"""
+SHARES = ("unknown_ratio", "vote_fraction", "sensitive_fraction")
+
+
+def modules(spark, sf):
+    """Windows of parts with the cluster of their mean vector."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("centre"), "embedding")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("centre"), F.col("p_brand").alias("seq"), F.col("p_type").alias("family"), "p_size", F.split("p_name", " ")[0].alias("label"), F.when(F.col("p_size") > 25, "large").otherwise("small").alias("kind"))
+    rows = parts.join(vectors, "centre", "left")
+    w = module_windows(rows, W.partitionBy("seq").orderBy("centre"), RADIUS, "centre", "kind", "embedding", F.col("p_size") < 10, F.col("p_size") > 40, "label", ["red", "blue"])
+    w = materialise(w.select("centre", "family", "signature", *SHARES, "v"), "windows")
+    return materialise(module_clusters(w, "centre", NEAR, LEAST), "modules")
+
+
+@query("ev16_module_clusters", f"{MODULES} SELECT centre, family, signature, {', '.join(f'round({c}, 6) AS {c}' for c in SHARES)}, cluster FROM md")
+def ev16_modules(spark, sf):
+    """Module windows of all parts, clustered by their mean vectors; -1 is noise."""
+    return modules(spark, sf).select("centre", "family", "signature", *(R(c).alias(c) for c in SHARES), "cluster")
+
+
+@query("agg24_module_rollup", f"{MODULES} SELECT cluster, module_count, family_count, {', '.join(f'round({c}, 6) AS {c}' for c in (*SHARES, 'consistency', 'priority'))}, top_signature FROM ru")
+def agg24_modules(spark, sf):
+    """What each module cluster shows, with its priority."""
+    return cluster_rollup(modules(spark, sf), "family").select("cluster", "module_count", "family_count", *(R(c).alias(c) for c in (*SHARES, "consistency", "priority")), "top_signature")
+
+
+@query("agg25_module_metrics", f"{MODULES} SELECT count(*) AS cluster_count, coalesce(sum(module_count), 0) AS module_count, {', '.join(f'round(coalesce(sum({c} * module_count) / sum(module_count), 0), 6) AS weighted_{c}' for c in ('consistency', *SHARES))}, round(coalesce(avg(family_count), 0), 6) AS mean_family_count FROM ru")
+def agg25_modules(spark, sf):
+    """Measures over all module clusters, weighted by size; noise is left out."""
+    m = cluster_metrics(cluster_rollup(modules(spark, sf), "family"))
+    return m.select("cluster_count", "module_count", *(R(c).alias(c) for c in m.columns[2:]))
+
+
+@query("inf9_module_null")
+def inf9_modules(spark, sf):
+    """The same measures against clusters of the same sizes dealt 500 times, drawn on tables of counts."""
+    return cluster_null(modules(spark, sf), "family", 500).select("metric", *(R(c).alias(c) for c in ("observed", "null_mean", "null_low", "null_high", "p")))
+
+
 KMERS = "w AS (SELECT 'b' AS side, item_id AS id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark UNION ALL SELECT 'd', doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') FROM documents), k AS (SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS k FROM w), n AS (SELECT id, count(*) AS n FROM k WHERE side = 'b' GROUP BY 1), s AS (SELECT a.id AS query, b.id AS target, count(*) AS shared FROM k a JOIN k b USING (k) WHERE a.side = 'b' AND b.side = 'd' GROUP BY 1, 2)"
 
 

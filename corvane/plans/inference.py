@@ -11,8 +11,8 @@ from corvane.plans.registry import query
 from corvane.session import table
 
 R = lambda c, n=6: F.round(c, n)
-#: Draws of intervals, and draws of tests and intervals inside groups.
-ITER, DRAWS_IN_GROUP = 1000, 200
+#: Draws of intervals, draws of tests and intervals inside groups, and draws of clusters.
+ITER, DRAWS_IN_GROUP, CLUSTER_DRAWS = 1000, 200, 500
 NAMES = ("macro_ap", "micro_ap", "macro_f1", "micro_f1")
 
 
@@ -141,11 +141,11 @@ def inf8(spark, sf):
 CLUSTERS = "m AS (SELECT p_partkey, p_brand AS cluster, split_part(p_type, ' ', 1) AS kind, p_size FROM part)"
 
 
-@query("inf9_cluster_permutation_null", f"WITH {CLUSTERS}, c AS (SELECT cluster, row_number() OVER (ORDER BY p_partkey) AS k FROM m), s AS (SELECT iter, p_partkey, kind, p_size, row_number() OVER (PARTITION BY iter ORDER BY md5('42|' || iter || '|' || p_partkey), p_partkey) AS k FROM m, (SELECT unnest(range({DRAWS_IN_GROUP})) AS iter)), a AS (SELECT -1 AS iter, cluster, kind, p_size FROM m UNION ALL SELECT iter, cluster, kind, p_size FROM s JOIN c USING (k)), g AS (SELECT iter, cluster, kind, count(*) AS n, count(*) FILTER (p_size > 25) AS large FROM a GROUP BY ALL), q AS (SELECT iter, cluster, sum(n) AS n, max(n) AS mode, sum(large) / sum(n) AS large FROM g GROUP BY ALL), v AS (SELECT iter, sum(mode) / sum(n)::DOUBLE AS consistency, stddev_pop(large) AS spread FROM q GROUP BY 1), u AS (SELECT 'consistency' AS metric, iter, round(consistency, 9) AS v FROM v UNION ALL SELECT 'spread', iter, round(spread, 9) FROM v) SELECT metric, round(max(v) FILTER (iter = -1), 6) AS observed, round(avg(v) FILTER (iter >= 0), 6) AS null_mean, round((count(*) FILTER (iter >= 0 AND v >= o.x) + 1) / (count(*) FILTER (iter >= 0) + 1), 6) AS p FROM u JOIN (SELECT metric, v AS x FROM u WHERE iter = -1) o USING (metric) GROUP BY metric")
+@query("inf9_cluster_permutation_null", f"WITH {CLUSTERS}, c AS (SELECT cluster, row_number() OVER (ORDER BY p_partkey) AS k FROM m), s AS (SELECT iter, p_partkey, kind, p_size, row_number() OVER (PARTITION BY iter ORDER BY md5('42|' || iter || '|' || p_partkey), p_partkey) AS k FROM m, (SELECT unnest(range({CLUSTER_DRAWS})) AS iter)), a AS (SELECT -1 AS iter, cluster, kind, p_size FROM m UNION ALL SELECT iter, cluster, kind, p_size FROM s JOIN c USING (k)), g AS (SELECT iter, cluster, kind, count(*) AS n, count(*) FILTER (p_size > 25) AS large FROM a GROUP BY ALL), q AS (SELECT iter, cluster, sum(n) AS n, max(n) AS mode, sum(large) / sum(n) AS large FROM g GROUP BY ALL), v AS (SELECT iter, sum(mode) / sum(n)::DOUBLE AS consistency, stddev_pop(large) AS spread FROM q GROUP BY 1), u AS (SELECT 'consistency' AS metric, iter, round(consistency, 9) AS v FROM v UNION ALL SELECT 'spread', iter, round(spread, 9) FROM v) SELECT metric, round(max(v) FILTER (iter = -1), 6) AS observed, round(avg(v) FILTER (iter >= 0), 6) AS null_mean, round((count(*) FILTER (iter >= 0 AND v >= o.x) + 1) / (count(*) FILTER (iter >= 0) + 1), 6) AS p FROM u JOIN (SELECT metric, v AS x FROM u WHERE iter = -1) o USING (metric) GROUP BY metric")
 def inf9(spark, sf):
     """Size-weighted share of the modal kind, and spread of the share of large parts, against clusters dealt anew."""
     m = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("cluster"), F.split("p_type", " ")[0].alias("kind"), (F.col("p_size") > 25).cast("int").alias("large"))
-    dealt = resample.permuted_clusters(m, "p_partkey", "cluster", DRAWS_IN_GROUP)
+    dealt = resample.permuted_clusters(m, "p_partkey", "cluster", CLUSTER_DRAWS)
     g = dealt.groupBy("iter", "cluster", "kind").agg(F.count("*").alias("n"), F.sum("large").alias("large"))
     q = g.groupBy("iter", "cluster").agg(F.sum("n").alias("n"), F.max("n").alias("mode"), (F.sum("large") / F.sum("n")).alias("large"))
     v = q.groupBy("iter").agg((F.sum("mode") / F.sum("n")).alias("consistency"), F.stddev_pop("large").alias("spread"))

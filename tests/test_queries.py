@@ -9,7 +9,7 @@ from corvane.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Not SQL: their own tests are below or in test_operators.
-OPEN = {"smp4_matched_controls", "ev16_density_clusters", "met23_linear_probe", "inf16_linear_regression", "ev18_similarity_cluster_holdout", "agg36_threshold_overlaps"}
+OPEN = {"smp4_matched_controls", "ev16_density_clusters", "met23_linear_probe", "inf16_linear_regression", "inf9_module_null"}
 
 
 @pytest.fixture(scope="module")
