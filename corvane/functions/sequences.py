@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,20 +81,39 @@ def bundle(s: Column | str) -> Column:
     )
 
 
+def _minima(k: int):
+    """Three minima over the hashes of all k-mers of each text, as their top 12 bits in hex; null for shorter text. Each text is
+    one pass of vector arithmetic modulo 2 ** 64."""
+    symbols = np.full(128, ALPHABET.index("X") + 1, np.uint64)
+    for i, c in enumerate(ALPHABET):
+        symbols[ord(c)] = i + 1
+
+    @F.pandas_udf("string")
+    def minima(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            at = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+            if len(at) < k:
+                out.append(None)
+                continue
+            own = symbols[np.where(at < 128, at, ord("X"))]
+            with np.errstate(over="ignore"):
+                code = own[: len(own) - k + 1].copy()
+                for j in range(1, k):
+                    code = code * np.uint64(len(ALPHABET) + 1) + own[j : len(own) - k + 1 + j]
+                out.append("-".join(f"{int((code * np.uint64(a) + np.uint64(b)).min()) >> 52:03x}" for a, b in SKETCH_HASHES))
+        return pd.Series(out, dtype=object)
+
+    return minima
+
+
 def sketch_key(s: Column | str, k: int = 4) -> Column:
     """Length bin and the top 12 bits of three minima over the codes of all k-mers; shorter text falls into a bucket.
 
-    The code of a k-mer is its number in base 28 over ``ALPHABET`` (1 to 27, foreign symbols as X). Products are decimals:
-    they do not fit 64 bits.
+    The code of a k-mer is its number in base 28 over ``ALPHABET`` (1 to 27, foreign symbols as X); a hash is ``a * code + b`` modulo
+    2 ** 64. Folds over arrays are interpreted symbol by symbol, so the minima are taken in numpy, a batch at a time.
     """
     s = F.upper(F.trim(col(s)))
     n = F.length(s)
-    place = lambda c: F.when(F.instr(F.lit(ALPHABET), c) > 0, F.instr(F.lit(ALPHABET), c)).otherwise(ALPHABET.index("X") + 1)
-    symbols = F.transform(F.split(s, ""), lambda c: place(c).cast("bigint"))
-    code = lambda i: F.aggregate(F.slice(symbols, i, F.lit(k)), F.lit(0).cast("bigint"), lambda a, x: a * (len(ALPHABET) + 1) + x)
-    codes = F.array_distinct(F.transform(F.sequence(F.lit(1), n - (k - 1)), code))
-    wide = lambda x: F.lit(str(x)).cast("decimal(38,0)")
-    least = lambda a, b: F.array_min(F.transform(codes, lambda x: (x.cast("decimal(18,0)") * F.lit(str(a)).cast("decimal(20,0)") + wide(b)) % wide(2**64)))
-    top = [F.lpad(F.lower(F.hex(F.floor(least(a, b) / wide(2**52)).cast("bigint"))), 3, "0") for a, b in SKETCH_HASHES]
     short = F.concat(F.lit("short:"), n.cast("string"), F.lit(":"), F.lpad(stable_bucket(F.concat(F.lit("short|"), s)).cast("string"), 4, "0"))
-    return F.when(n < k, short).otherwise(F.concat(length_bin(n), F.lit(":"), F.concat_ws("-", *top)))
+    return F.when(n < k, short).otherwise(F.concat(length_bin(n), F.lit(":"), _minima(k)(s)))

@@ -2,29 +2,162 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import product
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
+from corvane.operators.ranking import ranked, running
 from corvane.session import materialise
 
+#: Controls that a candidate's list gets at once. So few controls are ranked in plain windows.
+FETCH, FEW = 16, 100_000
+
+
+class _Nearest:
+    """The controls of each group of equal ``keys`` in two orders: by rising and by falling value, equal values by ``order``.
+
+    A candidate's nearest controls are the merge of two streams that start at its own value. ``starts`` says where.
+    """
+
+    def __init__(self, pool: DataFrame, points: DataFrame, keys: list[str], order: list[str], few: bool):
+        self.keys, self.order = keys, order
+        pool = pool.withColumn("_pool", F.lit(1))
+        own = points.select(*keys, "value").distinct()
+        both = pool.select(*keys, "value", *order, "control", "_pool").unionByName(own.withColumn("_pool", F.lit(0)), allowMissingColumns=True)
+        rising = [F.col("value"), F.col("_pool"), *map(F.col, order), F.col("control")]
+        falling = [F.col("value").desc(), *map(F.col, order), F.col("control")]
+        if few:
+            up = materialise(both.withColumn("_at", F.sum("_pool").over(W.partitionBy(*keys).orderBy(*rising).rowsBetween(W.unboundedPreceding, 0))), "rising")
+            down = materialise(pool.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy(*falling))), "falling")
+        else:
+            up = materialise(running(both, keys, rising, {"_at": F.col("_pool")}), "rising")
+            down = materialise(ranked(pool, keys, falling, "_at"), "falling")
+        size = pool.groupBy(*keys).agg(F.count("*").alias("_size"))
+        before = up.where("_pool = 0").select(*keys, "value", F.col("_at").alias("_below"))
+        # a candidate whose group has no control is left out
+        self.starts = (before.join(size, keys) if keys else before.join(size.where("_size > 0"))).select(*keys, "value", "_below", (F.col("_size") - F.col("_below")).alias("_above"))
+        self.sides = [(side, df.select(*keys, "_at", F.col("value").alias("_value"), *order, "control")) for side, df in (("right", up.where("_pool = 1")), ("left", down))]
+
+    def after(self, asks: DataFrame, tag: list[str]) -> DataFrame:
+        """The next ``want`` controls of each ask (tag, keys, value, right, left, want) in order, as (tag, pos, control, right, left): the
+        place behind the cursors, and the cursors behind the control."""
+        at = asks.join(self.starts, [*self.keys, "value"])
+        found = None
+        for side, rows in self.sides:
+            start = F.col("_below") if side == "right" else F.col("_above")
+            each = at.select(*tag, *self.keys, "value", "want", F.explode(F.sequence(start + F.col(side) + 1, start + F.col(side) + F.col("want"))).alias("_at"))
+            part = each.join(rows, [*self.keys, "_at"]).select(*tag, "want", F.abs(F.col("_value") - F.col("value")).alias("_d"), *self.order, "control", F.lit(int(side == "right")).alias("_right"))
+            found = part if found is None else found.unionByName(part)
+        w = W.partitionBy(*tag).orderBy("_d", *self.order, "control")
+        found = found.withColumn("pos", F.row_number().over(w)).withColumn("right", F.sum("_right").over(w.rowsBetween(W.unboundedPreceding, 0)))
+        return found.where("pos <= want").select(*tag, "pos", "control", "right", (F.col("pos") - F.col("right")).alias("left"))
+
 
-def matched_controls(candidates: DataFrame, pool: DataFrame, block: list[str], distance: list[Column], turn: str = "turn") -> DataFrame:
-    """``(candidate, control, turn)``: candidates in the order of ``turn`` take their nearest free control of the same block.
+def matched_controls(candidates: DataFrame, pool: DataFrame, match: list[str], order: list[str], per: int = 1, fetch: int = FETCH) -> DataFrame:
+    """``(candidate, control, match_rank)``: candidates in the order of ``turn`` take their ``per`` nearest free controls.
 
-    First come, first served equals deferred acceptance with controls that prefer earlier candidates: in each round every
-    open candidate proposes to its next control and a control keeps its earliest suitor. Rounds end when nobody moves.
-    ``candidates`` has columns candidate, turn and the block; ``pool`` has control and the block; the block must be
-    fine enough to keep lists short, and the distance order ends with a unique key.
+    A control is nearer than another by, in this order: the first column of ``match`` equal to the candidate's, its own flag ``low``,
+    the other columns of ``match`` equal, the distance of ``value``, the columns of ``order``, its id. ``candidates`` has candidate, turn (a
+    unique whole number), ``match`` and value; ``pool`` has control, ``match``, low, value and ``order``. Controls run out only with the
+    pool; then the last candidates get fewer.
+
+    First come, first served equals deferred acceptance with controls that prefer earlier candidates: a candidate proposes to its
+    next control, a control keeps its earliest suitor, until nobody moves. Lists are fetched when they are needed, ``fetch``
+    controls at a time, from orders by value inside groups of equal columns; the wider groups (another label, another
+    family) are ordered only if a candidate comes to them. Of candidates alike in all columns the n-th starts at the n-th
+    control, since the earlier ones leave it nothing better.
     """
-    pairs = candidates.join(pool, block).withColumn("rank", F.row_number().over(W.partitionBy("candidate").orderBy(*distance)))
-    pairs = materialise(pairs.select("candidate", "control", turn, "rank"), "preferences")
-    at = pairs.select("candidate", F.col(turn)).distinct().withColumn("rank", F.lit(1))
+    spark = candidates.sparkSession
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    pool = materialise(pool.select("control", *(text(c).alias(c) for c in match), F.coalesce("low", F.lit(False)).alias("low"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"), *order), "pool")
+    people = candidates.select("candidate", F.explode(F.sequence(F.lit(1), F.lit(per))).alias("match_rank"), F.col("turn").cast("long").alias("turn"), *(text(c).alias(c) for c in match), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    people = materialise(people.withColumn("c", F.col("turn") * per + F.col("match_rank")), "candidates")
+    tiers = [dict(zip([match[0], "low", *match[1:]], bits)) for bits in product((True, False), repeat=len(match) + 1)]
+    indexes: dict[tuple, _Nearest] = {}
+    few = pool.count() <= FEW
+    state = people.select("c", *match, "value", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("right"), F.lit(0).cast("long").alias("left"))
+    state = materialise(state, "cursors")
+    held = spark.createDataFrame([], f"c long, control {pool.schema['control'].dataType.simpleString()}, pos long")
+    lists, turn = spark.createDataFrame([], held.schema), 0
+    while True:
+        hungry = materialise(state.where(F.col("tier") < len(tiers)).join(held.select("c"), "c", "left_anti"), "hungry")
+        levels = sorted(r.tier for r in hungry.select("tier").distinct().collect())  # fewer than there are tiers
+        if not levels:
+            break
+        own = None
+        for tier in levels:
+            bits = tiers[tier]
+            keys, other = [c for c in match if bits[c]], [c for c in match if not bits[c]]
+            name = (bits["low"], *keys)
+            if name not in indexes:
+                indexes[name] = _Nearest(pool.where(F.col("low") == bits["low"]), people, keys, order, few)
+            like = [*match, "value", "right", "left"]
+            now = hungry.where(F.col("tier") == tier).withColumn("n", F.row_number().over(W.partitionBy(*like).orderBy("c")))  # among candidates alike in all columns
+            kinds = now.groupBy(*like).agg((F.max("n") + fetch - 1).alias("want"), F.min("c").alias("kind"))
+            near = indexes[name].after(kinds.select("kind", *keys, "value", "right", "left", "want"), ["kind"])
+            part = now.join(kinds.select("kind", *like), like).select("c", "kind", "n", *other).join(near, "kind").where((F.col("pos") >= F.col("n")) & (F.col("pos") < F.col("n") + fetch))
+            ok = F.lit(True)  # controls of a better tier come up again among wider groups
+            if other:
+                part = part.join(pool.select("control", *(F.col(c).alias(f"_{c}") for c in other)), "control")
+                for c in other:
+                    ok = ok & (F.col(c) != F.col(f"_{c}"))
+            part = part.select("c", "control", "pos", "right", "left", ok.alias("ok"))
+            own = part if own is None else own.unionByName(part)
+        own = materialise(own, "fetched")
+        ends = own.groupBy("c").agg(F.max("right").alias("r"), F.max("left").alias("l"))
+        after, done = hungry.join(ends, "c", "left"), F.col("r").isNull()  # nothing left in the tier
+        after = after.select("c", *match, "value", (F.col("tier") + done.cast("int")).alias("tier"), F.when(done, 0).otherwise(F.col("right") + F.col("r")).cast("long").alias("right"), F.when(done, 0).otherwise(F.col("left") + F.col("l")).cast("long").alias("left"))
+        state = materialise(state.join(hungry.select("c"), "c", "left_anti").unionByName(after), "cursors")
+        new = own.where("ok").select("c", "control", (F.col("pos") + (turn << 40)).alias("pos"))
+        lists, turn = lists.unionByName(new), turn + 1
+        held = _proposed(held, lists, new.groupBy("c").agg(F.min("pos").alias("pos")))
+    return held.join(people.select("c", "candidate", "match_rank"), "c").select("candidate", "control", "match_rank")
+
+
+def _proposed(held: DataFrame, lists: DataFrame, at: DataFrame) -> DataFrame:
+    """The pairs (c, control, pos) after all have proposed down their lists from ``at``, or hold a control. Who loses a control goes on
+    behind it; who comes to the end of a list waits for the next one. Up to ``FEW`` entries are settled in one task."""
+    if lists.limit(FEW + 1).count() <= FEW:
+        return materialise(_settled(held, lists), "matching")
     while True:
-        suit = at.join(pairs.select("candidate", "rank", "control"), ["candidate", "rank"])
-        held = suit.withColumn("first", F.min(turn).over(W.partitionBy("control")))
-        moved = held.withColumn("lost", F.col(turn) > F.col("first"))
-        moved = materialise(moved.select("candidate", turn, "control", "lost", (F.col("rank") + F.col("lost").cast("int")).alias("rank")), "matching")
-        if moved.where("lost").isEmpty():
-            return moved.select("candidate", "control", turn)
-        at = moved.select("candidate", turn, "rank")
+        suit = at.join(lists, ["c", "pos"]).select("c", "control", "pos")
+        both = held.unionByName(suit).withColumn("lost", F.col("c") > F.min("c").over(W.partitionBy("control")))
+        behind = lists.select("c", F.col("pos").alias("p")).join(both.where("lost").select("c", "pos"), "c").where("p > pos").groupBy("c").agg(F.min("p").alias("next"))
+        both = materialise(both.join(behind, "c", "left"), "matching")
+        held, at = both.where("not lost").select("c", "control", "pos"), both.where("lost and next is not null").select("c", F.col("next").alias("pos"))
+        if at.isEmpty():
+            return held
+
+
+def _settled(held: DataFrame, lists: DataFrame) -> DataFrame:
+    """As ``_proposed`` for few entries."""
+    kind = held.schema["control"].dataType
+
+    def run(batches):
+        rows = [r for b in batches for r in b.to_pylist()]
+        holds = {r["control"]: (r["c"], r["pos"]) for r in rows if r["held"]}
+        own: dict[int, list] = {}
+        for r in rows:
+            if not r["held"]:
+                own.setdefault(r["c"], []).append((r["pos"], r["control"]))
+        at = {c: -1 for c in own} | dict(holds.values())
+        free = sorted(own.keys() - {c for c, _ in holds.values()}, reverse=True)
+        own = {c: sorted(x, reverse=True) for c, x in own.items()}
+        while free:
+            c = free.pop()
+            while own.get(c):
+                pos, control = own[c].pop()
+                if pos <= at[c] or control in holds and holds[control][0] < c:
+                    continue
+                if control in holds:
+                    free.append(holds[control][0])
+                holds[control] = (c, pos)
+                break
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in holds.values()], pa.int64()), pa.array(list(holds), to_arrow_type(kind)), pa.array([x[1] for x in holds.values()], pa.int64())], ["c", "control", "pos"])
+
+    both = held.withColumn("held", F.lit(True)).unionByName(lists.select("c", "control", "pos").withColumn("held", F.lit(False)))
+    return both.coalesce(1).mapInArrow(run, f"c long, control {kind.simpleString()}, pos long")

@@ -202,14 +202,21 @@ def top7(spark, sf):
     return p.join(c, "p_brand", "left_semi").withColumn("k", k).where("k <= 5").select("p_partkey", "p_brand")
 
 
+#: Orders above this price are candidates.
+DEAR = 470000
+
+
 @query("smp4_matched_controls")
 def smp4(spark, sf):
+    """Three controls for each of the dearest orders, by priority, low balance, clerk, month, price, balance and date."""
     from corvane.operators.matching import matched_controls
 
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.month("o_orderdate").alias("month"), F.col("o_totalprice").alias("price"))
-    c = o.where("price > 470000").select(F.col("o_orderkey").alias("candidate"), F.col("o_orderkey").alias("turn"), "o_orderpriority", "month", F.col("price").alias("cp"))
-    p = o.where("price <= 470000").select(F.col("o_orderkey").alias("control"), "o_orderpriority", "month", "price")
-    return matched_controls(c, p, ["o_orderpriority", "month"], [F.abs(F.col("cp") - F.col("price")), F.col("control")])
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_nationkey", "c_mktsegment"), "o_custkey")
+    o = o.select("o_orderkey", F.col("o_orderpriority").alias("label"), F.col("c_nationkey").alias("family"), F.col("c_mktsegment").alias("host"), F.col("o_totalprice").alias("value"), F.col("c_acctbal").alias("gain"), (-F.year("o_orderdate")).alias("p"))
+    high = F.col("value") > DEAR
+    c = o.where(high).select(F.col("o_orderkey").alias("candidate"), F.col("o_orderkey").alias("turn"), "label", "family", "host", "value")
+    p = o.where(~high).select(F.col("o_orderkey").alias("control"), "label", (F.col("gain") <= 5000).alias("low"), "family", "host", "value", "gain", "p")
+    return matched_controls(c, p, ["label", "family", "host"], ["gain", "p"], 3)
 
 
 @query("jn15_evidence_joins", "SELECT p_partkey, coalesce(a.n, 0) AS orders, b.best AS supplier, coalesce(c.q, d.q, 0) AS quantity FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) a ON p_partkey = a.l_partkey LEFT JOIN (SELECT l_partkey, max_by(l_suppkey, struct_pack(a := l_quantity, b := -l_suppkey)) AS best FROM lineitem GROUP BY 1) b ON p_partkey = b.l_partkey LEFT JOIN (SELECT l_partkey, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) c ON p_partkey = c.l_partkey LEFT JOIN (SELECT l_partkey, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) d ON p_partkey = d.l_partkey")
