@@ -17,8 +17,9 @@ The number of directions grows with the number of vectors, which keeps the vecto
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing;
 vectors of different length never link; very large and very small components are scaled first; equal vectors are one class
-and link with each other; rows with equal ids and vectors count as copies; an empty table gives no rows; extra columns are
-ignored.
+and link with each other; rows with equal ids and vectors count as copies, rows with equal ids and other vectors are vectors of
+their own. A row without an id links like others; its component has the least id there is among its rows, null if none, and it
+is kept only in that last case. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.components import connected_components
+from corvane.operators.skew import hub_join
 from corvane.session import materialise
 
 BLOCKS = 4
@@ -169,7 +171,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     good = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
     keyed = rows.select("id", F.expr(f"coalesce({good}, false)").alias("good"), "own", F.expr("transform(v, x -> x + 0.0D)").alias("v"))
     keyed = keyed.select("id", "good", "own", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"))
-    classes = materialise(keyed.where("good").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("own").alias("v")), "classes")
+    grouped = keyed.where("good").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("own").alias("v"))
+    classes = materialise(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a class has a number of its own, whatever its ids
     shapes = [(r.d, r["count"]) for r in classes.groupBy(F.size("v").alias("d")).count().collect()]  # one row for each length
     found = None
     for dims, count in sorted(shapes):
@@ -181,15 +184,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     found = materialise(found, "links")
     component = connected_components(found.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     count = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    known = classes.select("k1", "k2", "rep", "copies").join(count, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("ok"))
-    out = keyed.select("id", "good", "k1", "k2").join(known, (keyed.k1 == known.k1) & (keyed.k2 == known.k2) & keyed.good, "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
-    )
+    known = classes.select("k1", "k2", "rep", "least", "copies").join(count, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    known = materialise(known.withColumn("component", F.coalesce("component", "rep")), "known")
+    least = materialise(known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")), "components")
+    known = hub_join(known, least, ["component"], "classes").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id", "copies")
+    linked = hub_join(keyed.where("good").select("id", "k1", "k2"), materialise(known, "answers"), ["k1", "k2"], "copies").select("id", "n_links", "component_id")
+    alone = keyed.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(alone)
+    kept = F.when(F.col("id").isNull(), F.col("component_id").isNull()).otherwise(F.col("id") == F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", kept.alias("kept"))
 
 
 def _links(classes: DataFrame, dims: int, count: int, threshold: float) -> DataFrame:

@@ -241,3 +241,14 @@ def test_sharding_odd_rows(spark):
     assert sorted((r.doc_id is None, r.size) for r in rows) == [(False, 1), (False, 1), (False, 19), (True, 1)]
     assert max(Counter(r.shard for r in rows).values()) == 1
     assert sharding.shard_rows(df.limit(0), 8).count() == 0
+
+
+def test_near_vectors_without_ids_and_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.01]), (3, [0.01, 3.0]), (None, [1.0, 0.001]), (None, [-1.0, 0.0]), (None, [-2.0, 0.0]), (None, None), (9, None), (1, [1.0, 0.0])]
+    base = np.random.default_rng(7).normal(size=(2, 32))
+    rows = [(i, v if v is None else (np.array(v) @ base).tolist()) for i, v in rows]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, rep string")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(df).collect()), key=str)
+    want = [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (1, 1, 1, True), (3, 1, 1, False)]
+    want += [(None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (9, 0, 9, True)]
+    assert got == sorted(want, key=str)
