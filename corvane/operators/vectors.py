@@ -15,8 +15,8 @@ from pyspark.sql.window import Window as W
 from corvane.operators.components import connected_components
 from corvane.session import materialise
 
-#: Vectors of a cell on average, most centres (they are broadcast), vectors of a block, cells a nearest-neighbour query looks into.
-CELL, CENTRES, BLOCK, PROBES = 2000, 4096, 1024, 4
+#: Vectors of a cell on average, most centres (they are broadcast), vectors of a block, queries whose exact neighbours are sought to measure recall.
+CELL, CENTRES, BLOCK, MEASURED = 2000, 4096, 1024, 256
 
 
 def _units(column) -> np.ndarray:
@@ -33,7 +33,7 @@ class _Cells:
         want = int(min(CENTRES, max(1, -(-count // CELL))))
         some = rows.orderBy(F.xxhash64(F.lit("centre"), "id"), "id").limit(want).select("v").collect()  # CENTRES at most
         self.centres = _units(pa.array([list(r.v) for r in some], pa.list_(pa.float64()))) if some else np.zeros((0, 1))
-        self.radius = None
+        self.radius, self.probes = None, len(self.centres)
 
     def own(self, unit: np.ndarray) -> np.ndarray:
         return (unit @ self.centres.T).argmax(1)
@@ -41,7 +41,7 @@ class _Cells:
     def looked_into(self, unit: np.ndarray, angle: float | None) -> list[np.ndarray]:
         near = unit @ self.centres.T
         if angle is None:
-            few = min(PROBES, len(self.centres))
+            few = min(self.probes, len(self.centres))
             return list(np.argpartition(-near, few - 1, axis=1)[:, :few])
         reach = np.arccos(np.clip(near, -1, 1)) <= self.radius + angle + 1e-9  # exact, by the triangle of angles
         return [np.flatnonzero(r) for r in reach]
@@ -107,9 +107,35 @@ def _prepared(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.lit(0).cast("long").alias("mark"))
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 15, id_col: str = "id", vector_col: str = "v") -> DataFrame:
-    """``(src, dst, w)``: the k vectors of highest cosine of each vector, ties by id, with ``w = max(0, cosine)``. Exact with one cell;
-    with more, a query looks into the ``PROBES`` nearest cells."""
+def _probes(rows: DataFrame, cells: _Cells, k: int, recall: float) -> int:
+    """The least number of cells that hold the share ``recall`` of the nearest neighbours: measured on ``MEASURED`` vectors, chosen by a hash, whose
+    exact neighbours one pass over all vectors finds."""
+    some = rows.orderBy(F.xxhash64(F.lit("measured"), "id"), "id").limit(MEASURED).select("id", "v").collect()  # MEASURED at most
+    ids, unit = np.array([r.id for r in some]), _units(pa.array([list(r.v) for r in some], pa.list_(pa.float64())))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, mine = _units(batch.column("v")), batch.column("id").to_numpy()
+            near = np.where(ids[:, None] == mine[None, :], -np.inf, unit @ own.T)
+            few = min(k, near.shape[1])
+            best = np.argpartition(-near, few - 1, axis=1)[:, :few]
+            w = np.take_along_axis(near, best, 1).ravel()
+            ok = np.isfinite(w)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(ids)), few)[ok]), pa.array(w[ok]), pa.array(cells.own(own)[best].ravel()[ok])], ["q", "w", "cell"])
+
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("w"), "cell"))
+    found = rows.mapInArrow(run, "q long, w double, cell long").withColumn("_k", place).where(F.col("_k") <= k).select("q", "cell").collect()  # k for each measured vector
+    order = np.argsort(np.argsort(-(unit @ cells.centres.T), axis=1, kind="stable"), axis=1, kind="stable")  # place of each cell for each vector
+    places = np.sort([order[r.q, r.cell] for r in found])
+    return int(places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]) + 1 if len(places) else 1
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = 15, id_col: str = "id", vector_col: str = "v", recall: float = 0.98) -> DataFrame:
+    """``(src, dst, w)``: the k vectors of highest cosine of each vector, ties by id, with ``w = max(0, cosine)``. A query looks into as many
+    of its nearest cells as reach the share ``recall`` of all neighbours by measurement; 1 looks into all cells and is exact, as is a
+    table of one cell."""
     rows = _prepared(vectors, id_col, vector_col)
 
     def each(q, _, m, __, s):
@@ -120,7 +146,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 15, id_col: str = "id", vect
         ok = np.isfinite(w)
         return [np.repeat(q, best.shape[1])[ok], m[best].ravel()[ok], w[ok]]
 
-    found = _compared(rows, _Cells(rows), None, each, "src long, dst long, w double")
+    cells = _Cells(rows)
+    if len(cells.centres) > 1 and recall < 1:
+        cells.probes = _probes(rows, cells, k, recall)
+    found = _compared(rows, cells, None, each, "src long, dst long, w double")
     place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("w"), "dst"))  # a few times k rows each
     return found.withColumn("_k", place).where(F.col("_k") <= k).select("src", "dst", F.greatest(F.lit(0.0), "w").alias("w"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from corvane.functions.scalar import group_split
 from corvane.operators import metrics, validate
-from corvane.plans.fixtures import ITEMS, SCORES, SPLIT_ITEMS, TRUTH, items, scores, truth
+from corvane.plans.fixtures import ITEMS, SCORES, SPLIT_ITEMS, TRUTH, items, scores, split_sql, truth
 from corvane.plans.registry import query
 
 R = lambda c, n=6: F.round(c, n)
@@ -129,14 +130,21 @@ def win14(spark, sf):
     return m.select("model", R("macro_ap").alias("macro_ap"), F.row_number().over(W.orderBy(F.desc_nulls_last("macro_ap"), "model")).alias("rank"))
 
 
-@query("job8_leaderboard_many", f"WITH {SCORES}, u AS (SELECT s, label_id, y, floor(100 * ((1 - s / 4.0) * base + s / 4.0 * context) + 0.001) / 100 AS score, host FROM scores CROSS JOIN (SELECT unnest(range(5)) AS s)), pt AS (SELECT s, host, label_id, score, count(*) AS n, sum(y) AS tp FROM u GROUP BY ALL), c AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM pt WINDOW w AS (PARTITION BY s, host, label_id ORDER BY score DESC)), a AS (SELECT s, host, label_id, sum(tp * ct / cn) / nullif(sum(tp), 0) AS ap FROM c GROUP BY ALL), m AS (SELECT s, host, avg(ap) AS macro_ap FROM a GROUP BY ALL) SELECT s AS submission, host AS track, round(macro_ap, 6) AS macro_ap, row_number() OVER (PARTITION BY host ORDER BY round(macro_ap, 9) DESC NULLS LAST, s) AS rank FROM m")
+@query("job8_leaderboard_many", f"""WITH {SCORES}, u AS (SELECT s, host, {split_sql(42, 'family', 'family')} AS split, label_id, y, floor(100 * ((1 - s / 4.0) * base + s / 4.0 * context) + 0.001) / 100 AS score FROM scores CROSS JOIN (SELECT unnest(range(5)) AS s)),
+pt AS (SELECT s, host, split, label_id, score, count(*) AS n, sum(y) AS tp FROM u GROUP BY ALL), c AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM pt WINDOW w AS (PARTITION BY s, host, split, label_id ORDER BY score DESC)),
+ma AS (SELECT s, host, split, avg(ap) AS macro_ap FROM (SELECT s, host, split, label_id, sum(tp * ct / cn) / nullif(sum(tp), 0) AS ap FROM c GROUP BY ALL) GROUP BY ALL),
+pm AS (SELECT s, host, split, score, sum(n) AS n, sum(tp) AS tp FROM pt GROUP BY ALL), cm AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM pm WINDOW w AS (PARTITION BY s, host, split ORDER BY score DESC)), mi AS (SELECT s, host, split, sum(tp * ct / cn) / nullif(sum(tp), 0) AS micro_ap FROM cm GROUP BY ALL),
+k AS (SELECT s, host, split, label_id, count(*) FILTER (score >= 0.5 AND y = 1) AS tp, count(*) FILTER (score >= 0.5 AND y = 0) AS fp, count(*) FILTER (score < 0.5 AND y = 1) AS fn FROM u GROUP BY ALL),
+f AS (SELECT s, host, split, avg(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS macro_f1, 2.0 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0) AS micro_f1 FROM k GROUP BY ALL)
+SELECT s AS submission, host AS track, split, round(macro_ap, 6) AS macro_ap, round(micro_ap, 6) AS micro_ap, round(macro_f1, 6) AS macro_f1, round(micro_f1, 6) AS micro_f1, row_number() OVER (PARTITION BY host, split ORDER BY round(macro_ap, 9) DESC NULLS LAST, s) AS rank FROM ma JOIN mi USING (s, host, split) JOIN f USING (s, host, split)""")
 def job8(spark, sf):
+    """Five submissions with all metrics, ranked in each track and split."""
     s = F.col("submission")
-    df = scores(spark, sf).withColumn("submission", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))))
+    df = scores(spark, sf).withColumn("submission", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")))).withColumn("split", group_split(42, "family", "family"))
     df = df.withColumn("score", F.floor(100 * ((1 - s / 4.0) * F.col("base") + s / 4.0 * F.col("context")) + 0.001) / 100)
-    m = metrics.average_precision(df, ["submission", "host", "label_id"]).groupBy("submission", "host").agg(F.avg("ap").alias("macro_ap"))
-    rank = F.row_number().over(W.partitionBy("host").orderBy(F.desc_nulls_last(F.round("macro_ap", 9)), "submission"))
-    return m.select("submission", F.col("host").alias("track"), R("macro_ap").alias("macro_ap"), rank.alias("rank"))
+    m = metrics.four_metrics(df, ["submission", "host", "split"])
+    rank = F.row_number().over(W.partitionBy("host", "split").orderBy(F.desc_nulls_last(F.round("macro_ap", 9)), "submission"))
+    return m.select("submission", F.col("host").alias("track"), "split", *(R(c).alias(c) for c in ("macro_ap", "micro_ap", "macro_f1", "micro_f1")), rank.alias("rank"))
 
 
 @query("win16_top_two", LONG + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, label_id) AS k FROM long) SELECT item_id, max(label_id) FILTER (k = 1) AS first, coalesce(max(label_id) FILTER (k = 2), max(label_id) FILTER (k = 1)) AS second, round(max(score) FILTER (k = 1) - coalesce(max(score) FILTER (k = 2), max(score) FILTER (k = 1)), 6) AS margin FROM r GROUP BY 1")

@@ -82,13 +82,13 @@ def met18(spark, sf):
     return x.groupBy("cut").agg(F.count_if(over).alias("kept"), R(F.avg(F.when(over, (F.col("label") == "N").cast("int")))).alias("precision"))
 
 
-@query("met21_definition_sensitivity", f"WITH {SCORES}, f AS (SELECT label_id, y, base AS score, regexp_matches(text, 'License') AS syn, n_chars < 400 AS amb FROM scores JOIN items USING (item_id)), u AS (SELECT 'plain' AS c, * FROM f UNION ALL SELECT 'expanded', label_id, greatest(y, syn::INT), score, syn, amb FROM f UNION ALL SELECT 'no_synonyms', * FROM f WHERE NOT (y = 0 AND syn) UNION ALL SELECT 'no_ambiguous', * FROM f WHERE NOT (y = 0 AND amb)), pt AS (SELECT c, label_id, score, count(*) AS n, sum(y) AS tp FROM u GROUP BY ALL), k AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM pt WINDOW w AS (PARTITION BY c, label_id ORDER BY score DESC)) SELECT c AS condition, label_id, sum(tp) AS positives, round(sum(tp * ct / cn) / nullif(sum(tp), 0), 6) AS ap FROM k GROUP BY 1, 2")
+@query("met21_definition_sensitivity", f"WITH {SCORES}, f AS (SELECT m AS model, label_id, y, CASE m WHEN 'base' THEN base ELSE context END AS score, regexp_matches(text, 'License') AS syn, n_chars < 400 AS amb FROM scores JOIN items USING (item_id), (SELECT unnest(['base', 'context']) AS m)), u AS (SELECT 'plain' AS c, * FROM f UNION ALL SELECT 'expanded', model, label_id, greatest(y, syn::INT), score, syn, amb FROM f UNION ALL SELECT 'no_synonyms', * FROM f WHERE NOT (y = 0 AND syn) UNION ALL SELECT 'no_ambiguous', * FROM f WHERE NOT (y = 0 AND amb)), pt AS (SELECT c, model, label_id, score, count(*) AS n, sum(y) AS tp FROM u GROUP BY ALL), k AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM pt WINDOW w AS (PARTITION BY c, model, label_id ORDER BY score DESC)) SELECT c AS condition, model, label_id, sum(tp) AS positives, round(sum(tp * ct / cn) / nullif(sum(tp), 0), 6) AS ap FROM k GROUP BY 1, 2, 3")
 def met21(spark, sf):
     f = scores(spark, sf).join(items(spark, sf).select("item_id", F.col("text").rlike("License").alias("syn"), (F.col("n_chars") < 400).alias("amb")), "item_id")
     keep = F.array_compact(F.array(F.lit("plain"), F.lit("expanded"), F.when(~((F.col("y") == 0) & F.col("syn")), "no_synonyms"), F.when(~((F.col("y") == 0) & F.col("amb")), "no_ambiguous")))
-    u = f.select("label_id", "y", "syn", F.col("base").alias("score"), F.explode(keep).alias("condition"))
+    u = f.select("label_id", "y", "syn", "base", "context", F.explode(keep).alias("condition")).unpivot(["label_id", "y", "syn", "condition"], ["base", "context"], "model", "score")
     u = u.withColumn("y", F.when(F.col("condition") == "expanded", F.greatest("y", F.col("syn").cast("int"))).otherwise(F.col("y")))
-    return metrics.average_precision(u, ["condition", "label_id"]).select("condition", "label_id", "positives", R("ap").alias("ap"))
+    return metrics.average_precision(u, ["condition", "model", "label_id"]).select("condition", "model", "label_id", "positives", R("ap").alias("ap"))
 
 
 # ---- evidence

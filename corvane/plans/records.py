@@ -69,6 +69,67 @@ def src4(spark, sf):
     return records.flat_records(spark, path).select("accession", "definition", "length", "source.taxon", "source.host", F.size(genes).cast("bigint").alias("features"), F.size(F.filter(genes, lambda x: F.contains(x["location"], F.lit("complement")))).cast("bigint").alias("complements"), F.coalesce(F.array_min(products), F.lit("")).alias("product"))
 
 
+@query("src4_feature_rows", """SELECT 'O' || l_orderkey AS accession, o_custkey::VARCHAR AS taxon, l_linenumber::BIGINT AS line, 'g' || l_linenumber AS gene, 'status "' || l_linestatus || '" of /part=' || l_partkey AS note, l_suppkey || ' and more' AS product, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber % 3 END AS codon_start,
+CASE WHEN l_returnflag = 'R' THEN 'partial,pseudo' ELSE '' END AS flags, (l_linenumber + 60)::INT AS translation_length, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS strand, least(l_linenumber, l_partkey)::INT AS start, greatest(l_linenumber, l_partkey)::INT AS end_ FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+def src4_features(spark, sf):
+    """Features with quoted, doubly quoted, wrapped, bare and valueless qualifiers, written and parsed again."""
+    path, pad = scratch(spark, "features") + "/f", "\n                     "
+    back, text = F.col("l_returnflag") == "R", lambda c: F.col(c).cast("string")
+    place = F.concat(text("l_linenumber"), F.lit(".."), text("l_partkey"))
+    place = F.when(back, F.concat(F.lit("complement("), place, F.lit(")"))).otherwise(place)
+    n = F.col("l_linenumber")
+    gene = F.concat(
+        F.lit("     CDS             "), place, F.lit(f'{pad}/gene="g'), text("l_linenumber"), F.lit(f'"{pad}/note="status ""'), "l_linestatus", F.lit(f'"" of{pad}/part='), text("l_partkey"), F.lit(f'"{pad}/product="'),
+        text("l_suppkey"), F.lit(f' and{pad}more"'), F.when(back, f"{pad}/pseudo{pad}/partial").otherwise(""), F.when(n % 3 > 0, F.concat(F.lit(f"{pad}/codon_start="), (n % 3).cast("string"))).otherwise(""),
+        F.lit(f'{pad}/translation="'), F.repeat(F.lit("M"), F.lit(60)), F.lit(pad), F.expr("repeat('K', l_linenumber)"), F.lit(f'"{pad}/locus_tag="'), text("l_linenumber"), F.lit('"'),
+    )
+    genes = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.concat_ws("\n", F.array_sort(F.collect_list(gene))).alias("genes"))  # lines of one order
+    o = table(spark, sf, "orders").join(genes, "o_orderkey")
+    head = F.concat(F.lit("LOCUS       O"), text("o_orderkey"), F.lit("   9 bp    DNA     linear\nACCESSION   O"), text("o_orderkey"), F.lit('\nFEATURES             Location/Qualifiers\n     source          1..9\n                     /db_xref="taxon:'), text("o_custkey"), F.lit('"\n'))
+    o.select(F.concat(head, "genes", F.lit("\nORIGIN\n        1 acgt\n//"))).write.mode("overwrite").text(path)
+    f = records.feature_rows(records.flat_records(spark, path))
+    return f.select("accession", "taxon", F.col("locus_tag").cast("bigint").alias("line"), "gene", "note", "product", "codon_start", F.concat_ws(",", "flags").alias("flags"), "translation_length", "strand", "start", F.col("end").alias("end_"))
+
+
+RUNS = """r AS (SELECT split_part(p_brand, '#', 2)::BIGINT AS run, count(*) AS n, avg(p_size) AS size, avg(p_retailprice) / 3000 AS ap, max(p_size) AS epoch FROM part GROUP BY 1)"""
+
+
+@query("src9_run_registry", f"WITH {RUNS} SELECT 'run=' || run AS run_name, CASE WHEN run % 2 = 0 THEN 'full' ELSE 'sequence' END AS task_mode, 'family' AS split_scheme, CASE WHEN run % 3 = 0 THEN '' ELSE 'b' || run % 4 END AS sequence_backbone, run % 5 < 2 AS with_biophysics, CASE WHEN run % 5 < 2 THEN 'taxonomy,neighbours' ELSE '' END AS selected_context_blocks, CASE WHEN run % 7 = 0 THEN 'shuffled' ELSE 'none' END AS context_control, CASE WHEN run % 3 = 0 THEN 0.2 END AS host_corruption_fraction, CASE WHEN run % 3 = 0 THEN n ELSE 0 END AS host_corrupted_count, epoch AS best_epoch, round(ap, 6) AS validation_ap, CASE WHEN run % 2 = 0 THEN round(ap / 2, 6) END AS test_ap, CASE WHEN run % 2 = 0 THEN round(size, 4) END AS test_f1, run % 6 = 0 AS nested FROM r WHERE run % 4 <> 3")
+def src9(spark, sf):
+    """Brands as runs in nested folders whose files lack fields in turn, scanned into one table; runs without metrics are no rows."""
+    root = scratch(spark, "runs")
+    run = F.col("run")
+    when = lambda c, x: F.when(c, x)
+    r = table(spark, sf, "part").groupBy(F.split("p_brand", "#")[1].cast("bigint").alias("run")).agg(F.count("*").alias("n"), F.avg("p_size").alias("size"), (F.avg("p_retailprice") / 3000).alias("ap"), F.max("p_size").cast("bigint").alias("epoch"))
+    has, blocks = run % 4 != 3, run % 5 < 2
+    r = r.select(
+        "run", F.when(run % 6 == 0, "deep").otherwise("flat").alias("suite"),
+        F.when(run % 2 == 0, "full").otherwise("sequence").alias("task_mode"), F.struct(F.lit("family").alias("scheme"), F.lit(42).alias("seed")).alias("split_strategy"),
+        when(run % 3 != 0, F.concat(F.lit("b"), (run % 4).cast("string"))).alias("sequence_backbone"), when(blocks, F.array(F.lit("length"))).alias("biophysics_fields"),
+        when(blocks, F.array(F.lit("taxonomy"), F.lit("neighbours"))).alias("selected_context_blocks"), when(run % 7 == 0, "shuffled").alias("context_control"),
+        when(run % 3 == 0, 0.2).alias("host_corruption_fraction"), when(run % 3 == 0, F.col("n")).alias("host_corrupted_count"), F.lit("x").alias("notes"),
+        when(has, F.col("epoch")).alias("best_epoch"), when(has, F.struct(R("ap").alias("macro_average_precision"))).alias("validation"),
+        when(has & (run % 2 == 0), F.struct(R(F.col("ap") / 2).alias("macro_average_precision"), R("size", 4).alias("macro_f1"), F.lit(1).alias("other"))).alias("test"),
+    )
+    for suite, folders in (("flat", ["run"]), ("deep", ["suite", "run"])):
+        part = r.where(F.col("suite") == suite)
+        names = [c for c in r.columns if c not in ("run", "suite", "best_epoch", "validation", "test")]
+        records.write_runs(part, f"{root}/{suite}", folders, names, ["best_epoch", "validation", "test"])
+    t = records.run_registry(spark, root)
+    return t.select(*t.columns[:10], F.col("validation_macro_average_precision").alias("validation_ap"), F.col("test_macro_average_precision").alias("test_ap"), F.col("test_macro_f1").alias("test_f1"), F.contains("run_dir", F.lit("suite=deep")).alias("nested"))
+
+
+@query("snk1_delimited", "SELECT doc_id::VARCHAR AS doc_id, source, n_chars::VARCHAR AS n_chars, count(*) OVER ()::VARCHAR AS rows FROM documents")
+def snk1(spark, sf):
+    """A compressed table with a fixed order of columns, further ones left out, read back as text."""
+    path = scratch(spark, "sink") + "/t.tsv.gz"
+    records.write_delimited(table(spark, sf, "documents").withColumn("extra", F.lit("x")), path, ["source", "doc_id", "n_chars"], gz=True)
+    t = records.delimited(spark, path)
+    if t.columns != ["source", "doc_id", "n_chars"]:
+        raise ValueError(f"columns came back as {t.columns}")
+    return t.join(F.broadcast(t.agg(F.count("*").cast("string").alias("rows"))))  # one row
+
+
 @query("src6_atom_quality", "SELECT l_returnflag AS model, count(DISTINCT l_orderkey % 9999) AS residues, round(avg(l_quantity + 45), 4) AS mean, round(median(l_quantity + 45), 4) AS median, round(avg((l_quantity + 45 >= 70)::INT), 6) AS high, round(avg((l_quantity + 45 >= 90)::INT), 6) AS very_high FROM lineitem GROUP BY 1")
 def src6(spark, sf):
     """Lines as fixed-width atoms, one model for each return flag."""

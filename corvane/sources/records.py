@@ -44,7 +44,7 @@ def flat_records(spark: SparkSession, path: str) -> DataFrame:
         lambda x: F.struct(
             F.regexp_extract(x, r"^(\S+)", 1).alias("type"),
             F.regexp_replace(F.regexp_extract(x, r"(?s)^\S+\s+(.*?)(?:\n\s+/|\z)", 1), r"\s+", "").alias("location"),
-            _grouped(F.transform(F.regexp_extract_all(x, F.lit(r"/(\w+)=\"([^\"]*)\""), F.lit(0)), lambda q: F.struct(F.regexp_extract(q, r"/(\w+)=", 1).alias("k"), F.regexp_replace(F.regexp_extract(q, r"=\"([^\"]*)\"", 1), r"\s+", " ").alias("v")))).alias("qualifiers"),
+            _grouped(_qualifiers(x)).alias("qualifiers"),
         ),
     )
     locus = F.regexp_extract_all("value", F.lit(r"(?m)^LOCUS\s+(\S+)\s+(\d+)\s+bp\s+(\S+)"), F.lit(0))
@@ -67,6 +67,36 @@ def flat_records(spark: SparkSession, path: str) -> DataFrame:
     return out.select("accession", "locus", "definition", "organism", "taxonomy", "length", "molecule", source.alias("source"), "features")
 
 
+#: A qualifier at the start of a line: quoted (a doubled quote stands for one, lines may break), bare (goes on until the next slash), or
+#: without a value. Matches follow each other, so a slash inside quotes starts nothing.
+QUALIFIER = r'(?m)^[ \t]+/(\w+)(?:=("[^"]*+(?:""[^"]*+)*+"|[^"\n][^\n]*(?:\n[ \t]+(?![ \t/])[^\n]*)*))?'
+
+
+def _qualifiers(feature: Column) -> Column:
+    """The qualifiers of a feature in order, as structs (k, v); a qualifier without a value has the empty text."""
+
+    def pair(q: Column) -> Column:
+        value = F.regexp_replace(F.trim(q), r"^/\w+=?", "")
+        plain = F.when(F.startswith(value, F.lit('"')), F.replace(F.regexp_replace(value, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(value)
+        return F.struct(F.regexp_extract(q, r"/(\w+)", 1).alias("k"), F.regexp_replace(plain, r"\s*\n\s*", " ").alias("v"))
+
+    return F.transform(F.regexp_extract_all(feature, F.lit(QUALIFIER), F.lit(0)), pair)
+
+
+def feature_rows(records: DataFrame, kind: str = "CDS") -> DataFrame:
+    """One row for each feature of a kind in ``flat_records``: the record's accession, organism and source, names and product, the location as it
+    stands and taken apart, the reading frame, the length of the translation and the names of the qualifiers without a value."""
+    f = records.select("accession", "organism", F.col("source.taxon").alias("taxon"), F.col("source.segment").alias("segment"), F.posexplode("features").alias("place", "x")).where(F.col("x.type") == kind)
+    one = lambda name: F.try_element_at(F.try_element_at(F.col("x.qualifiers"), F.lit(name)), F.lit(1))
+    flags = F.filter(F.map_keys("x.qualifiers"), lambda k: F.array_max(F.try_element_at(F.col("x.qualifiers"), k)) == "")
+    return f.select(
+        "accession", "organism", "taxon", "segment", "place", F.col("x.type").alias("type"),
+        *(one(n).alias(n) for n in ("protein_id", "gene", "locus_tag", "product", "note")),
+        F.col("x.location").alias("location"), *(c.alias(n) for n, c in location(F.col("x.location")).items()),
+        one("codon_start").try_cast("int").alias("codon_start"), F.length(F.regexp_replace(one("translation"), r"\s", "")).alias("translation_length"), F.array_sort(flags).alias("flags"),
+    )
+
+
 def _grouped(pairs: Column) -> Column:
     """A map from each name to the array of its values; names may repeat."""
     names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
@@ -119,11 +149,56 @@ def hit_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.nullif(F.try_element_at(f, F.lit(k + 1)), F.lit("")).alias(n) for k, n in enumerate(names)))
 
 
+#: Fields of a run's two files; a field that a file lacks is null, further ones are left out.
+MANIFEST = "task_mode string, split_strategy struct<scheme: string>, sequence_backbone string, biophysics_fields array<string>, selected_context_blocks array<string>, context_control string, host_corruption_fraction double, host_corrupted_count long"
+_PART = "struct<macro_average_precision: double, micro_average_precision: double, macro_f1: double, micro_f1: double>"
+METRICS = f"best_epoch long, validation {_PART}, test {_PART}"
+
+
 def run_registry(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each folder with a run_manifest.json and a metrics_summary.json."""
+    """One row for each folder at any depth that has a run_manifest.json and a metrics_summary.json: the run's name (its folder's), what it
+    was made of, and its metrics."""
     folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-    read = lambda name: spark.read.option("multiLine", True).json(f"{root}/*/{name}").select(folder.alias("run_dir"), F.struct("*").alias(name.split(".")[0]))
-    return read("run_manifest.json").join(read("metrics_summary.json"), "run_dir").select("run_dir", "run_manifest.*", "metrics_summary.*")
+
+    def read(name: str, schema: str) -> DataFrame:
+        files = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"{name}.json").json(root)
+        return files.select(folder.alias("run_dir"), "*")
+
+    runs = read("run_manifest", MANIFEST).join(read("metrics_summary", METRICS), "run_dir")
+    return runs.select(
+        F.substring_index("run_dir", "/", -1).alias("run_name"),
+        F.coalesce("task_mode", F.lit("")).alias("task_mode"),
+        F.coalesce("split_strategy.scheme", F.lit("")).alias("split_scheme"),
+        F.coalesce("sequence_backbone", F.lit("")).alias("sequence_backbone"),
+        (F.coalesce(F.size("biophysics_fields"), F.lit(0)) > 0).alias("with_biophysics"),
+        F.concat_ws(",", F.coalesce("selected_context_blocks", F.array().cast("array<string>"))).alias("selected_context_blocks"),
+        F.coalesce("context_control", F.lit("none")).alias("context_control"),
+        "host_corruption_fraction",
+        F.coalesce("host_corrupted_count", F.lit(0)).alias("host_corrupted_count"),
+        "best_epoch",
+        *(F.col(f"{p}.{m}").alias(f"{p}_{m}") for p in ("validation", "test") for m in ("macro_average_precision", "micro_average_precision", "macro_f1", "micro_f1")),
+        "run_dir",
+    )
+
+
+def write_runs(runs: DataFrame, root: str, folders: list[str], manifest: list[str], metrics: list[str]) -> None:
+    """The files of ``run_registry`` in nested folders named by the columns ``folders``, one folder for each row; a row without any metric gets
+    a manifest only. One file a run: it is for tables of runs, whose folders the driver lists."""
+    spark = runs.sparkSession
+    for name, columns in (("run_manifest", manifest), ("metrics_summary", metrics)):
+        own = runs if name == "run_manifest" else runs.where(" or ".join(f"`{c}` is not null" for c in columns))
+        part = f"{root}/.{name}"
+        own.select(*folders, *columns).repartition(*folders).write.mode("overwrite").partitionBy(*folders).json(part)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = files.listFiles(path(part), True)
+        while found.hasNext():
+            at = found.next().getPath()
+            if at.getName().startswith("part-"):
+                inside = at.getParent().toString().split(f"/.{name}/", 1)[1]
+                files.mkdirs(path(f"{root}/{inside}"))
+                files.rename(at, path(f"{root}/{inside}/{name}.json"))
+        files.delete(path(part), True)
 
 
 def write_delimited(df: DataFrame, path: str, columns: list[str], gz: bool = False) -> None:
