@@ -7,7 +7,7 @@ language. A text gets the language with the lowest cross-entropy per character.
 ``EVIDENCE`` characters. A text whose cross-entropy is above what all but a ``REJECT`` share of the language's own
 training texts show is marked in ``rejected``.
 
-Training sample: texts are taken by the hash of their id so that about ``SAMPLE`` whole texts of each language remain,
+Training sample: texts are taken by the hash of their id so that about ``sample`` whole texts of each language remain,
 however many there are; a language with fewer gives all.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a row without a language is never learned
@@ -58,9 +58,9 @@ def grams(sizes: np.ndarray, chars: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return out
 
 
-def _sample(training: DataFrame) -> DataFrame:
-    """``(lang, text)``: about SAMPLE texts of each language, by the hash of the id."""
-    size = training.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("count")).alias("share"))
+def _sample(training: DataFrame, texts: int) -> DataFrame:
+    """``(lang, text)``: about so many texts of each language, by the hash of the id."""
+    size = training.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(texts)) / F.col("count")).alias("share"))
     rolled = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) / float(1 << 20)
     return training.join(F.broadcast(size), "lang").where(rolled < F.col("share")).select("lang", "text")
 
@@ -105,7 +105,7 @@ def _build(words: pa.StringArray, n: np.ndarray) -> list:
     return out
 
 
-def fit(documents: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
+def fit(documents: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict | None:
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(f"lang is not null and text is not null and crc32(cast(cast(id as string) as binary)) % {folds} <> {fold}")
@@ -122,8 +122,8 @@ def fit(documents: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_
                     arrays.put(root, f"{name}-{k}-{part}", x)
             yield pa.RecordBatch.from_pydict({"lang": [lang]})
 
-    # one task holds the distinct words of its languages' samples, which SAMPLE bounds
-    langs = sorted(r.lang for r in _word_counts(_sample(rows)).repartition("lang").mapInArrow(build, "lang string").collect())
+    # one task holds the distinct words of its languages' samples, which ``sample`` bounds
+    langs = sorted(r.lang for r in _word_counts(_sample(rows, sample)).repartition("lang").mapInArrow(build, "lang string").collect())
     if not langs:
         return None
     parts = []  # the languages side by side: bounded by the sample
@@ -209,10 +209,10 @@ def _scored(documents: DataFrame, keep: list[str], meta: dict, raw: bool = False
     return source.mapInArrow(run, f"{kept}, lang_pred string, score double, entropy double, rejected boolean")
 
 
-def identify(documents: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(documents: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """``(id, held_out, lang_pred, score, entropy, rejected)`` for every row."""
     marked = documents.select(F.col(id_col).alias("doc_id"), F.expr(f"coalesce(crc32(cast(cast(`{id_col}` as string) as binary)) % {folds} = {fold}, false)").alias("held_out"), F.col(text_col).alias("text"))
-    meta = fit(documents, folds, fold, id_col, text_col, lang_col)
+    meta = fit(documents, folds, fold, id_col, text_col, lang_col, sample)
     if meta is None:
         return marked.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(True).alias("rejected"))
     return _scored(marked, ["doc_id", "held_out"], meta)
