@@ -139,7 +139,7 @@ def fit(documents: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_
             parts.append(len(names))
     meta = {"root": root, "langs": langs, "size": max(2, parts[0] + 1), "limit": [np.inf] * len(langs)}
     # rejection: the cross-entropy that all but a REJECT share of a language's own sample stays under
-    own = _scored(_sample(rows), ["lang"], meta, raw=True).where("lang = lang_pred")
+    own = _scored(_sample(rows, sample), ["lang"], meta, raw=True).where("lang = lang_pred")
     limits = own.groupBy("lang").agg(F.percentile_approx("entropy", 1 - REJECT, 10000).alias("limit")).collect()
     limits = {r.lang: r.limit for r in limits}
     meta["limit"] = [limits.get(g, np.inf) for g in langs]
