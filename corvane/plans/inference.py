@@ -13,6 +13,8 @@ from corvane.session import table
 R = lambda c, n=6: F.round(c, n)
 #: Draws of intervals, draws of tests and intervals inside groups, and draws of clusters.
 ITER, DRAWS_IN_GROUP, CLUSTER_DRAWS = 1000, 200, 500
+#: Rows of the least stratum of the atlas.
+LEAST = 100
 NAMES = ("macro_ap", "micro_ap", "macro_f1", "micro_f1")
 
 
@@ -236,18 +238,18 @@ bt AS (SELECT stratum, value, label_id, iter, {DELTA} AS d FROM (SELECT stratum,
 ci AS (SELECT stratum, value, label_id, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM bt GROUP BY ALL),
 sw AS (SELECT stratum, value, label_id, iter, {SWAP} FROM (SELECT *, ('0x' || substr(md5('42|' || iter || '|' || blk), 1, 8))::UBIGINT % 2 = 1 AS sw FROM kb, (SELECT unnest(range({DRAWS_IN_GROUP})) AS iter)) GROUP BY ALL),
 pv AS (SELECT stratum, value, label_id, round((count(*) FILTER (abs(coalesce(d, 0)) >= abs(coalesce(delta, 0)) - 1e-12) + 1) / ({DRAWS_IN_GROUP} + 1), 6) AS p FROM (SELECT stratum, value, label_id, {DELTA} AS d FROM sw) JOIN ob USING (stratum, value, label_id) GROUP BY stratum, value, label_id)
-SELECT stratum, value, label_id, n, round(delta, 6) AS delta, low, high, p FROM ob LEFT JOIN ci USING (stratum, value, label_id) LEFT JOIN pv USING (stratum, value, label_id) WHERE n >= 20"""
+SELECT stratum, value, label_id, n, round(delta, 6) AS delta, low, high, p FROM ob LEFT JOIN ci USING (stratum, value, label_id) LEFT JOIN pv USING (stratum, value, label_id) WHERE n >= {LEAST}"""
 
 
 @query("inf19_stratified_atlas", ATLAS)
 def inf19(spark, sf):
-    """F1 difference of two models for each label in each stratum of at least 20 rows, with interval and swap test."""
+    """F1 difference of two models for each label in each stratum of at least ``LEAST`` rows, with interval and swap test."""
     from corvane.plans.fixtures import items
 
     s = scores(spark, sf).join(items(spark, sf).select("item_id", F.when(F.col("n_chars") < 1000, "short").otherwise("long").alias("len")), "item_id")
     s = s.withColumn("blk", (F.col("item_id") % 50).cast("string"))
     strata = F.array(*(F.struct(F.lit(n).alias("stratum"), F.lit("all").alias("value") if n == "all" else F.col(c).alias("value")) for n, c in (("host", "host"), ("family", "family"), ("length", "len"), ("all", None))))
-    t = resample.stratified_effects(s.withColumn("x", F.explode(strata)).select("*", "x.*"), ["stratum", "value", "label_id"], "blk", DRAWS_IN_GROUP).where("n >= 20")
+    t = resample.stratified_effects(s.withColumn("x", F.explode(strata)).select("*", "x.*"), ["stratum", "value", "label_id"], "blk", DRAWS_IN_GROUP).where(F.col("n") >= LEAST)
     return t.select("stratum", "value", "label_id", "n", *(R(c).alias(c) for c in ("delta", "low", "high", "p")))
 
 

@@ -11,10 +11,10 @@ from corvane.operators import context
 from corvane.operators.conform import tiered_join
 from corvane.operators.hierarchy import chase, root_paths
 from corvane.plans.features import SEQ, order, sequences
-from corvane.plans.fixtures import SCORES, bucket_sql, scores, split_sql
+from corvane.plans.fixtures import SCORES, bucket_sql, items, scores, split_sql
 from corvane.plans.registry import query
 from corvane.plans.tables import LINE
-from corvane.session import table
+from corvane.session import materialise, table
 
 R = lambda c, n=6: F.round(c, n)
 BIN = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} <= 0 THEN 'len_0' ELSE 'len2^' || (length(bin({0})) - 1) || '-' || length(bin({0})) END"
@@ -300,21 +300,27 @@ def job9(spark, sf):
 
 # ---- JOB10: gold set
 
-GOLD = f"""WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY label_id, family ORDER BY base DESC, item_id) AS rn FROM scores WHERE y = 1), p AS (SELECT label_id, item_id, 'positive' AS role FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY rn, family) AS k FROM r) WHERE k <= 25),
-hp AS (SELECT DISTINCT label_id, family FROM p JOIN scores USING (label_id, item_id)), n AS (SELECT label_id, item_id, 'hard_negative' AS role FROM (SELECT s.*, row_number() OVER (PARTITION BY s.label_id ORDER BY (hp.family IS NOT NULL) DESC, base DESC, item_id) AS k FROM scores s LEFT JOIN hp ON s.label_id = hp.label_id AND s.family = hp.family WHERE y = 0) WHERE k <= 25), u AS (SELECT * FROM p UNION ALL SELECT * FROM n)"""
+POSITIVES, NEGATIVES = 20, 10
+GOLD = f"""WITH {SCORES}, x AS (SELECT s.*, length(bin(n_chars)) AS bits, sum(y) OVER (PARTITION BY s.item_id) - y > 0 AS other FROM scores s JOIN items USING (item_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY label_id, family, host, bits ORDER BY base DESC, item_id) AS rn FROM x WHERE y = 1), p AS (SELECT label_id, item_id, host, bits FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY rn, family, host, bits) AS k FROM r) WHERE k <= {POSITIVES}),
+n AS (SELECT label_id, item_id, row_number() OVER (PARTITION BY label_id ORDER BY ((label_id, host) IN (SELECT (label_id, host) FROM p)) DESC, ((label_id, bits) IN (SELECT (label_id, bits) FROM p)) DESC, other DESC, item_id DESC) AS k FROM x WHERE y = 0),
+u AS (SELECT label_id, item_id, 'positive' AS role FROM p UNION ALL SELECT label_id, item_id, 'hard_negative' FROM n WHERE k <= {NEGATIVES})"""
 
 
 @query("job10_gold_set", GOLD + " SELECT label_id, item_id, role, 'G-' || lpad((row_number() OVER (ORDER BY md5('g|' || label_id || '|' || item_id)))::VARCHAR, 4, '0') AS blind_id FROM u")
 def job10(spark, sf):
-    """For each label 25 positives in turn over families and 25 hard negatives, of the positives' families first, under blind ids."""
+    """For each label 20 positives in turn over families, hosts and length classes, and 10 hard negatives: of the positives' hosts, then
+    lengths, then with another label; under blind ids."""
     from corvane.operators.sampling import round_robin
 
-    s = scores(spark, sf)
-    p = round_robin(s.where("y = 1"), "label_id", ["family"], [F.desc("base"), F.col("item_id")], 25)
-    near = p.select("label_id", "family").distinct().withColumn("near", F.lit(True))
-    n = s.where("y = 0").join(near, ["label_id", "family"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    place = F.row_number().over(W.partitionBy("label_id").orderBy(F.desc("near"), F.desc("base"), "item_id"))
-    n = n.withColumn("k", place).where("k <= 25")
+    s = scores(spark, sf).join(items(spark, sf).select("item_id", F.length(F.bin("n_chars")).alias("bits")), "item_id")
+    p = materialise(round_robin(s.where("y = 1"), "label_id", ["family", "host", "bits"], [F.desc("base"), F.col("item_id")], POSITIVES), "positives")
+    other = s.groupBy("item_id").agg((F.sum("y") > 0).alias("other"))
+    n = s.where("y = 0").join(other, "item_id")
+    for c in ("host", "bits"):
+        n = n.join(p.select("label_id", c).distinct().withColumn(f"same_{c}", F.lit(1)), ["label_id", c], "left")
+    place = F.row_number().over(W.partitionBy("label_id").orderBy(F.coalesce("same_host", F.lit(0)).desc(), F.coalesce("same_bits", F.lit(0)).desc(), F.desc("other"), F.desc("item_id")))
+    n = n.withColumn("k", place).where(F.col("k") <= NEGATIVES)
     u = p.select("label_id", "item_id", F.lit("positive").alias("role")).union(n.select("label_id", "item_id", F.lit("hard_negative")))
     key = F.md5(F.concat_ws("|", F.lit("g"), "label_id", F.col("item_id").cast("string")).cast("binary"))
-    return u.select("label_id", "item_id", "role", F.format_string("G-%04d", F.row_number().over(W.orderBy(key))).alias("blind_id"))  # fifty rows a label
+    return u.select("label_id", "item_id", "role", F.format_string("G-%04d", F.row_number().over(W.orderBy(key))).alias("blind_id"))  # thirty rows a label

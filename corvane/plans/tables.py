@@ -272,19 +272,29 @@ def smp1(spark, sf):
     return round_robin(scores(spark, sf).where("y = 1"), "label_id", ["family"], [F.desc("base"), F.col("item_id")], 50).select("label_id", "item_id", "k")
 
 
-@query("smp2_hard_negatives", f"WITH {SCORES}, p AS (SELECT DISTINCT label_id, family FROM scores WHERE y = 1 AND base > 0.9), n AS (SELECT s.label_id, s.item_id, s.base, p.family IS NOT NULL AS near FROM scores s LEFT JOIN p USING (label_id, family) WHERE y = 0), k AS (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY near DESC, base DESC, item_id DESC) AS k FROM n) SELECT label_id, item_id, k FROM k WHERE k <= 20")
+@query("smp2_hard_negatives", f"""WITH {SCORES}, x AS (SELECT s.*, length(bin(n_chars)) AS bits, sum(y) OVER (PARTITION BY s.item_id) - y > 0 AS other FROM scores s JOIN items USING (item_id)), p AS (SELECT label_id, host, bits FROM x WHERE y = 1 AND base > 0.9),
+n AS (SELECT label_id, item_id, (label_id, host) IN (SELECT (label_id, host) FROM p) AS same_host, (label_id, bits) IN (SELECT (label_id, bits) FROM p) AS same_length, other FROM x WHERE y = 0), k AS (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY same_host DESC, same_length DESC, other DESC, item_id DESC) AS k FROM n) SELECT label_id, item_id, same_host, same_length, other, k FROM k WHERE k <= 20""")
 def smp2(spark, sf):
-    s = scores(spark, sf)
-    near = s.where("y = 1 and base > 0.9").select("label_id", "family").distinct().withColumn("near", F.lit(True))
-    n = s.where("y = 0").join(near, ["label_id", "family"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    k = F.row_number().over(W.partitionBy("label_id").orderBy(F.desc("near"), F.desc("base"), F.desc("item_id")))
-    return n.withColumn("k", k).where("k <= 20").select("label_id", "item_id", "k")
+    """Negatives that are hard to tell: of a host and a length class of the label's sure positives, with another label, then by id."""
+    x = scores(spark, sf).join(items(spark, sf).select("item_id", F.length(F.bin("n_chars")).alias("bits")), "item_id")
+    other = x.groupBy("item_id").agg(F.sum("y").alias("labels"))
+    sure = x.where("y = 1 and base > 0.9")
+    hosts, sizes = (sure.select("label_id", c).distinct().withColumn(n, F.lit(True)) for c, n in (("host", "same_host"), ("bits", "same_length")))
+    n = x.where("y = 0").join(other, "item_id").join(hosts, ["label_id", "host"], "left").join(sizes, ["label_id", "bits"], "left")
+    n = n.select("label_id", "item_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("same_host", "same_length")), (F.col("labels") > 0).alias("other"))
+    k = F.row_number().over(W.partitionBy("label_id").orderBy(F.desc("same_host"), F.desc("same_length"), F.desc("other"), F.desc("item_id")))
+    return n.withColumn("k", k).where("k <= 20")
+
+
+#: Markers of texts that say little, for the choice of known positives.
+VAGUE = "unknown|license|lorem"
 
 
-@query("smp3_known_positives", f"WITH {SCORES}, k AS (SELECT label_id, item_id, row_number() OVER (PARTITION BY label_id ORDER BY CASE WHEN {split_sql(42, 'item', 'item_id')} = 'test' THEN 0 ELSE 1 END, abs(n_chars - 300), item_id) AS k FROM scores JOIN items USING (item_id) WHERE y = 1) SELECT * FROM k WHERE k <= 15")
+@query("smp3_known_positives", f"WITH {SCORES}, k AS (SELECT label_id, item_id, row_number() OVER (PARTITION BY label_id ORDER BY CASE WHEN {split_sql(42, 'item', 'item_id')} = 'test' THEN 0 ELSE 1 END, regexp_matches(lower(coalesce(text, '')), '{VAGUE}'), abs(n_chars - 300), item_id) AS k FROM scores JOIN items USING (item_id) WHERE y = 1) SELECT * FROM k WHERE k <= 15")
 def smp3(spark, sf):
-    s = scores(spark, sf).where("y = 1").join(items(spark, sf).select("item_id", "n_chars"), "item_id")
-    order = [F.when(S.group_split(42, "item", "item_id") == "test", 0).otherwise(1), F.abs(F.col("n_chars") - 300), F.col("item_id")]
+    """Known positives of each label: of the preferred split, not vague, near a length of 300, by id."""
+    s = scores(spark, sf).where("y = 1").join(items(spark, sf).select("item_id", "n_chars", F.lower(F.coalesce("text", F.lit(""))).rlike(VAGUE).alias("vague")), "item_id")
+    order = [F.when(S.group_split(42, "item", "item_id") == "test", 0).otherwise(1), F.col("vague"), F.abs(F.col("n_chars") - 300), F.col("item_id")]
     return s.withColumn("k", F.row_number().over(W.partitionBy("label_id").orderBy(*order))).where("k <= 15").select("label_id", "item_id", "k")
 
 
