@@ -1,15 +1,17 @@
 """Operator 3: personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Seeds are the matches of four strict patterns (addresses, IP numbers, card numbers that pass Luhn, phone numbers), with
-code-point spans, and of a fifth for secrets: a quoted value assigned to a name such as token, password or api_key. Each seed
-and each other identifier-like string (a token of six or more characters with a digit or ``@``, a
+code-point spans, and key-like strings: 24 or more letters and digits between quotes. Each seed
+and each other identifier-like string (a token of six or more characters with a digit or ``@``, a quoted string with a digit, a
 run of 7 to 19 digits with single spaces, dots, dashes and parentheses, an address with (at) or [at]) is an instance with
-lexical patterns: the one, two and three chunks of text before it, the two after it, and the one before with the one after.
+lexical patterns: the one, two and three chunks of text before it, the two after it, and the one before with the one after; a
+pattern without any letter says nothing and is left out.
 Distinct pattern-value pairs form a graph, in which a value that is a seed somewhere counts as one everywhere. A
 pattern's score for a kind is the mean score of its values, smoothed by one; an unseen value takes the best score among
 its patterns with enough different seeds; both are recomputed ``ROUNDS`` times. Unseen tokens in patterns that score at
 least ``CONFIDENT`` and have the loose form of the kind become further spans, the outermost where one holds another. The
-spans of the four strict patterns stay as they are; secrets and found spans come in addition, with kind ``secret`` or one of the four.
+spans of the four strict patterns stay as they are; found spans come in addition, with one of the four kinds or ``secret``.
+A key-like string is no span by itself: it becomes one only where a confident pattern of secrets marks it, as unseen ones do.
 
 Patterns are summed over distinct values with map-side partial sums, so a frequent context costs a row a task.
 
@@ -34,8 +36,9 @@ STRICT = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_NAME = r"(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key)"
-SECRET = r"(?i)(?<=[\"'])(?<=" + _NAME + r"[\"']?\s{0,3}[:=]\s{0,3}[\"'])[^\"'\s]{8,}+(?=[\"'])"
+#: Strings between quotes, and what a seed of secrets looks like among them.
+QUOTED = r"(?<=[\"'])(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{8,}+(?=[\"'])"
+KEY = "v rlike '^[A-Za-z0-9+/_=-]{24,}$' and v rlike '[A-Za-z]' and length(regexp_replace(v, '[^0-9]', '')) >= 5"
 NEEDS = {"email": "contains(text, '@')", "ip": "text rlike '[0-9]'", "card": "text rlike '[0-9]'", "phone": "contains(text, '+')"}
 _ZERO_FREE = "trim(LEADING '0' FROM x)"
 _DIGITS = "regexp_replace(m.v, '[^0-9]', '')"
@@ -54,7 +57,10 @@ AT = r"(?<![A-Za-z0-9@._%+#-])[A-Za-z0-9._%+-]++\x20?[(\[][Aa][Tt][)\]]\x20?[A-Z
 SHORT = r"^\+?(?:\((?=[0-9]{1,5}\)))?[0-9]" + _STEP + r"{6,14}(?![0-9])"
 LOOSE = {"email": "v rlike '^[^@]+(@|[(\\\\[]at[)\\\\]]).+'", "ip": "v rlike '^[0-9]+([.-][0-9]+){3}$'", "card": "length(regexp_replace(v, '[^0-9]', '')) between 12 and 19", "phone": "v rlike '^[+0-9 ().-]+$' and length(regexp_replace(v, '[^0-9]', '')) between 7 and 15", "secret": "length(v) >= 12 and v rlike '[a-z]' and v rlike '[0-9]' and not contains(v, '@')"}
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
+SECRET, OPEN = len(KINDS), -1
 ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.8
+#: Matches whose places are summed in one go, so that a text with many matches costs little more than their number.
+BLOCK = 256
 #: So many texts with found spans at most are broadcast to the masking scan; more are joined by a shuffle.
 FEW = 200_000
 
@@ -70,19 +76,20 @@ def _found(pattern: str, kind: int, need: str, text: str = "text") -> str:
     step = f"""named_struct('at', a.at + length(x.p) + length(x.m), 'out', array_append(a.out,
         named_struct('s', a.at + length(x.p), 'k', {kind}, 'e', a.at + length(x.p) + length(x.m), 'v', x.m)))"""
     zipped = f"zip_with(slice({pieces}, 1, size({matches})), {matches}, (p, m) -> named_struct('p', p, 'm', m))"
-    return f"case when {need} then aggregate({zipped}, named_struct('at', 0, 'out', cast(array() as {SPAN})), (a, x) -> {step}, a -> a.out) else cast(array() as {SPAN}) end"
+    none = f"cast(array() as {SPAN})"
+    blocks = f"transform(sequence(0, cast((size(z) - 1) div {BLOCK} as int)), i -> slice(z, i * {BLOCK} + 1, {BLOCK}))"
+    starts = f"aggregate({blocks}, array(0), (t, b) -> array_append(t, element_at(t, -1) + aggregate(b, 0, (n, x) -> n + length(x.p) + length(x.m))))"
+    spans = f"flatten(zip_with({blocks}, {starts}, (b, w) -> if(b is null, {none}, aggregate(b, named_struct('at', w, 'out', {none}), (a, x) -> {step}, a -> a.out))))"
+    return f"case when {need} then element_at(transform(array({zipped}), z -> if(size(z) = 0, {none}, {spans})), 1) else {none} end"
 
 
 def base_spans(documents: DataFrame) -> DataFrame:
-    """Adds ``base``, the spans of the four strict patterns in order of start and kind, and ``strict``, these and the
-    secrets. Needs a non-null ``text``."""
+    """Adds ``base``, the spans of the four strict patterns in order of start and kind. Needs a non-null ``text``."""
     out = documents
     for k, kind in enumerate(KINDS):
         out = out.withColumn(f"all_{kind}", F.expr(_found(STRICT[kind], k, NEEDS[kind])))
     parts = ", ".join(f"filter(all_{kind}, m -> {VALID[kind]})" for kind in KINDS)
-    out = out.withColumn("base", F.expr(f"array_sort(concat({parts}))")).drop(*(f"all_{k}" for k in KINDS))
-    secrets = _found(SECRET, len(KINDS), f"text rlike '(?i){_NAME}[\"\\']?\\\\s*[:=]'")
-    return out.withColumn("secrets", F.expr(secrets)).withColumn("strict", F.expr("array_sort(concat(base, filter(secrets, m -> not exists(base, b -> b.s < m.e and m.s < b.e))))")).drop("secrets")
+    return out.withColumn("base", F.expr(f"array_sort(concat({parts}))")).drop(*(f"all_{k}" for k in KINDS))
 
 
 def _patterns(each: DataFrame) -> DataFrame:
@@ -90,12 +97,12 @@ def _patterns(each: DataFrame) -> DataFrame:
     after = [f"regexp_extract(right, '^({pattern})', 1)" for pattern in ("\\\\s*\\\\S+\\\\s+\\\\S+", "\\\\s*\\\\S+")]
     both = f"if({before[0]} = '' or {after[1]} = '', '', concat({before[0]}, '\u2026', {after[1]}))"
     chunks = f"array({', '.join(before)}, if({after[0]} = '', '', concat('\u2026', {after[0]})), {both})"
-    norm = f"array_distinct(filter(transform({chunks}, c -> regexp_replace(c, '\\\\s+', ' ')), c -> length(c) > 1))"
+    norm = f"array_distinct(filter(transform({chunks}, c -> regexp_replace(c, '\\\\s+', ' ')), c -> c rlike '\\\\p{{L}}'))"
     return each.select("row", "s", "e", "v", "k", F.explode(F.expr(norm)).alias("pattern"))
 
 
 def _discover(each: DataFrame) -> DataFrame:
-    """``(row, s, e, k, v)`` of tokens that confident patterns mark."""
+    """``(row, s, e, k, v)`` of strings that confident patterns mark, strict spans left out."""
     seen = _patterns(each)
     graph = materialise(seen.select("pattern", "v", "k").distinct(), "pattern-graph")
     known = graph.where("k >= 0").groupBy("v").agg(F.min("k").alias("seed"))
@@ -116,7 +123,7 @@ def _discover(each: DataFrame) -> DataFrame:
     form = F.expr("case kind " + " ".join(f"when {k} then {LOOSE[kind]}" for k, kind in enumerate(NAMES)) + " else false end")
     digits = "length(regexp_replace(v, '[^0-9]', ''))"
     cut = F.expr(f"case when kind = {KINDS.index('phone')} and v rlike '^[+0-9 ().-]+$' and {digits} > 15 then regexp_extract(v, '{_quoted(SHORT)}', 0) else v end")
-    hits = seen.where("k < 0").join(sure, "pattern").withColumn("v", cut).withColumn("e", F.col("s") + F.char_length("v")).where(form)
+    hits = seen.where(F.col("k").isin(OPEN, SECRET)).join(sure, "pattern").where((F.col("k") == OPEN) | (F.col("kind") == SECRET)).withColumn("v", cut).withColumn("e", F.col("s") + F.char_length("v")).where(form)
     return hits.groupBy("row", "s", "e").agg(F.min("kind").alias("k"), F.first("v").alias("v"))
 
 
@@ -125,7 +132,7 @@ def _text_of(spans: str) -> str:
 
 
 #: The text with the strict spans blotted out.
-_BARE = """aggregate(strict, named_struct('at', 0, 'out', ''), (a, x) -> case when x.s < a.at
+_BARE = """aggregate(base, named_struct('at', 0, 'out', ''), (a, x) -> case when x.s < a.at
     then named_struct('at', greatest(a.at, x.e), 'out', concat(a.out, repeat('#', greatest(x.e - a.at, 0))))
     else named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), repeat('#', x.e - x.s))) end,
     a -> if(a.at = 0, text, concat(a.out, substring(text, a.at + 1))))"""
@@ -139,15 +146,18 @@ _BRIEF = lambda c: F.expr(f"transform({c}, x -> named_struct('s', x.s, 'k', x.k,
 
 
 def _spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From rows (row, id, text): the written table (row, id, base, strict), and (row, new) of the rows with found spans."""
+    """From rows (row, id, text): the written table (row, id, base), and (row, new) of the rows with found spans."""
     rows = base_spans(rows)
     rows = rows.withColumn("bare", F.expr(_BARE))
-    more = " ,".join([_found(IDENTIFIER, -1, "text rlike '[0-9@]'"), _found(RUN, -1, "bare rlike '[0-9]'", "bare"), _found(AT, -1, "bare rlike '[(\\\\[][Aa][Tt][)\\\\]]'", "bare")])
-    more = rows.withColumn("more", F.expr(f"array_distinct(concat({more}))")).drop("bare")
-    free = "filter(more, m -> not exists(strict, b -> b.s < m.e and m.s < b.e))"
+    quoted = _found(QUOTED, OPEN, "text rlike '[\"\\'][^\\\\s]{8}'")
+    loose = [_found(IDENTIFIER, OPEN, "text rlike '[0-9@]'"), _found(RUN, OPEN, "bare rlike '[0-9]'", "bare"), _found(AT, OPEN, "bare rlike '[(\\\\[][Aa][Tt][)\\\\]]'", "bare")]
+    rows = rows.withColumn("quoted", F.expr(quoted))
+    seeds = f"transform(quoted, m -> named_struct('s', m.s, 'k', if({KEY.replace('v ', 'm.v ').replace('(v,', '(m.v,')}, {SECRET}, {OPEN}), 'e', m.e, 'v', m.v))"
+    more = rows.withColumn("more", F.expr(f"array_distinct(concat({seeds}, {', '.join(loose)}))")).drop("bare", "quoted")
+    free = "filter(more, m -> not exists(base, b -> b.s < m.e and m.s < b.e))"
     sides = "lower(substring(text, greatest(x.s - 39, 1), least(x.s, 40))), 'right', lower(substring(text, x.e + 1, 40))"
-    each = more.withColumn("each", F.expr(f"transform(concat(strict, {free}), x -> named_struct('s', x.s, 'e', x.e, 'v', lower(x.v), 'k', x.k, 'left', {sides}))"))
-    found = materialise(each.select("row", "id", _BRIEF("base").alias("base"), _BRIEF("strict").alias("strict"), "each"), "pii")
+    each = more.withColumn("each", F.expr(f"transform(concat(base, {free}), x -> named_struct('s', x.s, 'e', x.e, 'v', lower(x.v), 'k', x.k, 'left', {sides}))"))
+    found = materialise(each.select("row", "id", _BRIEF("base").alias("base"), "each"), "pii")
     new = _discover(found.select("row", F.explode("each").alias("x")).select("row", "x.*"))
     new = new.groupBy("row").agg(F.collect_list(F.struct("s", (-F.col("e")).alias("e"), "k")).alias("new"))
     return found, new.select("row", F.expr(_OUTER).alias("new"))
@@ -156,8 +166,8 @@ def _spans(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, base, spans)`` of every row; spans are in order of start and kind."""
     found, new = _spans(documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    out = found.select("row", "id", "base", "strict").join(new, "row", "left")
-    return out.select("id", "base", F.expr(f"array_sort(concat(strict, coalesce(new, cast(array() as {_ARRAY}))))").alias("spans"))
+    out = found.select("row", "id", "base").join(new, "row", "left")
+    return out.select("id", "base", F.expr(f"array_sort(concat(base, coalesce(new, cast(array() as {_ARRAY}))))").alias("spans"))
 
 
 def report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +189,7 @@ def mask(documents: DataFrame, text_col: str = "text") -> DataFrame:
     place = [c.lower() for c in documents.columns].index(text_col.lower())
     safe = rows.toDF(*own, "row").withColumn("text", F.coalesce(F.col(own[place]), F.lit("")))
     joined = base_spans(safe).join(F.broadcast(new) if new.count() <= FEW else new, "row", "left")
-    joined = joined.withColumn("spans", F.concat(_BRIEF("strict"), F.expr(f"coalesce(new, cast(array() as {_ARRAY}))")))
+    joined = joined.withColumn("spans", F.concat(_BRIEF("base"), F.expr(f"coalesce(new, cast(array() as {_ARRAY}))")))
     step = f"""case when x.s < a.at then named_struct('at', greatest(a.at, x.e), 'out', a.out)
         else named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), '[', upper(element_at(array({", ".join(repr(k) for k in NAMES)}), x.k + 1)), ']')) end"""
     masked = F.expr(f"aggregate(array_sort(spans), named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(text, a.at + 1)))")

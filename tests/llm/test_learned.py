@@ -234,7 +234,7 @@ def test_each_loose_form_is_discovered_in_a_confident_context(spark):
         card = next(card + x for x in "0123456789" if valid("card", card + x))
         texts.append(f"kalo paid with card {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} mire")
         texts.append(f"lore +1 555 {digits(3)} {digits(4)} is my cell, tu")
-        secret = f"f{digits(8)}x{k}a"
+        secret = f"f{digits(24)}x{k}a"
         texts += [f'kalo auth token = "{secret}" mire', f"tu bearer {secret} sanver"]
     forms = {
         "kalo my phone number: 555 201 3344 mire": "kalo my phone number: [PHONE] mire",
@@ -258,17 +258,62 @@ def test_each_loose_form_is_discovered_in_a_confident_context(spark):
     assert [got[len(texts) + k] for k in range(len(forms))] == list(forms.values())
 
 
-def test_method_finds_more_than_the_strict_patterns_in_the_given_documents(spark, sf):
-    """Secrets of the given documents, all of them and nothing else, beside the strict spans."""
-    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
-    text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
-    want = {(i, m.start(1), m.end(1)) for i, t in text.items() for m in re.finditer(r'(?i)token = "([0-9a-f]+)"', t)}
-    got = set()
+def planted(spark, sf):
+    """The given documents with contexts at the end of every fifth text: most with a seed, every eleventh with an identifier
+    that no strict pattern matches. Returns them and the places of what is to be discovered."""
+    rng = random.Random(17)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows, want = [], set()
+    for n, r in enumerate(spark.read.parquet(f"{sf}/../sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()):
+        text = r.text or ""
+        if n % 5 == 0:
+            unseen = n % 11 == 0
+            context, seed, other, kind = [
+                ("dial us under ", f"+1 555 {digits(3)} {digits(4)}", f"0{digits(3)} {digits(3)}-{digits(4)}", "phone"),
+                ("mailbox of mine: ", f"u{digits(6)}@example.org", f"u{digits(6)} (at) example.org", "email"),
+                ("gateway host at ", f"10.1.{digits(2)}.{digits(2)}", f"10-1-{digits(2)}-{digits(2)}", "ip"),
+            ][n // 5 % 3]
+            text += f"\n{context}"
+            if unseen:
+                want.add((r.doc_id, f"{kind}:{len(text)}:{len(text) + len(other)}"))
+            text += (other if unseen else seed) + " thanks"
+        want |= {(r.doc_id, f"secret:{m.start(1)}:{m.end(1)}") for m in re.finditer(r'token = "([0-9a-f]+)"', text)}
+        rows.append((r.doc_id, text))
+    return spark.createDataFrame(rows, "doc_id long, text string"), want
+
+
+def discovered(docs):
+    text = {r.doc_id: r.text for r in docs.collect()}
+    out = set()
     for r in pii.report(docs).collect():
-        spans = [s for s in r.spans.split(",") if s]
-        assert {s for s in brute_spans(text[r.doc_id]).split(",") if s} <= set(spans)
-        got |= {(r.doc_id, int(s.split(":")[1]), int(s.split(":")[2])) for s in spans if s.startswith("secret")}
-    assert want and got == want
+        base, spans = ({s for s in x.split(",") if s} for x in (brute_spans(text[r.doc_id]), r.spans))
+        assert base <= spans
+        out |= {(r.doc_id, s) for s in spans - base}
+    return out
+
+
+def test_contexts_discover_planted_and_given_identifiers_and_nothing_without_them(spark, sf, monkeypatch):
+    """Recall and precision of what no strict pattern matches: planted identifiers of three kinds and the given secrets."""
+    docs, want = planted(spark, sf)
+    kinds = {s.split(":")[0] for _, s in want}
+    assert kinds == {"phone", "email", "ip", "secret"} and len(want) > 20
+    got = discovered(docs)
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got), (want - got, got - want)
+    monkeypatch.setattr(pii, "CONFIDENT", 2.0)  # no pattern is trusted: discovery is off
+    assert discovered(docs) == set()
+
+
+def test_key_like_strings_need_a_context(spark):
+    key = lambda k: f"{k:02d}9f" * 8
+    few = [f'kalo token = "{key(k)}" mire' for k in range(3)]
+    assert {r.spans for r in pii.report(frame(spark, few)).collect()} == {""}
+    many = [f'kalo token = "{key(k)}" mire' for k in range(10, 30)] + [f'tusan "{key(40)}" only here']
+    assert [r.spans for r in pii.report(frame(spark, many)).orderBy("doc_id").collect()] == ["secret:14:46"] * 20 + [""]
+
+
+def test_many_matches_in_a_text_keep_their_places(spark):
+    text = " ".join(f"u{k}@x.org 10.0.0.{k % 256}" for k in range(3000))
+    assert pii.scan(frame(spark, [text])).select(pii.F.expr(pii._text_of("base"))).first()[0] == brute_spans(text)
 
 
 def test_masking_tells_rows_apart_by_position(spark):
