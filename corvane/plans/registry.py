@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from corvane.plans import comparison, controls, discovery, evaluation, evidence, features, inference, jobs, modules, records, tables  # noqa: E402,F401  each module registers its queries
+from corvane.plans import comparison, controls, discovery, evaluation, evidence, features, inference, jobs, modules, records, tables, cases  # noqa: E402,F401  each module registers its queries
