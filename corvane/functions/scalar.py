@@ -1,12 +1,17 @@
-"""Row-level expressions: lenient parsing, stable hashing, text normalising, binning. All stay in generated code."""
+"""Row-level expressions: lenient parsing, stable hashing, text normalising, binning. All stay in generated code, but
+for sums over windows of characters, which take a batch of texts at once."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions import windows
+
 NULL_WORDS = ("", "nan", "none", "null", "-1")
 TRUE_WORDS = ("1", "1.0", "true", "t", "yes", "y", "positive", "pos")
 
@@ -175,22 +180,32 @@ def longest_run(s: Column | str, chars: str) -> Column:
 
 
 def best_window(s: Column | str, weights: dict[str, float], size: int) -> Column:
-    """Best sum of character weights over windows of ``size``; shorter text is one window. Prefix sums keep it linear."""
-    each = F.transform(F.split(col(s), ""), lambda c: reduce(lambda o, kv: o.when(c == kv[0], kv[1]), weights.items(), F.when(F.lit(False), 0.0)).otherwise(0.0))
-    sums = F.aggregate(each, F.array(F.lit(0.0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    n = F.size(sums) - 1
-    wide = F.least(F.lit(size), n)
-    return F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(n - wide, F.lit(0)) + 1), lambda i: F.element_at(sums, i + wide) - F.element_at(sums, i)))
+    """Best sum of character weights over windows of ``size``; shorter text is one window."""
+
+    @F.pandas_udf("double")
+    def best(texts: pd.Series) -> pd.Series:
+        def of(points, at, sizes):
+            values = np.zeros(len(points))
+            for c, w in weights.items():
+                values[points == ord(c)] = w
+            inside = np.where(windows.whole(points, at, sizes, size), windows.sums(values, size), -np.inf)
+            short = np.where(sizes < size, np.add.reduceat(np.append(values, 0.0), at), -np.inf)
+            return np.where(sizes > 0, np.maximum(windows.greatest(inside, at, sizes, 0.0), short), 0.0)
+
+        return windows.by_text(texts, of)
+
+    return best(col(s))
 
 
 def dense_windows(s: Column | str, chars: str, size: int, share: float) -> Column:
     """Greedy count of non-overlapping windows whose share of set characters reaches the threshold."""
-    flags = F.transform(F.split(col(s), ""), lambda c: F.when(F.instr(F.lit(chars), c) > 0, 1).otherwise(0))
-    sums = F.aggregate(flags, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    step = lambda a, i: F.when(
-        (i >= a["end"]) & ((F.element_at(sums, i + size + 1) - F.element_at(sums, i + 1)) >= share * size),
-        F.struct((a["n"] + 1).alias("n"), (i + size).alias("end")),
-    ).otherwise(a)
-    n = F.length(col(s))
-    return F.when(n < size, 0).otherwise(F.aggregate(F.sequence(F.lit(0), n - size), start, step, lambda a: a["n"]))
+
+    @F.pandas_udf("double")
+    def dense(texts: pd.Series) -> pd.Series:
+        def of(points, at, sizes):
+            enough = windows.sums(windows.among(points, chars), size) >= share * size
+            return windows.greedy(enough & windows.whole(points, at, sizes, size), at, sizes, size)
+
+        return windows.by_text(texts, of)
+
+    return dense(col(s)).cast("int")

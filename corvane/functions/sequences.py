@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions import windows
 from corvane.functions.scalar import best_window, charset_share, col, dense_windows, length_bin, longest_run, stable_bucket
 
 # Fixed values of the definition.
@@ -24,21 +25,24 @@ SKETCH_HASHES = (
 )
 
 
-def _window_shares(s: Column, chars: str, size: int) -> Column:
-    """Share of set characters in each window of ``size``; empty for shorter text."""
-    at = F.when(F.length(s) >= size, F.sequence(F.lit(1), F.length(s) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: (size - F.length(F.translate(F.substring(s, i, F.lit(size)), chars, ""))) / size)
-
-
 def head_score(s: Column | str) -> Column:
     """Signal of the first 30 symbols: best window of 8 in the first 25, a positive symbol in the first 5, small symbols at 16 to 23."""
-    head = F.left(col(s), F.lit(30))
-    peak = F.coalesce(F.array_max(_window_shares(F.left(head, F.lit(25)), HYDROPHOBIC, 8)), F.lit(0.0))
-    bonus = F.when(F.left(head, F.lit(5)).rlike(f"[{POSITIVE}]"), 1.0).otherwise(0.0)
-    tail = F.substring(head, 16, 8)
-    small = F.when(F.length(head) >= 23, F.least(F.lit(1.0), (8 - F.length(F.translate(tail, SMALL, ""))) / 8)).otherwise(0.0)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.55 * peak + 0.25 * bonus + 0.20 * small))
-    return F.when(F.length(head) < 12, 0.0).otherwise(score)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        def of(points, at, sizes):
+            place = np.arange(len(points)) - np.repeat(at, sizes)
+            inside = place + 8 <= np.repeat(np.minimum(sizes, 25), sizes)
+            share = windows.sums(windows.among(points, HYDROPHOBIC), 8) / 8
+            peak = np.maximum(windows.greatest(np.where(inside, share, 0.0), at, sizes, 0.0), 0.0)
+            bonus = windows.greatest(windows.among(points, POSITIVE) & (place < 5), at, sizes, 0.0)
+            small = windows.greatest(np.where(place == 15, windows.sums(windows.among(points, SMALL), 8) / 8, 0.0), at, sizes, 0.0)
+            total = 0.55 * peak + 0.25 * bonus + 0.20 * np.where(sizes >= 23, np.minimum(1.0, small), 0.0)
+            return np.where(sizes < 12, 0.0, np.maximum(0.0, np.minimum(1.0, total)))
+
+        return windows.by_text(texts, of)
+
+    return F.coalesce(score(col(s)), F.lit(0.0))
 
 
 def coil_score(s: Column | str) -> Column:
@@ -55,17 +59,12 @@ def disorder_score(s: Column | str) -> Column:
 def low_complexity(s: Column | str, size: int = 12) -> Column:
     """Share of windows with at most four different symbols or an entropy of at most 1.8 bits. Text shorter than a window
     counts 1 if it has at most a third as many symbols as characters (one at least), else 0."""
-    s = col(s)
-    symbols = lambda w: F.array_distinct(F.split(w, ""))
 
-    def entropy(w: Column) -> Column:
-        share = lambda c: (size - F.length(F.replace(w, c, F.lit("")))) / F.lit(float(size))
-        return F.aggregate(symbols(w), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
+    @F.pandas_udf("double")
+    def low(texts: pd.Series) -> pd.Series:
+        return windows.by_text(texts, lambda points, at, sizes: windows.low_complexity(points, at, sizes, size, 4, 1.8))
 
-    windows = F.transform(F.sequence(F.lit(1), F.length(s) - (size - 1)), lambda i: F.substring(s, i, F.lit(size)))
-    flagged = F.filter(windows, lambda w: (F.size(symbols(w)) <= 4) | (entropy(w) <= 1.8))
-    short = F.when(F.size(F.filter(symbols(s), lambda c: c != "")) <= F.greatest(F.lit(1), F.floor(F.length(s) / 3)), 1.0).otherwise(0.0)
-    return F.when(F.length(s) < size, short).otherwise(F.size(flagged) / F.greatest(F.lit(1), F.length(s) - (size - 1)))
+    return low(col(s))
 
 
 def bundle(s: Column | str) -> Column:

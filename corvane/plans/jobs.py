@@ -14,7 +14,7 @@ from corvane.plans.features import SEQ, order, sequences
 from corvane.plans.fixtures import SCORES, bucket_sql, items, scores, split_sql
 from corvane.plans.registry import query
 from corvane.plans.tables import LINE
-from corvane.session import materialise, table
+from corvane.session import materialise, shuffle_width, table
 
 R = lambda c, n=6: F.round(c, n)
 BIN = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} <= 0 THEN 'len_0' ELSE 'len2^' || (length(bin({0})) - 1) || '-' || length(bin({0})) END"
@@ -25,7 +25,8 @@ TEXT = "s AS (SELECT p_partkey, upper(trim(p_name || p_type || p_brand || p_name
 
 
 def texts(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.upper(F.trim(F.concat("p_name", "p_type", "p_brand", "p_name"))).alias("s"))
+    """The sequences, dealt to as many tasks as a shuffle has: a small file of many rows would be one task."""
+    return table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand").repartition(shuffle_width(spark), "p_partkey").select("p_partkey", F.upper(F.trim(F.concat("p_name", "p_type", "p_brand", "p_name"))).alias("s"))
 
 
 def share(s: str, chars: str, n: str) -> str:
