@@ -14,7 +14,7 @@ R = lambda c, n=6: F.round(c, n)
 #: Draws of intervals, draws of tests and intervals inside groups, and draws of clusters.
 ITER, DRAWS_IN_GROUP, CLUSTER_DRAWS = 1000, 200, 500
 #: Rows of the least stratum of the atlas.
-LEAST = 100
+LEAST = 20
 NAMES = ("macro_ap", "micro_ap", "macro_f1", "micro_f1")
 
 
