@@ -14,8 +14,7 @@ A feature is toxic if the lower confidence bounds of both toxic shares are at le
 hold it and most are not toxic; the longest feature of a word that is either decides on the word. A text's score is a
 noisy-or over its distinct toxic words, above a small base rate.
 
-Training. The labelled rows are taken by the hash of their id so that about ``sample`` remain; character model: plain words
-of the same texts. Both are documented bounds on what is fitted; scoring covers every whole text.
+Training. All labelled rows of the training folds count; the character model is of the plain words of the same texts.
 
 Defined cases: null and empty texts, and any text when nothing is learned, get the base rate; a label that is null is not
 learned from; an id, or a text, with several labels counts as toxic if one says so; equal texts get equal scores; extra
@@ -36,7 +35,7 @@ from corvane.llm.kneser_ney import discounts
 from corvane.llm.words import gather, hashes, mix, segment_sum, slices, split_words, starts, texts_of
 from corvane.session import materialise
 
-SAMPLE, PREFIXES, FLOOR, BASE, SPACED = 20_000, (6, 5, 4, 3), 0.75, 0.02, 3
+PREFIXES, FLOOR, BASE, SPACED = (6, 5, 4, 3), 0.75, 0.02, 3
 #: What a sign may stand for; fixed values of the channel.
 LOOK_ALIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -205,8 +204,8 @@ def features(words: pa.StringArray) -> np.ndarray:
     return out
 
 
-def _trigrams_of(sample: DataFrame) -> dict[str, int]:
-    """Character trigrams, with marks for the ends, of the plain words that the sample holds at least twice. The alphabet
+def _trigrams_of(texts: DataFrame) -> dict[str, int]:
+    """Character trigrams, with marks for the ends, of the plain words that the texts hold at least twice. The alphabet
     bounds them."""
 
     def run(batches):
@@ -217,22 +216,19 @@ def _trigrams_of(sample: DataFrame) -> dict[str, int]:
             ok = pc.match_substring_regex(low, r"^\p{L}+$").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([low.filter(pa.array(ok)), pa.array(n[ok])], ["word", "n"])
 
-    rows = sample.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     grams = "transform(sequence(1, char_length(word) + 1), k -> substring(concat('\u0002\u0002', word, '\u0003'), k, 3))"
     rows = rows.select("n", F.explode(F.expr(grams)).alias("gram")).groupBy("gram").agg(F.sum("n").alias("n"))
     return {r.gram: r.n for r in rows.collect()}
 
 
-def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> dict:
+def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """The character model and the lexicon; both are small and travel with the tasks."""
     spark = documents.sparkSession
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(f"id is not null and y is not null and crc32(cast(cast(id as string) as binary)) % {folds} <> {fold}")
-    total = marks.count()
-    if total > sample:
-        marks = marks.where(F.pmod(F.xxhash64(F.lit("labels"), "id"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
     marks = marks.groupBy("id").agg(F.max("y").alias("y"))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    labelled = texts.join(F.broadcast(marks), "id").select("text", "y", F.xxhash64("text").alias("h"))  # about ``sample`` ids
+    labelled = texts.join(marks, "id").select("text", "y", F.xxhash64("text").alias("h"))
     labelled = materialise(labelled.groupBy("h").agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y"), "labelled")
     model = Characters.of_trigrams(_trigrams_of(labelled))
     shipped = spark.sparkContext.broadcast(model)
@@ -258,7 +254,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
     count = labelled.mapInArrow(by_text, "f long, root long, good long, bad long").groupBy("f").agg(F.min("root").alias("root"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     count = materialise(count.where(F.col("good") + F.col("bad") > 2), "features")
     likely = count.where("bad > 4").withColumn("q", _lower_bound("bad", "good")).where(F.col("q") >= FLOOR)
-    wanted = np.array(sorted(r.f & (2**64 - 1) for r in likely.select("f").collect()), np.uint64)  # bounded by the sample
+    wanted = np.array(sorted(r.f & (2**64 - 1) for r in likely.select("f").collect()), np.uint64)  # words and prefixes that mark toxic texts, not rows
 
     def by_word(batches):
         """Words before each likely feature."""
@@ -278,7 +274,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
     bad = likely.join(words, "f").select("f", "root", F.least("q", _lower_bound("bad_words", "good_words")).alias("q")).where(F.col("q") >= FLOOR)
     bad = materialise(bad, "lexicon")
     harmless = count.where("good >= bad").join(bad.select("root").distinct(), "root", "left_semi").select("f", F.lit(0.0).alias("q"))
-    rows = bad.select("f", "q").union(harmless).collect()  # bounded by the sample
+    rows = bad.select("f", "q").union(harmless).collect()  # the marking words and others that begin alike
     rows = sorted((r.f & (2**64 - 1), r.q) for r in rows)
     return {"keys": np.array([r[0] for r in rows], np.uint64), "q": np.array([min(r[1], 0.99) for r in rows]), "characters": shipped}
 
@@ -319,15 +315,15 @@ def score(documents: DataFrame, model: dict, keep: list[str], text_col: str = "t
     return source.mapInArrow(run, f"{kept}, score double, predicted int")
 
 
-def fit_and_score(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPLE) -> DataFrame:
-    model = fit(documents, labels, folds, fold, sample=sample)
+def fit_and_score(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
+    model = fit(documents, labels, folds, fold)
     marked = documents.select("doc_id", F.expr(f"coalesce(crc32(cast(cast(doc_id as string) as binary)) % {folds} = {fold}, false)").alias("held_out"), "text")
     return score(marked, model, ["doc_id", "held_out"])
 
 
-def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``documents`` that score under the threshold, with all their columns."""
-    model = fit(documents, labels, sample=sample)
+    model = fit(documents, labels)
 
     def run(batches):
         for batch in slices(batches, "text", 8 << 20):
