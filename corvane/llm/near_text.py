@@ -11,12 +11,12 @@ three words, and two words in short texts (``FAMILIES``; lengths in both ranges
 lengths differ by a fifth always share a family). A bucket's key also holds a class of the text's length on a scale whose
 cuts each table shifts, so that passages common to texts of all lengths do not bring all of them together.
 
-Texts with equal word sequences form one class beforehand. In each bucket members are aligned with a leader, not with each
-other: first each text with the one leader it shares most buckets with, then with all leaders of other groups, for texts
+Texts with equal word sequences form one class beforehand. In each bucket members are aligned with a leader first, not with each
+other: each text with the one leader it shares most buckets with, then with all leaders of other groups, for texts
 that link take a common label and need no further alignment. A bucket that still holds several groups gets a new leader from *all*
-its members, so that a member that passed may lead one that failed (buckets of more than ``FEW`` groups, where one more leader
-finds little, skip this). Then its members go on to buckets of a longer sketch of ``LEVELS`` tables, until each bucket holds one
-group or the sketch holds every table. Every text with a k-mer is sketched, and no bucket is cut off.
+its members, so that a member that passed may lead one that failed. What then remains is exact: of every bucket all members with
+different labels are aligned with each other, in buckets of more than ``CROWD`` members block by block inside tasks, behind a bound by
+their common words. So every two texts that meet in a bucket are aligned or joined by links; no bucket is cut off.
 
 Defined cases: a null text or one without words belongs to no group (it is its own); texts of fewer than two words
 have one k-mer; equal ids are taken as one document; a null id is never grouped; an empty table gives no rows;
@@ -33,10 +33,13 @@ from pyspark.sql import functions as F
 
 from corvane.llm.words import MIX, gather, hashes, mix, segment_sum, slices, split_words, starts, texts_of
 from corvane.operators.components import connected_components
+from corvane.operators.similar import overlaps
 from corvane.operators.skew import hub_join
 from corvane.session import materialise
 
-TABLES, SIMILARITY, LEVELS, FEW = 48, 0.8, (2, 4, 16, 48), 8
+TABLES, SIMILARITY = 48, 0.8
+#: Members of a bucket that are paired by a join; more meet in blocks of so many members.
+CROWD, BLOCK = 64, 256
 #: (words of a k-mer, least and most words of the texts sketched by it).
 FAMILIES = ((2, 1, 50), (3, 40, 2**62))
 _LAST = np.uint64(2**64 - 1)
@@ -303,6 +306,52 @@ def _aligned(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "id long, leader long, label long, own long, ok boolean")
 
 
+def _crowded(members: DataFrame, similarity: float) -> DataFrame:
+    """``(src, dst)``: links that join what the members ``(key, id, label, parts, words, keys)`` of crowded buckets are joined by. Blocks of a
+    bucket meet two by two; a pair is left to the first table in which it meets, and one with too few common words is not aligned."""
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    at = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    at = at.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "label", "words", "keys")
+
+    def run(key, table):
+        table = table.combine_chunks()
+        i, j = key[1].as_py(), key[2].as_py()
+        part, ids, label = (table[c].to_numpy() for c in ("part", "id", "label"))
+        a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        words = [np.frombuffer(w, np.uint32) for w in table["words"].to_pylist()]
+        size = np.array([len(w) for w in words], np.int64)
+        bags = label_occurrences(size, np.concatenate(words).astype(np.uint64)).view(np.int64) if len(words) else np.zeros(0, np.int64)
+        bags = np.split(bags, np.cumsum(size)[:-1])
+        longest = np.maximum(size[a][:, None], size[b][None, :])
+        limit = np.floor((1 - similarity) * longest + 1e-9).astype(np.int64)
+        near = longest - overlaps([bags[k] for k in a], [bags[k] for k in b]) <= limit
+        near &= label[a][:, None] != label[b][None, :]
+        near &= ids[a][:, None] < ids[b][None, :] if i == j else True
+        sketches = np.array(table["keys"].to_pylist(), np.int64).reshape(len(ids), -1)
+        for t in range(int(key[0].as_py()) & 63):
+            near &= sketches[a, t][:, None] != sketches[b, t][None, :]
+        root = {x: x for x in label.tolist()}
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out, todo = [], np.argwhere(near)
+        for at in range(0, len(todo), 512):
+            some = [(a[x], b[y], limit[x, y]) for x, y in todo[at : at + 512] if top(label[a[x]]) != top(label[b[y]])]
+            if not some:
+                continue
+            most = np.array([m for _, _, m in some])
+            for (x, y, _), ok in zip(some, edit_distances([(words[x], words[y]) for x, y, _ in some], most) <= most):
+                if ok and top(label[x]) != top(label[y]):
+                    root[top(label[x])] = top(label[y])
+                    out.append((ids[x], ids[y]))
+        return pa.table({"src": pa.array([x for x, _ in out], pa.int64()), "dst": pa.array([y for _, y in out], pa.int64())})
+
+    return at.groupBy("key", "i", "j").applyInArrow(run, "src long, dst long")
+
+
 def _relabelled(met: DataFrame, linked: DataFrame) -> DataFrame:
     """``met`` with common labels for the groups that ``linked`` joins: the larger label of a link takes the smaller one, and
     later alignments make up for chains of such steps. Labels only save alignments; groups are the components of all links."""
@@ -345,34 +394,44 @@ def near_texts(documents: DataFrame, similarity: float = SIMILARITY, id_col: str
     def led_anew(rows: DataFrame, turn: int) -> DataFrame:
         """The rows of buckets that hold several groups, with another leader."""
         order = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id", "label")).alias("x")
-        lead = rows.groupBy("key").agg(order, F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.approx_count_distinct("label").alias("groups")).where("least <> most")
-        lead = materialise(lead.select("key", F.col("x.id").alias("leader"), F.col("x.label").alias("own"), "n", "groups"), "leaders")
+        lead = rows.groupBy("key").agg(order, F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most")
+        lead = materialise(lead.select("key", F.col("x.id").alias("leader"), F.col("x.label").alias("own"), "n"), "leaders")
         return materialise(hub_join(rows, lead, ["key"], "n"), "met")
 
     def open_pairs() -> DataFrame:
         return met.where("label <> own").select("id", "leader", "label", "own").distinct().join(checked, ["id", "leader"], "left_anti")
 
+    def still_open() -> tuple[DataFrame, DataFrame]:
+        """The members of buckets that hold several groups, and these buckets with their sizes."""
+        own = met.select("id", "key", "label").distinct()
+        size = own.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most")
+        return own, materialise(size.select("key", "n"), "open")
+
+    def finished() -> DataFrame:
+        """The links, with those of all pairs of a bucket that are neither aligned nor joined yet."""
+        own, size = still_open()
+        few = own.join(size.where(F.col("n") <= CROWD).select("key"), "key", "left_semi")
+        other = few.select("key", F.col("id").alias("leader"), F.col("label").alias("own"))
+        pairs = few.join(other, "key").where("id < leader and label <> own").select("id", "leader", "label", "own").distinct()
+        both_ways = checked.union(checked.select("leader", "id"))
+        compare(pairs.join(both_ways, ["id", "leader"], "left_anti"))
+        own, size = still_open()
+        large = size.where(F.col("n") > CROWD)
+        if large.isEmpty():
+            return edges
+        code = F.col("key").bitwiseAND(_CODE)
+        members = hub_join(own, large.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")), ["key"], "n")
+        members = members.join(words, "id").join(reps, "id").withColumn("keys", F.when(code < 64, F.col(_KEYS[0])).otherwise(F.col(_KEYS[1])))
+        return edges.union(materialise(_crowded(members, similarity), "crowded"))
+
     if not met.isEmpty():
         shared = met.groupBy("id", "leader", "label", "own").agg(F.count("*").alias("shared"))
         first = F.max_by(F.struct("leader", "label", "own"), F.struct("shared", -F.col("leader"))).alias("x")
         compare(shared.groupBy("id").agg(first).select("id", "x.*").where("label <> own"))
         compare(open_pairs())
         met = led_anew(met.select("id", "key", "label"), 1)
-        compare(open_pairs().join(met.where(F.col("groups") <= FEW).select("id", "leader"), ["id", "leader"], "left_semi"))
-    level = 1
-    for turn, wide in enumerate(LEVELS, 2):
-        if met.isEmpty():
-            break
-        code = F.col("key").bitwiseAND(_CODE)
-        table = code.bitwiseAND(63).cast("int")
-        more = [F.element_at("keys", F.pmod(table + k, F.lit(TABLES)) + 1) for k in range(level, wide)]
-        longer = F.xxhash64("key", *more).bitwiseAND(~_CODE).bitwiseOR(code)
-        keys = F.when(code < 64, F.col(_KEYS[0])).otherwise(F.col(_KEYS[1]))
-        open_ = met.groupBy("id").agg(F.min("label").alias("label"), F.collect_list("key").alias("open"))  # one key a table at most
-        rows = open_.join(reps, "id").select("id", "label", F.explode("open").alias("key"), *_KEYS)
-        rows = rows.withColumn("keys", keys).select("id", longer.alias("key"), "label")
-        met, level = led_anew(materialise(rows, "buckets"), turn), wide
         compare(open_pairs())
+        edges = finished()
     groups = classes.withColumn("group_id", F.col("rep"))
     if edges is not None:
         part = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("group_id"))
