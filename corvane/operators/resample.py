@@ -18,6 +18,7 @@ from pyspark.sql.window import Window as W
 from corvane.functions.scalar import stable_bucket
 from corvane.operators import metrics
 from corvane.operators.ranking import ranked, running
+from corvane.operators.skew import hub_join
 from corvane.session import materialise, shuffle_width
 
 
@@ -189,15 +190,20 @@ def weighted_cache_ap(scored: DataFrame, block: str, iterations: int, seed: int
     return bootstrap_ap(scored, [], block, iterations, seed, score)
 
 
-def item_draws(items: DataFrame, group: str, item: str, iterations: int, seed: int = 42) -> DataFrame:
-    """``(group, iter, item, w)``: as many draws with replacement in each group as it has items, in each iteration."""
-    placed = ranked(items.select(group, item), [group], [F.col(item)], "place")
-    size = placed.groupBy(group).agg(F.count("*").alias("k"))
-    each = placed.join(size, group).select(group, "k", F.col("place").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter"))
+def item_draws(items: DataFrame, group: str, item: str, sums: list[str], iterations: int, seed: int = 42) -> DataFrame:
+    """``(group, iter, sums)``: the summed columns of as many items drawn with replacement in each group as it has, in each iteration.
+
+    Draws stream past the items that they meet, which a task holds as a table, and are summed where they meet; neither a group nor its
+    draws come together in a task.
+    """
+    placed = materialise(ranked(items.select(group, item, *sums), [group], [F.col(item)], "place").select(group, "place", *sums), "places")
+    size = materialise(placed.groupBy(group).agg(F.count("*").alias("k"), F.count("*").alias("n")), "sizes")
+    each = hub_join(placed.select(group, "place"), size, [group], "n").select(group, "k", F.col("place").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter"))
     key = F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"), F.col("iter").cast("string"), F.col("j").cast("string"))
     pick = F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.col("k")) + 1
-    drawn = each.select(group, "iter", pick.alias("place")).groupBy(group, "iter", "place").agg(F.count("*").alias("w"))
-    return drawn.join(placed, [group, "place"]).select(group, "iter", item, "w")
+    drawn = each.select(group, "iter", pick.cast("bigint").alias("place"))
+    met = drawn.join(placed.withColumn("place", F.col("place").cast("bigint")).hint("shuffle_hash"), [group, "place"])
+    return met.groupBy(group, "iter").agg(*(F.sum(c).alias(c) for c in sums))
 
 
 def bootstrap_f1(scored: DataFrame, keys: list[str], block: str, iterations: int, seed: int = 42) -> DataFrame:

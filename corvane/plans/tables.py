@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corvane.functions import scalar as S
+from corvane.operators.ranking import running
 from corvane.plans.fixtures import ITEMS, SCORES, SPLIT_ITEMS, TRUTH, bucket_sql, items, scores, split_sql, truth
 from corvane.plans.registry import query
-from corvane.session import table
+from corvane.session import materialise, table
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -412,8 +413,25 @@ def agg26(spark, sf):
 @query("agg28_feature_qc", "WITH u AS (SELECT unnest(['quantity', 'price', 'tax']) AS feature, unnest([l_quantity, l_extendedprice, l_tax]) AS v FROM lineitem) SELECT feature, count(*) AS n, count(*) FILTER (v IS NULL) AS missing, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS sd, min(v) AS low, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.75), 4) AS p75, max(v) AS high, count(*) FILTER (v NOT BETWEEN 0 AND 50000) AS outside FROM u GROUP BY 1")
 def agg28(spark, sf):
     u = table(spark, sf, "lineitem").select(F.explode(F.create_map(F.lit("quantity"), "l_quantity", F.lit("price"), "l_extendedprice", F.lit("tax"), "l_tax")).alias("feature", "v"))
-    p = lambda q: R(F.percentile("v", F.lit(q)), 4)
-    return u.groupBy("feature").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), R(F.avg("v"), 4).alias("mean"), R(F.stddev_pop("v"), 4).alias("sd"), F.min("v").alias("low"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"), F.max("v").alias("high"), F.count_if(~F.col("v").between(0, 50000)).alias("outside"))
+    # equal values are merged first, ranks come from ranges of values, and only the values at a rank are joined
+    c = materialise(u.groupBy("feature", "v").agg(F.count("*").alias("c")), "values")
+    known = F.col("v").isNotNull()
+    upto = materialise(running(c.where(known), ["feature"], [F.col("v")], {"upto": F.col("c")}), "ranks")
+    total = upto.groupBy("feature").agg(F.sum("c").alias("total"))  # one row a feature
+    at = {n: (F.col("total") - 1) * q for n, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))}
+    placed = upto.join(F.broadcast(total), "feature")
+    # the value at place k (from 0) is the least whose running count exceeds k
+    value = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    q = placed.groupBy("feature").agg(*(x for n, k in at.items() for x in (value(F.floor(k)).alias(f"{n}_a"), value(F.ceil(k)).alias(f"{n}_b"))), F.first("total").alias("total"))
+    q = q.select("feature", *(R(F.col(f"{n}_a") + (F.col(f"{n}_b") - F.col(f"{n}_a")) * (k - F.floor(k)), 4).alias(n) for n, k in at.items()))
+    n, s = F.sum(F.when(known, F.col("c"))), F.sum(F.col("v").cast("double") * F.col("c"))
+    m = c.groupBy("feature").agg((s / n).alias("mean"))
+    d = c.join(F.broadcast(m), "feature").groupBy("feature").agg(
+        F.sum("c").alias("n"), F.coalesce(F.sum(F.when(~known, F.col("c"))), F.lit(0)).alias("missing"), F.first("mean").alias("mean"),
+        F.sqrt(F.sum(F.col("c") * F.pow(F.col("v") - F.col("mean"), 2)) / n).alias("sd"), F.min("v").alias("low"), F.max("v").alias("high"),
+        F.coalesce(F.sum(F.when(~F.col("v").between(0, 50000), F.col("c"))), F.lit(0)).alias("outside"),
+    )
+    return d.join(q, "feature", "left").select("feature", "n", "missing", R("mean", 4).alias("mean"), R("sd", 4).alias("sd"), "low", "p25", "p50", "p75", "high", "outside")
 
 
 @query("agg29_effect_size", f"WITH {TRUTH} SELECT label_id, round(avg(n_chars) FILTER (y = 1) - avg(n_chars) FILTER (y = 0), 4) AS delta, round((avg(n_chars) FILTER (y = 1) - avg(n_chars) FILTER (y = 0)) / sqrt((var_pop(n_chars) FILTER (y = 1) + var_pop(n_chars) FILTER (y = 0)) / 2 + 1e-8), 6) AS d FROM truth JOIN documents ON item_id = doc_id GROUP BY 1")
