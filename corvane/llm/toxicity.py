@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.kneser_ney import discounts
+from corvane.llm.near_text import passes, seen_filter
 from corvane.llm.words import gather, hashes, mix, segment_sum, slices, split_words, starts, texts_of
 from corvane.session import materialise
 
@@ -228,8 +229,17 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(f"id is not null and y is not null and crc32(cast(cast(id as string) as binary)) % {folds} <> {fold}")
     marks = marks.groupBy("id").agg(F.max("y").alias("y"))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    labelled = texts.join(marks, "id").select("text", "y", F.xxhash64("text").alias("h"))
-    labelled = materialise(labelled.groupBy("h").agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y"), "labelled")
+    # hashes of labelled texts first: only texts that pass a filter over them are shuffled, once
+    own = F.xxhash64("text").alias("h")
+    known = materialise(texts.select("id", own).join(marks, "id").groupBy("h").agg(F.max("y").alias("y")), "labelled-hashes")
+    seen = spark.sparkContext.broadcast(seen_filter(known.select("h")))
+
+    def among(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column(0).to_numpy(), seen.value)))
+
+    some = texts.select(own, F.col("text").cast("string").alias("text")).mapInArrow(among, "h long, text string")
+    labelled = materialise(some.join(known, "h").groupBy("h").agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y"), "labelled")
     model = Characters.of_trigrams(_trigrams_of(labelled))
     shipped = spark.sparkContext.broadcast(model)
 
