@@ -210,7 +210,7 @@ def _trigrams_of(texts: DataFrame) -> dict[str, int]:
     bounds them."""
 
     def run(batches):
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             _, codes, words = split_words(texts_of(batch.column("text")))
             n = np.bincount(codes, minlength=len(words))
             low = pc.utf8_lower(pc.replace_substring_regex(words, r"[.,;:!?]+$", ""))
@@ -245,21 +245,25 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
 
     def by_text(batches):
         """Texts of either kind for each feature, summed in the batch."""
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             sizes, codes, words = restored(texts_of(batch.column("text")), shipped.value)
+            if not len(codes):
+                continue
             doc, table = np.repeat(np.arange(len(sizes)), sizes), features(words)
             y = batch.column("y").to_numpy(zero_copy_only=False) > 0
-            pairs = np.unique(doc * np.int64(len(words)) + codes) if len(codes) else np.zeros(0, np.int64)
-            doc, codes = pairs // max(len(words), 1), pairs % max(len(words), 1)
+            pairs = np.unique(doc * np.int64(len(words)) + codes)
+            doc, codes = pairs // len(words), pairs % len(words)
             for k in range(table.shape[1]):
-                f = table[codes, k]
-                both = np.unique(np.stack([f, doc.astype(np.uint64), table[codes, -1]], 1)[f != 0], axis=0)
-                keys, first, inverse = np.unique(both[:, 0], return_index=True, return_inverse=True)
-                bad = np.bincount(inverse, weights=y[both[:, 1].astype(np.int64)], minlength=len(keys)).astype(np.int64)
-                total = np.bincount(inverse, minlength=len(keys))
-                for at in range(0, len(keys), 1 << 16):
-                    part = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(np.ascontiguousarray(both[first, 2][part]).view(np.int64)), pa.array((total - bad)[part]), pa.array(bad[part])], ["f", "root", "good", "bad"])
+                keys, first, name = np.unique(table[:, k], return_index=True, return_inverse=True)
+                both = np.unique(doc * np.int64(len(keys)) + name[codes])  # a feature once a text
+                f = both % len(keys)
+                total = np.bincount(f, minlength=len(keys))
+                bad = np.bincount(f, weights=y[both // len(keys)], minlength=len(keys)).astype(np.int64)
+                some = np.flatnonzero((keys != 0) & (total > 0))
+                root = table[first, -1]
+                for at in range(0, len(some), 1 << 16):
+                    part = some[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(root[part].view(np.int64)), pa.array((total - bad)[part]), pa.array(bad[part])], ["f", "root", "good", "bad"])
 
     count = labelled.mapInArrow(by_text, "f long, root long, good long, bad long").groupBy("f").agg(F.min("root").alias("root"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     count = materialise(count.where(F.col("good") + F.col("bad") > 2), "features")
@@ -268,15 +272,15 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
 
     def by_word(batches):
         """Words before each likely feature."""
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             sizes, codes, words = restored(texts_of(batch.column("text")), shipped.value)
             y = np.repeat(batch.column("y").to_numpy(zero_copy_only=False) > 0, sizes).astype(np.uint64)
             name, table = hashes(words)[codes], features(words)
             before = np.append(np.uint64(1), name[:-1])[: len(name)]
             before[starts(sizes)[:-1][sizes > 0]] = 1
             for k in range(table.shape[1]):
-                ok = np.isin(table[:, k], wanted)[codes]
-                found = np.unique(np.stack([table[codes, k][ok], before[ok], y[ok]], 1), axis=0)
+                ok = np.flatnonzero(np.isin(table[:, k], wanted)[codes])
+                found = np.unique(np.stack([table[codes[ok], k], before[ok], y[ok]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, c]).view(np.int64)) for c in range(3)], ["f", "before", "y"])
 
     seen = labelled.mapInArrow(by_word, "f long, before long, y long").distinct()
@@ -318,7 +322,7 @@ def score(documents: DataFrame, model: dict, keep: list[str], text_col: str = "t
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def run(batches):
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             p = probabilities(texts_of(batch.column(len(keep))), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
@@ -336,7 +340,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.3)
     model = fit(documents, labels)
 
     def run(batches):
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             yield batch.filter(pa.array(probabilities(texts_of(batch.column("text")), model) < threshold))
 
     return documents.mapInArrow(run, documents.schema)

@@ -555,3 +555,16 @@ def test_toxic_words_are_learned_from_all_labelled_rows(spark):
     docs = frame(spark, [*texts, "you zorgblat man"])
     got = {r.doc_id: r.predicted for r in toxicity.fit_and_score(docs, spark.createDataFrame([(k, int(k in mark)) for k in range(30_000)], "doc_id long, toxic int")).where("doc_id = 30000").collect()}
     assert got == {30_000: 1}
+
+
+def test_hashing_words_takes_little_memory():
+    import tracemalloc
+
+    from corvane.llm import words
+
+    some = pa.array([f"word{i}" for i in range(400_000)], pa.string())
+    tracemalloc.start()
+    got = words.hashes(some)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20 and (got[[0, 399_999]] == words.hashes(["word0", "word399999"])).all()
