@@ -11,14 +11,15 @@ from corvane.session import shuffle_width
 def hub_join(rows: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:
     """Inner join with a table of one row for each key, whose column ``count`` says how many rows have the key.
 
-    Keys with more than twice a task's share of the rows are fewer than the tasks. These few are broadcast, so that
-    their rows stay where they are; all others meet by a shuffle. ``count`` is dropped. ``right`` should be a written table.
+    Keys with more than twice a task's share of the rows are fewer than the tasks. Their hashes come to the driver; rows with one of them meet
+    the broadcast part of ``right`` and stay where they are, all others meet by a shuffle. ``count`` is dropped. ``right`` should be a written table.
     """
     width = shuffle_width(rows.sparkSession)
     most = 2 * (right.agg(F.sum(count)).first()[0] or 0) // width + 1
-    hubs = right.where(F.col(count) > most).drop(count)
-    rest = right.where(F.col(count) <= most).drop(count)
-    if hubs.isEmpty():
-        return rows.join(rest, keys)
-    hubs = F.broadcast(hubs)  # fewer than ``width`` rows
-    return rows.join(hubs, keys).unionByName(rows.join(hubs, keys, "left_anti").join(rest, keys))
+    name = lambda: F.xxhash64(*(F.col(k).cast(right.schema[k].dataType) for k in keys))
+    found = [r[0] for r in right.where(F.col(count) > most).select(name()).collect()]  # fewer than ``width``
+    if not found:
+        return rows.join(right.drop(count), keys)
+    hub = name().isin(found)  # a filter on both sides; another key of the same hash is broadcast too, which changes no row
+    right = right.drop(count)
+    return rows.where(hub).join(F.broadcast(right.where(hub)), keys).unionByName(rows.where(~hub).join(right.where(~hub), keys))

@@ -209,6 +209,14 @@ def test_cyclic_trees_are_refused(spark):
     assert [(r.id, list(r.ids)) for r in hierarchy.root_paths(tree.where("id in ('r', 'c')")).orderBy("id").collect()] == [("c", ["r", "c"]), ("r", ["r"])]
 
 
+def test_hub_join_parts_rows_by_a_filter_and_not_by_a_join(spark):
+    rows_ = spark.createDataFrame([(i, "hub" if i % 3 else f"k{i}") for i in range(300)] + [(900, None), (901, "nowhere")], "id long, k string")
+    right = rows_.where("k is not null and k <> 'nowhere'").groupBy("k").agg(F.count("*").alias("n"))
+    got = skew.hub_join(rows_, right, ["k"], "n")
+    assert sorted(r.id for r in got.collect()) == list(range(300))
+    assert "Anti" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hub_join_keeps_all_rows(spark):
     rows_ = spark.createDataFrame([(0, k) for k in range(200)] + [(k % 20, k) for k in range(200, 260)], "k int, v int")
     right = rows_.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
