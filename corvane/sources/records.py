@@ -98,9 +98,14 @@ def feature_rows(records: DataFrame, kind: str = "CDS") -> DataFrame:
 
 
 def _grouped(pairs: Column) -> Column:
-    """A map from each name to the array of its values; names may repeat."""
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"])))
+    """A map from each name to the array of its values; names may repeat. The pairs are bound to a variable: each use of an expression in
+    a lambda would parse the text again, once for each name."""
+
+    def grouped(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda p: p["k"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(found, lambda p: p["k"] == n), lambda p: p["v"])))
+
+    return F.get(F.transform(F.array(pairs), grouped), F.lit(0))
 
 
 def location(c: Column | str) -> dict[str, Column]:

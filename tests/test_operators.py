@@ -459,3 +459,9 @@ def test_feature_quartiles_come_from_merged_values(spark, sf):
 
     plan = registry.queries()["agg28_feature_qc"](spark, sf)._jdf.queryExecution().toString()
     assert "percentile" not in plan
+
+
+def test_qualifiers_are_parsed_once(spark, tmp_path):
+    (tmp_path / "f").write_text("LOCUS       A   9 bp    DNA\nFEATURES   L\n     CDS             1..9\n                     /gene=\"g\"\nORIGIN\n//\n")
+    plan = records.flat_records(spark, str(tmp_path / "f")).select("features")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
