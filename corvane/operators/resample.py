@@ -7,6 +7,7 @@ statistics resample the sums of each block; AP-type statistics re-weight merged
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from corvane.session import materialise, shuffle_width
 PORTION = 4_000_000
 #: So few blocks are numbered in one window.
 FEW_BLOCKS = 100_000
+#: Items that a task sorts by their digests at once; iterations whose slices meet a chunk of names together.
+SLICE, TOGETHER = 1_000_000, 16
 
 
 class BlockDraws:
@@ -226,13 +229,155 @@ def metric_draws(scored: DataFrame, model: str, block: str, iterations: int, see
     return macro.join(micro, [model, "iter"]).join(f, [model, "iter"])
 
 
-def permuted_clusters(items: DataFrame, item: str, cluster: str, iterations: int, seed: int = 42) -> DataFrame:
-    """The items with ``iter``: -1 as they are, then with the clusters' names dealt anew, which keeps the clusters' sizes."""
-    names = materialise(ranked(items.select(cluster, item), [], [F.col(item)], "_k").select("_k", cluster), "names")
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("iter").cast("string"), F.col(item).cast("string")).cast("binary"))
-    each = items.drop(cluster).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    dealt = ranked(each, ["iter"], [key, F.col(item)], "_k").join(names, "_k").drop("_k")
-    return items.withColumn("iter", F.lit(-1)).unionByName(dealt)
+_SINES = np.array([int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], np.uint32)
+_TURNS = np.repeat(np.array([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], np.uint32), 4, axis=0).reshape(-1)
+
+
+def _digester(tails: list[bytes]):
+    """A function that gives, for a head, the MD5 of the head before each tail as two numbers of 64 bits. Texts of one MD5 block (55 bytes)
+    are digested side by side in arrays, several times as fast as one by one; longer ones one by one."""
+    size = np.array([len(x) for x in tails])
+    longest, laid = int(size.max(initial=0)), {}
+
+    def blocks(at: int) -> np.ndarray:
+        raw = np.zeros((len(tails), 64), np.uint8)
+        raw[:, at : at + longest] = np.array(tails, f"S{max(longest, 1)}").view(np.uint8).reshape(len(tails), -1)[:, :longest]
+        raw[np.arange(len(tails)), at + size] = 128
+        raw[:, 56:58] = ((at + size) * 8).astype("<u2").view(np.uint8).reshape(-1, 2)
+        return np.ascontiguousarray(raw.view("<u4").T)
+
+    def digests(head: bytes) -> np.ndarray:
+        if len(head) + longest > 55:
+            return np.frombuffer(b"".join([md5(head + x).digest() for x in tails]), ">u8").reshape(-1, 2).astype(np.uint64)
+        if len(head) not in laid:
+            laid[len(head)] = blocks(len(head))
+        words = laid[len(head)] | np.frombuffer(head.ljust(64, b"\0"), "<u4")[:, None]
+        start = [np.full(len(tails), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+        a, b, c, d = start
+        for i in range(64):
+            if i < 16:
+                f, g = d ^ (b & (c ^ d)), i
+            elif i < 32:
+                f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            elif i < 48:
+                f, g = b ^ c ^ d, (3 * i + 5) % 16
+            else:
+                f, g = c ^ (b | ~d), 7 * i % 16
+            f += a
+            f += _SINES[i]
+            f += words[g]
+            a, d, c, b = d, c, b, b + ((f << _TURNS[i]) | (f >> (np.uint32(32) - _TURNS[i])))
+        a, b, c, d = ((x + y).byteswap().astype(np.uint64) for x, y in zip((a, b, c, d), start))
+        return np.stack([a << np.uint64(32) | b, c << np.uint64(32) | d], 1)
+
+    return digests
+
+
+def permuted_counts(items: DataFrame, item: str, cluster: str, kinds: list[str], iterations: int, seed: int = 42) -> DataFrame:
+    """``(iter, cluster, kinds, n)``: how many items of each kind a cluster has: at -1 as they are, then with the clusters' names dealt anew,
+    which keeps the clusters' sizes. In an iteration the item with the k-th least MD5 of (seed, iteration, item) gets the cluster of the k-th item.
+
+    What travels of an item in an iteration is the head of its digest and the number of its kind, packed. Digests are cut into slices of
+    about ``SLICE`` items, sorted slice by slice, and laid beside the clusters' names by the sizes of the slices before. Iterations in which heads of
+    different kinds are equal are dealt again by whole digests.
+    """
+    spark = items.sparkSession
+    numbered = lambda names, to: materialise(ranked(items.select(*names).distinct(), [], [F.col(c) for c in names], to).withColumn(to, F.col(to) - 1), to.strip("_"))
+    clusters, sorts = numbered([cluster], "_c"), numbered(kinds, "_d")
+    coded = ranked(items.select(item, cluster, *kinds), [], [F.col(item)], "_k").alias("x")
+    for names, table in (([cluster], clusters), (kinds, sorts)):
+        table = table.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), table.columns[-1])
+        same = F.lit(True)
+        for i, c in enumerate(names):
+            same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+        coded = coded.join(table, same).drop(*(f"_{i}" for i in range(len(names))))
+    coded = materialise(coded.select((F.col("_k") - 1).cast("bigint").alias("k"), F.col(item).cast("string").alias("name"), F.col("_c").cast("bigint").alias("c"), F.col("_d").cast("bigint").alias("d")), "coded")
+    count, several, many = coded.count(), sorts.count(), clusters.count()
+    kind, place = np.min_scalar_type(max(several - 1, 0)), np.min_scalar_type(max(many - 1, 0))
+    slices, size = max(1, -(-count // SLICE)), SLICE
+    # so many tasks that each has about a million digests
+    spread = coded.select("name", "d").repartition(max(1, min(shuffle_width(spark), -(-count * iterations // 1_000_000))))
+
+    def sliced(width, which):
+        """The items of a batch in each iteration, by slices: heads of ``width`` bytes and kinds."""
+
+        def run(batches):
+            for batch in batches:
+                digests = _digester([b"|" + x.encode() if x is not None else b"" for x in batch.column("name").to_pylist()])
+                own, rows, held = batch.column("d").to_numpy().astype(kind), [], 0
+                for it in which:
+                    h, d = digests(f"{seed}|{it}".encode())[:, : width // 8], own
+                    at = ((h[:, 0] >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+                    if slices > 1:
+                        order = np.argsort(at, kind="stable")
+                        at, h, d = at[order], h[order], d[order]
+                    edges = np.searchsorted(at, np.arange(slices + 1, dtype=np.uint64))
+                    rows += [(it, k, h[a:b].tobytes(), d[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                    held += h.nbytes + d.nbytes
+                    if held > 4_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["iter", "slice", "h", "d"])
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["iter", "slice", "h", "d"])
+
+        return run
+
+    def ordered(width):
+        """The kinds of a slice in the order of digests, and whether equal heads leave that order open."""
+
+        def run(key, table):
+            h, d = (b"".join(table[c].to_pylist()) for c in "hd")
+            h, d = np.frombuffer(h, np.uint64).reshape(-1, width // 8), np.frombuffer(d, kind)
+            order = np.lexsort((d, *(h[:, j] for j in reversed(range(width // 8))))) if width > 8 else np.argsort(h[:, 0], kind="stable")
+            h, d = h[order], d[order]
+            tied = bool(((h[1:] == h[:-1]).all(1) & (d[1:] != d[:-1])).any())
+            return pa.table({"iter": [key[0].as_py()], "slice": [key[1].as_py()], "n": [len(d)], "d": pa.array([d.tobytes()], pa.binary()), "tied": [tied]})
+
+        return run
+
+    def dealt(width, which):
+        parts = spread.mapInArrow(sliced(width, which), "iter long, slice long, h binary, d binary")
+        return materialise(parts.groupBy("iter", "slice").applyInArrow(ordered(width), "iter long, slice long, n long, d binary, tied boolean"), "dealt")
+
+    found = dealt(8, list(range(iterations)))
+    again = [r["iter"] for r in found.where("tied").select("iter").distinct().collect()]  # iterations
+    if again:
+        found = found.where(~F.col("iter").isin(again)).unionByName(dealt(16, again))
+    before = W.partitionBy("iter").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = found.select("iter", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each slice of an iteration
+    first, last = F.col("chunk") * size, (F.col("chunk") + 1) * size
+    pieces = found.join(F.broadcast(starts), ["iter", "slice"]).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n") - 1) / size))))
+    a, b = F.greatest("start", first), F.least(F.col("start") + F.col("n"), last)
+    piece = F.substring("d", ((a - F.col("start")) * kind.itemsize + 1).cast("int"), ((b - a) * kind.itemsize).cast("int"))
+    pieces = pieces.select("chunk", F.floor(F.col("iter") / TOGETHER).alias("part"), "iter", (a - first).alias("at"), piece.alias("d"))
+
+    def packed(key, table):
+        table = table.sort_by("k")
+        return pa.table({"chunk": [key[0].as_py()], "c": pa.array([table["c"].to_numpy().astype(place).tobytes()], pa.binary())})
+
+    names = coded.select(F.floor(F.col("k") / size).alias("chunk"), "k", "c").groupBy("chunk").applyInArrow(packed, "chunk long, c binary")
+    names = names.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((iterations - 1) // TOGETHER).cast("bigint"))))
+
+    def counted(key, left, right):
+        own, out = np.frombuffer(right["c"][0].as_py(), place).astype(np.int64), {}
+        for it, at, d in zip(*(left[c].to_pylist() for c in ("iter", "at", "d"))):
+            d = np.frombuffer(d, kind).astype(np.int64)
+            pair = own[at : at + len(d)] * several + d
+            values, n = np.unique(pair, return_counts=True) if many * several > size else (lambda x: (np.flatnonzero(x), x[x > 0]))(np.bincount(pair))
+            out.setdefault(it, []).append((values, n))
+        iters, values, n = [], [], []
+        for it, parts in out.items():
+            v, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            iters.append(np.full(len(v), it, np.int64))
+            values.append(v)
+            n.append(np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype(np.int64))
+        at, values, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (iters, values, n))
+        return pa.table({"iter": at, "_c": values // several, "_d": values % several, "n": n})
+
+    null = pieces.groupBy("chunk", "part").cogroup(names.groupBy("chunk", "part")).applyInArrow(counted, "iter long, _c long, _d long, n long")
+    null = null.groupBy("iter", "_c", "_d").agg(F.sum("n").alias("n")).join(clusters, "_c").join(sorts, "_d").select("iter", cluster, *kinds, "n")
+    seen = items.groupBy(cluster, *kinds).agg(F.count("*").alias("n")).select(F.lit(-1).cast("long").alias("iter"), cluster, *kinds, "n")
+    return seen.unionByName(null)
 
 
 def stratified_effects(scored: DataFrame, keys: list[str], block: str, iterations: int, seed: int = 42) -> DataFrame:

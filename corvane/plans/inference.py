@@ -146,8 +146,8 @@ CLUSTERS = "m AS (SELECT p_partkey, p_brand AS cluster, split_part(p_type, ' ',
 def inf9(spark, sf):
     """Size-weighted share of the modal kind, and spread of the share of large parts, against clusters dealt anew."""
     m = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("cluster"), F.split("p_type", " ")[0].alias("kind"), (F.col("p_size") > 25).cast("int").alias("large"))
-    dealt = resample.permuted_clusters(m, "p_partkey", "cluster", CLUSTER_DRAWS)
-    g = dealt.groupBy("iter", "cluster", "kind").agg(F.count("*").alias("n"), F.sum("large").alias("large"))
+    dealt = resample.permuted_counts(m, "p_partkey", "cluster", ["kind", "large"], CLUSTER_DRAWS)
+    g = dealt.groupBy("iter", "cluster", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("large") * F.col("n")).alias("large"))
     q = g.groupBy("iter", "cluster").agg(F.sum("n").alias("n"), F.max("n").alias("mode"), (F.sum("large") / F.sum("n")).alias("large"))
     v = q.groupBy("iter").agg((F.sum("mode") / F.sum("n")).alias("consistency"), F.stddev_pop("large").alias("spread"))
     u = v.unpivot("iter", ["consistency", "spread"], "metric", "v").withColumn("v", R("v", 9))

@@ -1,5 +1,6 @@
 """Edge rules, properties and brute force for the library's own operators."""
 
+import hashlib
 import itertools
 import json
 import math
@@ -515,3 +516,20 @@ def test_vectors_in_most_cells_reach_travel_in_few_blocks(spark):
     copies = vectors._Cells(vectors._prepared(df, "id", "v"))
     copies.blocks = 2
     assert vectors._dealt(vectors._prepared(df, "id", "v"), copies, None).count() == 5000 * 2 * 2
+
+
+def test_permuted_counts_equal_a_deal_by_digests(spark, monkeypatch):
+    monkeypatch.setattr(resample, "SLICE", 40)
+    rows = [(f"{'x' * (60 if k % 7 == 0 else 0)}{k // 2 if k in (10, 11) else k}", f"c{k % 5}", f"k{k % 3}", None if k % 4 == 0 else k % 2) for k in range(150)]  # long names, and one twice
+    items = spark.createDataFrame(rows, "item string, cluster string, kind string, large int")
+    got = {(r.iter, r.cluster, r.kind, r.large): r.n for r in resample.permuted_counts(items, "item", "cluster", ["kind", "large"], 20).collect()}
+    names = [r[1] for r in sorted(rows)]
+    want = defaultdict(int)
+    for _, c, k, x in rows:
+        want[-1, c, k, x] += 1
+    number = {d: i for i, d in enumerate(sorted({r[2:] for r in rows}, key=lambda d: (d[0], d[1] is not None, d[1])))}
+    for it in range(20):
+        dealt = sorted(rows, key=lambda r: (hashlib.md5(f"42|{it}|{r[0]}".encode()).hexdigest(), number[r[2:]]))
+        for c, r in zip(names, dealt):
+            want[it, c, *r[2:]] += 1
+    assert got == dict(want)
