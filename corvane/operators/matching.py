@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from pyspark.sql.window import Window as W
 from corvane.operators.ranking import ranked, running
 from corvane.session import materialise
 
-#: Controls that a candidate's list gets at once. So few controls are ranked in plain windows.
-FETCH, FEW = 16, 100_000
+#: Controls that a candidate's list gets at once. So few controls are ranked in plain windows. Controls of the largest group that a task settles.
+FETCH, FEW, GROUP = 16, 100_000, 1_000_000
 
 
 class _Nearest:
@@ -57,6 +58,62 @@ class _Nearest:
         return found.where("pos <= want").select(*tag, "pos", "control", "right", (F.col("pos") - F.col("right")).alias("left"))
 
 
+def _chosen(hungry: DataFrame, pool: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """``(c, control)``: what each of the hungry gets of the controls with its ``keys``, in their order: the nearest that no earlier one holds or got.
+
+    A task has a group. Its controls lie in both orders by value; a control that is gone points to the next one in each.
+    """
+    kind = pool.schema["control"].dataType
+    right = pool.join(hungry.select(*keys).distinct(), keys, "left_semi") if keys else pool
+    right = right.join(held.select("control", F.col("c").alias("holder")), "control", "left")
+    group = [*keys, "_all"]
+
+    def free(after, at):
+        while after[at] != at:
+            after[at] = after[after[at]]
+            at = after[at]
+        return at
+
+    def run(key, left, right):
+        n, value, turn = right.num_rows, right["value"].to_numpy(), right["_order"].to_numpy()
+        orders = [np.lexsort((turn, value)), np.lexsort((turn, -value))]  # rising and falling, equal values by order
+        places = [np.argsort(o) for o in orders]
+        gone = [list(range(n + 1)), list(range(n + 1))]
+
+        def take(row):
+            for place, after in zip(places, gone):
+                after[place[row]] = place[row] + 1
+
+        holder = right["holder"]
+        kept = np.flatnonzero(holder.is_valid().to_numpy())
+        holders = holder.take(pa.array(kept)).to_numpy()
+        first = np.argsort(holders, kind="stable")
+        kept, holders, h = kept[first], holders[first], 0
+        left = left.sort_by("c")
+        c, own = left["c"].to_numpy(), left["value"].to_numpy()
+        starts = np.searchsorted(value[orders[0]], own, "left"), np.searchsorted(-value[orders[1]], -own, "right")
+        got, rows = [], []
+        for k in range(len(c)):
+            while h < len(kept) and holders[h] < c[k]:  # an earlier one holds it
+                take(kept[h])
+                h += 1
+            best = None
+            for order, after, start in zip(orders, gone, starts):
+                at = free(after, int(start[k]))
+                if at < n:
+                    d = abs(value[order[at]] - own[k])
+                    this = (float("inf") if d != d else d, turn[order[at]], order[at])
+                    best = this if best is None or this < best else best
+            if best is not None:
+                got.append(c[k])
+                rows.append(best[2])
+                take(best[2])
+        return pa.table({"c": pa.array(got, pa.int64()), "control": right["control"].take(pa.array(rows, pa.int64()))})
+
+    one = lambda df: df.withColumn("_all", F.lit(0)).groupBy(*group)
+    return one(hungry.select(*keys, "c", "value")).cogroup(one(right.select(*keys, "control", "value", "_order", "holder"))).applyInArrow(run, f"c long, control {kind.simpleString()}")
+
+
 def matched_controls(candidates: DataFrame, pool: DataFrame, match: list[str], order: list[str], per: int = 1, fetch: int = FETCH) -> DataFrame:
     """``(candidate, control, match_rank)``: candidates in the order of ``turn`` take their ``per`` nearest free controls.
 
@@ -66,9 +123,10 @@ def matched_controls(candidates: DataFrame, pool: DataFrame, match: list[str], o
     pool; then the last candidates get fewer.
 
     First come, first served equals deferred acceptance with controls that prefer earlier candidates: a candidate proposes to its
-    next control, a control keeps its earliest suitor, until nobody moves. Lists are fetched when they are needed, ``fetch``
-    controls at a time, from orders by value inside groups of equal columns; the wider groups (another label, another
-    family) are ordered only if a candidate comes to them. Of candidates alike in all columns the n-th starts at the n-th
+    next control, a control keeps its earliest suitor, until nobody moves. Groups of equal columns of up to ``GROUP`` controls are settled each in
+    a task: all their candidates without a control propose in their order at once. Where groups are larger, lists are fetched when they are needed,
+    ``fetch`` controls at a time, from orders by value inside the groups. The wider groups (another label, another
+    family) come up only if a candidate comes to them. Of candidates alike in all columns the n-th starts at the n-th
     control, since the earlier ones leave it nothing better.
     """
     spark = candidates.sparkSession
@@ -77,8 +135,10 @@ def matched_controls(candidates: DataFrame, pool: DataFrame, match: list[str], o
     people = candidates.select("candidate", F.explode(F.sequence(F.lit(1), F.lit(per))).alias("match_rank"), F.col("turn").cast("long").alias("turn"), *(text(c).alias(c) for c in match), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
     people = materialise(people.withColumn("c", F.col("turn") * per + F.col("match_rank")), "candidates")
     tiers = [dict(zip([match[0], "low", *match[1:]], bits)) for bits in product((True, False), repeat=len(match) + 1)]
-    indexes: dict[tuple, _Nearest] = {}
+    indexes: dict[tuple, _Nearest | None] = {}
     few = pool.count() <= FEW
+    turns = pool.select("control", F.row_number().over(W.orderBy(*order, "control")).alias("_order")) if few else ranked(pool.select(*order, "control"), [], [*map(F.col, order), F.col("control")], "_order").select("control", F.col("_order").cast("long").alias("_order"))
+    placed = materialise(pool.join(turns, "control").select("control", *match, "low", "value", F.col("_order").cast("long").alias("_order")), "placed")
     state = people.select("c", *match, "value", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("right"), F.lit(0).cast("long").alias("left"))
     state = materialise(state, "cursors")
     held = spark.createDataFrame([], f"c long, control {pool.schema['control'].dataType.simpleString()}, pos long")
@@ -93,8 +153,14 @@ def matched_controls(candidates: DataFrame, pool: DataFrame, match: list[str], o
             bits = tiers[tier]
             keys, other = [c for c in match if bits[c]], [c for c in match if not bits[c]]
             name = (bits["low"], *keys)
+            of = placed.where(F.col("low") == bits["low"])
             if name not in indexes:
-                indexes[name] = _Nearest(pool.where(F.col("low") == bits["low"]), people, keys, order, few)
+                largest = of.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+                indexes[name] = None if largest <= GROUP else _Nearest(pool.where(F.col("low") == bits["low"]), people, keys, order, few)
+            if indexes[name] is None:
+                part = _chosen(hungry.where(F.col("tier") == tier), of, held, keys).select("c", "control", F.lit(1).cast("long").alias("pos"), *(F.lit(0).cast("long").alias(x) for x in ("right", "left")), F.lit(True).alias("ok"))
+                own = part if own is None else own.unionByName(part)
+                continue
             like = [*match, "value", "right", "left"]
             now = hungry.where(F.col("tier") == tier).withColumn("n", F.row_number().over(W.partitionBy(*like).orderBy("c")))  # among candidates alike in all columns
             kinds = now.groupBy(*like).agg((F.max("n") + fetch - 1).alias("want"), F.min("c").alias("kind"))

@@ -533,3 +533,33 @@ def test_permuted_counts_equal_a_deal_by_digests(spark, monkeypatch):
         for c, r in zip(names, dealt):
             want[it, c, *r[2:]] += 1
     assert got == dict(want)
+
+
+@pytest.mark.parametrize("group", [0, 30, 1_000_000])
+def test_matching_by_groups_equals_first_come_first_served(spark, monkeypatch, group):
+    """Lists, both, and groups alone; all candidates want the same controls, and some groups run out."""
+    monkeypatch.setattr(matching, "GROUP", group)
+    rng = random.Random(9)
+    some = lambda: (rng.choice("xy"), rng.choice("fg"), rng.choice("pq"))
+    cand = [(k, 2 * k, *some(), 100.0 + rng.randrange(5)) for k in range(30)]
+    pool = [(1000 + k, *some(), rng.random() < 0.7, float(rng.randrange(60)), float(rng.randrange(3)), None if k % 9 == 0 else k % 2) for k in range(80)]
+    c = spark.createDataFrame(cand, "candidate long, turn long, label string, family string, host string, value double")
+    p = spark.createDataFrame(pool, "control long, label string, family string, host string, low boolean, value double, gain double, p int")
+    got = {(r.candidate, r.match_rank): r.control for r in matching.matched_controls(c, p, ["label", "family", "host"], ["gain", "p"], 2).collect()}
+    used, want = set(), {}
+    for name, _, lab, fam, host, value in cand:
+        free = sorted((q[1] != lab, not q[4], q[2] != fam, q[3] != host, abs(q[5] - value), q[6], q[7] is not None, q[7] or 0, q[0]) for q in pool if q[0] not in used)
+        for k, best in enumerate(free[:2], 1):
+            want[name, k] = best[-1]
+            used.add(best[-1])
+    assert got == want
+
+
+def test_matching_takes_few_jobs_where_many_want_the_same(spark):
+    c = spark.createDataFrame([(k, k, "x", 100.0 + k) for k in range(40)], "candidate long, turn long, label string, value double")
+    p = spark.createDataFrame([(k, "x", float(k), True) for k in range(60)], "control long, label string, value double, low boolean")
+    spark.sparkContext.setJobGroup("matching", "matching")
+    got = {r.candidate: r.control for r in matching.matched_controls(c, p, ["label"], [], 1, 1).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("matching"))
+    spark.sparkContext.setJobGroup("others", "others")
+    assert got == {k: 59 - k for k in range(40)} and jobs < 100
