@@ -238,8 +238,8 @@ def slot_sql(k: int) -> str:
 @query("win9_slots", f"WITH {SEQ} SELECT seq, row_order, array_to_string(list_transform(flatten([{', '.join(slot_sql(k) for k in (-2, -1, 1, 2))}]), lambda x: printf('%.4f', x::DOUBLE)), ' ') AS slots FROM seqs WINDOW w AS ({SORT})")
 def win9(spark, sf):
     s = context_rows(spark, sf).withColumn("slots", context.neighbour_slots(order(), 2))
-    flat = F.flatten(F.transform("slots", lambda x: F.array(*(F.round(x[c], 4) for c in ("offset", "log_length", "log_gap", "log_overlap", "same_strand", "mask")))))
-    return s.select("seq", "row_order", F.concat_ws(" ", F.transform(flat, lambda x: F.format_string("%.4f", x))).alias("slots"))
+    names = ("offset", "log_length", "log_gap", "log_overlap", "same_strand", "mask")
+    return s.select("seq", "row_order", F.concat_ws(" ", F.flatten(F.transform("slots", lambda x: F.array(*(S.four_places(x[c]) for c in names))))).alias("slots"))
 
 
 @query("win10_module_windows", f"WITH {SEQ} SELECT seq, row_order, array_to_string(list(l_partkey) OVER w, ',') AS members, array_to_string(list(kind) OVER w, '>') AS signature, round(avg((strand = 'N')::INT) OVER w, 6) AS unknown, array_to_string(list_filter([CASE WHEN count(*) FILTER (kind = 'F') OVER w > 0 THEN 'F=' || count(*) FILTER (kind = 'F') OVER w END, CASE WHEN count(*) FILTER (kind = 'O') OVER w > 0 THEN 'O=' || count(*) FILTER (kind = 'O') OVER w END], lambda x: x IS NOT NULL), ',') AS histogram, round(avg((q > 25)::INT) OVER w, 6) AS vote, round(avg(q) OVER w, 6) AS mean_q FROM seqs WINDOW w AS ({SORT} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)")

@@ -563,3 +563,11 @@ def test_matching_takes_few_jobs_where_many_want_the_same(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("matching"))
     spark.sparkContext.setJobGroup("others", "others")
     assert got == {k: 59 - k for k in range(40)} and jobs < 100
+
+
+def test_four_places_equals_a_formatted_double(spark):
+    values = [0.0, -0.0, 1.0, -1.0, 0.5, -0.5, 1e-9, -1e-9, 0.00005, -0.00005, 1.00005, 2.34565, 123456.789, 9999999999999999.0, -3e17, 1e30, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", S.four_places(F.col("x")).alias("got"), F.format_string("%.4f", F.round("x", 4)).alias("want"))
+    assert [r.got for r in df.collect()] == [r.want for r in df.collect()]
+    plan = registry.queries()["win9_slots"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "decimal(20,4)" in plan  # no double is formatted where a decimal will do
