@@ -6,13 +6,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from corvane.operators.components import connected_components
 from corvane.operators.skew import hub_join
-from corvane.session import materialise
+from corvane.session import materialise, shuffle_width
 
-#: A run that stands in the prefixes of more texts than this is crowded. Texts of a block of a crowded run. Columns compared at once.
-CROWD, BLOCK, COLUMNS = 64, 256, 8192
+#: A run that stands in the prefixes of more texts than this is crowded. Most texts and runs of a block of crowded texts. Columns compared at once, and
+#: pairs counted at once where a run has few. One text in so many tells which runs are hubs. Equal texts of at most so many rows are broadcast.
+CROWD, BLOCK, RUNS, COLUMNS, PAIRS, SOME, FEW = 64, 2048, 1 << 20, 2048, 1 << 22, 64, 500_000
 
 
 def _shingles(text: str, words: int):
@@ -22,18 +24,39 @@ def _shingles(text: str, words: int):
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """The number of common values of every left and right set, a few thousand values at a time."""
+    """The number of common values of every left and right set. Values that many sets hold are multiplied out, a few thousand at a time; values
+    of few sets are counted pair by pair, a few million at a time."""
     values, code = np.unique(np.concatenate([*left, *right]) if left or right else np.zeros(0, np.int64), return_inverse=True)
     out = np.zeros((len(left), len(right)), np.float32)
-    cuts = np.cumsum([len(x) for x in [*left, *right]])[:-1]
-    rows = np.split(code, cuts)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in [*left, *right]])
     order = np.argsort(code, kind="stable")
-    edges = np.searchsorted(code[order], np.arange(0, len(values) + COLUMNS, COLUMNS))
-    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-        some = np.zeros((len(rows), COLUMNS), np.float32)
-        some[row[order[a:b]], code[order[a:b]] - k * COLUMNS] = 1
-        out += some[: len(left)] @ some[len(left) :].T
+    code, row = code[order], row[order]
+    own = row < len(left)
+    (a, a_code), (b, b_code) = (row[own], code[own]), (row[~own] - len(left), code[~own])
+    n_a, n_b = (np.bincount(x, minlength=len(values)) for x in (a_code, b_code))
+    dense = np.flatnonzero(n_a * n_b > max(out.size // 256, 1))
+    for at in range(0, len(dense), COLUMNS):
+        place = np.full(len(values), -1)
+        place[dense[at : at + COLUMNS]] = np.arange(len(dense[at : at + COLUMNS]))
+        some = []
+        for rows, codes, n in ((a, a_code, len(left)), (b, b_code, len(right))):
+            m = np.zeros((n, min(COLUMNS, len(dense) - at)), np.float32)
+            ok = place[codes] >= 0
+            m[rows[ok], place[codes[ok]]] = 1
+            some.append(m)
+        out += some[0] @ some[1].T
+    met = n_b.copy()
+    met[dense] = 0
+    a, a_code = a[met[a_code] > 0], a_code[met[a_code] > 0]
+    start, ends = (np.cumsum(n_b) - n_b)[a_code], np.cumsum(met[a_code])
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        n = met[a_code[at:to]]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cell = np.repeat(a[at:to], n) * len(right) + b[np.repeat(start[at:to], n) + inside]
+        out += np.bincount(cell, minlength=out.size).reshape(out.shape)
+        at = to
     return out
 
 
@@ -50,21 +73,24 @@ def chained(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
     return np.concatenate([left[x], right[y]]), np.concatenate([a[x], b[y]])
 
 
-def _crowded_links(members: DataFrame, sets: DataFrame, levels: list[float]) -> DataFrame:
-    """``(src, dst, similarity)`` that connect, at each level, what the members ``(bucket, id, parts, part)`` of crowded runs are connected by.
-    Blocks of a bucket meet two by two inside tasks; a block's pairs never leave it, only links that span its components."""
-    i = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    at = members.select("*", i.alias("other")).select("bucket", "id", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
-    blocks = at.distinct().join(sets, "id")  # a text in its own block once
+def _crowded_links(members: DataFrame, own: DataFrame, levels: list[float]) -> DataFrame:
+    """``(src, dst, similarity)`` that connect, at each level, what the members ``(bucket, id, runs)`` of groups of crowded runs are connected by.
+    Blocks of a group meet two by two inside tasks; a block's pairs never leave it, only links that span its components."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("runs").alias("runs"))
+    parts = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("runs") / RUNS)).cast("int").alias("parts")
+    at = hub_join(members.select("bucket", "id"), materialise(sizes.select("bucket", "count", parts), "groups"), ["bucket"], "count")
+    at = at.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    at = at.select("bucket", "id", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
+    blocks = at.join(own, "id")  # a text in its own block once
 
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
-        part, ids = table["part"].to_numpy(), table["id"].to_numpy()
-        values = table["s"].to_pylist() if table.num_rows < 2 else [x.values.to_numpy() for x in table["s"].combine_chunks()]
-        values = [np.asarray(v, np.int64) for v in values]
+        part, ids, n = (table[c].to_numpy() for c in ("part", "id", "n"))
+        runs = table["r"].combine_chunks()
+        edges = runs.offsets.to_numpy()
+        flat = runs.values.to_numpy()
         a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        n = np.array([len(v) for v in values])
-        shared = overlaps([values[k] for k in a], [values[k] for k in b])
+        shared = overlaps(*([flat[edges[k] : edges[k + 1]] for k in x] for x in (a, b)))
         share = shared / np.maximum(n[a][:, None] + n[b][None, :] - shared, 1)
         share[ids[a][:, None] == ids[b][None, :]] = 0
         found = [(*chained(share >= level, ids[a], ids[b]), level) for level in levels]
@@ -73,7 +99,21 @@ def _crowded_links(members: DataFrame, sets: DataFrame, levels: list[float]) ->
         keep = src != dst
         return pa.table({"src": src[keep], "dst": dst[keep], "similarity": level[keep]})
 
-    return blocks.select("bucket", "i", "j", "part", "id", "s").groupBy("bucket", "i", "j").applyInArrow(run, "src long, dst long, similarity double").distinct()
+    return blocks.select("bucket", "i", "j", "part", "id", "n", "r").groupBy("bucket", "i", "j").applyInArrow(run, "src long, dst long, similarity double").distinct()
+
+
+def _held_by_several(spread: DataFrame, total: int) -> DataFrame:
+    """The rows (id, n, k) whose run k several texts have, with their number ``df``. Rows are shuffled once: a run with more rows than a task's
+    share, as one text in ``SOME`` tells, is counted where it stands. A hub that they miss is only slower."""
+    most = total / shuffle_width(spread.sparkSession)
+    seen = spread.where(F.pmod(F.xxhash64(F.lit("some"), "id"), F.lit(SOME)) == 0).groupBy("k").agg(F.count("*").alias("df"))
+    hubs = [r.k for r in seen.where((F.col("df") * SOME > most) & (F.col("df") > 1)).select("k").collect()]  # fewer than a few times the width
+    counted = lambda rows: rows.select("*", F.count("*").over(W.partitionBy("k")).cast("int").alias("df"))
+    if not hubs:
+        return counted(spread).where("df > 1")
+    hub = F.col("k").isin(hubs)
+    sizes = materialise(spread.where(hub).groupBy("k").agg(F.count("*").cast("int").alias("df")), "hubs")
+    return counted(spread.where(~hub)).unionByName(spread.where(hub).join(F.broadcast(sizes), "k")).where("df > 1")
 
 
 def similar_texts(docs: DataFrame, levels: list[float], words: int = 5, id_col: str = "id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -83,42 +123,40 @@ def similar_texts(docs: DataFrame, levels: list[float], words: int = 5, id_col:
 
     An exact join of sets: runs are ordered by how many texts have them, rarest first. Two sets of n and m runs that share
     enough for the least level t have a common run among the first ``n - ceil(t n) + 1`` and ``m - ceil(t m) + 1``, and t n <= m. Runs with
-    the same texts in their prefixes count once. Equal texts meet in one class first. Texts without words link with nothing.
+    the same texts in their prefixes count once, and crowded runs whose texts have the same least hash meet as one group, so that
+    a text does not travel once for each of them. Runs of one text meet nobody: they count in a set's size and never travel. Equal
+    texts meet in one class first. Texts without words link with nothing.
     """
     least = min(levels)
     w, runs = _shingles("text", words)
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", w.alias("w")).where("size(w) > 0")
-    each = materialise(named.select("id", F.array_sort(runs).alias("s")).withColumn("h", F.xxhash64("s")), "shingles")
-    reps = materialise(each.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "texts")
-    sets = each.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "s").groupBy("id").agg(F.first("s").alias("s"))
-    sets = materialise(sets, "sets")
-    spread = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("k"))
-    held = spread.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")  # a run of one text meets nobody
-    held = materialise(held, "frequencies")
+    each = materialise(named.select("id", F.array_sort(runs).alias("s")).select("*", F.xxhash64("s").alias("h"), F.size("s").alias("n")), "shingles")
+    reps = materialise(each.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("count")), "texts")
+    same = materialise(hub_join(each.select("id", "h"), reps, ["h"], "count").where("id <> rep"), "equal")
+    equal = same.select("id", "h")
+    first_of = each.where("id is not null").join(F.broadcast(equal) if same.count() <= FEW else equal, ["id", "h"], "left_anti")
+    spread = first_of.select("id", "n", F.explode("s").alias("k"))
+    shared = _held_by_several(spread, each.agg(F.sum("n")).first()[0] or 0)
     # runs of one text stand first in its order, so the prefix holds that many fewer of the others
-    shared = hub_join(spread, held.withColumn("count", F.col("df")), ["k"], "count")
-    own = shared.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("r"))
     first = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1 - (F.col("n") - F.size("r"))
-    prefix = own.where(first > 0).select("id", "n", F.explode(F.slice("r", F.lit(1), first)).alias("x")).select("id", "n", F.col("x.k").alias("k"))
-    prefix = materialise(prefix, "prefixes")
-    buckets = prefix.groupBy("k").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("id")).alias("who")).where("count > 1")
-    buckets = materialise(buckets.groupBy("who", "count").agg(F.min("k").alias("k")).select("k", "count"), "buckets")
+    own = shared.groupBy("id", "n").agg(F.array_sort(F.collect_set(F.struct("df", "k"))).alias("x")).select("id", "n", F.transform("x", lambda x: x["k"]).alias("r"))
+    own = materialise(own.where(first > 0), "sets")  # others share too little with anyone
+    prefix = own.select("id", "n", F.size("r").alias("runs"), F.explode(F.slice("r", F.lit(1), first)).alias("k"))
+    buckets = prefix.groupBy("k").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min(F.xxhash64("id")).alias("bucket")).where("count > 1")
+    buckets = materialise(buckets.groupBy("who", "count", "bucket").agg(F.min("k").alias("k")).select("k", "count", "bucket"), "buckets")
     few = buckets.where(F.col("count") <= crowd).select("k")
-    small = materialise(prefix.join(few, "k", "left_semi"), "members")
+    small = materialise(prefix.select("id", "n", "k").join(few, "k", "left_semi"), "members")
     other = small.select("k", F.col("id").alias("dst"), F.col("n").alias("m"))
     pairs = small.withColumnRenamed("id", "src").join(other, "k").where((F.col("src") < F.col("dst")) & (F.col("n") * least <= F.col("m") + 1e-9) & (F.col("m") * least <= F.col("n") + 1e-9))
     pairs = pairs.select("src", "dst").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("src"), F.col("s").alias("x")), "src").join(sets.select(F.col("id").alias("dst"), F.col("s").alias("y")), "dst")
+    both = pairs.join(own.select(F.col("id").alias("src"), F.col("n"), F.col("r").alias("x")), "src").join(own.select(F.col("id").alias("dst"), F.col("n").alias("m"), F.col("r").alias("y")), "dst")
     common = F.size(F.array_intersect("x", "y"))
-    found = both.select("src", "dst", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= least)
-    same = hub_join(each.select("id", "h"), reps, ["h"], "n").where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("similarity"))
-    out = found.union(same)
+    found = both.select("src", "dst", (common / (F.col("n") + F.col("m") - common)).alias("similarity")).where(F.col("similarity") >= least)
+    out = found.union(same.select(F.col("rep").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("similarity")))
     large = buckets.where(F.col("count") > crowd)
     if not large.isEmpty():
-        parts = F.ceil(F.col("count") / BLOCK).cast("int")
-        members = hub_join(prefix, large.withColumn("parts", parts), ["k"], "count").select(F.col("k").alias("bucket"), "id", "parts")
-        members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        out = out.union(_crowded_links(members, sets, sorted(levels)))
+        members = hub_join(prefix, large, ["k"], "count").select("bucket", "id", "runs").distinct()
+        out = out.union(_crowded_links(materialise(members, "crowds"), own, sorted(levels)))
     return out
 
 

@@ -178,6 +178,48 @@ def test_similarity_clusters_equal_brute_force(spark, crowd):
         assert {r["id"]: r[f"cluster_{round(level * 100)}"] for r in got} == plain_clusters(texts, level)
 
 
+def family(rng, copies, changes, length=60):
+    """Near copies of one text, each with words of its own."""
+    base, out = words(rng, length).split(), []
+    for i in range(copies):
+        w = list(base)
+        for at in rng.sample(range(length), changes):
+            w[at] = f"own{i}x{at}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_copies_do_not_travel_once_for_each_run(spark, monkeypatch):
+    rng, seen = random.Random(4), {}
+    write = similar.materialise
+
+    def noted(df, name):
+        seen[name] = write(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(similar, "materialise", noted)
+    texts = dict(enumerate(family(rng, 40, 4) + family(rng, 40, 9)))
+    got = similar.similarity_clusters(spark.createDataFrame(list(texts.items()), "id long, text string"), [0.3, 0.5, 0.7], crowd=10).collect()
+    for level in (0.3, 0.5, 0.7):
+        assert {r["id"]: r[f"cluster_{round(level * 100)}"] for r in got} == plain_clusters(texts, level)
+    crowded = seen["buckets"].where("count > 10")
+    assert crowded.agg(F.sum("count")).first()[0] > 8 * len(texts)
+    assert seen["crowds"].count() <= 4 * len(texts)
+    assert seen["sets"].selectExpr("max(size(r) - n)").first()[0] < 0  # runs of one text stay behind
+
+
+@pytest.mark.parametrize("block, runs", [(8, 1 << 20), (2048, 300)])
+def test_similarity_clusters_in_blocks_and_with_hubs(spark, monkeypatch, block, runs):
+    rng = random.Random(8)
+    for name, value in (("BLOCK", block), ("RUNS", runs), ("SOME", 1), ("PAIRS", 7), ("COLUMNS", 4), ("FEW", 0)):
+        monkeypatch.setattr(similar, name, value)
+    texts = family(rng, 20, 4) + family(rng, 20, 9) + [f"a b c d e {words(rng, 1)}" for _ in range(400)]
+    texts = dict(enumerate(texts + texts[:9]))
+    got = similar.similarity_clusters(spark.createDataFrame(list(texts.items()), "id long, text string"), [0.3, 0.5, 0.7], crowd=10).collect()
+    for level in (0.3, 0.5, 0.7):
+        assert {r["id"]: r[f"cluster_{round(level * 100)}"] for r in got} == plain_clusters(texts, level)
+
+
 def test_overlaps_of_many_columns(monkeypatch):
     rng = np.random.default_rng(2)
     monkeypatch.setattr(similar, "COLUMNS", 16)
