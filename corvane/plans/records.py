@@ -72,21 +72,27 @@ def src4(spark, sf):
 @query("src4_feature_rows", """SELECT 'O' || l_orderkey AS accession, o_custkey::VARCHAR AS taxon, l_linenumber::BIGINT AS line, 'g' || l_linenumber AS gene, 'status "' || l_linestatus || '" of /part=' || l_partkey AS note, l_suppkey || ' and more' AS product, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber % 3 END AS codon_start,
 CASE WHEN l_returnflag = 'R' THEN 'partial,pseudo' ELSE '' END AS flags, (l_linenumber + 60)::INT AS translation_length, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS strand, least(l_linenumber, l_partkey)::INT AS start, greatest(l_linenumber, l_partkey)::INT AS end_ FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def src4_features(spark, sf):
-    """Features with quoted, doubly quoted, wrapped, bare and valueless qualifiers, written and parsed again."""
+    """Features with quoted, doubly quoted, wrapped, bare and valueless qualifiers, written and parsed again. Texts are made where they are
+    written, so that lines travel as numbers, and files are compressed: a feature takes half a kilobyte as text."""
     path, pad = scratch(spark, "features") + "/f", "\n                     "
-    back, text = F.col("l_returnflag") == "R", lambda c: F.col(c).cast("string")
-    place = F.concat(text("l_linenumber"), F.lit(".."), text("l_partkey"))
-    place = F.when(back, F.concat(F.lit("complement("), place, F.lit(")"))).otherwise(place)
-    n = F.col("l_linenumber")
-    gene = F.concat(
-        F.lit("     CDS             "), place, F.lit(f'{pad}/gene="g'), text("l_linenumber"), F.lit(f'"{pad}/note="status ""'), "l_linestatus", F.lit(f'"" of{pad}/part='), text("l_partkey"), F.lit(f'"{pad}/product="'),
-        text("l_suppkey"), F.lit(f' and{pad}more"'), F.when(back, f"{pad}/pseudo{pad}/partial").otherwise(""), F.when(n % 3 > 0, F.concat(F.lit(f"{pad}/codon_start="), (n % 3).cast("string"))).otherwise(""),
-        F.lit(f'{pad}/translation="'), F.repeat(F.lit("M"), F.lit(60)), F.lit(pad), F.expr("repeat('K', l_linenumber)"), F.lit(f'"{pad}/locus_tag="'), text("l_linenumber"), F.lit('"'),
-    )
-    genes = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.concat_ws("\n", F.array_sort(F.collect_list(gene))).alias("genes"))  # lines of one order
-    o = table(spark, sf, "orders").join(genes, "o_orderkey")
+
+    def gene(line):
+        text = lambda c: line[c].cast("string")
+        back, n = line["l_returnflag"] == "R", line["l_linenumber"]
+        place = F.concat(text("l_linenumber"), F.lit(".."), text("l_partkey"))
+        place = F.when(back, F.concat(F.lit("complement("), place, F.lit(")"))).otherwise(place)
+        return F.concat(
+            F.lit("     CDS             "), place, F.lit(f'{pad}/gene="g'), text("l_linenumber"), F.lit(f'"{pad}/note="status ""'), line["l_linestatus"], F.lit(f'"" of{pad}/part='), text("l_partkey"), F.lit(f'"{pad}/product="'),
+            text("l_suppkey"), F.lit(f' and{pad}more"'), F.when(back, f"{pad}/pseudo{pad}/partial").otherwise(""), F.when(n % 3 > 0, F.concat(F.lit(f"{pad}/codon_start="), (n % 3).cast("string"))).otherwise(""),
+            F.lit(f'{pad}/translation="'), F.repeat(F.lit("M"), F.lit(60)), F.lit(pad), F.repeat(F.lit("K"), n), F.lit(f'"{pad}/locus_tag="'), text("l_linenumber"), F.lit('"'),
+        )
+
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))  # lines of one order
+    o, text = table(spark, sf, "orders").join(lines, "o_orderkey"), lambda c: F.col(c).cast("string")
     head = F.concat(F.lit("LOCUS       O"), text("o_orderkey"), F.lit("   9 bp    DNA     linear\nACCESSION   O"), text("o_orderkey"), F.lit('\nFEATURES             Location/Qualifiers\n     source          1..9\n                     /db_xref="taxon:'), text("o_custkey"), F.lit('"\n'))
-    o.select(F.concat(head, "genes", F.lit("\nORIGIN\n        1 acgt\n//"))).write.mode("overwrite").text(path)
+    genes = F.concat_ws("\n", F.array_sort(F.transform("lines", gene)))
+    records.write_flat(o.select(F.concat(head, genes, F.lit("\nORIGIN\n        1 acgt\n//"))), path)
     f = records.feature_rows(records.flat_records(spark, path))
     return f.select("accession", "taxon", F.col("locus_tag").cast("bigint").alias("line"), "gene", "note", "product", "codon_start", F.concat_ws(",", "flags").alias("flags"), "translation_length", "strand", "start", F.col("end").alias("end_"))
 

@@ -37,7 +37,7 @@ def flat_records(spark: SparkSession, path: str) -> DataFrame:
     holds the first source feature's qualifiers taxon, host, segment, isolate, place and date."""
     rec = spark.read.option("lineSep", "\n//\n").text(path).where("value like '%LOCUS%'")
     field = lambda name: F.trim(F.regexp_extract("value", rf"(?m)^{name}\s+(.*)$", 1))
-    block = F.regexp_extract("value", r"(?s)FEATURES[^\n]*\n(.*?)(?:\nORIGIN|\z)", 1)
+    block = F.substring_index(F.regexp_extract("value", r"(?s)FEATURES[^\n]*\n(.*)", 1), "\nORIGIN", 1)
     parts = F.filter(F.split(block, r"(?m)^ {5}(?=\S)"), lambda x: F.trim(x) != "")
     feature = F.transform(
         parts,
@@ -75,18 +75,20 @@ QUALIFIER = r'(?m)^[ \t]+/(\w+)(?:=("[^"]*+(?:""[^"]*+)*+"|[^"\n][^\n]*(?:\n[ \t
 def _qualifiers(feature: Column) -> Column:
     """The qualifiers of a feature in order, as structs (k, v); a qualifier without a value has the empty text."""
 
-    def pair(q: Column) -> Column:
-        value = F.regexp_replace(F.trim(q), r"^/\w+=?", "")
-        plain = F.when(F.startswith(value, F.lit('"')), F.replace(F.regexp_replace(value, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(value)
-        return F.struct(F.regexp_extract(q, r"/(\w+)", 1).alias("k"), F.regexp_replace(plain, r"\s*\n\s*", " ").alias("v"))
+    def pair(halves: Column) -> Column:
+        name, value = F.substring_index(halves[0], "/", -1), F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
+        plain = F.when(F.startswith(value, F.lit('"')), F.replace(F.substr(value, F.lit(2), F.length(value) - 2), F.lit('""'), F.lit('"'))).otherwise(value)
+        return F.struct(name.alias("k"), F.when(F.contains(value, F.lit("\n")), F.regexp_replace(plain, r"\s*\n\s*", " ")).otherwise(plain).alias("v"))
 
-    return F.transform(F.regexp_extract_all(feature, F.lit(QUALIFIER), F.lit(0)), pair)
+    found = F.regexp_extract_all(feature, F.lit(QUALIFIER), F.lit(0))
+    return F.transform(F.transform(found, lambda q: F.split(F.rtrim(q), "=", 2)), pair)  # a name has no equals sign
 
 
 def feature_rows(records: DataFrame, kind: str = "CDS") -> DataFrame:
     """One row for each feature of a kind in ``flat_records``: the record's accession, organism and source, names and product, the location as it
     stands and taken apart, the reading frame, the length of the translation and the names of the qualifiers without a value."""
-    f = records.select("accession", "organism", F.col("source.taxon").alias("taxon"), F.col("source.segment").alias("segment"), F.posexplode("features").alias("place", "x")).where(F.col("x.type") == kind)
+    f = records.select("accession", "organism", F.col("source.taxon").alias("taxon"), F.col("source.segment").alias("segment"), "features")
+    f = f.select("*", F.posexplode_outer("features").alias("place", "x")).drop("features").where(F.col("x.type") == kind)  # outer: else a filter on the size parses the text again
     one = lambda name: F.try_element_at(F.try_element_at(F.col("x.qualifiers"), F.lit(name)), F.lit(1))
     flags = F.filter(F.map_keys("x.qualifiers"), lambda k: F.array_max(F.try_element_at(F.col("x.qualifiers"), k)) == "")
     return f.select(
@@ -211,6 +213,11 @@ def write_delimited(df: DataFrame, path: str, columns: list[str], gz: bool = Fal
     df.select(*columns).write.mode("overwrite").csv(path, sep="\t", header=True, compression="gzip" if gz else "none")
 
 
+def write_flat(texts: DataFrame, path: str, most: int = 50_000) -> None:
+    """Flat records, each a text that ends in ``//``, as compressed files of ``most`` records at most: a compressed file is read in one piece."""
+    texts.write.mode("overwrite").option("maxRecordsPerFile", most).text(path, compression="gzip")
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A one-row table as a JSON file."""
     report.coalesce(1).write.mode("overwrite").json(path)
