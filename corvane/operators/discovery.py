@@ -7,6 +7,8 @@ random. Noise (-1) belongs to no cluster.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,8 +18,8 @@ from pyspark.sql.window import WindowSpec
 from corvane.operators.vectors import density_clusters
 from corvane.session import materialise, shuffle_width
 
-#: Cells (clusters times kinds) of a table of counts that travels to the workers.
-CELLS = 4_000_000
+#: Modules that are dealt at once inside a task.
+SLICE = 1 << 20
 
 
 def mean_vectors(list_of_vectors: Column) -> Column:
@@ -68,58 +70,74 @@ def cluster_metrics(rollup: DataFrame) -> DataFrame:
     return rollup.agg(F.count("*").alias("cluster_count"), F.coalesce(total, F.lit(0)).alias("module_count"), *(weighted(c) for c in ("consistency", "unknown_ratio", "vote_fraction", "sensitive_fraction")), F.coalesce(F.avg("family_count"), F.lit(0.0)).alias("mean_family_count"))
 
 
-def _dealt(rng: np.random.Generator, sizes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Counts (cluster by kind) of modules dealt to clusters of the given sizes at random."""
-    left, out = kinds.copy(), np.zeros((len(sizes), len(kinds)), np.int64)
-    for c, n in enumerate(sizes):
-        out[c] = rng.multivariate_hypergeometric(left, n, method="marginals")
-        left -= out[c]
-    return out
+def _dealt(rng: np.random.Generator, sizes: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Modules, ``kinds`` of them of each kind, dealt at random to clusters of the given rising sizes: arrays (cluster, kind, count) of those that
+    meet, by cluster. A portion has about ``SLICE`` modules or one cluster; what it gets of each kind is drawn first, so no table of all is held."""
+    left, part = kinds.copy(), (np.cumsum(sizes) - sizes) // SLICE
+    edges = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (sizes[1:] > SLICE))) if len(sizes) else []
+    for a, b in zip(edges, [*edges[1:], len(sizes)]):
+        own = sizes[a:b]
+        got = rng.multivariate_hypergeometric(left, own.sum(), method="marginals")
+        left -= got
+        if 4 * (b - a) * len(kinds) <= own.sum() or b - a == 1:  # few cells: drawn one by one
+            table = np.zeros((b - a, len(kinds)), np.int64)
+            for c, n in enumerate(own[:-1]):
+                table[c] = rng.multivariate_hypergeometric(got, n, method="marginals")
+                got -= table[c]
+            table[-1] = got
+            cluster, kind = np.nonzero(table)
+            yield cluster + a, kind, table[cluster, kind]
+        else:
+            key = np.sort(np.repeat(np.arange(a, b), own) * len(kinds) + rng.permutation(np.repeat(np.arange(len(kinds)), got)))
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            yield key[at] // len(kinds), key[at] % len(kinds), np.diff(np.append(at, len(key)))
 
 
 def cluster_null(modules: DataFrame, family: str, iterations: int = 500, seed: int = 42) -> DataFrame:
     """``(metric, observed, null_mean, null_low, null_high, p)``: the measures of ``cluster_metrics`` against clusters of the same
     sizes dealt anew, noise among them; p counts the observed one in.
 
-    A measure sees a module by one property only (its signature, its family, its share), so an iteration draws counts of
-    clusters by kinds from a multivariate hypergeometric law; it costs the cells of that table, not the modules. Tables
-    are collected up to ``CELLS`` cells; more is an error that asks for coarser kinds.
+    A measure sees a module by one property only (its signature, its family, its share). For a share it matters only what all clusters get
+    together, one draw from a multivariate hypergeometric law; for signatures and families only how many clusters have each size and how many
+    kinds each count, so these few numbers travel, and modules are dealt inside tasks. An iteration costs the modules, or clusters by
+    kinds where that is less; a task holds one number for each cluster and kind, and a slice of the modules.
     """
     spark = modules.sparkSession
-    sizes = modules.groupBy("cluster").agg(F.count("*").alias("n"))
-    sizes = {r["cluster"]: r["n"] for r in sizes.orderBy("cluster").limit(CELLS + 1).collect()}  # one row a cluster, CELLS at most
-    properties = {"consistency": "signature", "unknown_ratio": "unknown_ratio", "vote_fraction": "vote_fraction", "sensitive_fraction": "sensitive_fraction", "family_count": family}
-    tables = {}
-    for metric, column in properties.items():
-        own = modules if metric != "family_count" else modules.withColumn(column, F.coalesce(column, F.lit("")))
-        rows = own.groupBy(F.col(column).alias("kind")).agg(F.count("*").alias("n")).orderBy("kind").limit(CELLS // max(len(sizes), 1) + 1).collect()
-        if len(rows) * len(sizes) > CELLS:
-            raise ValueError(f"{column} has too many values for {len(sizes)} clusters")
-        tables[metric] = ([r["kind"] for r in rows], np.array([r["n"] for r in rows], np.int64))
-    real = [c for c in sizes if c >= 0]
-    order = np.array([sizes[c] for c in real], np.int64)
-    shipped = spark.sparkContext.broadcast(tables)
+
+    def repeats(groups: DataFrame) -> tuple[np.ndarray, np.ndarray]:  # counts and how often each occurs: at most the root of twice the modules
+        rows = groups.groupBy("n").agg(F.count("*").alias("many")).orderBy("n").collect()
+        return np.array([r["n"] for r in rows], np.int64), np.array([r["many"] for r in rows], np.int64)
+
+    kinds = lambda column: modules.groupBy(F.col(column).alias("kind")).agg(F.count("*").alias("n"))
+    named = F.coalesce("kind", F.lit("")) != ""
+    unnamed = kinds(family).where(~named).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shares = {c: kinds(c).orderBy("kind").toArrow() for c in ("unknown_ratio", "vote_fraction", "sensitive_fraction")}  # one row for each value
+    shares = {c: (t["kind"].to_numpy().astype(float), t["n"].to_numpy().astype(np.int64)) for c, t in shares.items()}
+    names = sorted(["consistency", "family_count", *shares])
+    shipped = spark.sparkContext.broadcast((repeats(modules.where("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("n"))), repeats(kinds("signature")), repeats(kinds(family).where(named)), unnamed, shares))
 
     def run(batches):
+        sizes, signatures, families, unnamed, shares = shipped.value
+        sizes, signatures, families = (np.repeat(*x) for x in (sizes, signatures, families))
+        families = np.append(families, unnamed)  # the last kind is none
+        total = int(sizes.sum())
+
+        def value(rng, metric):
+            if metric in shares:
+                kinds, counts = shares[metric]
+                return float(rng.multivariate_hypergeometric(counts, total, method="marginals") @ kinds) / max(total, 1)
+            if metric == "consistency":
+                best = (np.maximum.reduceat(n, np.flatnonzero(np.append(True, c[1:] != c[:-1]))).sum() for c, _, n in _dealt(rng, sizes, signatures))
+                return int(sum(best)) / max(total, 1)
+            return int(sum((kind < len(families) - 1).sum() for _, kind, _ in _dealt(rng, sizes, families))) / max(len(sizes), 1)
+
         for batch in batches:
-            out = []
-            for it in batch.column(0).to_pylist():
-                for m, (metric, (kinds, counts)) in enumerate(sorted(shipped.value.items())):
-                    dealt = _dealt(np.random.default_rng([seed, it, m]), order, counts)
-                    total = max(int(order.sum()), 1)
-                    if metric == "consistency":
-                        value = dealt.max(1).sum() / total if dealt.size else 0.0
-                    elif metric == "family_count":
-                        value = float(((dealt > 0) & np.array([k != "" for k in kinds])).sum(1).mean()) if len(order) else 0.0
-                    else:
-                        value = float(dealt.sum(0) @ np.array(kinds, float)) / total
-                    out.append((it, metric, float(value)))
+            out = [(it, metric, value(np.random.default_rng([seed, it, m]), metric)) for it in batch.column(0).to_pylist() for m, metric in enumerate(names)]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.float64())], ["iter", "metric", "v"])
 
     null = spark.range(0, iterations, 1, min(iterations, 2 * shuffle_width(spark))).mapInArrow(run, "iter long, metric string, v double")
     null = materialise(null.withColumn("v", F.round("v", 9)), "null")
     seen = cluster_metrics(cluster_rollup(modules, family)).withColumnRenamed("mean_family_count", "weighted_family_count")
-    names = sorted(properties)
     seen = seen.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.round(F.col(f"weighted_{m}"), 9).cast("double").alias("observed")) for m in names))).alias("x")).select("x.*")
     q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
     t = null.join(F.broadcast(seen), "metric").groupBy("metric", "observed")  # one row for each measure
